@@ -59,7 +59,8 @@ def with_slice(df: DataFrame, column: str, points: list[float], out: str) -> Dat
         splits = [float("-inf"), 0.0, float("inf")]
     bucketed = Bucketizer(
         splits=splits, inputCol=column, outputCol=out, handleInvalid="keep").transform(df)
-    return bucketed.withColumn(out, F.col(out).cast("int"))
+    return bucketed.withColumn(
+        out, F.coalesce(F.col(out).cast("int"), F.lit(len(splits) - 1)))
 
 
 def _same_keys(left: str, right: str, keys: Sequence[str]) -> Column:

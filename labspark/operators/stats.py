@@ -141,7 +141,7 @@ def correlation(df: DataFrame, variables: Sequence[str]) -> DataFrame:
         F.corr(F.col(names[i]).cast("double"), F.col(names[j]).cast("double")).alias(f"c{i}_{j}")
         for i, j in pairs
     ] or [F.count(F.lit(1)).alias("rows")]
-    return _cells(df.agg(*aggregates), names, lambda i, j: F.col(f"c{min(i, j)}_{max(i, j)}"))
+    return _cells(df.agg(*aggregates), names, lambda i, j: F.col(f"c{i}_{j}"))
 
 
 def spearman(df: DataFrame, variables: Sequence[str], slices: int | None = None) -> DataFrame:
@@ -179,7 +179,6 @@ def weighted_correlation(df: DataFrame, variables: Sequence[str], prefix: str,
           for i in range(count) for j in range(i, count)])
 
     def covariance(i: int, j: int):
-        i, j = min(i, j), max(i, j)
         return F.col(f"s{i}_{j}") - F.col(f"m{i}") * F.col(f"m{j}") / F.col("w")
 
     return _cells(sums, names, lambda i, j: covariance(i, j) / F.sqrt(
@@ -192,7 +191,7 @@ def _cells(row: DataFrame, names: list[str], value) -> DataFrame:
         F.struct(
             F.lit(i).alias("row_no"), F.lit(j).alias("col_no"),
             F.lit(names[i]).alias("row_name"), F.lit(names[j]).alias("col_name"),
-            (F.lit(1.0) if i == j else value(i, j)).alias("value"))
+            (F.lit(1.0) if i == j else value(min(i, j), max(i, j))).alias("value"))
         for i in range(len(names)) for j in range(len(names))
     ]
     return row.select(F.explode(F.array(*cells)).alias("c")).select("c.*")
