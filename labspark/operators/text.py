@@ -358,6 +358,11 @@ def extract_triples(entities: DataFrame, docs: DataFrame, relations: dict | None
     )
 
 
+def _labelled(pairs: Column, relation: str) -> Column:
+    return F.transform(pairs, lambda z: F.struct(
+        z["s"].alias("subject"), F.lit(relation).alias("relation"), z["o"].alias("object")))
+
+
 def pattern_triples(docs: DataFrame, terms: Sequence[tuple[str, str, str]] | None = None,
                     relations: Sequence[tuple[str, str, bool]] | None = None,
                     doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -374,10 +379,7 @@ def pattern_triples(docs: DataFrame, terms: Sequence[tuple[str, str, str]] | Non
         left = F.regexp_extract_all(F.col(text), F.lit("(?dU)" + pattern), F.lit(1))
         right = F.regexp_extract_all(F.col(text), F.lit("(?dU)" + pattern), F.lit(last))
         subject, obj = (right, left) if reverse else (left, right)
-        found.append(F.transform(
-            F.arrays_zip(subject.alias("s"), obj.alias("o")),
-            lambda z, r=relation: F.struct(
-                z["s"].alias("subject"), F.lit(r).alias("relation"), z["o"].alias("object"))))
+        found.append(_labelled(F.arrays_zip(subject.alias("s"), obj.alias("o")), relation))
     rows = docs.select(
         F.col(doc_id).alias("doc_id"), F.inline(F.concat(*found)))
 

@@ -76,10 +76,16 @@ def read_notes(spark: SparkSession, path: str) -> DataFrame:
 
 def read_keyed_json(spark: SparkSession, path: str, value: str | T.StructType,
                     key: str = "case_id") -> DataFrame:
-    """Files holding ``{key: {...}}`` as one row per key."""
+    """Files holding ``{key: {...}}`` as one row per key.
+
+    Every value is parsed on its own: one that is no object gives a row of nulls, not a lost file.
+    """
     value = schemas.struct(value)
-    parsed = F.from_json("value", T.MapType(T.StringType(), value))
-    rows = spark.read.text(path, wholetext=True).select(F.explode(parsed).alias(key, "__v"))
+    entries = F.from_json("value", T.MapType(T.StringType(), T.StringType()))
+    rows = (
+        spark.read.text(path, wholetext=True).select(F.explode(entries).alias(key, "__t"))
+        .select(key, F.from_json("__t", value).alias("__v"))
+    )
     fields = [f for f in value.names if f != key]
     return rows.select(key, *[F.col(f"__v.{f}").alias(f) for f in fields])
 
