@@ -135,7 +135,7 @@ def text_labs(df: DataFrame, text: str = "text") -> DataFrame:
     The three groups of every match are extracted together, so rows stay aligned.
     """
     # Fixed value: the pattern
-    pattern = r"([一-龥A-Za-z0-9%\-]+)\s*[:：]?\s*([0-9.]+)\s*([A-Za-z/%μ^0-9·/.-]*)"
+    pattern = r"(?U)([一-龥A-Za-z0-9%\-]+)\s*[:：]?\s*([0-9.]+)\s*([A-Za-z/%μ^0-9·/.-]*)"
     groups = [F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(i)) for i in (1, 2, 3)]
     zipped = F.arrays_zip(*[g.alias(n) for g, n in zip(groups, ("item_name", "value", "unit"))])
     other = [c for c in df.columns if c != text]

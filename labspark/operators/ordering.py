@@ -14,6 +14,7 @@ from collections.abc import Sequence
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from labspark.catalog import local_table
 from labspark.session import shuffle_partitions
@@ -63,6 +64,16 @@ def with_slice(df: DataFrame, column: str, points: list[float], out: str) -> Dat
         out, F.coalesce(F.col(out).cast("int"), F.lit(len(splits) - 1)))
 
 
+def _as_number(df: DataFrame, column: str) -> Column:
+    """A number with the column's order, for cutting slices."""
+    kind = df.schema[column].dataType
+    if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+        return F.unix_micros(F.col(column).cast("timestamp")).cast("double")
+    if not isinstance(kind, T.NumericType):
+        raise TypeError(f"cannot slice a group on {column} of type {kind.simpleString()}")
+    return F.col(column).cast("double")
+
+
 def _same_keys(left: str, right: str, keys: Sequence[str]) -> Column:
     condition = F.lit(True)
     for k in keys:
@@ -98,7 +109,7 @@ def with_positions(df: DataFrame, keys: Sequence[str], order: Sequence[str], out
     marked = (
         df.alias("l").join(
             hot.withColumn("__hot", F.lit(True)).alias("r"), _same_keys("l", "r", keys), "left")
-        .select("l.*", "__hot", F.col(f"l.{order[0]}").cast("double").alias("__by"))
+        .select("l.*", "__hot", _as_number(df, order[0]).alias("__by"))
     )
     hot_rows = marked.filter("__hot")
     slices = max(2, min(shuffle_partitions(df.sparkSession), MAX_OFFSETS // hot.count()))

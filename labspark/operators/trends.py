@@ -145,8 +145,8 @@ def half_split_trend(df: DataFrame, keys: Sequence[str], value: str, order: Sequ
                      max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
     """Direction from the mean of the later half against the earlier half.
 
-    The threshold is a tenth of ``spread`` (a column; the sample std when not given).  Two or
-    more abnormal points on both sides of the range make the series 'fluctuating'.  Keys must
+    The threshold is a tenth of ``spread`` (a column; the series' sample std where it is null or
+    not given).  Two or more abnormal points on both sides of the range make the series 'fluctuating'.  Keys must
     not be null.
     """
     points = abnormal_points(df, keys, value, order, low, high, max_group_rows)
@@ -155,7 +155,8 @@ def half_split_trend(df: DataFrame, keys: Sequence[str], value: str, order: Sequ
     halved = points.join(sizes, list(keys))
     later = F.col("pos") >= F.floor(F.col("n_points") / 2)
     v = F.col(value)
-    width = F.max(spread) if spread else F.coalesce(F.stddev_samp(v), F.lit(0.0))
+    given = F.max(spread) if spread else F.lit(None).cast("double")
+    width = F.coalesce(given, F.stddev_samp(v), F.lit(0.0))
     summary = halved.groupBy(*keys).agg(
         F.max("n_points").alias("n_points"),
         F.avg(F.when(~later, v)).alias("first_half_mean"),

@@ -131,7 +131,4 @@ def lab_trends(standard: DataFrame, lookups: Lookups, order: Sequence[str],
     item = F.lower(F.trim(F.col(keys[-1])))
     bounded = standard.drop("reference_low", "reference_high").join(
         known, item == F.col("__item")).drop("__item")
-    own = bounded.filter(F.col("spread").isNull())
-    given = bounded.filter(F.col("spread").isNotNull())
-    return trends.half_split_trend(given, keys, "value", order, spread="spread").unionByName(
-        trends.half_split_trend(own, keys, "value", order))
+    return trends.half_split_trend(bounded, keys, "value", order, spread="spread")
