@@ -122,7 +122,7 @@ def class_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("fused_vectors", """
-SELECT vec_id, len(embedding) + 1 AS n, round(embedding[1], 6) AS first, c_acctbal AS last
+SELECT vec_id, len(embedding) + 1 AS n, round(CAST(embedding[1] AS DOUBLE), 6) AS first, c_acctbal AS last
 FROM embeddings JOIN customer ON c_custkey = vec_id""")
 def fused_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors and clinical columns of the same case, joined on the key."""

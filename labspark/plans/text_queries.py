@@ -52,13 +52,13 @@ def _spans_sql(source: str, key: str) -> str:
     for i, (term, kind, standard) in enumerate(_BY_LENGTH):
         steps.append(
             f"x{i} AS (SELECT {key}, unnest(string_split(s, '{term}')) AS piece, "
-            f"generate_subscripts(string_split(s, '{term}'), 1) AS i, "
+            f"generate_subscripts(string_split(s, '{term}'), 1) AS k, "
             f"len(string_split(s, '{term}')) AS parts FROM {current} WHERE contains(s, '{term}'))")
         parts.append(
-            f"SELECT * EXCLUDE (parts, i) FROM (SELECT {key}, '{term}' AS entity, "
+            f"SELECT * EXCLUDE (parts, k) FROM (SELECT {key}, '{term}' AS entity, "
             f"'{kind}' AS entity_type, '{standard}' AS standard_name, CAST(sum(length(piece)) OVER "
-            f"(PARTITION BY {key} ORDER BY i) + (i - 1) * {len(term)} AS INTEGER) AS start, "
-            f"parts, i FROM x{i}) WHERE i < parts")
+            f"(PARTITION BY {key} ORDER BY k) + (k - 1) * {len(term)} AS INTEGER) AS start, "
+            f"parts, k FROM x{i}) WHERE k < parts")
         steps.append(
             f"m{i} AS (SELECT * REPLACE (replace(s, '{term}', repeat(chr(1), {len(term)})) AS s) "
             f"FROM {current})")
@@ -93,22 +93,22 @@ def _trigger_sql(words: list[str], test: str) -> str:
 
 
 _status_sql = f"""c AS (
-  SELECT doc_id, i, raw AS s, length(raw) AS len, sentence_no,
+  SELECT doc_id, cid, raw AS s, length(raw) AS len, sentence_no,
     regexp_replace(raw, '^\\s+|\\s+$', '', 'g') AS clause
   FROM (
     SELECT doc_id, sentence_no, unnest(regexp_split_to_array(sentence, '[,;]')) AS raw,
-      sentence_no * 100000 + generate_subscripts(regexp_split_to_array(sentence, '[,;]'), 1) AS i
+      sentence_no * 100000 + generate_subscripts(regexp_split_to_array(sentence, '[,;]'), 1) AS cid
     FROM (
       SELECT doc_id, unnest(regexp_split_to_array(text, '[.\\n]')) AS sentence,
         generate_subscripts(regexp_split_to_array(text, '[.\\n]'), 1) - 1 AS sentence_no
       FROM documents))),
-{_spans_sql('c', 'doc_id, i, clause, sentence_no')},
+{_spans_sql('c', 'doc_id, cid, clause, sentence_no')},
 e AS (
-  SELECT *, {_trigger_sql(NEGATION, '{at} < at')} AS negation_status,
-    {_trigger_sql(UNCERTAINTY, '{at} < at')} AS uncertain_status,
-    {_trigger_sql(HISTORY, 'abs({at} - at) <= greatest(length(clause) // 2, 15)')}
+  SELECT *, {_trigger_sql(NEGATION, '{at} < pos')} AS negation_status,
+    {_trigger_sql(UNCERTAINTY, '{at} < pos')} AS uncertain_status,
+    {_trigger_sql(HISTORY, 'abs({at} - pos) <= greatest(length(clause) // 2, 15)')}
       AS history_status
-  FROM (SELECT *, strpos(clause, entity) - 1 AS at FROM spans))"""
+  FROM (SELECT *, strpos(clause, entity) - 1 AS pos FROM spans))"""
 
 
 @query("text_status", f"""
@@ -136,19 +136,19 @@ WITH {_status_sql},
 sen AS (SELECT doc_id, unnest(regexp_split_to_array(text, '[.\\n]')) AS sentence,
           generate_subscripts(regexp_split_to_array(text, '[.\\n]'), 1) - 1 AS sentence_no
         FROM documents),
-m AS (SELECT *, i * 1000000 + start AS place FROM e),
+m AS (SELECT *, cid * 1000000 + start AS place FROM e),
 names AS (SELECT doc_id, sentence_no, entity, entity_type, standard_name, negation_status,
             min(place) AS f, max(place) AS l FROM m GROUP BY ALL),
 x AS (SELECT a.doc_id, a.sentence_no, a.entity AS subject_entity, b.entity AS object_entity,
-        a.standard_name AS subject, b.standard_name AS object, a.entity_type AS at,
-        b.entity_type AS bt, a.negation_status AS an, b.negation_status AS bn,
+        a.standard_name AS subject, b.standard_name AS object, a.entity_type AS aty,
+        b.entity_type AS bty, a.negation_status AS an, b.negation_status AS bn,
         a.f AS af, b.l AS bl, sen.sentence
       FROM names a JOIN names b USING (doc_id, sentence_no) JOIN sen USING (doc_id, sentence_no)),
 t AS (SELECT *, CASE WHEN told THEN CAST(0.88 AS DOUBLE)
         WHEN length(replace(trim(sentence), ' ', '')) <= 15 THEN CAST(0.72 AS DOUBLE) END
         AS confidence
       FROM ({_pairs_sql})
-      WHERE at = st AND bt = ot AND (st <> ot OR af < bl) AND NOT (an AND bn)
+      WHERE aty = st AND bty = ot AND (st <> ot OR af < bl) AND NOT (an AND bn)
         AND NOT (relation = '{ct.LOCATED}' AND (an OR bn)))
 SELECT doc_id, subject_entity, relation, object_entity, any_value(subject) AS subject,
   any_value(object) AS object, arg_min(confidence, sentence_no) AS confidence,
@@ -227,7 +227,7 @@ def text_type_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH {_status_sql}
 SELECT doc_id AS case_id, count(*) FILTER (WHERE negation_status) AS negation_count,
   CASE WHEN bool_or(negation_status) THEN TRUE END AS has_negated_finding,
-  NOT arg_min(negation_status, CASE WHEN standard_name = 't_heon' THEN i * 1000000 + start END)
+  NOT arg_min(negation_status, CASE WHEN standard_name = 't_heon' THEN cid * 1000000 + start END)
     AS distant_metastasis
 FROM e GROUP BY 1""")
 def text_case_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
