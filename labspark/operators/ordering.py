@@ -130,20 +130,42 @@ def with_positions(df: DataFrame, keys: Sequence[str], order: Sequence[str], out
     )
 
 
+def value_counts(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
+    """Distinct non-null values with their number of copies ``n``."""
+    return df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(
+        F.count(F.lit(1)).alias("n"))
+
+
+def _few_values(df: DataFrame, by: Sequence[str], value: str) -> bool:
+    """Whether no group has more distinct values than one task may sort (rows bound values)."""
+    limit = MAX_GROUP_ROWS / 2  # room for the error of the estimate
+    grouped = df.groupBy(*by)
+    rows = grouped.agg(F.count(F.lit(1)).alias("m")).agg(F.max("m")).first()[0] or 0
+    if rows < limit:
+        return True
+    distinct = grouped.agg(F.approx_count_distinct(value).alias("m")).agg(F.max("m")).first()[0]
+    return distinct < limit
+
+
 def cumulative_counts(df: DataFrame, by: Sequence[str], value: str,
                       slices: int | None = None) -> DataFrame:
     """Distinct values with ``n`` copies and ``before`` = rows with a smaller value.
 
     ``by`` must be a handful of groups (variables of a table), each of any size: copies are
-    counted first, then the running sum works per value slice.
+    counted first, and where a group has more distinct values than one task should sort, the
+    running sum works per value slice.  ``slices`` forces a number of slices.
     """
-    spark = df.sparkSession
-    slices = slices or shuffle_partitions(spark)
-    counts = (
-        df.filter(F.col(value).isNotNull()).groupBy(*by, value)
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    points = split_points(df.select(F.col(value).cast("double").alias("__v")), "__v", slices)
+    present = df.filter(F.col(value).isNotNull())
+    counts = value_counts(df, by, value)
+    if slices is None:
+        slices = 1 if _few_values(present, by, value) else shuffle_partitions(df.sparkSession)
+    if slices == 1:
+        running = Window.partitionBy(*by).orderBy(value).rowsBetween(
+            Window.unboundedPreceding, -1)
+        return counts.withColumn("before", F.coalesce(F.sum("n").over(running), F.lit(0)))
+
+    points = split_points(
+        present.select(F.col(value).cast("double").alias("__v")), "__v", slices)
     sliced = with_slice(
         counts.withColumn("__v", F.col(value).cast("double")), "__v", points, _SLICE)
     running = (
@@ -175,9 +197,8 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Sequenc
     are found by a range filter on the cumulative counts.
     """
     cumulative = cumulative_counts(df, by, value, slices)
-    totals = F.broadcast(  # one row per variable
-        df.filter(F.col(value).isNotNull()).groupBy(*by)
-        .agg(F.count(F.lit(1)).alias("__total")))
+    totals = F.broadcast(  # one row per variable, from the counts already shuffled
+        value_counts(df, by, value).groupBy(*by).agg(F.sum("n").alias("__total")))
     ranked = (
         cumulative.alias("l").join(totals.alias("r"), _same_keys("l", "r", by))
         .select("l.*", "__total")

@@ -10,11 +10,13 @@ from __future__ import annotations
 import re
 from bisect import bisect_left
 from collections.abc import Iterator, Sequence
+from operator import itemgetter
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from labspark import clinical_terms as ct
 from labspark import schemas
@@ -79,17 +81,18 @@ def _piece(marks: list[int], start: int, end: int) -> int:
     return before if bisect_left(marks, end) == before else -1
 
 
-def extract_spans(docs: DataFrame, terms: Sequence[tuple[str, str, str]] | None = None,
-                  patterns: Sequence[tuple[str, str, str]] | None = None,
-                  doc_id: str = "doc_id", text: str = "text", overlap: bool = False,
-                  sizes: Sequence[tuple[str, str]] = (),
-                  clause_separators: str = ct.CLAUSE_SEPARATORS,
-                  sentence_separators: str = ct.SENTENCE_SEPARATORS) -> DataFrame:
-    """One row per entity span, with the numbers of its clause and sentence.
+def span_clauses(docs: DataFrame, terms: Sequence[tuple[str, str, str]] | None = None,
+                 patterns: Sequence[tuple[str, str, str]] | None = None,
+                 doc_id: str = "doc_id", text: str = "text", overlap: bool = False,
+                 sizes: Sequence[tuple[str, str]] = (),
+                 clause_separators: str = ct.CLAUSE_SEPARATORS,
+                 sentence_separators: str = ct.SENTENCE_SEPARATORS) -> DataFrame:
+    """One row per clause that holds entities: its text once, and its entity spans.
 
     ``overlap=False`` keeps the longest term at every place; ``overlap=True`` keeps all
-    occurrences.  ``in_clause_at`` is the place status rules compare triggers with; ``window``
-    is the context of the rare span that crosses a clause separator.
+    occurrences.  ``in_clause_at`` is the place that status rules compare triggers with.  The
+    rare span that crosses a clause separator gets a row of its own with ``clause_no`` -1 and
+    its surroundings as the clause.
     """
     if terms is None:
         terms = ct.term_list(ct.CLINICAL_TERMS)
@@ -97,50 +100,76 @@ def extract_spans(docs: DataFrame, terms: Sequence[tuple[str, str, str]] | None
         patterns = () if overlap else ct.CLINICAL_PATTERNS
     # sorted() is stable: equal lengths keep dictionary order
     ordered = list(terms) if overlap else sorted(terms, key=lambda t: -len(t[0]))
-    schema = T.StructType(
-        [T.StructField("doc_id", docs.schema[doc_id].dataType), *schemas.struct(schemas.SPANS).fields[1:]])
-    columns = schema.names
-
-    def spans_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    schema = T.StructType([
+        T.StructField("doc_id", docs.schema[doc_id].dataType),
+        *schemas.struct(schemas.SPAN_CLAUSES).fields[1:]])
+    arrow_schema = to_arrow_schema(schema)
+    list_type = arrow_schema.field("spans").type
+    span_fields = list(list_type.value_type)
+
+    def clauses_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compiled = [(re.compile(p), k, s) for p, k, s in patterns]
         measured = [(re.compile(p), u) for p, u in sizes]
         clause_mark = re.compile("[" + re.escape(clause_separators) + "]")
         sentence_mark = re.compile("[" + re.escape(sentence_separators) + "]")
         for batch in batches:
-            rows = []
-            for key, body in zip(batch[doc_id], batch[text]):
+            rows, spans, offsets = [], [], [0]
+            for key, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if not body:
                     continue
                 found = (_overlapping_spans(body, ordered, measured) if overlap
                          else _exclusive_spans(body, ordered, compiled))
                 if not found:
                     continue
+                found.sort(key=itemgetter(2))
                 clauses = [m.start() for m in clause_mark.finditer(body)]
                 sentences = [m.start() for m in sentence_mark.finditer(body)]
-                for entity, kind, start, end, standard, confidence in sorted(
-                        found, key=lambda s: s[2]):
+                current, clause, first_at = -2, "", 0
+                for span in found:
+                    entity, _, start, end, _, _ = span
                     clause_no = _piece(clauses, start, end)
-                    window = None
-                    if clause_no >= 0:
+                    if clause_no < 0:
+                        clause = body if overlap else body[max(0, start - 10):end + 6]
+                        at = start if overlap else clause.find(entity)
+                    elif clause_no != current:
                         left = clauses[clause_no - 1] + 1 if clause_no else 0
                         right = clauses[clause_no] if clause_no < len(clauses) else len(body)
                         clause = body[left:right]
-                        if overlap:  # measured from the first place this clause text occurs
-                            at = start - body.find(clause)
+                        if overlap:  # places count from the first occurrence of this text
+                            first_at = body.find(clause)
                         else:
                             clause = clause.strip()
-                            at = clause.find(entity)
-                            at = at if at >= 0 else len(clause) // 2
-                    elif overlap:
-                        window, at = body, start
-                    else:
-                        window = body[max(0, start - 10):end + 6]
-                        at = window.find(entity)
-                    rows.append((key, entity, kind, start, end, standard, confidence, clause_no,
-                                 _piece(sentences, start, end), at, window))
-            yield pd.DataFrame(rows, columns=columns)
+                    if clause_no < 0 or clause_no != current:
+                        if len(spans) > offsets[-1]:
+                            offsets.append(len(spans))
+                        rows.append((key, clause_no, clause))
+                        current = clause_no if clause_no >= 0 else -2
+                    if clause_no >= 0:
+                        at = start - first_at if overlap else clause.find(entity)
+                        at = at if overlap or at >= 0 else len(clause) // 2
+                    spans.append((*span, _piece(sentences, start, end), at))
+                if len(spans) > offsets[-1]:
+                    offsets.append(len(spans))
+            flat = list(zip(*spans)) if spans else [[] for _ in span_fields]
+            items = pa.StructArray.from_arrays(
+                [pa.array(c, f.type) for c, f in zip(flat, span_fields)], fields=span_fields)
+            columns = list(zip(*rows)) if rows else [[], [], []]
+            yield pa.RecordBatch.from_arrays(
+                [*[pa.array(c, f.type) for c, f in zip(columns, arrow_schema)],
+                 pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), items, type=list_type)],
+                schema=arrow_schema)
+
+    return docs.select(doc_id, text).mapInArrow(clauses_of, schema)
+
 
-    return docs.select(doc_id, text).mapInPandas(spans_of, schema)
+def spans_of(clauses: DataFrame) -> DataFrame:
+    """One row per entity span."""
+    return clauses.select("doc_id", "clause_no", F.inline("spans"))
+
+
+def extract_spans(docs: DataFrame, *arguments, **options) -> DataFrame:
+    """One row per entity span of the documents; takes what :func:`span_clauses` takes."""
+    return spans_of(span_clauses(docs, *arguments, **options))
 
 
 # ---------------------------------------------------------------------------------------
@@ -178,110 +207,77 @@ def piece_offsets(docs: DataFrame, separators: str = ct.CLAUSE_SEPARATORS,
     )
 
 
-def trigger_places(text: Column, words: Sequence[str]) -> Column:
-    """First place of each word in the text (0-based, -1 when absent), in word order."""
-    return F.array(*[
-        F.struct(F.lit(w).alias("word"), (F.instr(text, w) - 1).alias("at")) for w in words])
-
-
-def _found(places: Column) -> Column:
-    return F.filter(places, lambda p: p["at"] >= 0)
+# ---------------------------------------------------------------------------------------
+# Status
+# ---------------------------------------------------------------------------------------
+def _places(text: str, words: Sequence[str]) -> list[Column]:
+    """0-based first place of each word, null when absent."""
+    return [F.nullif(F.instr(F.col(text), w), F.lit(0)) - 1 for w in words]
 
 
-def clause_triggers(docs: DataFrame, groups: dict[str, Sequence[str]], separators: str,
-                    doc_id: str = "doc_id", text: str = "text",
-                    keep_text: bool = False) -> DataFrame:
-    """Trigger places of every clause that holds at least one trigger."""
-    pieces = split_pieces(docs, separators, doc_id, text)
-    if keep_text:
-        # places count from the start of the untrimmed clause
-        base, extra = F.col("raw"), [F.col("piece").alias("clause")]
-    else:
-        base, extra = F.col("piece"), []
-    any_word = "|".join(re.escape(w) for words in groups.values() for w in words)
-    return (
-        pieces if keep_text else pieces.filter(F.col("piece").rlike(any_word))
-    ).select(
-        "doc_id", F.col("piece_no").alias("clause_no"), F.char_length(base).alias("clause_len"),
-        *extra, *[_found(trigger_places(base, w)).alias(g) for g, w in groups.items()])
+def _first_place(text: str, words: Sequence[str]) -> Column:
+    return F.array_min(F.array(*_places(text, words)))
 
 
-# ---------------------------------------------------------------------------------------
-# Status
-# ---------------------------------------------------------------------------------------
-def entity_status(spans: DataFrame, docs: DataFrame,
-                  negation: Sequence[str] = tuple(ct.NEGATION_TRIGGERS),
+def entity_status(clauses: DataFrame, negation: Sequence[str] = tuple(ct.NEGATION_TRIGGERS),
                   uncertainty: Sequence[str] = tuple(ct.UNCERTAINTY_TRIGGERS),
-                  history: Sequence[str] = tuple(ct.HISTORY_TRIGGERS),
-                  separators: str = ct.CLAUSE_SEPARATORS, doc_id: str = "doc_id",
-                  text: str = "text") -> DataFrame:
-    """Add negation, uncertainty and history marks.
+                  history: Sequence[str] = tuple(ct.HISTORY_TRIGGERS)) -> DataFrame:
+    """Spans of :func:`span_clauses` rows with negation, uncertainty and history marks.
 
     A negation or uncertainty trigger must start before the entity in its clause; a history
-    trigger may be on either side within half the clause (at least 15 characters).
+    trigger may be on either side within half the clause (at least 15 characters).  Triggers
+    are searched once per clause, and nothing is shuffled.
     """
-    groups = {"negation": negation, "uncertainty": uncertainty, "history": history}
-    triggers = clause_triggers(docs, groups, separators, doc_id, text)
-    joined = spans.join(triggers, ["doc_id", "clause_no"], "left")
-    in_window = F.col("window").isNotNull()
-
-    def places(group: str) -> Column:
-        return F.when(in_window, _found(trigger_places(F.col("window"), groups[group]))
-                      ).otherwise(F.col(group))
-
-    at = F.col("in_clause_at")
-    length = F.coalesce(F.char_length("window"), F.col("clause_len"))
-    reach = F.greatest(F.floor(length / 2), F.lit(15))
-
-    def before(group: str) -> Column:
-        return F.coalesce(F.exists(places(group), lambda p: p["at"] < at), F.lit(False))
-
-    near = F.exists(places("history"), lambda p: F.abs(p["at"] - at) <= reach)
-    return joined.select(
-        *[c for c in spans.columns if c != "window"],
-        before("negation").alias("negation_status"),
-        before("uncertainty").alias("uncertain_status"),
-        F.coalesce(near, F.lit(False)).alias("history_status"))
-
-
-def note_status(spans: DataFrame, docs: DataFrame,
-                negation: Sequence[str] = tuple(ct.NOTE_NEGATION_TRIGGERS),
-                history: Sequence[str] = tuple(ct.NOTE_HISTORY_TRIGGERS),
-                separators: str = ct.NOTE_SEPARATORS, doc_id: str = "doc_id",
-                text: str = "text") -> DataFrame:
+    searched = clauses.select(
+        "doc_id", "clause_no", F.char_length("clause").alias("__len"),
+        _first_place("clause", negation).alias("__negation"),
+        _first_place("clause", uncertainty).alias("__uncertainty"),
+        F.array_compact(F.array(*_places("clause", history))).alias("__history"),
+        F.explode("spans").alias("s"))
+    at = F.col("s.in_clause_at")
+    reach = F.greatest(F.floor(F.col("__len") / 2), F.lit(15))
+    return searched.select(
+        "doc_id", "clause_no", "s.*",
+        F.coalesce(F.col("__negation") < at, F.lit(False)).alias("negation_status"),
+        F.coalesce(F.col("__uncertainty") < at, F.lit(False)).alias("uncertain_status"),
+        F.exists("__history", lambda p: F.abs(p - at) <= reach).alias("history_status"))
+
+
+def note_status(clauses: DataFrame, negation: Sequence[str] = tuple(ct.NOTE_NEGATION_TRIGGERS),
+                history: Sequence[str] = tuple(ct.NOTE_HISTORY_TRIGGERS)) -> DataFrame:
     """Second status variant: flagged entities only, with the deciding trigger and the clause.
 
     The first listed trigger found before the entity decides.
     """
-    groups = {"negation": negation, "history": history}
-    clauses = clause_triggers(docs, groups, separators, doc_id, text, keep_text=True)
-    joined = spans.join(clauses, ["doc_id", "clause_no"], "left")
-    in_window = F.col("window").isNotNull()
-    at = F.col("in_clause_at")
-
-    def first(group: str, limit: Column) -> Column:
-        places = F.when(in_window, _found(trigger_places(F.col("window"), groups[group]))
-                        ).otherwise(F.col(group))
+    def found(words: Sequence[str]) -> Column:
+        return F.filter(F.array(*[
+            F.struct(F.lit(w).alias("word"), place.alias("at"))
+            for w, place in zip(words, _places("clause", words))]),
+            lambda p: p["at"].isNotNull())
+
+    searched = clauses.select(
+        "doc_id", "clause_no", "clause", found(negation).alias("__negation"),
+        found(history).alias("__history"), F.explode("spans").alias("s"))
+    at = F.col("s.in_clause_at")
+
+    def first(places: str, limit: Column) -> Column:
         return F.get(F.filter(places, lambda p: p["at"] < limit), F.lit(0))
 
-    marked = joined.withColumn("__n", first("negation", at)).withColumn(
-        "__h", first("history", at + F.char_length("entity"))["word"])
+    marked = searched.withColumns({
+        "__n": first("__negation", at),
+        "__h": first("__history", at + F.char_length("s.entity"))["word"]})
     # across a whole text (span over a separator) a stronger separator in between cancels
     between = F.substring(
-        F.col("window"), F.col("__n.at") + 1, F.greatest(at - F.col("__n.at"), F.lit(0)))
-    cancelled = F.coalesce(in_window & between.rlike("[。；]"), F.lit(False))
+        F.col("clause"), F.col("__n.at") + 1, F.greatest(at - F.col("__n.at"), F.lit(0)))
+    cancelled = F.coalesce((F.col("clause_no") < 0) & between.rlike("[。；]"), F.lit(False))
     return (
-        marked
-        .withColumn("negation_trigger", F.when(~cancelled, F.col("__n.word")))
-        .withColumn("negation_status", F.col("negation_trigger").isNotNull())
-        .withColumn("history_trigger", F.col("__h"))
-        .withColumn("history_status", F.col("__h").isNotNull())
-        .filter(F.col("negation_status") | F.col("history_status"))
-        .select("doc_id", "entity", "entity_type", "start", "end", "standard_name",
-                "negation_status", "history_status",
-                F.coalesce(F.col("clause"), F.regexp_replace("window", _BLANK_ENDS, ""))
-                .alias("source_sentence"),
-                "negation_trigger", "history_trigger")
+        marked.withColumn("negation_trigger", F.when(~cancelled, F.col("__n.word")))
+        .filter(F.col("negation_trigger").isNotNull() | F.col("__h").isNotNull())
+        .select("doc_id", "s.entity", "s.entity_type", "s.start", "s.end", "s.standard_name",
+                F.col("negation_trigger").isNotNull().alias("negation_status"),
+                F.col("__h").isNotNull().alias("history_status"),
+                F.regexp_replace("clause", _BLANK_ENDS, "").alias("source_sentence"),
+                "negation_trigger", F.col("__h").alias("history_trigger"))
     )
 
 
@@ -298,63 +294,75 @@ def extract_triples(entities: DataFrame, docs: DataFrame, relations: dict | None
     and last place, which is all the ordering rule needs.
     """
     relations = relations or ct.RELATIONS
-    spark = docs.sparkSession
-    pair_schema = "relation string, relation_no int, subject_type string, object_type string"
-    pairs = local_table(spark, [
-        (name, i, s, o) for i, (name, (_, types)) in enumerate(relations.items())
-        for s, o in types], pair_schema)
+    pairs = [(name, i, s, o) for i, (name, (_, types)) in enumerate(relations.items())
+             for s, o in types]
 
+    # Placed by document once; both groupings below use that placement.  A document's entities
+    # come from one text, so a document is never a large group.
     names = (
         entities.filter(F.col("sentence_no") >= 0)
+        .select("doc_id", "sentence_no", "entity", "entity_type", "standard_name",
+                "negation_status", "start")
+        .repartition("doc_id")
         .groupBy("doc_id", "sentence_no", "entity", "entity_type", "standard_name",
                  "negation_status")
         .agg(F.min("start").alias("first_at"), F.max("start").alias("last_at"))
     )
-    subjects = names.join(pairs, F.col("entity_type") == F.col("subject_type")).select(
-        "doc_id", "sentence_no", "relation", "relation_no", "subject_type", "object_type",
-        F.col("entity").alias("subject_entity"), F.col("standard_name").alias("subject"),
-        F.col("negation_status").alias("__sn"), F.col("first_at").alias("__sf"))
-    objects = names.select(
-        "doc_id", "sentence_no", F.col("entity_type").alias("object_type"),
-        F.col("entity").alias("object_entity"), F.col("standard_name").alias("object"),
-        F.col("negation_status").alias("__on"), F.col("first_at").alias("__of"),
-        F.col("last_at").alias("__ol"))
-    # of two entities of one type the earlier mention is the subject
-    ordered = (F.col("subject_type") != F.col("object_type")) | (F.col("__sf") < F.col("__ol"))
-    sn, on = F.col("__sn"), F.col("__on")
-    kept = ~(sn & on) & ~((F.col("relation") == located) & (sn | on))
-    candidates = subjects.join(objects, ["doc_id", "sentence_no", "object_type"]).filter(
-        ordered & kept)
-
-    rules = {name: words for name, (words, _) in relations.items()}
+    sentences = names.groupBy("doc_id", "sentence_no").agg(F.collect_list(F.struct(
+        "entity", "entity_type", "standard_name", "negation_status", "first_at", "last_at"
+    )).alias("names"))
+
+    def of_type(kind: str) -> Column:
+        return F.filter("names", lambda n: n["entity_type"] == kind)
+
+    def bound(name: str, number: int, subject_type: str, object_type: str) -> Column:
+        """Admissible (subject, object) pairs of one type pair."""
+        same = subject_type == object_type
+
+        def kept(s: Column, o: Column) -> Column:
+            either = s["negation_status"] | o["negation_status"]
+            both = s["negation_status"] & o["negation_status"]
+            # of two entities of one type the earlier mention is the subject
+            ordered = s["first_at"] < o["last_at"] if same else F.lit(True)
+            return ordered & ~(either if name == located else both)
+
+        def pair(s: Column, o: Column) -> Column:
+            near, far = (s["first_at"], o["last_at"]) if same else (
+                F.least(s["first_at"], o["first_at"]), F.greatest(s["first_at"], o["first_at"]))
+            return F.struct(
+                F.lit(name).alias("relation"), F.lit(number).alias("relation_no"),
+                near.alias("i"), far.alias("j"), s["entity"].alias("subject_entity"),
+                s["standard_name"].alias("subject"), o["entity"].alias("object_entity"),
+                o["standard_name"].alias("object"))
+
+        return F.flatten(F.transform(of_type(subject_type), lambda s: F.transform(
+            F.filter(of_type(object_type), lambda o: kept(s, o)), lambda o: pair(s, o))))
+
+    kinds = sorted({k for _, _, s, o in pairs for k in (s, o)})
+    candidates = sentences.filter(F.exists("names", lambda n: n["entity_type"].isin(kinds))).select(
+        "doc_id", "sentence_no", F.inline(F.concat(*[bound(*p) for p in pairs])))
+
     sentence = split_pieces(docs, separators, doc_id, text).select(
         "doc_id", F.col("piece_no").alias("sentence_no"),
         (F.char_length(F.replace("piece", F.lit(" "), F.lit(""))) <= ct.SHORT_SENTENCE)
         .alias("__short"),
         F.array_compact(F.array(*[
             F.when(F.col("piece").rlike("|".join(re.escape(w) for w in words)), F.lit(name))
-            for name, words in rules.items()])).alias("__told"))
+            for name, (words, _) in relations.items()])).alias("__told"))
     told = F.array_contains("__told", F.col("relation"))
-    scored = candidates.join(
-        sentence.filter(F.col("__short") | (F.size("__told") > 0)), ["doc_id", "sentence_no"]
-    ).withColumn(
-        "confidence",
-        F.when(told, ct.TRIGGER_CONFIDENCE).when(F.col("__short"), ct.SHORT_CONFIDENCE)
-    ).filter(F.col("confidence").isNotNull())
-    same = F.col("subject_type") == F.col("object_type")
-    order = F.struct(
-        "sentence_no", F.when(same, F.col("__sf")).otherwise(F.least("__sf", "__of")).alias("i"),
-        F.when(same, F.col("__ol")).otherwise(F.greatest("__sf", "__of")).alias("j"),
-        "relation_no")
+    order = F.struct("sentence_no", "i", "j", "relation_no")
     return (
-        scored.withColumn("__order", order)
+        candidates.join(
+            sentence.filter(F.col("__short") | (F.size("__told") > 0)), ["doc_id", "sentence_no"])
+        .withColumn("confidence", F.when(told, ct.TRIGGER_CONFIDENCE).when(
+            F.col("__short"), ct.SHORT_CONFIDENCE))
+        .filter(F.col("confidence").isNotNull())
         .groupBy("doc_id", "subject_entity", "relation", "object_entity")
-        .agg(F.min(F.struct("__order", "subject", "object", "confidence")).alias("w"))
+        .agg(F.min(F.struct(order.alias("o"), "subject", "object", "confidence")).alias("w"))
         .select("doc_id", F.col("w.subject").alias("subject"), "subject_entity", "relation",
                 F.col("w.object").alias("object"), "object_entity",
                 F.col("w.confidence").alias("confidence"),
-                F.col("w.__order.sentence_no").alias("sentence_no"),
-                F.col("w.__order.i").alias("first_at"))
+                F.col("w.o.sentence_no").alias("sentence_no"), F.col("w.o.i").alias("first_at"))
     )
 
 
@@ -404,15 +412,15 @@ def pattern_triples(docs: DataFrame, terms: Sequence[tuple[str, str, str]] | Non
 # ---------------------------------------------------------------------------------------
 def analyze_clinical(docs: DataFrame, **columns: str) -> tuple[DataFrame, DataFrame]:
     """(entities with status, triples) of every document."""
-    entities = entity_status(extract_spans(docs, **columns), docs, **columns)
+    entities = entity_status(span_clauses(docs, **columns))
     return entities, extract_triples(entities, docs, **columns)
 
 
 def analyze_notes(docs: DataFrame, **columns: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(entities, triples, flagged entities) by the second variant."""
-    entities = extract_spans(docs, ct.term_list(ct.NOTE_TERMS), overlap=True, sizes=ct.NOTE_SIZES,
-                             clause_separators=ct.NOTE_SEPARATORS, **columns)
-    return (entities, pattern_triples(docs, **columns), note_status(entities, docs, **columns))
+    clauses = span_clauses(docs, ct.term_list(ct.NOTE_TERMS), overlap=True, sizes=ct.NOTE_SIZES,
+                           clause_separators=ct.NOTE_SEPARATORS, **columns)
+    return spans_of(clauses), pattern_triples(docs, **columns), note_status(clauses)
 
 
 def document_summary(docs: DataFrame, entities: DataFrame, triples: DataFrame,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,17 +14,39 @@ from labspark.operators import dictionary, fusion, labs, reports, routing, trend
 
 
 class Lookups:
-    """The lookup tables a job joins with; defaults come from the catalog."""
+    """The lookup tables a job joins with; each default is built when first used."""
 
     def __init__(self, spark: SparkSession, fields: DataFrame | None = None,
                  ranges: DataFrame | None = None, units: DataFrame | None = None,
-                 markers: DataFrame | None = None):
-        self.fields = fields if fields is not None else catalog.field_table(spark)
-        self.aliases = dictionary.alias_index(self.fields)
-        self.ranges = ranges if ranges is not None else catalog.range_table(spark)
-        self.units = units if units is not None else catalog.unit_table(spark)
-        self.markers = markers if markers is not None else catalog.marker_table(spark)
-        self.profiles = catalog.profile_table(spark)
+                 markers: DataFrame | None = None, profiles: DataFrame | None = None):
+        self.spark = spark
+        given = {"fields": fields, "ranges": ranges, "units": units, "markers": markers,
+                 "profiles": profiles}
+        self.__dict__.update({k: v for k, v in given.items() if v is not None})
+
+    @cached_property
+    def fields(self) -> DataFrame:
+        return catalog.field_table(self.spark)
+
+    @cached_property
+    def aliases(self) -> DataFrame:
+        return dictionary.alias_index(self.fields)
+
+    @cached_property
+    def ranges(self) -> DataFrame:
+        return catalog.range_table(self.spark)
+
+    @cached_property
+    def units(self) -> DataFrame:
+        return catalog.unit_table(self.spark)
+
+    @cached_property
+    def markers(self) -> DataFrame:
+        return catalog.marker_table(self.spark)
+
+    @cached_property
+    def profiles(self) -> DataFrame:
+        return catalog.profile_table(self.spark)
 
 
 def standardise(raw: DataFrame, lookups: Lookups, **defaults) -> DataFrame:

@@ -67,11 +67,9 @@ def _ranged(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _lookups(spark: SparkSession) -> Lookups:
-    lookups = Lookups(
+    return Lookups(
         spark, catalog.field_table(spark, FIELDS), catalog.range_table(spark, RANGES),
-        catalog.unit_table(spark, UNITS))
-    lookups.profiles = catalog.profile_table(spark, PROFILES)
-    return lookups
+        catalog.unit_table(spark, UNITS), profiles=catalog.profile_table(spark, PROFILES))
 
 
 @query("labs_abnormal_trajectory", f"""
@@ -141,20 +139,22 @@ def raw_labs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(
         n.alias("ord"), F.col("user_id").cast("string").alias("case_id"),
         F.col("user_id").cast("string").alias("patient_id"), item.alias("item_name"),
-        value.alias("value"), unit.alias("unit"), F.col("ts").cast("string").alias("test_time"))
+        value.alias("value"), unit.alias("unit"),
+        F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("test_time"))
 
 
 _standard_sql = f"""SELECT e.event_id AS ord, CAST(e.user_id AS VARCHAR) AS case_id,
     coalesce(a.standard_name, b.standard_name, trim(e.item_name)) AS standard_item_name,
-    CASE WHEN e.event_id % 11 <> 0 THEN e.value END AS raw, e.unit AS raw_unit
+    CASE WHEN e.event_id % 11 <> 0 THEN e.value END AS raw, e.unit AS raw_unit,
+    CAST(floor(epoch(e.ts)) AS BIGINT) AS test_seconds
   FROM ({_raw_events_sql}) e
   LEFT JOIN {_alias_sql.replace(' AS v(', ' AS a(')} ON a.alias = trim(e.item_name)
   LEFT JOIN {_alias_sql.replace(' AS v(', ' AS b(')} ON b.alias = lower(trim(e.item_name))"""
 _labs_sql = f"""SELECT e.ord, e.case_id, e.standard_item_name,
     CASE WHEN e.value IS NULL THEN 'normal' ELSE {_flag_sql} END AS abnormal_flag,
-    e.value, e.unit
+    e.value, e.unit, e.test_seconds
   FROM (
-    SELECT s.ord, s.case_id, s.standard_item_name,
+    SELECT s.ord, s.case_id, s.standard_item_name, s.test_seconds,
       CASE WHEN s.raw IS NULL OR coalesce(s.raw_unit, g.unit) IS NULL THEN s.raw
         WHEN u.factor IS NULL OR u.standard_unit = coalesce(s.raw_unit, g.unit)
           THEN round(s.raw, 4)
@@ -174,7 +174,9 @@ def lab_standardize_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     lookups = _lookups(spark)
     standard = labs.standard_labs(
         raw_labs(spark, sf_dir), lookups.aliases, lookups.ranges, lookups.units)
-    return standard.select("ord", "case_id", "standard_item_name", "abnormal_flag", "value", "unit")
+    return standard.select(
+        "ord", "case_id", "standard_item_name", "abnormal_flag", "value", "unit",
+        F.unix_timestamp("test_time").alias("test_seconds"))
 
 
 @query("lab_case_attributes", """

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from labspark import clinical_terms as ct
 from labspark.operators import fusion, learning, text
 from labspark.plans.registry import query, table
+from labspark.sources.readers import spread_few_files
 
 # Term dictionary, triggers and separators of these queries.
 TERMS = [
@@ -35,14 +36,14 @@ _BY_LENGTH = sorted(TERMS, key=lambda t: -len(t[0]))
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spread_few_files(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def _status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _docs(spark, sf_dir)
-    spans = text.extract_spans(
-        docs, TERMS, (), clause_separators=CLAUSES, sentence_separators=SENTENCES)
-    return text.entity_status(spans, docs, NEGATION, UNCERTAINTY, HISTORY, CLAUSES)
+    clauses = text.span_clauses(
+        _docs(spark, sf_dir), TERMS, (), clause_separators=CLAUSES,
+        sentence_separators=SENTENCES)
+    return text.entity_status(clauses, NEGATION, UNCERTAINTY, HISTORY)
 
 
 # SQL side: the longest term is cut out first and masked, so shorter terms cannot overlap it.
@@ -242,8 +243,8 @@ def text_case_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 def note_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Second status variant: flagged entities with trigger and clause (brute-force tested)."""
     docs = _docs(spark, sf_dir)
-    spans = text.extract_spans(docs, TERMS, overlap=True, clause_separators="\n")
-    flagged = text.note_status(spans, docs, NEGATION, HISTORY, "\n")
+    clauses = text.span_clauses(docs, TERMS, overlap=True, clause_separators="\n")
+    flagged = text.note_status(clauses, NEGATION, HISTORY)
     return flagged.groupBy("doc_id", "entity", "negation_trigger", "history_trigger").agg(
         F.count(F.lit(1)).alias("n"), F.min("start").alias("first_start"))
 

@@ -70,7 +70,8 @@ PATIENT_PROFILE = (
     "patient_id string, primary_disease string, time_series_steps int,"
     " nlp_entities_count int, has_group_E_radiomics boolean, missing_rate double")
 
-SPANS = (
-    "doc_id long, entity string, entity_type string, start int, end int,"
-    " standard_name string, confidence double, clause_no int, sentence_no int,"
-    " in_clause_at int, window string")
+# one row per clause with entities; doc_id takes the type of the documents' id
+SPAN_CLAUSES = (
+    "doc_id long, clause_no int, clause string, spans array<struct<entity: string,"
+    " entity_type: string, start: int, end: int, standard_name: string, confidence: double,"
+    " sentence_no: int, in_clause_at: int>>")

@@ -61,7 +61,7 @@ def test_spans_never_overlap(spark):
 def test_status_golden(spark, body, entity, negated, uncertain, history):
     docs = docs_of(spark, body)
     terms = [(entity, "x", "x")]
-    got = text.entity_status(text.extract_spans(docs, terms, ()), docs).first()
+    got = text.entity_status(text.span_clauses(docs, terms, ())).first()
     assert (got["negation_status"], got["uncertain_status"], got["history_status"]) == (
         negated, uncertain, history)
 
@@ -71,7 +71,7 @@ def test_status_matches_brute_force(spark):
     words = ["肺癌", "发热", "无", "未见", "可能", "既往", "术后", "，", "。", "\n", " ", "x" * 9, "自"]
     texts = ["".join(rng.choice(words) for _ in range(40)) for _ in range(25)]
     docs = docs_of(spark, *texts)
-    got = text.entity_status(text.extract_spans(docs), docs).collect()
+    got = text.entity_status(text.span_clauses(docs)).collect()
     assert len(got) > 50
     for r in got:
         body = texts[r["doc_id"]]
