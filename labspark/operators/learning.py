@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 
 from labspark.catalog import CREATININE_THRESHOLD, ITEM_CREATININE, ITEM_GLUCOSE
 from labspark.functions.values import trajectory_label
-from labspark.operators.ordering import MAX_GROUP_ROWS, exact_quantiles, with_positions
+from labspark.operators.ordering import (
+    MAX_GROUP_ROWS, broadcast_if_small, exact_quantiles, with_positions)
 from labspark.operators.trends import trajectory_features
 
 SEED = 42
@@ -101,7 +102,7 @@ def stratified_split(df: DataFrame, label: str, id_column: str, test_share: floa
     placed = with_positions(keyed, [label], ["__draw", id_column], "__pos", max_group_rows)
     sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("__size"))
     return (
-        placed.join(F.broadcast(sizes), label)  # one row per class
+        placed.join(broadcast_if_small(sizes), label)
         .withColumn("is_test", F.col("__pos") < F.round(F.col("__size") * test_share))
         .drop("__draw", "__pos", "__size")
     )

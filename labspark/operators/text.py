@@ -312,9 +312,6 @@ def extract_triples(entities: DataFrame, docs: DataFrame, relations: dict | None
         "entity", "entity_type", "standard_name", "negation_status", "first_at", "last_at"
     )).alias("names"))
 
-    def of_type(kind: str) -> Column:
-        return F.filter("names", lambda n: n["entity_type"] == kind)
-
     def bound(name: str, number: int, subject_type: str, object_type: str) -> Column:
         """Admissible (subject, object) pairs of one type pair."""
         same = subject_type == object_type
@@ -335,8 +332,11 @@ def extract_triples(entities: DataFrame, docs: DataFrame, relations: dict | None
                 s["standard_name"].alias("subject"), o["entity"].alias("object_entity"),
                 o["standard_name"].alias("object"))
 
-        return F.flatten(F.transform(of_type(subject_type), lambda s: F.transform(
-            F.filter(of_type(object_type), lambda o: kept(s, o)), lambda o: pair(s, o))))
+        return F.flatten(F.transform(
+            F.filter("names", lambda n: n["entity_type"] == subject_type),
+            lambda s: F.transform(
+                F.filter("names", lambda o: (o["entity_type"] == object_type) & kept(s, o)),
+                lambda o: pair(s, o))))
 
     kinds = sorted({k for _, _, s, o in pairs for k in (s, o)})
     candidates = sentences.filter(F.exists("names", lambda n: n["entity_type"].isin(kinds))).select(

@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from labspark import catalog
 from labspark.catalog import CONFIG_SEEDS, DISEASE_MARKERS, MODEL_REGISTRY, SIMPLE_REGISTRY
 from labspark.functions.values import disease_of_label
-from labspark.operators import dictionary, fusion, labs, learning, reports, routing
-from labspark.plans.lab_queries import RANGES, _flag_sql, events
+from labspark.operators import fusion, labs, learning, reports, routing
+from labspark.plans.integration import decide_and_report
+from labspark.plans.lab_queries import (
+    RANGES, _flag_sql, _lookups, _standard_sql, events, raw_labs)
 from labspark.plans.registry import query, r, rounded, table, values_sql
 from labspark.streaming import gate
 
@@ -18,7 +20,7 @@ from labspark.streaming import gate
 
 
 def _fragments(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    docs = table(spark, sf_dir, "documents").filter("doc_id % 3 <> 1").select(
+    docs = table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("case_id"), F.col("lang").alias("primary_disease"),
         (F.col("n_chars") % 50).cast("int").alias("total_entities"),
         F.when(F.col("doc_id") % 2 == 0, (F.col("n_chars") % 5).cast("int"))
@@ -49,7 +51,7 @@ def _fragments(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 _fragments_sql = """
 nlp AS (SELECT doc_id AS case_id, lang AS primary_disease, n_chars % 50 AS total_entities,
     CASE WHEN doc_id % 2 = 0 THEN n_chars % 5 END AS negation_count, lang = 'en' AS has_nodule
-  FROM documents WHERE doc_id % 3 <> 1),
+  FROM documents),
 st AS (SELECT doc_id AS case_id, quality AS glu, toxic * CAST(0.5 AS DOUBLE) AS slope FROM labels),
 sim AS (SELECT conv_id AS case_id, count(*) AS vol FROM conversations GROUP BY 1),
 q AS (SELECT page_id AS case_id,
@@ -200,7 +202,7 @@ _profiles_sql = """SELECT CAST(c_custkey AS VARCHAR) AS patient_id,
     ON o_custkey = c_custkey"""
 
 
-def _scores_sql(registry: list[dict]) -> str:
+def _scores_sql(registry: list[dict], profiles: str = _profiles_sql) -> str:
     """Scores of every profile and model, written as plain joins and arithmetic."""
     models = values_sql(
         [(m["model_id"], i, m["ts_min"], m["nlp_min"], m["rad_required"], m["sens_ts"],
@@ -229,7 +231,7 @@ def _scores_sql(registry: list[dict]) -> str:
         + CASE WHEN rad_required AND NOT rad THEN sens_rad * CAST(0.8 AS DOUBLE) ELSE 0 END
         + missing * CAST(0.3 AS DOUBLE)) AS pen
     FROM (SELECT p.*, m.*, coalesce(h.f1, CAST(0.5 AS DOUBLE)) AS hist
-          FROM ({_profiles_sql}) p CROSS JOIN {models.replace(' AS v(', ' AS m(')} {joined}))"""
+          FROM ({profiles}) p CROSS JOIN {models.replace(' AS v(', ' AS m(')} {joined}))"""
 
 
 @query("route_models", f"""
@@ -263,6 +265,38 @@ def route_simple(spark: SparkSession, sf_dir: str) -> DataFrame:
         "patient_id", "selected_model", "winning_score")
 
 
+_payload_sql = f"""SELECT case_id AS patient_id, 'Diabetes_Nephropathy' AS primary_disease,
+    max(n) AS steps, 0 AS entities, any_value(r) AS rad,
+    round(1 - (CASE WHEN max(n) > 0 THEN 1 ELSE 0 END + any_value(r)::INT) / CAST(6 AS DOUBLE), 2)
+      AS missing
+  FROM (SELECT s.case_id, count(raw) AS n, any_value(u.s_suppkey) IS NOT NULL AS r
+        FROM ({_standard_sql}) s LEFT JOIN supplier u ON CAST(u.s_suppkey * 3 AS VARCHAR) = s.case_id
+        GROUP BY s.case_id, s.standard_item_name)
+  GROUP BY case_id"""
+
+
+@query("raw_labs_to_decisions", f"""
+SELECT patient_id AS case_id, target_disease, selected_model, winning_score, core_lines
+FROM (
+  SELECT patient_id, primary_disease AS target_disease, model_id AS selected_model,
+    score AS winning_score
+  FROM ({_scores_sql(MODEL_REGISTRY, _payload_sql)})
+  QUALIFY row_number() OVER (PARTITION BY patient_id ORDER BY score DESC, place) = 1)
+JOIN (SELECT case_id, count(*) FILTER (WHERE standard_item_name IN ('view', 'click'))
+        AS core_lines FROM ({_standard_sql}) GROUP BY 1) l ON l.case_id = patient_id""")
+def raw_labs_to_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messy lab rows to one routing decision and report record per case."""
+    lookups = _lookups(spark)
+    lookups.markers = catalog.marker_table(spark, MARKERS)
+    radiomics = table(spark, sf_dir, "supplier").select(
+        (F.col("s_suppkey") * 3).cast("string").alias("case_id"), "s_acctbal")
+    decisions, records = decide_and_report(
+        raw_labs(spark, sf_dir), lookups, "ord", ["view"], radiomics_features=radiomics)
+    return decisions.select(
+        "case_id", "target_disease", "selected_model", "winning_score").join(
+        records.select("case_id", "core_lines"), "case_id")
+
+
 @query("label_diseases", """
 SELECT CASE WHEN contains(p_name, 'ring') OR contains(p_type, 'PROMO') THEN 'diabetes'
     WHEN contains(p_name, 'bolt') THEN 'kidney_disease' ELSE 'default' END AS disease,
@@ -420,15 +454,6 @@ def score_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
     return refreshed.select("key", r("value").alias("value"))
 
 
-@query("config_seed", f"SELECT key, value FROM {_config_sql}")
-def config_seed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Defaults for an empty configuration table (here: a filter of orders that keeps nothing)."""
-    empty = table(spark, sf_dir, "orders").filter("o_orderkey < 0").select(
-        F.col("o_orderpriority").alias("key"), F.col("o_totalprice").alias("value"),
-        F.col("o_orderstatus").alias("description"))
-    return dictionary.seed_if_empty(empty, catalog.config_table(spark)).select("key", "value")
-
-
 @query("ranked_attributions", """
 SELECT o_custkey, name, place, round(abs(value), 4) AS importance, round(value, 4) AS contribution
 FROM (

@@ -444,3 +444,14 @@ def alias_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.groupBy(
         F.trim("item_name").alias("item_name"), F.col("standard_item_name").alias("standard_name")
     ).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("json_columns", """
+SELECT event_type, count(TRY_CAST(json_extract_string(props, '$.k') AS INTEGER)) AS n,
+  CAST(sum(TRY_CAST(json_extract_string(props, '$.k') AS INTEGER)) AS BIGINT) AS total
+FROM events GROUP BY 1""")
+def json_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values kept as JSON text, read back with a schema."""
+    k = F.from_json("props", "k int")["k"]
+    return table(spark, sf_dir, "events").groupBy("event_type").agg(
+        F.count(k).alias("n"), F.sum(k).alias("total"))
