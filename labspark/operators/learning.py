@@ -22,6 +22,7 @@ from labspark.functions.values import trajectory_label
 from labspark.operators.ordering import (
     MAX_GROUP_ROWS, broadcast_if_small, exact_quantiles, with_positions)
 from labspark.operators.trends import trajectory_features
+from labspark.session import ensure_checkpoint_dir
 
 SEED = 42
 TEST_SHARE = 0.2
@@ -174,6 +175,8 @@ def network_stages(size: int, classes: int, vector: str = "raw_features",
 
 
 def fit(train: DataFrame, stages: list) -> PipelineModel:
+    """Fit a pipeline; boosting cuts its lineage in the session's checkpoint folder."""
+    ensure_checkpoint_dir(train.sparkSession)
     return Pipeline(stages=stages).fit(train)
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from labspark.operators import learning
 from labspark.plans.lab_queries import events
 from labspark.plans.registry import query, r, rounded, table
-from labspark.sources.readers import dataset_profile
+from labspark.sources.readers import dataset_profile, spread_few_files
 
 FEATURES = ["c_acctbal", "n_orders", "mean_price", "max_price"]
 
@@ -215,7 +215,7 @@ def train_kidney_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("train_text_classifier")
 def train_text_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Character n-gram TF-IDF with linear support vector machines: language of documents."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    docs = spread_few_files(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
     split = learning.stratified_split(docs, "lang", "doc_id")
     model = learning.fit(split.filter("not is_test"), learning.text_stages("text", "lang"))
     return learning.classification_metrics(

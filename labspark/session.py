@@ -26,13 +26,13 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder the cluster names; a temporary one only where unset."""
+def ensure_checkpoint_dir(spark: SparkSession) -> str | None:
+    """Use the shared checkpoint folder the session names; a temporary one only in local mode."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        existing = spark.sparkContext.getCheckpointDir()
-        if existing:
-            return existing
+    existing = spark.sparkContext.getCheckpointDir()
+    if folder is None and existing is None and spark.sparkContext.master.startswith("local"):
         folder = tempfile.mkdtemp(prefix="labspark-checkpoint-")
+    if folder is None or existing is not None:
+        return existing
     spark.sparkContext.setCheckpointDir(folder)
     return folder
