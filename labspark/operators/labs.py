@@ -130,14 +130,14 @@ def standard_labs(df: DataFrame, alias_index: DataFrame, ranges: DataFrame, unit
 
 
 def text_labs(df: DataFrame, text: str = "text") -> DataFrame:
-    """Lab values written as 'name[:] number [unit]' in free text, one row per match.
-
-    The three groups of every match are extracted together, so rows stay aligned.
-    """
+    """Lab values written as 'name[:] number [unit]' in free text, one row per match."""
     # Fixed value: the pattern
     pattern = r"(?U)([一-龥A-Za-z0-9%\-]+)\s*[:：]?\s*([0-9.]+)\s*([A-Za-z/%μ^0-9·/.-]*)"
-    groups = [F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(i)) for i in (1, 2, 3)]
-    zipped = F.arrays_zip(*[g.alias(n) for g, n in zip(groups, ("item_name", "value", "unit"))])
+    # whole matches in one pass over the text, then the groups of each short match
+    matches = F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0))
+    zipped = F.transform(matches, lambda m: F.struct(*[
+        F.regexp_extract(m, pattern, i).alias(n)
+        for i, n in enumerate(("item_name", "value", "unit"), 1)]))
     other = [c for c in df.columns if c != text]
     return (
         df.select(*other, F.posexplode(zipped).alias("match_no", "__m"))

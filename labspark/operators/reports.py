@@ -55,6 +55,29 @@ def report_lines(labs: DataFrame, cases: DataFrame, markers: DataFrame) -> DataF
         "section", F.when(F.col("is_core"), "core").otherwise("appendix")).drop("is_core")
 
 
+def count_marker_lines(cases: DataFrame, markers: DataFrame) -> DataFrame:
+    """Core, appendix and abnormal line counts from the ``marker_lines`` array of every case."""
+    sets = markers.groupBy("disease").agg(F.collect_set(
+        F.when(F.col("role") == "primary", F.col("marker"))).alias("__primary"))
+    known = sets.select(F.col("disease").alias("__known"))
+    chosen = (
+        cases.join(known, F.col("primary_disease") == F.col("__known"), "left")
+        .withColumn("__set", F.coalesce("__known", F.lit("default")))
+        .join(sets, F.col("__set") == F.col("disease"), "left")
+    )
+
+    def total(lines: Column, field: str) -> Column:
+        return F.aggregate(lines, F.lit(0).cast("long"), lambda a, m: a + m[field])
+
+    core = F.filter("marker_lines", lambda m: F.array_contains(
+        F.col("__primary"), m["standard_item_name"]))
+    return chosen.withColumns({
+        "core_lines": total(core, "lines"),
+        "appendix_lines": total(F.col("marker_lines"), "lines") - total(core, "lines"),
+        "abnormal_lines": total(F.col("marker_lines"), "abnormal"),
+    }).drop("__known", "__set", "__primary", "disease")
+
+
 def with_artifacts(cases: DataFrame, artifacts: DataFrame) -> DataFrame:
     """Artifact metrics of the case as one struct, null when there are none."""
     packed = artifacts.select("case_id", F.struct(

@@ -119,10 +119,10 @@ def score_models(profiles: DataFrame, registry: Sequence[Mapping] | None = None,
     return profiles.withColumn("models", F.sort_array(F.array(*entries), asc=False))
 
 
-def route(profiles: DataFrame, registry: Sequence[Mapping] | None = None,
-          live: Mapping[str, float] | None = None,
-          weights: tuple[float, float, float] = ROUTING_WEIGHTS) -> DataFrame:
-    """One decision per profile: winner, its score, all scores and a reason text."""
+def decide(profiles: DataFrame, registry: Sequence[Mapping] | None = None,
+           live: Mapping[str, float] | None = None,
+           weights: tuple[float, float, float] = ROUTING_WEIGHTS) -> DataFrame:
+    """Add the decision to every profile: winner, its score, all scores and a reason text."""
     best = F.col("models")[0]
     disease = F.coalesce(F.col("primary_disease"), F.lit(""))
     named = F.lit("")
@@ -137,14 +137,23 @@ def route(profiles: DataFrame, registry: Sequence[Mapping] | None = None,
             F.when(m["model_id"] == best["model_id"], F.lit(" (selected)"))
             .otherwise(F.concat(F.lit(" ("), lost, F.lit(")"))))
 
-    return score_models(profiles, registry, live, weights).select(
-        "patient_id", disease.alias("target_disease"), named.alias("target_disease_cn"),
-        best["model_id"].alias("selected_model"), best["score"].alias("winning_score"),
-        F.map_from_arrays(
+    return score_models(profiles, registry, live, weights).withColumns({
+        "target_disease": disease, "target_disease_cn": named,
+        "selected_model": best["model_id"], "winning_score": best["score"],
+        "all_model_scores": F.map_from_arrays(
             F.transform("models", lambda m: m["model_id"]),
-            F.transform("models", lambda m: m["score"])).alias("all_model_scores"),
-        F.array_join(F.transform("models", line), "\n").alias("routing_reason"),
-        (F.coalesce("missing_rate", F.lit(0.0)) > 0.3).alias("needs_review"))
+            F.transform("models", lambda m: m["score"])),
+        "routing_reason": F.array_join(F.transform("models", line), "\n"),
+        "needs_review": F.coalesce("missing_rate", F.lit(0.0)) > 0.3})
+
+
+def route(profiles: DataFrame, registry: Sequence[Mapping] | None = None,
+          live: Mapping[str, float] | None = None,
+          weights: tuple[float, float, float] = ROUTING_WEIGHTS) -> DataFrame:
+    """The decision columns of every profile."""
+    return decide(profiles, registry, live, weights).select(
+        "patient_id", "target_disease", "target_disease_cn", "selected_model", "winning_score",
+        "all_model_scores", "routing_reason", "needs_review")
 
 
 def route_simple(profiles: DataFrame) -> DataFrame:

@@ -97,20 +97,25 @@ def latest_values(df: DataFrame, keys: Sequence[str], value: str, time: str,
     )
 
 
-def clinical_features(df: DataFrame, case: str, marker: str, value: str, time: str,
-                      slope_markers: Sequence[str], tie: str | None = None,
-                      glucose: str = "GLU", creatinine: str = "Creatinine",
-                      tumour: str = "CEA") -> DataFrame:
-    """One row per case: latest and mean of the named markers and a slope per listed marker.
+def marker_summaries(df: DataFrame, case: str, marker: str, value: str, time: str,
+                     tie: str | None = None, extra: Sequence[Column] = ()) -> DataFrame:
+    """One row per (case, marker): v0, v1, t0, t1, n, mean of the rows with a value.
 
-    One shuffle: per (case, marker) summaries, then a pivot with an explicit marker list.
+    ``extra`` adds aggregates over all rows of the pair, so that one shuffle serves them too.
     """
-    rows = df.filter(F.col(value).isNotNull() & F.col(marker).isNotNull())
-    order, v, t = _time_order(time, tie), F.col(value), F.col(time).cast("timestamp")
-    per_marker = rows.groupBy(case, marker).agg(
+    v, t = F.col(value), F.when(F.col(value).isNotNull(), F.col(time).cast("timestamp"))
+    order = F.when(v.isNotNull(), _time_order(time, tie))
+    return df.filter(F.col(marker).isNotNull()).groupBy(case, marker).agg(
         F.min_by(v, order).alias("v0"), F.max_by(v, order).alias("v1"),
-        F.min(t).alias("t0"), F.when(F.count(t) == F.count(v), F.max(t)).alias("t1"),
-        F.count(v).alias("n"), F.avg(v).alias("mean"))
+        F.min(t).alias("t0"),
+        # the last row has a time only when no time is missing
+        F.when(F.count(t) == F.count(v), F.max(t)).alias("t1"),
+        F.count(v).alias("n"), F.avg(v).alias("mean"), *extra)
+
+
+def feature_aggregates(marker: str, slope_markers: Sequence[str], glucose: str = "GLU",
+                       creatinine: str = "Creatinine", tumour: str = "CEA") -> list[Column]:
+    """Aggregates over the marker summaries of a case: a pivot with an explicit marker list."""
     days = F.greatest(
         F.floor((F.unix_micros("t1") - F.unix_micros("t0")) / F.lit(86_400_000_000)), F.lit(1))
     gain = F.col("v1") - F.col("v0")
@@ -121,12 +126,21 @@ def clinical_features(df: DataFrame, case: str, marker: str, value: str, time: s
     def of(name: str, column: Column) -> Column:
         return F.max(F.when(F.col(marker) == name, column))
 
-    return per_marker.groupBy(case).agg(
+    return [
         of(glucose, F.col("v1")).alias(f"{glucose}_latest"),
         of(glucose, F.col("mean")).alias(f"{glucose}_mean"),
         of(creatinine, F.col("mean")).alias(f"{creatinine}_mean"),
         of(tumour, F.col("v1")).alias(f"{tumour}_level"),
-        *[of(m, slope).alias(f"{m}_slope") for m in slope_markers])
+        *[of(m, slope).alias(f"{m}_slope") for m in slope_markers]]
+
+
+def clinical_features(df: DataFrame, case: str, marker: str, value: str, time: str,
+                      slope_markers: Sequence[str], tie: str | None = None,
+                      **names: str) -> DataFrame:
+    """One row per case: latest and mean of the named markers and a slope per listed marker."""
+    rows = df.filter(F.col(value).isNotNull())
+    return marker_summaries(rows, case, marker, value, time, tie).groupBy(case).agg(
+        *feature_aggregates(marker, slope_markers, **names))
 
 
 def abnormal_points(df: DataFrame, keys: Sequence[str], value: str, order: Sequence[str],

@@ -290,11 +290,10 @@ def raw_labs_to_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     lookups.markers = catalog.marker_table(spark, MARKERS)
     radiomics = table(spark, sf_dir, "supplier").select(
         (F.col("s_suppkey") * 3).cast("string").alias("case_id"), "s_acctbal")
-    decisions, records = decide_and_report(
+    records = decide_and_report(
         raw_labs(spark, sf_dir), lookups, "ord", ["view"], radiomics_features=radiomics)
-    return decisions.select(
-        "case_id", "target_disease", "selected_model", "winning_score").join(
-        records.select("case_id", "core_lines"), "case_id")
+    return records.select(
+        "case_id", "target_disease", "selected_model", "winning_score", "core_lines")
 
 
 @query("label_diseases", """

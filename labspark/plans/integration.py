@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labspark import catalog
-from labspark.functions.values import disease_of_label
+from labspark.functions.values import disease_of_label, to_number
 from labspark.operators import dictionary, fusion, labs, reports, routing, trends
 
 
@@ -53,15 +53,40 @@ def standardise(raw: DataFrame, lookups: Lookups, **defaults) -> DataFrame:
     return labs.standard_labs(raw, lookups.aliases, lookups.ranges, lookups.units, **defaults)
 
 
+def summarise_cases(standard: DataFrame, order: str, slope_markers: Sequence[str],
+                    age_column: str | None = None) -> DataFrame:
+    """One row per case with everything later steps need from its lab rows.
+
+    Patient id, anchor age, clinical features, longest series and line counts per marker come
+    from one pass: rows are reduced to (case, marker) first and to the case after that, so lab
+    rows are shuffled once, already aggregated.  ``marker_lines`` has one entry per marker.
+    """
+    first = F.col(order)
+    extra = [
+        F.min_by("patient_id", first).alias("patient"), F.min(first).alias("first"),
+        F.count(F.lit(1)).alias("lines"),
+        F.count_if(F.col("abnormal_flag") != "normal").alias("abnormal")]
+    if age_column:
+        extra.append(F.min_by(F.col(age_column).cast("string"), first).alias("age"))
+    per_marker = trends.marker_summaries(
+        standard, "case_id", "standard_item_name", "value", "test_time", order, extra)
+    aggregates = [
+        F.coalesce(F.min_by("patient", "first"), F.col("case_id"), F.lit("unknown_patient"))
+        .alias("patient_id"),
+        F.max("n").cast("int").alias("time_series_steps"),
+        *trends.feature_aggregates("standard_item_name", slope_markers),
+        F.collect_list(F.struct("standard_item_name", "lines", "abnormal")).alias("marker_lines")]
+    if age_column:
+        aggregates.append(F.round(to_number(F.min_by("age", "first")), 2).alias("anchor_age"))
+    return per_marker.groupBy("case_id").agg(*aggregates)
+
+
 def case_payload(standard: DataFrame, order: str, slope_markers: Sequence[str],
                  text_features: DataFrame | None = None,
                  radiomics_features: DataFrame | None = None,
                  age_column: str | None = None) -> DataFrame:
-    """Clinical features of every case with patient id and sidecar features."""
-    attributes = labs.case_attributes(standard, order, age_column)
-    features = trends.clinical_features(
-        standard, "case_id", "standard_item_name", "value", "test_time", slope_markers, order)
-    payload = attributes.join(features, "case_id", "left")
+    """The case summary with its sidecar features."""
+    payload = summarise_cases(standard, order, slope_markers, age_column)
     for name, table in (("text_features", text_features),
                         ("radiomics_features", radiomics_features)):
         if table is not None:
@@ -69,68 +94,50 @@ def case_payload(standard: DataFrame, order: str, slope_markers: Sequence[str],
     return payload
 
 
-def patient_profiles(standard: DataFrame, cases: DataFrame,
-                     entities: DataFrame | None = None) -> DataFrame:
-    """Router input built from the data: longest series, entity count, radiomics, missing rate.
+def with_profile(payload: DataFrame, entities: DataFrame | None = None) -> DataFrame:
+    """Add the router's input: disease, entity count, radiomics presence, missing rate.
 
-    ``cases`` has case_id, patient_id, optionally primary_disease, radiomics_features and
-    text_features; ``entities`` has one row per entity with its case_id.
+    ``entities`` has one row per entity with its case_id.
     """
-    steps = (
-        standard.filter(F.col("value").isNotNull()).groupBy("case_id", "standard_item_name")
-        .agg(F.count(F.lit(1)).alias("n")).groupBy("case_id")
-        .agg(F.max("n").cast("int").alias("time_series_steps"))
-    )
-    profiles = cases.join(steps, "case_id", "left")
     if entities is not None:
         counts = entities.groupBy("case_id").agg(
             F.count(F.lit(1)).cast("int").alias("nlp_entities_count"))
-        profiles = profiles.join(counts, "case_id", "left")
-    else:
-        profiles = profiles.withColumn("nlp_entities_count", F.lit(0))
+        payload = payload.join(counts, "case_id", "left")
+    count = F.col("nlp_entities_count") if entities is not None else F.lit(None).cast("int")
 
     def there(column: str):
-        return F.col(column).isNotNull() if column in cases.columns else F.lit(False)
+        return F.col(column).isNotNull() if column in payload.columns else F.lit(False)
 
     has_series = F.coalesce("time_series_steps", F.lit(0)) > 0
-    has_text = there("text_features") | (F.coalesce("nlp_entities_count", F.lit(0)) > 0)
+    has_text = there("text_features") | (F.coalesce(count, F.lit(0)) > 0)
     has_radiomics = there("radiomics_features")
     present = sum((c.cast("int") for c in (has_series, has_text, has_radiomics)), F.lit(0))
-    disease = F.col("primary_disease") if "primary_disease" in cases.columns else F.lit(None)
-    cea = F.col("CEA_level") if "CEA_level" in cases.columns else F.lit(None)
-    return profiles.select(
-        "case_id", "patient_id",
-        routing.default_disease(disease.cast("string"), cea.cast("double"))
-        .alias("primary_disease"),
-        F.coalesce("time_series_steps", F.lit(0)).alias("time_series_steps"),
-        F.coalesce("nlp_entities_count", F.lit(0)).alias("nlp_entities_count"),
-        has_radiomics.alias("has_group_E_radiomics"),
-        F.round(1 - present / 6, 2).alias("missing_rate"))
+    disease = F.col("primary_disease") if "primary_disease" in payload.columns else F.lit(None)
+    return payload.withColumns({
+        "primary_disease": routing.default_disease(
+            disease.cast("string"), F.col("CEA_level").cast("double")),
+        "nlp_entities_count": F.coalesce(count, F.lit(0)),
+        "has_group_E_radiomics": has_radiomics,
+        "missing_rate": F.round(1 - present / 6, 2)})
 
 
 def decide_and_report(raw: DataFrame, lookups: Lookups, order: str,
                       slope_markers: Sequence[str], text_features: DataFrame | None = None,
                       radiomics_features: DataFrame | None = None,
                       entities: DataFrame | None = None, artifacts: DataFrame | None = None,
-                      live: Mapping[str, float] | None = None) -> tuple[DataFrame, DataFrame]:
-    """(decision per case, report record per case) from raw lab rows.
+                      live: Mapping[str, float] | None = None) -> DataFrame:
+    """Routing decision and report record of every case, from raw lab rows.
 
     The report's disease follows from the name of the routed disease by the keyword rules.
+    Decisions and line counts are computed on the case summary; no step goes back to the rows.
     """
-    standard = standardise(raw, lookups)
-    payload = case_payload(standard, order, slope_markers, text_features, radiomics_features)
-    profiles = patient_profiles(standard, payload, entities)
-    decisions = routing.route(
-        profiles.drop("patient_id").withColumnRenamed("case_id", "patient_id"), live=live
-    ).withColumnRenamed("patient_id", "case_id")
-    report_disease = disease_of_label(F.col("target_disease_cn"))
-    cases = payload.select("case_id", "patient_id").join(
-        decisions.select("case_id", report_disease.alias("primary_disease")), "case_id")
-    records = reports.report_records(
-        standard, cases, lookups.markers,
-        decisions.select("case_id", "selected_model", "winning_score", "routing_reason"),
-        artifacts)
-    return decisions, records
+    payload = case_payload(
+        standardise(raw, lookups), order, slope_markers, text_features, radiomics_features)
+    decided = routing.decide(with_profile(payload, entities), live=live).withColumn(
+        "primary_disease", disease_of_label(F.col("target_disease_cn")))
+    records = reports.count_marker_lines(
+        reports.report_header(decided), lookups.markers).drop("marker_lines", "models")
+    return records if artifacts is None else reports.with_artifacts(records, artifacts)
 
 
 def lab_trends(standard: DataFrame, lookups: Lookups, order: Sequence[str],

@@ -64,7 +64,8 @@ WITH g AS (SELECT l_returnflag, CAST(count(*) AS DOUBLE) AS n, avg(l_quantity) A
              var_pop(l_quantity) AS v FROM lineitem GROUP BY 1),
   t AS (SELECT avg(l_quantity) AS grand, count(*) AS total FROM lineitem)
 SELECT round(sum(n * (m - grand) ** 2), 4) AS ss_between, round(sum(n * v), 4) AS ss_within,
-  count(*) - 1.0 AS df_between, max(total) - count(*) + 0.0 AS df_within,
+  CAST(count(*) - 1 AS DOUBLE) AS df_between,
+  CAST(max(total) - count(*) AS DOUBLE) AS df_within,
   round(sum(n * (m - grand) ** 2) / (count(*) - 1) / (sum(n * v) / (max(total) - count(*))), 6)
     AS statistic
 FROM g, t""")

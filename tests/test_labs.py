@@ -183,18 +183,19 @@ def test_decide_and_report(spark, raw_labs, lookups, rows):
     text = spark.createDataFrame([("p001_c1", "blood sugar")], "case_id string, self_report string")
     artifacts = spark.createDataFrame([("p001_c1", "motion", 2)],
                                       "case_id string, artifact_type string, artifact_level int")
-    decisions, records = decide_and_report(
+    records = decide_and_report(
         raw_labs, lookups, "ord", ["GLU"], text, radiomics, artifacts=artifacts)
-    got = {r["case_id"]: r for r in rows(decisions)}
+    got = {r["case_id"]: r for r in rows(records)}
     assert set(got) == {"p001_c1", "p002_c1", "p003_c1"}
-    assert got["p001_c1"]["target_disease"] == "Diabetes_Nephropathy"
-    assert got["p001_c1"]["selected_model"] == "Model_A_TimeSeries"
-    reports = {r["case_id"]: r for r in rows(records)}
-    first = reports["p001_c1"]
+    first = got["p001_c1"]
+    assert first["target_disease"] == "Diabetes_Nephropathy" and first["patient_id"] == "p001"
+    assert first["selected_model"] == "Model_A_TimeSeries"
+    assert (first["time_series_steps"], first["has_group_E_radiomics"]) == (3, True)
+    assert first["missing_rate"] == 0.5 and got["p003_c1"]["missing_rate"] == 0.83
     assert (first["core_lines"], first["appendix_lines"], first["abnormal_lines"]) == (4, 2, 4)
     assert first["report_title"] == catalog.DISEASE_MARKERS["diabetes"]["title"]
     assert first["artifact_metrics"]["artifact_type"] == "motion"
-    assert reports["p003_c1"]["artifact_metrics"] is None
+    assert got["p003_c1"]["artifact_metrics"] is None
 
 
 def test_alias_indexes(spark, lookups):
