@@ -19,12 +19,12 @@ from pyspark.sql import functions as F
 
 from labspark.catalog import CREATININE_THRESHOLD, ITEM_CREATININE, ITEM_GLUCOSE
 from labspark.functions.values import trajectory_label
-from labspark.operators.ordering import (
-    MAX_GROUP_ROWS, broadcast_if_small, exact_quantiles, with_positions)
+from labspark.operators.ordering import MAX_GROUP_ROWS, exact_quantiles, with_positions
 from labspark.operators.trends import trajectory_features
 from labspark.session import ensure_checkpoint_dir
 
 SEED = 42
+MAX_CLASSES = 10_000
 TEST_SHARE = 0.2
 
 
@@ -98,14 +98,30 @@ def fuse_vectors(radiomics: DataFrame, clinical: DataFrame, key: str, vector: st
 # ---------------------------------------------------------------------------------------
 def stratified_split(df: DataFrame, label: str, id_column: str, test_share: float = TEST_SHARE,
                      seed: int = SEED, max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
-    """Add ``is_test``: an exact share of every class, repeatable for the same ids and seed."""
-    keyed = df.withColumn("__draw", F.xxhash64(F.col(id_column), F.lit(seed)))
-    placed = with_positions(keyed, [label], ["__draw", id_column], "__pos", max_group_rows)
-    sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("__size"))
+    """Add ``is_test``: an exact share of every class, repeatable for the same ids and seed.
+
+    Ids are drawn by hash.  Only (label, draw, id) is ordered, to find the last test id of each
+    class; the rows themselves are compared with that cut where they are, and not shuffled.
+    Rows without a label are never test rows.
+    """
+    draw = F.xxhash64(F.col(id_column), F.lit(seed))
+    narrow = df.filter(F.col(label).isNotNull()).select(
+        label, draw.alias("__draw"), F.col(id_column).alias("__id"))
+    placed = with_positions(narrow, [label], ["__draw", "__id"], "__pos", max_group_rows)
+    sizes = narrow.groupBy(label).agg(F.count(F.lit(1)).alias("__size"))
+    few_classes = sizes.limit(MAX_CLASSES + 1).count() <= MAX_CLASSES
+    cuts = (
+        placed.join(F.broadcast(sizes) if few_classes else sizes, label)
+        .filter(F.col("__pos") == F.round(F.col("__size") * test_share) - 1)
+        .select(F.col(label).alias("__label"), F.col("__draw").alias("__cut"),
+                F.col("__id").alias("__last"))
+    )
+    chosen = (draw < F.col("__cut")) | (
+        (draw == F.col("__cut")) & (F.col(id_column) <= F.col("__last")))
     return (
-        placed.join(broadcast_if_small(sizes), label)
-        .withColumn("is_test", F.col("__pos") < F.round(F.col("__size") * test_share))
-        .drop("__draw", "__pos", "__size")
+        df.join(F.broadcast(cuts) if few_classes else cuts, F.col(label) == F.col("__label"), "left")
+        .withColumn("is_test", F.coalesce(chosen, F.lit(False)))
+        .drop("__label", "__cut", "__last")
     )
 
 
@@ -161,7 +177,7 @@ def text_stages(text: str, label: str, vocabulary: int = 3000) -> list:
         CountVectorizer(inputCol="grams", outputCol="counts", vocabSize=vocabulary),
         IDF(inputCol="counts", outputCol="weighted"),
         Normalizer(inputCol="weighted", outputCol="features"),
-        OneVsRest(classifier=LinearSVC(maxIter=50), labelCol="label_index"),
+        OneVsRest(classifier=LinearSVC(maxIter=30), labelCol="label_index", parallelism=4),
     ]
 
 

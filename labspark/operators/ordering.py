@@ -45,11 +45,6 @@ def hot_groups(df: DataFrame, keys: Sequence[str],
     return local_table(spark, [r.asDict() for r in rows], df.select(*keys).schema)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
-    """Hint a broadcast only after counting that the side is small; otherwise leave it alone."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
-
-
 def split_points(df: DataFrame, column: str, slices: int) -> list[float]:
     """Inner split points that cut ``column`` into about equal slices (a mergeable sketch)."""
     if slices < 2:
