@@ -94,6 +94,20 @@ def test_series_operators_under_skew(skewed):
                     pytest.approx(value, rel=1e-9) if isinstance(value, (float, list)) else value)
 
 
+def test_hot_series_with_timestamps(spark):
+    # one series holds a third of all rows, and many rows share a time
+    rows = spark.range(3000).select(
+        F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 50)).alias("k"),
+        F.timestamp_seconds((F.col("id") * 7919) % 600).alias("t"), "id",
+        ((F.col("id") * 31) % 97).cast("double").alias("v"))
+    plain = {r["id"]: r["pos"] for r in ordering.with_positions(rows, ["k"], ["t", "id"]).collect()}
+    cut = {r["id"]: r["pos"] for r in ordering.with_positions(
+        rows, ["k"], ["t", "id"], max_group_rows=100).collect()}
+    assert plain == cut and len(cut) == 3000
+    with pytest.raises(TypeError):
+        ordering.with_positions(rows, ["t"], ["k", "id"], max_group_rows=1)
+
+
 def test_half_split(spark):
     rows = [("up", i, float(i)) for i in range(6)] + [("flat", i, 5.0) for i in range(4)]
     rows += [("both", 0, 0.0), ("both", 1, 20.0), ("both", 2, 5.0)] + [("one", 0, 5.0)]
