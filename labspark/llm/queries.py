@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labspark.llm import mixing, secrets, sharding, urls
+from labspark.llm import mixing, neardup, quality, secrets, sharding, urls
 from labspark.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,6 +45,12 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(secrets.as_text(base), 256).alias("base_sha256"), secrets.as_text(F.col("found")).alias("spans"))
 
 
+@query("op4_quality")
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base figures and verdict of every document, and the lines that failed each rule."""
+    return quality.assess(table(spark, sf_dir, "documents"))
+
+
 def _mixing_sql() -> str:
     """Blocks by row numbers per stratum, placed by the cycle schedules of every set of remaining strata."""
     names = [*mixing.WEIGHTS, mixing.OTHER]
@@ -72,14 +78,14 @@ pool AS (
   SELECT phase_end, total, list({{'s': stratum, 'q': q}} ORDER BY stratum) AS members
   FROM based JOIN sizes ON last_cycle >= phase_end GROUP BY phase_end, total),
 walk(phase_end, total, members, place, done, chosen) AS (
-  SELECT phase_end, total, members, 0::BIGINT, list_transform(members, m -> 0::BIGINT), NULL::BIGINT FROM pool
+  SELECT phase_end, total, members, 0::BIGINT, list_transform(members, lambda m: 0::BIGINT), NULL::BIGINT FROM pool
   UNION ALL
   SELECT phase_end, total, members, place + 1,
-         list_transform(range(1, len(members) + 1), i -> done[i] + (i = pick)::BIGINT), pick
-  FROM (SELECT *, list_sort(list_filter(list_transform(range(1, len(members) + 1), i -> {{
+         list_transform(range(1, len(members) + 1), lambda i: done[i] + (i = pick)::BIGINT), pick
+  FROM (SELECT *, list_sort(list_filter(list_transform(range(1, len(members) + 1), lambda i: {{
           'due': -((-(done[i] + 1) * total) // members[i].q), 'q': -members[i].q, 's': members[i].s, 'i': i,
           'open': done[i] < members[i].q AND (done[i] * total) // members[i].q <= place}}),
-          c -> c.open))[1].i AS pick FROM walk WHERE place < total)),
+          lambda c: c.open))[1].i AS pick FROM walk WHERE place < total)),
 schedule AS (
   SELECT phase_end, total, members[chosen].s AS stratum, members[chosen].q AS q, place - 1 AS place,
          done[chosen] - 1 AS idx FROM walk WHERE place > 0),
@@ -157,3 +163,9 @@ FROM nodes n LEFT JOIN roots ON roots.node = n.node LEFT JOIN ruled ON ruled.roo
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Host, path, rule and verdict of every page."""
     return urls.judge_pages(table(spark, sf_dir, "pages"))
+
+
+@query("op6_near_duplicates")
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate class of every document; keep marks the one that stays."""
+    return neardup.classes(table(spark, sf_dir, "documents"))
