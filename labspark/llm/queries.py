@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labspark.llm import mixing, neardup, packing, quality, secrets, sharding, urls
+from labspark.llm import lm, mixing, neardup, packing, quality, secrets, sharding, urls
 from labspark.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -177,3 +177,9 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as pieces of at most 2048 tokens, packed into sequences."""
     parts = packing.pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return packing.pack(parts)
+
+
+@query("op7_ppm")
+def op7_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram base score and PPM score of every document."""
+    return lm.score(table(spark, sf_dir, "documents"))
