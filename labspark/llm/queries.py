@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labspark.llm import lm, mixing, neardup, packing, quality, secrets, sharding, urls
+from labspark.llm import ann, lm, mixing, neardup, packing, quality, secrets, sharding, urls
 from labspark.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -183,3 +183,10 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unigram base score and PPM score of every document."""
     return lm.score(table(spark, sf_dir, "documents"))
+
+
+@query("op8_neighbours")
+def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors of every vector whose id is divisible by 50."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.nearest(vectors, vectors.where(F.col("vec_id") % 50 == 0))
