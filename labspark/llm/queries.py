@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labspark.llm import ann, lm, mixing, neardup, packing, quality, secrets, sharding, urls
+from labspark.llm import ann, html, lm, mixing, neardup, packing, quality, secrets, sharding, urls
 from labspark.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -190,3 +191,15 @@ def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five nearest vectors of every vector whose id is divisible by 50."""
     vectors = table(spark, sf_dir, "embeddings")
     return ann.nearest(vectors, vectors.where(F.col("vec_id") % 50 == 0))
+
+
+@query("op10_main_text")
+def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return html.main_text(table(spark, sf_dir, "pages"))
+
+
+@query("pipeline", corpus_pipeline.ORACLE_SQL)
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole corpus pipeline over documents."""
+    return corpus_pipeline.run(spark, sf_dir)
