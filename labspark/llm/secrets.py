@@ -127,28 +127,28 @@ def candidates(docs: DataFrame, rules=RULES) -> tuple[DataFrame, list[str]]:
     return met.groupBy("key").agg(F.collect_set("kind").alias("kinds")), full  # at most one entry per rule
 
 
-def scan(docs: DataFrame, rules=RULES, keep: list[str] | None = None) -> DataFrame:
-    """Add ``found``: array of (start, end, kind), by start, then the order of the rules.
+def scan(docs: DataFrame, rules=RULES, keep: list[str] | None = None, name: str = "found") -> DataFrame:
+    """Add ``name``: array of (start, end, kind), by start, then the order of the rules.
 
-    ``docs`` needs a text (null: empty); other columns stay (``keep`` names fewer). Each kind is searched
+    ``docs`` needs a text (null: empty); other columns stay (``keep`` names fewer; one called ``name`` is replaced). Each kind is searched
     on its own, so spans of different kinds may overlap. Empty tables and texts: no spans.
     """
     wanted, full = candidates(docs, rules)
     wanted = written(wanted, "candidates")
-    columns = keep or docs.columns
+    columns = [c for c in keep or docs.columns if c != name]
     keyed = docs.withColumn("_text", F.coalesce("text", F.lit(""))).withColumn("_key", F.xxhash64("_text"))
-    joined = join_checked(keyed, wanted.withColumnRenamed("key", "_key"), "_key", "left", wanted.count())
+    joined = join_checked(keyed, wanted.withColumnsRenamed({"key": "_key", "kinds": "_kinds"}), "_key", "left", wanted.count())
     empty = F.array().cast("array<struct<start:int,end:int,kind:string,long:boolean>>")
     found = []
     for kind, (pattern, group, least) in rules.items():
         # a rule without trigrams has its first test in place; the others were chosen by the index
-        chosen = F.col("_text").rlike(pattern) if kind in full else F.array_contains("kinds", kind)
+        chosen = F.col("_text").rlike(pattern) if kind in full else F.array_contains("_kinds", kind)
         found.append(F.when(chosen, _spans(F.col("_text"), kind, pattern, group, least)).otherwise(empty))
     order = F.create_map(*[F.lit(x) for i, kind in enumerate(rules) for x in (kind, i)])
     ranked = F.transform(F.concat(*found), lambda s: F.struct(s["start"].alias("start"), order[s["kind"]].alias("rank"),
                                                               s["end"].alias("end"), s["kind"].alias("kind")))
     return joined.select(*columns, F.transform(F.sort_array(ranked), lambda s: F.struct(
-        s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))).alias("found"))
+        s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))).alias(name))
 
 
 def as_text(spans: Column) -> Column:
@@ -161,7 +161,7 @@ def count_of(spans: Column, kind: str) -> Column:
 
 def redacted(docs: DataFrame, rules=RULES, mark: str = "[secret]") -> DataFrame:
     """The documents with every found span replaced (overlapping spans by one mark); n_chars follows."""
-    hits = scan(docs.withColumn("_whole", F.coalesce("text", F.lit(""))), rules)
+    hits = scan(docs.withColumn("_whole", F.coalesce("text", F.lit(""))), rules, name="_spans")
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def cut(s: Column, x: Column) -> Column:
@@ -170,11 +170,11 @@ def redacted(docs: DataFrame, rules=RULES, mark: str = "[secret]") -> DataFrame:
             s["out"], F.col("_whole").substr(s["at"] + 1, x["start"] - s["at"]), F.lit(mark))
             ).otherwise(s["out"]).alias("out"))
 
-    cleaned = F.aggregate("found", start, cut, lambda s: F.concat(
+    cleaned = F.aggregate("_spans", start, cut, lambda s: F.concat(
         s["out"], F.col("_whole").substr(s["at"] + 1, F.length("_whole"))))
-    text = F.when(F.size("found") > 0, cleaned).otherwise(F.col("text"))
+    text = F.when(F.size("_spans") > 0, cleaned).otherwise(F.col("text"))
     changed = hits.withColumn("text", text)
     if "n_chars" in docs.columns:
         changed = changed.withColumn("n_chars", F.when(
-            F.size("found") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+            F.size("_spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return changed.select(*docs.columns)
