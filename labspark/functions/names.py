@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 # Bracket kinds whose content is dropped, and characters that become a space
 _BRACKETS = [r"\([^)]*\)", r"\[[^\]]*\]", r"\{[^}]*\}", r"【[^】]*】", r"《[^》]*》"]
+BLANK_ENDS = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
 _PUNCTUATION = r"[,;:，。；：']+"
 
 
@@ -19,6 +20,11 @@ def _squeeze(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, r"(?U)\s+", " "), r"^ | $", "")
 
 
+def strip_blanks(text: Column) -> Column:
+    """Without blanks of any kind at the ends: tabs, line ends and wide spaces count too."""
+    return F.regexp_replace(text, BLANK_ENDS, "")
+
+
 def clean_field_name(raw: Column) -> Column:
     """Lower-case name without bracketed parts, punctuation and inner dots; null becomes ''."""
     name = _squeeze(F.coalesce(raw, F.lit("")))

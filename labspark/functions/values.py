@@ -105,9 +105,3 @@ def disease_of_label(label: Column, rules: list | None = None) -> Column:
             hit = hit | F.contains(F.coalesce(label, F.lit("")), F.lit(word))
         out = F.when(hit, disease).otherwise(out)
     return out
-
-
-def round_half_up(value: Column, digits: int) -> Column:
-    """The same IEEE steps in any engine: floor(v * 10^d + 0.5) / 10^d."""
-    scale = float(10 ** digits)
-    return F.floor(value * scale + 0.5) / scale

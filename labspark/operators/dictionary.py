@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from labspark.functions.names import clean_field_name, compact_name, name_tokens, similarity
+from labspark.functions.names import (
+    clean_field_name, compact_name, name_tokens, similarity, strip_blanks)
 
-# Aliases up to this number travel inside the expression; beyond it the length-band join works.
-MAX_INLINE_ALIASES = 5_000
+Scorer = Callable[[Column, Column], Column]
 HIGH_CONFIDENCE, REVIEW = 0.85, 0.60
 
 # Fields every dictionary row must carry, and accepted data types
@@ -25,7 +25,7 @@ def alias_index(fields: DataFrame) -> DataFrame:
     """Unique alias -> standard name, original and lower-case; the later field wins."""
     names = F.transform(
         F.concat(F.array("standard_name"), F.coalesce("alias_names", F.array().cast("array<string>"))),
-        lambda a: F.trim(a))
+        lambda a: strip_blanks(a))
     both = F.concat(names, F.transform(names, lambda a: F.lower(a)))
     return (
         fields.filter(F.col("standard_name").isNotNull())
@@ -37,17 +37,18 @@ def alias_index(fields: DataFrame) -> DataFrame:
 def rich_alias_index(fields: DataFrame) -> DataFrame:
     """Unique alias -> standard name over all name columns; the earlier entry wins.
 
-    ``alias_ord`` is the place of first registration and breaks ties in fuzzy matching.
+    ``alias_ord`` is the place of first registration (field, name, case) and breaks ties in fuzzy
+    matching.
     """
     names = F.concat(
         F.array("standard_name", "chinese_name", "english_name", "abbreviation"),
         F.coalesce("alias_names", F.array().cast("array<string>")))
     return (
         fields.select("standard_name", "ord", F.posexplode(names).alias("i", "name"))
-        .withColumn("name", F.trim("name")).filter(F.col("name") != "")
+        .withColumn("name", strip_blanks(F.col("name"))).filter(F.col("name") != "")
         .select("standard_name", F.posexplode(F.array("name", F.lower("name"))).alias("k", "alias"),
-                (F.col("ord") * 100_000 + F.col("i") * 2).alias("base"))
-        .withColumn("alias_ord", (F.col("base") + F.col("k")).cast("long"))
+                "ord", "i")
+        .withColumn("alias_ord", F.struct(F.col("ord").cast("long").alias("ord"), "i", "k"))
         .groupBy("alias")
         .agg(F.min_by("standard_name", "alias_ord").alias("standard_name"),
              F.min("alias_ord").alias("alias_ord"))
@@ -66,11 +67,11 @@ def match_fields(names: DataFrame, fields: DataFrame, name: str = "raw_name") ->
     """
     aliases = (
         fields.select("standard_name", "ord", F.explode("alias_names").alias("__alias"))
-        .withColumn("__alias", F.lower(F.trim("__alias"))).filter(F.col("__alias") != "")
+        .withColumn("__alias", F.lower(strip_blanks(F.col("__alias")))).filter(F.col("__alias") != "")
         .groupBy("__alias").agg(F.min_by("standard_name", "ord").alias("standard_name"))
     )
     return (
-        names.join(aliases, F.lower(F.trim(F.col(name))) == F.col("__alias"), "left")
+        names.join(aliases, F.lower(strip_blanks(F.col(name))) == F.col("__alias"), "left")
         .withColumn("matched", F.col("standard_name").isNotNull()).drop("__alias")
     )
 
@@ -92,62 +93,38 @@ def _exact_tiers(names: DataFrame, index: DataFrame) -> DataFrame:
     return names.join(hits, "raw_name", "left")
 
 
-def _best_inline(index: DataFrame, scorer: Callable[[Column, Column], Column],
-                 name: str) -> Column:
-    """Best (score, alias, standard name) over a bounded alias list held by the expression."""
-    entries = [
-        F.struct(F.lit(r["alias"]).alias("alias"), F.lit(r["standard_name"]).alias("standard"),
-                 F.lit(-r["alias_ord"]).alias("o"))
-        for r in index.orderBy("alias_ord").collect()
-    ]
-    scored = F.transform(F.array(*entries), lambda e: F.struct(
-        scorer(F.col(name), e["alias"]).alias("score"), e["o"].alias("o"),
-        e["alias"].alias("alias"), e["standard"].alias("standard")))
-    return F.array_max(scored)
+def _best_alias(names: DataFrame, index: DataFrame, name: str, scorer: Scorer) -> DataFrame:
+    """(raw_name, best): the most similar alias of every name, ties to the earlier registration.
 
-
-def _best_in_band(names: DataFrame, index: DataFrame, name: str) -> DataFrame:
-    """Best alias by an equi-join on alias length.
-
-    An edit-distance similarity of 0.60 bounds the length ratio, so every candidate that can
-    reach a mapped band lies in the exploded lengths; names without one stay unmapped.
+    Distinct names meet all aliases, as the best score of unmapped names is wanted too.  The
+    scorer sees columns, so built-in expressions and Pandas functions both do; the best is kept
+    per task before the shuffle.
     """
-    size = F.char_length(F.col(name))
-    lengths = F.sequence(F.ceil(size * REVIEW).cast("int"),
-                         F.floor(size / REVIEW).cast("int"))
-    pairs = (
-        names.select("raw_name", name, F.explode(lengths).alias("__len"))
-        .join(index.withColumn("__len", F.char_length("alias")), "__len")
-        .select("raw_name", F.struct(
-            similarity(F.col(name), F.col("alias")).alias("score"),
-            (-F.col("alias_ord")).alias("o"), "alias",
-            F.col("standard_name").alias("standard")).alias("best"))
-        .groupBy("raw_name").agg(F.max("best").alias("best"))
+    pairs = names.select("raw_name", name).crossJoin(
+        index.select("alias", "standard_name", "alias_ord"))
+    order = F.col("alias_ord")
+    return (
+        pairs.withColumn("score", scorer(F.col(name), F.col("alias")))
+        .groupBy("raw_name").agg(F.max(F.struct(
+            "score", (-order["ord"]).alias("o"), (-order["i"]).alias("i"), (-order["k"]).alias("k"),
+            "alias", F.col("standard_name").alias("standard"))).alias("best"))
     )
-    return names.join(pairs, "raw_name", "left")
 
 
 def map_fields(names: DataFrame, index: DataFrame, name: str = "raw_name",
-               scorer: Callable[[Column, Column], Column] = similarity,
-               max_inline: int = MAX_INLINE_ALIASES) -> DataFrame:
+               scorer: Scorer = similarity) -> DataFrame:
     """Map every distinct raw name: exact tiers first, then the most similar alias.
 
     Status bands: exact_match, high_confidence (>= 0.85), needs_manual_review (>= 0.60),
-    unmapped.  A dictionary beyond ``max_inline`` aliases is joined on admissible alias lengths;
-    then the confidence of unmapped names is null when no alias is of admissible length.
+    unmapped.  ``scorer`` takes two columns: :func:`similarity` or ``matching_block_ratio``.
     """
     distinct = names.select(F.col(name).alias("raw_name")).distinct().withColumn(
         "cleaned", clean_field_name(F.col("raw_name")))
     tiers = _exact_tiers(distinct, index)
-    if index.limit(max_inline + 1).count() <= max_inline:
-        best = F.when(
-            F.col("exact_name").isNull() & (F.col("cleaned") != ""),
-            _best_inline(index, scorer, "cleaned"))
-        scored = tiers.withColumn("best", best)
-    else:
-        open_names = tiers.filter(F.col("exact_name").isNull() & (F.col("cleaned") != ""))
-        found = _best_in_band(open_names, index, "cleaned").select("raw_name", "best")
-        scored = tiers.join(found, "raw_name", "left")
+    open_names = tiers.filter(F.col("exact_name").isNull() & (F.col("cleaned") != ""))
+    best = _best_alias(open_names, index, "cleaned", scorer)
+    same = F.col("l.raw_name").eqNullSafe(F.col("r.raw_name"))
+    scored = tiers.alias("l").join(best.alias("r"), same, "left").select("l.*", "r.best")
     exact = F.col("exact_name").isNotNull()
     score = F.when(F.col("cleaned") == "", F.lit(0.0)).otherwise(F.col("best.score"))
     mapped = score >= REVIEW
@@ -214,15 +191,54 @@ def validate_fields(rows: DataFrame) -> DataFrame:
     return rows.withColumn("violations", F.array_compact(F.array(*checks)))
 
 
-def register_fields(rows: DataFrame, fields: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(dictionary with the new valid rows, rejected rows with a reason)."""
+def _as_stored(rows: DataFrame, fields: DataFrame) -> DataFrame:
+    """Candidate rows with the columns and types of the dictionary."""
+    types, kinds = dict(fields.dtypes), dict(rows.dtypes)
+    out = rows
+    if "relevance" in types and "disease_relevance_matrix" in kinds and "relevance" not in kinds:
+        out = out.withColumnRenamed("disease_relevance_matrix", "relevance")
+        kinds["relevance"] = kinds.pop("disease_relevance_matrix")
+    if types.get("reference_range") == "string" and kinds.get("reference_range", "string") != "string":
+        bounds = F.col("reference_range")
+        out = out.withColumn("reference_range", F.concat_ws(
+            "-", bounds["low"].cast("string"), bounds["high"].cast("string")))
+        kinds["reference_range"] = "string"
+    relevance = types.get("relevance", "")
+    if relevance.startswith("map<string,struct") and kinds.get("relevance") not in (None, relevance):
+        entry = fields.schema["relevance"].dataType.valueType
+        out = out.withColumn("relevance", F.transform_values("relevance", lambda _, v: F.struct(*[
+            (v if f.name == "weight" else F.lit(None)).cast(f.dataType).alias(f.name)
+            for f in entry.fields])))
+    return out
+
+
+def register_fields(rows: DataFrame, fields: DataFrame,
+                    order: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(dictionary with the new valid rows, rejected rows with a reason).
+
+    Of valid rows with one new name the first by ``order`` (without it: by content) is added and
+    the others are rejected.  Ranges and relevance take the dictionary's form, and new rows get
+    the next ``ord``, so that both alias indexes find them.
+    """
     checked = validate_fields(rows)
     known = fields.select("standard_name").distinct().withColumn("__known", F.lit(True))
-    judged = checked.join(known, "standard_name", "left").withColumn(
+    content = F.xxhash64(F.to_json(F.struct(*[F.col(c) for c in rows.columns])))
+    first = Window.partitionBy("standard_name", F.size("violations") > 0).orderBy(
+        *([order] if order else []), content)
+    judged = checked.withColumn("__nth", F.row_number().over(first)).join(
+        known, "standard_name", "left").withColumn(
         "reason",
         F.when(F.size("violations") > 0, F.array_join("violations", "; "))
-        .when(F.col("__known"), "already registered")).drop("__known")
-    accepted = judged.filter(F.col("reason").isNull()).drop("violations", "reason")
+        .when(F.col("__known"), "already registered")
+        .when(F.col("__nth") > 1, "already registered")).drop("__known", "__nth")
+    accepted = _as_stored(judged.filter(F.col("reason").isNull()).drop("violations", "reason"), fields)
+    if "ord" in fields.columns:
+        kind = fields.schema["ord"].dataType
+        last = fields.agg(F.coalesce(F.max("ord"), F.lit(-1)).alias("__last"))
+        # the new names in order: as many rows as the dictionary gains
+        place = F.row_number().over(Window.orderBy(*([order] if order else []), "standard_name"))
+        accepted = accepted.withColumn("__place", place).crossJoin(F.broadcast(last)).withColumn(
+            "ord", (F.col("__last") + F.col("__place")).cast(kind)).drop("__place", "__last")
     merged = fields.unionByName(
         accepted.select(*[c for c in accepted.columns if c in fields.columns]),
         allowMissingColumns=True)
@@ -238,10 +254,10 @@ def register_aliases(mappings: DataFrame, fields: DataFrame,
     """
     known = fields.select(
         F.col("standard_name").alias("__std"),
-        F.transform("alias_names", lambda a: F.lower(F.trim(a))).alias("__have"))
+        F.transform("alias_names", lambda a: F.lower(strip_blanks(a))).alias("__have"))
     cleaned = mappings.withColumns({
-        "raw_name": F.trim(F.coalesce("raw_name", F.lit(""))),
-        "standard_name": F.trim(F.coalesce("standard_name", F.lit("")))})
+        "raw_name": strip_blanks(F.coalesce("raw_name", F.lit(""))),
+        "standard_name": strip_blanks(F.coalesce("standard_name", F.lit("")))})
     first = (
         cleaned.groupBy("standard_name", F.lower("raw_name").alias("__low"))
         .agg(F.min(order).alias("__first"))

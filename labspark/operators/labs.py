@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from labspark.functions.names import strip_blanks
 from labspark.functions.values import abnormal_flag, drop_nan, parse_time, to_number
 
 WIDE_ID_COLUMNS = ("case_id", "patient_id", "visit_id", "test_time", "id", "ord")
@@ -51,7 +52,7 @@ def with_standard_name(df: DataFrame, alias_index: DataFrame, name: str = "item_
 
     ``alias_index`` holds unique (alias, standard_name) pairs.
     """
-    trimmed = F.trim(F.col(name))
+    trimmed = strip_blanks(F.col(name))
     exact = alias_index.select(
         F.col("alias").alias("__a1"), F.col("standard_name").alias("__s1"))
     lower = alias_index.select(
@@ -125,7 +126,9 @@ def standard_labs(df: DataFrame, alias_index: DataFrame, ranges: DataFrame, unit
         result = with_standard_unit(with_flag(bounded), units)
     else:
         result = with_flag(with_standard_unit(bounded, units))
-    return result.withColumn("test_time", parse_time(F.col("test_time").cast("string"))).drop(
+    if dict(result.dtypes)["test_time"] == "string":  # dates and timestamps stay as they are
+        result = result.withColumn("test_time", parse_time(F.col("test_time")))
+    return result.withColumn("test_time", F.col("test_time").cast("timestamp")).drop(
         "reference_unit", "critical_low", "critical_high")
 
 

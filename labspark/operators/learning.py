@@ -21,7 +21,7 @@ from labspark.catalog import CREATININE_THRESHOLD, ITEM_CREATININE, ITEM_GLUCOSE
 from labspark.functions.values import trajectory_label
 from labspark.operators.ordering import MAX_GROUP_ROWS, exact_quantiles, with_positions
 from labspark.operators.trends import trajectory_features
-from labspark.session import ensure_checkpoint_dir
+from labspark.session import checkpoint_folder
 
 SEED = 42
 MAX_CLASSES = 10_000
@@ -102,7 +102,7 @@ def stratified_split(df: DataFrame, label: str, id_column: str, test_share: floa
 
     Ids are drawn by hash.  Only (label, draw, id) is ordered, to find the last test id of each
     class; the rows themselves are compared with that cut where they are, and not shuffled.
-    Rows without a label are never test rows.
+    ``is_test`` is null for rows without a label, so neither side holds them.
     """
     draw = F.xxhash64(F.col(id_column), F.lit(seed))
     narrow = df.filter(F.col(label).isNotNull()).select(
@@ -120,7 +120,7 @@ def stratified_split(df: DataFrame, label: str, id_column: str, test_share: floa
         (draw == F.col("__cut")) & (F.col(id_column) <= F.col("__last")))
     return (
         df.join(F.broadcast(cuts) if few_classes else cuts, F.col(label) == F.col("__label"), "left")
-        .withColumn("is_test", F.coalesce(chosen, F.lit(False)))
+        .withColumn("is_test", F.when(F.col(label).isNotNull(), F.coalesce(chosen, F.lit(False))))
         .drop("__label", "__cut", "__last")
     )
 
@@ -192,7 +192,7 @@ def network_stages(size: int, classes: int, vector: str = "raw_features",
 
 def fit(train: DataFrame, stages: list) -> PipelineModel:
     """Fit a pipeline; boosting cuts its lineage in the session's checkpoint folder."""
-    ensure_checkpoint_dir(train.sparkSession)
+    checkpoint_folder(train.sparkSession)
     return Pipeline(stages=stages).fit(train)
 
 
@@ -324,8 +324,3 @@ def cluster_centres(model: PipelineModel, features: Sequence[str], df: DataFrame
         "prediction int, centre map<string, double>")
     return sizes.join(F.broadcast(centres), "prediction").withColumn(  # k rows
         "inertia", F.lit(float(kmeans.summary.trainingCost)))
-
-
-def vector_columns(df: DataFrame, vector: str, names: Sequence[str]) -> DataFrame:
-    values = vector_to_array(F.col(vector))
-    return df.select("*", *[values[i].alias(n) for i, n in enumerate(names)])

@@ -1,10 +1,9 @@
 """Positions, ranks and quantiles that stay distributed under skew.
 
-A window or an exact percentile puts a whole group into one task.  The functions here first ask
-how large the largest groups are (one aggregate over the key columns) and, where a group is too
-large for one task, cut its order range at approximate quantiles.  Windows then run per
-(group, slice), and the rows before each slice are added as an offset.  Results are identical
-with and without slices.
+A window or an exact percentile puts a whole group into one task.  Positions first ask which
+groups are too large for that (one aggregate over the key columns) and number those by a global
+sort.  Ranks and quantiles count values first and, where a group has too many distinct ones, run
+per value slice and add the rows before each slice.  Results are the same either way.
 """
 
 from __future__ import annotations
@@ -14,35 +13,19 @@ from collections.abc import Sequence
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from labspark.catalog import local_table
 from labspark.session import shuffle_partitions
+from labspark.tables import numbered
 
 # Rows of one group that a single task may sort.
 MAX_GROUP_ROWS = 5_000_000
-# Slice offsets are broadcast; hot groups x slices never exceeds this.
-MAX_OFFSETS = 100_000
 _SLICE = "__slice"
 
 
-def hot_groups(df: DataFrame, keys: Sequence[str],
-               max_rows: int = MAX_GROUP_ROWS) -> DataFrame | None:
-    """Groups of more than ``max_rows`` rows, or None.
-
-    Only the largest P groups (P = shuffle partitions) come to the driver: any group beyond
-    them holds at most 1/P of all rows, which is an ordinary task's share.
-    """
-    spark = df.sparkSession
-    rows = (
-        df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows"))
-        .filter(F.col("__rows") > max_rows)
-        .orderBy(F.desc("__rows")).limit(shuffle_partitions(spark))
-        .select(*keys).collect()
-    )
-    if not rows:
-        return None
-    return local_table(spark, [r.asDict() for r in rows], df.select(*keys).schema)
+def hot_groups(df: DataFrame, keys: Sequence[str], max_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+    """Keys of the groups of more than ``max_rows`` rows."""
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows")).filter(
+        F.col("__rows") > max_rows).select(*keys)
 
 
 def split_points(df: DataFrame, column: str, slices: int) -> list[float]:
@@ -64,16 +47,6 @@ def with_slice(df: DataFrame, column: str, points: list[float], out: str) -> Dat
         out, F.coalesce(F.col(out).cast("int"), F.lit(len(splits) - 1)))
 
 
-def _as_number(df: DataFrame, column: str) -> Column:
-    """A number with the column's order, for cutting slices."""
-    kind = df.schema[column].dataType
-    if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
-        return F.unix_micros(F.col(column).cast("timestamp")).cast("double")
-    if not isinstance(kind, T.NumericType):
-        raise TypeError(f"cannot slice a group on {column} of type {kind.simpleString()}")
-    return F.col(column).cast("double")
-
-
 def _same_keys(left: str, right: str, keys: Sequence[str]) -> Column:
     condition = F.lit(True)
     for k in keys:
@@ -95,39 +68,29 @@ def _offsets(counted: DataFrame, keys: Sequence[str], rows: Column) -> DataFrame
 
 def with_positions(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str = "pos",
                    max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
-    """0-based position of every row in its group, in ``order`` (nulls last).
+    """0-based position of every row in its group, in ``order`` (nulls last; any orderable types).
 
-    The first order column must be numeric or a timestamp (slices are cut on it); the last one
-    should make the order total.
+    The last order column should make the order total.  Groups of more than ``max_group_rows``
+    rows, however many there are, are numbered in one global order of (keys, order), spread over
+    tasks by range; a row's position is its number less the first number of its group.
     """
     in_order = [F.col(c).asc_nulls_last() for c in order]
+    window = Window.partitionBy(*keys).orderBy(*in_order)
+
+    def in_window(rows: DataFrame) -> DataFrame:
+        return rows.withColumn(out, (F.row_number().over(window) - 1).cast("long"))
+
     hot = hot_groups(df, keys, max_group_rows)
-    if hot is None:
-        window = Window.partitionBy(*keys).orderBy(*in_order)
-        return df.withColumn(out, (F.row_number().over(window) - 1).cast("long"))
-
-    marked = (
-        df.alias("l").join(
-            hot.withColumn("__hot", F.lit(True)).alias("r"), _same_keys("l", "r", keys), "left")
-        .select("l.*", "__hot", _as_number(df, order[0]).alias("__by"))
-    )
-    hot_rows = marked.filter("__hot")
-    slices = max(2, min(shuffle_partitions(df.sparkSession), MAX_OFFSETS // hot.count()))
-    points = split_points(hot_rows, "__by", slices)
-    sliced = (
-        with_slice(marked, "__by", points, "__bucket")
-        .withColumn(_SLICE, F.when(F.col("__hot"), F.col("__bucket")).otherwise(F.lit(0)))
-    )
-    # At most MAX_OFFSETS rows by the choice of ``slices``, so the broadcast is bounded.
-    offsets = F.broadcast(
-        _offsets(sliced.filter("__hot"), keys, F.count(F.lit(1))))
-    window = Window.partitionBy(*keys, _SLICE).orderBy(*in_order)
-    return (
-        sliced.withColumn("__at", F.row_number().over(window) - 1).alias("l")
-        .join(offsets.alias("r"), _same_keys("l", "r", [*keys, _SLICE]), "left")
-        .select(*[f"l.{c}" for c in df.columns],
-                (F.col("__at") + F.coalesce("__before", F.lit(0))).cast("long").alias(out))
-    )
+    if hot.isEmpty():
+        return in_window(df)
+    same = _same_keys("l", "r", keys)
+    cool = df.alias("l").join(hot.alias("r"), same, "left_anti")
+    rows = numbered(df.alias("l").join(hot.alias("r"), same, "left_semi"),
+                    [*[F.col(k) for k in keys], *in_order], "__number")
+    starts = rows.groupBy(*keys).agg(F.min("__number").alias("__start"))
+    placed = rows.alias("l").join(starts.alias("r"), same).select(
+        *[f"l.{c}" for c in df.columns], (F.col("__number") - F.col("__start")).alias(out))
+    return in_window(cool).unionByName(placed)
 
 
 def value_counts(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:

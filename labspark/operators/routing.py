@@ -14,9 +14,6 @@ from pyspark.sql import functions as F
 from labspark.catalog import (
     CONFIG_KEY_OF_MODEL, DISEASE_NAMES, MODEL_REGISTRY, ROUTING_WEIGHTS, SIMPLE_REGISTRY)
 
-# A registry beyond this is not a registry any more; scores are computed per row and model.
-MAX_MODELS = 1_000
-
 
 def default_disease(primary_disease: Column, cea: Column) -> Column:
     """Given disease, else lung when CEA > 8, else diabetes."""
@@ -102,8 +99,6 @@ def score_models(profiles: DataFrame, registry: Sequence[Mapping] | None = None,
                  weights: tuple[float, float, float] = ROUTING_WEIGHTS) -> DataFrame:
     """Add ``models``: scored models of every profile, best first (registry order on ties)."""
     registry = list(registry or MODEL_REGISTRY)
-    if len(registry) > MAX_MODELS:
-        raise ValueError(f"registry of {len(registry)} models exceeds {MAX_MODELS}")
     alpha, beta, gamma = weights
     entries = []
     for i, model in enumerate(registry):

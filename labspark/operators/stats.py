@@ -110,23 +110,22 @@ def anova(df: DataFrame, group: str, value: str) -> DataFrame:
         .agg(F.count(value).cast("double").alias("n"), F.avg(value).alias("m"),
              F.var_pop(value).alias("var"))
     )
-    totals = per_group.agg(
+    # the grand mean first: squares of the means themselves would cancel far from zero
+    grand = per_group.agg((F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("grand"))
+    gap = F.col("m") - F.col("grand")
+    totals = per_group.crossJoin(F.broadcast(grand)).agg(  # one row
         F.count(F.lit(1)).cast("double").alias("k"), F.sum("n").alias("total"),
-        # between = sum n (m - grand)^2, as n-weighted population variance of the means
-        F.sum(F.col("n") * F.col("m")).alias("nm"),
-        F.sum(F.col("n") * F.col("m") * F.col("m")).alias("nmm"),
+        F.sum(F.col("n") * gap * gap).alias("ss_between"),
         F.sum(F.col("n") * F.col("var")).alias("ss_within"))
-    between = F.col("nmm") - F.col("nm") * F.col("nm") / F.col("total")
     return (
         totals
-        .withColumn("ss_between", between)
         .withColumn("df_between", F.col("k") - 1)
         .withColumn("df_within", F.col("total") - F.col("k"))
         .withColumn("statistic", (F.col("ss_between") / F.col("df_between"))
                     / (F.col("ss_within") / F.col("df_within")))
         .withColumn("p_value", f_pvalue("statistic", "df_between", "df_within"))
         .withColumn("is_significant", F.col("p_value") < SIGNIFICANT)
-        .drop("k", "total", "nm", "nmm")
+        .select("ss_within", "ss_between", "df_between", "df_within", "statistic", "p_value", "is_significant")
     )
 
 

@@ -8,7 +8,7 @@ mention pairing and triples are DataFrame operations.
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator, Sequence
 from operator import itemgetter
 
@@ -21,58 +21,90 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from labspark import clinical_terms as ct
 from labspark import schemas
 from labspark.catalog import local_table
-
-_BLANK_ENDS = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
+from labspark.functions.names import strip_blanks
 
 
 # ---------------------------------------------------------------------------------------
 # Spans
 # ---------------------------------------------------------------------------------------
-def _exclusive_spans(text: str, terms: list, patterns: list) -> list[tuple]:
-    """Longest terms first, then patterns in order; a span sharing a character is left out."""
-    taken = bytearray(len(text))
-    spans = []
-
-    def claim(start: int, end: int) -> bool:
-        if taken.find(1, start, end) >= 0:
-            return False
-        taken[start:end] = b"\x01" * (end - start)
-        return True
-
-    for term, kind, standard in terms:
-        at = text.find(term)
-        while at >= 0:
-            if claim(at, at + len(term)):
-                spans.append((term, kind, at, at + len(term), standard, ct.TERM_CONFIDENCE))
-            at = text.find(term, at + 1)
-    for pattern, kind, prefix in patterns:
-        for m in pattern.finditer(text):
-            if claim(m.start(), m.end()):
-                core = m.group(m.lastindex) if (m.lastindex or 0) >= 2 else m.group(0)
-                spans.append((m.group(0), kind, m.start(), m.end(), f"{prefix}_{core}",
-                              ct.PATTERN_CONFIDENCE))
-    return spans
-
-
-def _overlapping_spans(text: str, terms: list, sizes: list) -> list[tuple]:
-    """All occurrences of all terms and sizes; only identical spans are left out."""
-    seen: set[tuple[int, int]] = set()
-    spans = []
-    for term, kind, standard in terms:
-        at = text.find(term)
-        while at >= 0:
-            if (at, at + len(term)) not in seen:
-                seen.add((at, at + len(term)))
-                spans.append((term, kind, at, at + len(term), standard, ct.TERM_CONFIDENCE))
-            at = text.find(term, at + 1)
-    for pattern, unit in sizes:
-        for m in pattern.finditer(text):
-            if m.span() not in seen:
-                seen.add(m.span())
-                size = f"{m.group(1)}{unit}"
-                spans.append((size, "imaging_finding", m.start(), m.end(), f"lesion_size_{size}",
-                              ct.SIZE_CONFIDENCE))
-    return spans
+class _Lexicon:
+    """Terms and pattern rules as one engine that proposes and resolves entity spans.
+
+    Every proposal is (rank, start, end): the place of its term or rule in the list of priorities.
+    Terms are found by one alternation inside a lookahead, which stops at every place of the text,
+    so overlapping ones are seen; it names the longest term there, and the shorter terms that are
+    its beginnings follow from a table.  Lower ranks win, then earlier places.
+    """
+
+    def __init__(self, terms: Sequence[tuple[str, str, str]],
+                 rules: Sequence[tuple[str, str, str, str, float]], overlap: bool):
+        ordered = list(terms) if overlap else sorted(terms, key=lambda t: -len(t[0]))
+        self.terms = [t for t in ordered if t[0]]
+        self.rules = [(re.compile(r[0]), *r[1:]) for r in rules]
+        self.overlap = overlap
+        ranks: dict[str, int] = {}
+        for rank, (term, _, _) in enumerate(self.terms):
+            ranks.setdefault(term, rank)
+        self.beginnings = {
+            term: [ranks[term[:n]] for n in range(1, len(term) + 1) if term[:n] in ranks]
+            for term in ranks}
+        longest_first = sorted(ranks, key=len, reverse=True)
+        self.words = re.compile("(?=(" + "|".join(map(re.escape, longest_first)) + "))") if ranks else None
+
+    def _proposals(self, text: str) -> list[tuple[int, int, int]]:
+        found = []
+        if self.words is not None:
+            for m in self.words.finditer(text):
+                start = m.start()
+                found += [(rank, start, start + len(self.terms[rank][0]))
+                          for rank in self.beginnings[m[1]]]
+        for i, rule in enumerate(self.rules, len(self.terms)):
+            found += [(i, *m.span()) for m in rule[0].finditer(text)]
+        return sorted(found)
+
+    def _described(self, text: str, rank: int, start: int, end: int) -> tuple:
+        if rank < len(self.terms):
+            term, kind, standard = self.terms[rank]
+            return term, kind, start, end, standard, ct.TERM_CONFIDENCE
+        pattern, kind, entity, standard, confidence = self.rules[rank - len(self.terms)]
+        match = pattern.match(text, start)
+        groups = match.groups(default="")
+        parts = {"whole": match[0], "first": groups[0] if groups else match[0],
+                 "core": groups[match.lastindex - 1] if (match.lastindex or 0) >= 2 else match[0]}
+        return (entity.format(**parts), kind, start, end, standard.format(**parts), confidence)
+
+    def spans(self, text: str) -> list[tuple]:
+        """Accepted spans by place.
+
+        With overlap only identical spans exclude each other; without, spans that share a character.
+        """
+        accepted: list[tuple[int, int, int]] = []
+        kept: set[tuple[int, int]] = set()
+        taken: list[int] = []  # starts and ends of accepted spans, in order
+        for rank, start, end in self._proposals(text):
+            if self.overlap:
+                free = (start, end) not in kept
+                kept.add((start, end))
+            else:
+                # free if the span lies between an end and the next start
+                at = bisect_right(taken, start)
+                free = at % 2 == 0 and (at == len(taken) or end <= taken[at])
+                if free:
+                    taken[at:at] = (start, end)
+            if free:
+                accepted.append((rank, start, end))
+        found = [self._described(text, *span) for span in accepted]
+        return sorted(found, key=itemgetter(2))
+
+
+def _rules(patterns: Sequence[tuple[str, str, str]],
+           sizes: Sequence[tuple[str, str]]) -> list[tuple[str, str, str, str, float]]:
+    """Pattern rules as data: expression, type, how entity and standard name read, confidence."""
+    named = [(p, kind, "{whole}", prefix + "_{core}", ct.PATTERN_CONFIDENCE)
+             for p, kind, prefix in patterns]
+    measured = [(p, "imaging_finding", "{first}" + unit, "lesion_size_{first}" + unit, ct.SIZE_CONFIDENCE)
+                for p, unit in sizes]
+    return named + measured
 
 
 def _piece(marks: list[int], start: int, end: int) -> int:
@@ -98,8 +130,7 @@ def span_clauses(docs: DataFrame, terms: Sequence[tuple[str, str, str]] | None =
         terms = ct.term_list(ct.CLINICAL_TERMS)
     if patterns is None:
         patterns = () if overlap else ct.CLINICAL_PATTERNS
-    # sorted() is stable: equal lengths keep dictionary order
-    ordered = list(terms) if overlap else sorted(terms, key=lambda t: -len(t[0]))
+    rules = _rules(() if overlap else patterns, sizes if overlap else ())
     schema = T.StructType([
         T.StructField("doc_id", docs.schema[doc_id].dataType),
         *schemas.struct(schemas.SPAN_CLAUSES).fields[1:]])
@@ -108,8 +139,7 @@ def span_clauses(docs: DataFrame, terms: Sequence[tuple[str, str, str]] | None =
     span_fields = list(list_type.value_type)
 
     def clauses_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        compiled = [(re.compile(p), k, s) for p, k, s in patterns]
-        measured = [(re.compile(p), u) for p, u in sizes]
+        lexicon = _Lexicon(terms, rules, overlap)
         clause_mark = re.compile("[" + re.escape(clause_separators) + "]")
         sentence_mark = re.compile("[" + re.escape(sentence_separators) + "]")
         for batch in batches:
@@ -117,11 +147,9 @@ def span_clauses(docs: DataFrame, terms: Sequence[tuple[str, str, str]] | None =
             for key, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if not body:
                     continue
-                found = (_overlapping_spans(body, ordered, measured) if overlap
-                         else _exclusive_spans(body, ordered, compiled))
+                found = lexicon.spans(body)
                 if not found:
                     continue
-                found.sort(key=itemgetter(2))
                 clauses = [m.start() for m in clause_mark.finditer(body)]
                 sentences = [m.start() for m in sentence_mark.finditer(body)]
                 current, clause, first_at = -2, "", 0
@@ -172,6 +200,18 @@ def extract_spans(docs: DataFrame, *arguments, **options) -> DataFrame:
     return spans_of(span_clauses(docs, *arguments, **options))
 
 
+def in_reading_order(spans: DataFrame) -> DataFrame:
+    """Add ``place``: the number of the entity in its document, by start (from 1)."""
+    order = Window.partitionBy("doc_id").orderBy("start", "end", "entity")
+    return spans.withColumn("place", F.row_number().over(order).cast("long"))
+
+
+def by_confidence(triples: DataFrame) -> DataFrame:
+    """Add ``place``: the rank of the triple in its document, most confident first."""
+    order = Window.partitionBy("doc_id").orderBy(F.desc("confidence"), "subject", "relation", "object")
+    return triples.withColumn("place", F.row_number().over(order).cast("long"))
+
+
 # ---------------------------------------------------------------------------------------
 # Clauses and sentences
 # ---------------------------------------------------------------------------------------
@@ -185,25 +225,27 @@ def split_pieces(docs: DataFrame, separators: str = ct.CLAUSE_SEPARATORS, doc_id
     pieces = F.posexplode(F.split(F.col(text), _separator_class(separators), -1))
     return (
         docs.select(F.col(doc_id).alias("doc_id"), pieces.alias("piece_no", "raw"))
-        .withColumn("piece", F.regexp_replace("raw", _BLANK_ENDS, ""))
+        .withColumn("piece", strip_blanks(F.col("raw")))
         .filter(F.col("piece") != "")
     )
 
 
 def piece_offsets(docs: DataFrame, separators: str = ct.CLAUSE_SEPARATORS,
                   doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Pieces with their [start, end) in the text: a running sum of lengths per document."""
+    """Pieces with their [start, end) in the text, in place: no shuffle."""
     cut = F.split(F.col(text), _separator_class(separators), -1)
-    sizes = docs.select(
-        F.col(doc_id).alias("doc_id"), F.posexplode(cut).alias("piece_no", "raw"))
-    earlier = Window.partitionBy("doc_id").orderBy("piece_no").rowsBetween(
-        Window.unboundedPreceding, -1)
-    start = F.coalesce(F.sum(F.char_length("raw") + 1).over(earlier), F.lit(0)).cast("int")
+    placed = F.aggregate(
+        cut, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts")),
+        lambda acc, raw: F.struct((acc["at"] + F.char_length(raw) + 1).alias("at"),
+                                  F.concat(acc["starts"], F.array(acc["at"])).alias("starts")),
+        lambda acc: acc["starts"])
     return (
-        sizes.withColumn("start", start)
-        .withColumn("end", F.col("start") + F.char_length("raw"))
-        .withColumn("piece", F.regexp_replace("raw", _BLANK_ENDS, ""))
-        .filter(F.col("piece") != "").drop("raw")
+        docs.select(F.col(doc_id).alias("doc_id"), F.posexplode(
+            F.arrays_zip(placed.alias("start"), cut.alias("raw"))).alias("piece_no", "p"))
+        .select("doc_id", "piece_no", F.col("p.start").alias("start"),
+                (F.col("p.start") + F.char_length("p.raw")).alias("end"),
+                strip_blanks(F.col("p.raw")).alias("piece"))
+        .filter(F.col("piece") != "")
     )
 
 
@@ -276,7 +318,7 @@ def note_status(clauses: DataFrame, negation: Sequence[str] = tuple(ct.NOTE_NEGA
         .select("doc_id", "s.entity", "s.entity_type", "s.start", "s.end", "s.standard_name",
                 F.col("negation_trigger").isNotNull().alias("negation_status"),
                 F.col("__h").isNotNull().alias("history_status"),
-                F.regexp_replace("clause", _BLANK_ENDS, "").alias("source_sentence"),
+                strip_blanks(F.col("clause")).alias("source_sentence"),
                 "negation_trigger", F.col("__h").alias("history_trigger"))
     )
 

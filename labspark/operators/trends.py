@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -160,13 +162,13 @@ def half_split_trend(df: DataFrame, keys: Sequence[str], value: str, order: Sequ
     """Direction from the mean of the later half against the earlier half.
 
     The threshold is a tenth of ``spread`` (a column; the series' sample std where it is null or
-    not given).  Two or more abnormal points on both sides of the range make the series 'fluctuating'.  Keys must
-    not be null.
+    not given).  Two or more abnormal points on both sides of the range make the series 'fluctuating'.
     """
     points = abnormal_points(df, keys, value, order, low, high, max_group_rows)
     # counted on the input, not on the positions: a scan of two columns instead of a second sort
     sizes = df.groupBy(*keys).agg(F.count(value).alias("n_points"))
-    halved = points.join(sizes, list(keys))
+    same = [F.col(f"p.{k}").eqNullSafe(F.col(f"s.{k}")) for k in keys]
+    halved = points.alias("p").join(sizes.alias("s"), reduce(and_, same)).select("p.*", "n_points")
     later = F.col("pos") >= F.floor(F.col("n_points") / 2)
     v = F.col(value)
     given = F.max(spread) if spread else F.lit(None).cast("double")

@@ -111,19 +111,19 @@ def fuzzy_map(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _brands_sql = """SELECT p_brand AS standard_name, list_sort(list(DISTINCT p_type)) AS alias_names
-  FROM part WHERE p_size > 10 GROUP BY 1"""
+  FROM part GROUP BY 1"""
 
 
 def _brands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A dictionary from the data: one field per brand, its part types as aliases."""
-    return table(spark, sf_dir, "part").filter("p_size > 10").groupBy(
+    return table(spark, sf_dir, "part").groupBy(
         F.col("p_brand").alias("standard_name")).agg(
         F.array_sort(F.collect_set("p_type")).alias("alias_names"))
 
 
 @query("alias_register", f"""
 WITH m AS (SELECT p_partkey, CASE WHEN p_partkey % 7 = 0 THEN lower(p_type) ELSE p_name END
-             AS raw_name, p_brand AS standard_name FROM part),
+             AS raw_name, CASE WHEN p_size > 10 THEN p_brand ELSE p_name END AS standard_name FROM part),
 b AS ({_brands_sql}),
 f AS (SELECT standard_name, lower(raw_name) AS low, arg_min(raw_name, p_partkey) AS raw_name,
         min(p_partkey) AS first FROM m GROUP BY 1, 2),
@@ -142,12 +142,13 @@ def alias_register(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _mappings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(
         "p_partkey", F.when(F.col("p_partkey") % 7 == 0, F.lower("p_type"))
-        .otherwise(F.col("p_name")).alias("raw_name"), F.col("p_brand").alias("standard_name"))
+        .otherwise(F.col("p_name")).alias("raw_name"),
+        F.when(F.col("p_size") > 10, F.col("p_brand")).otherwise(F.col("p_name")).alias("standard_name"))
 
 
 @query("alias_register_skipped", f"""
 WITH m AS (SELECT p_partkey, CASE WHEN p_partkey % 7 = 0 THEN lower(p_type) ELSE p_name END
-             AS raw_name, p_brand AS standard_name FROM part),
+             AS raw_name, CASE WHEN p_size > 10 THEN p_brand ELSE p_name END AS standard_name FROM part),
 b AS ({_brands_sql}),
 f AS (SELECT m.*, min(p_partkey) OVER (PARTITION BY standard_name, lower(raw_name)) AS first FROM m)
 SELECT f.p_partkey, f.raw_name, f.standard_name,
@@ -206,16 +207,18 @@ def dictionary_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.count(F.lit(1)).alias("n"))
 
 
-@query("dictionary_register", f"""
-SELECT standard_name, CASE WHEN standard_name IN (SELECT standard_name FROM ({_brands_sql}))
-    THEN 'already registered' ELSE 'new' END AS outcome
-FROM (SELECT DISTINCT p_brand AS standard_name FROM part
-      UNION SELECT DISTINCT p_name FROM part)""")
+@query("dictionary_register", """
+WITH names AS (SELECT p_brand AS standard_name FROM part UNION ALL SELECT p_name FROM part),
+counted AS (SELECT standard_name, count(*) AS n,
+  standard_name IN (SELECT p_brand FROM part) AS known FROM names GROUP BY 1)
+SELECT standard_name, 'new' AS outcome, 1 AS n FROM counted WHERE NOT known
+UNION ALL
+SELECT standard_name, 'already registered', n - CASE WHEN known THEN 0 ELSE 1 END FROM counted
+WHERE known OR n > 1""")
 def dictionary_register(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Registering brand and part names into the brand dictionary: new or already there."""
+    """Registering brand and part names, repeats included: new once, or already there."""
     parts = table(spark, sf_dir, "part")
-    names = parts.select(F.col("p_brand").alias("standard_name")).union(
-        parts.select("p_name")).distinct()
+    names = parts.select(F.col("p_brand").alias("standard_name")).union(parts.select("p_name"))
     rows = names.withColumns({
         "chinese_name": F.col("standard_name"), "english_name": F.col("standard_name"),
         "abbreviation": F.col("standard_name"), "alias_names": F.array("standard_name"),
@@ -225,12 +228,13 @@ def dictionary_register(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = _brands(spark, sf_dir)
     merged, rejected = dictionary.register_fields(rows, known)
     new = merged.join(known.select("standard_name"), "standard_name", "left_anti")
-    return new.select("standard_name", F.lit("new").alias("outcome")).union(
+    outcomes = new.select("standard_name", F.lit("new").alias("outcome")).union(
         rejected.select("standard_name", "reason"))
+    return outcomes.groupBy("standard_name", "outcome").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("dictionary_stats", f"""
-SELECT (SELECT count(DISTINCT p_brand) FROM part WHERE p_size > 10) AS total_fields,
+SELECT (SELECT count(DISTINCT p_brand) FROM part) AS total_fields,
   (SELECT count(DISTINCT a) FROM (
      SELECT unnest([standard_name, lower(standard_name)]) AS a FROM ({_brands_sql})
      UNION ALL SELECT unnest(list_concat(alias_names,

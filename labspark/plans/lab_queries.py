@@ -13,7 +13,6 @@ from labspark.functions.values import range_high, range_low, to_number
 from labspark.operators import dictionary, labs, ordering, trends
 from labspark.plans.integration import Lookups, lab_trends
 from labspark.plans.registry import query, r, rounded, table, values_sql
-from labspark.sources.readers import spread_few_files
 
 KEYS = ["user_id", "event_type"]
 ORDER = ["ts", "event_id"]
@@ -303,11 +302,12 @@ def clinical_features_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("lab_abnormal_points", f"""
-SELECT user_id, event_type, pos, p.value, (p.value < g.low OR p.value > g.high) AS is_abnormal
-FROM ({_points_sql}) p JOIN {_ranges_sql.replace(' AS v(', ' AS g(')} ON g.marker = p.event_type""")
+SELECT user_id, event_type, pos, p.value,
+  coalesce(p.value < g.low OR p.value > g.high, FALSE) AS is_abnormal
+FROM ({_points_sql}) p LEFT JOIN {_ranges_sql.replace(' AS v(', ' AS g(')} ON g.marker = p.event_type""")
 def lab_abnormal_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _ranged(spark, sf_dir).filter("reference_low is not null")
-    return trends.abnormal_points(rows, KEYS, "value", ORDER).select(
+    """Every point; items without a range are never abnormal."""
+    return trends.abnormal_points(_ranged(spark, sf_dir), KEYS, "value", ORDER).select(
         *KEYS, "pos", "value", "is_abnormal")
 
 
@@ -426,7 +426,7 @@ FROM (
       '([一-龥A-Za-z0-9%\-]+)\s*[:：]?\s*([0-9.]+)\s*([A-Za-z/%μ^0-9·/.-]*)' AS p)))""")
 def text_lab_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """'name: number unit' patterns anywhere in the documents."""
-    docs = spread_few_files(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return labs.text_labs(docs)
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from labspark.operators import learning
 from labspark.plans.lab_queries import events
 from labspark.plans.registry import query, r, rounded, table
-from labspark.sources.readers import dataset_profile, spread_few_files
+from labspark.sources.readers import dataset_profile
 
 FEATURES = ["c_acctbal", "n_orders", "mean_price", "max_price"]
 
@@ -135,99 +135,125 @@ def fused_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.element_at("fused", -1).alias("last"))
 
 
-# --------------------------------------------------------------------- training (rows-only checks)
+# --------------------------------------------------------------------- training
+# SQL derives what does not depend on the fit: split sizes, classes, and that the model beats a
+# guess; metric values themselves are in the operators' tests.
+_customers_sql = """SELECT c_custkey, c_acctbal, coalesce(n_orders, 0) AS n_orders,
+    coalesce(max_price, 0) AS max_price, (coalesce(max_price, 0) > 450000)::INTEGER AS label
+  FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n_orders, max(o_totalprice) AS max_price
+    FROM orders GROUP BY 1) ON c_custkey = o_custkey"""
+
+
 def _customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All customers, those without orders with zeros."""
     orders = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(
         F.count(F.lit(1)).cast("double").alias("n_orders"),
         F.avg("o_totalprice").alias("mean_price"), F.max("o_totalprice").alias("max_price"))
     return table(spark, sf_dir, "customer").join(
-        orders, F.col("c_custkey") == F.col("o_custkey")).withColumn(
+        orders, F.col("c_custkey") == F.col("o_custkey"), "left").fillna(
+        0.0, ["n_orders", "mean_price", "max_price"]).withColumn(
         "label", (F.col("max_price") > 450000).cast("int"))
 
 
-def _metrics(spark: SparkSession, values: dict[str, float]) -> DataFrame:
-    return spark.createDataFrame(
-        [(k, float(v)) for k, v in values.items()], "metric string, value double")
-
-
-def _train_classifier(spark: SparkSession, sf_dir: str, algorithm: str) -> DataFrame:
-    split = learning.stratified_split(_customers(spark, sf_dir), "label", "c_custkey")
-    model = learning.fit(
-        split.filter("not is_test"), learning.classification_stages(FEATURES, "label", algorithm))
-    return learning.classification_metrics(model.transform(split.filter("is_test")), "label")
-
-
-@query("train_forest")
+def _split_sql(labels: str) -> str:
+    """Sizes of the stratified split of the labelled rows ``labels`` (a query with a column label)."""
+    return f"""WITH c AS (SELECT label, count(*) AS n FROM ({labels}) WHERE label IS NOT NULL GROUP BY 1)
+SELECT CAST(sum(n - round(n * CAST(0.2 AS DOUBLE))) AS BIGINT) AS n_train,
+  CAST(sum(round(n * CAST(0.2 AS DOUBLE))) AS BIGINT) AS n_test, count(*) AS n_classes,
+  TRUE AS beats_guess FROM c"""
+
+
+def _trained(rows: DataFrame, label: str, key: str, stages: list, scored: str | None = None,
+             guess: bool = True) -> DataFrame:
+    """Fit on the training rows of a stratified split, and score the test rows."""
+    split = learning.stratified_split(rows, label, key)
+    model = learning.fit(split.filter("not is_test"), stages)
+    metrics = learning.classification_metrics(model.transform(split.filter("is_test")), scored or label)
+    sizes = split.filter(F.col(label).isNotNull()).agg(
+        F.count_if(~F.col("is_test")).alias("n_train"), F.count_if("is_test").alias("n_test"),
+        F.count_distinct(label).alias("n_classes"))
+    all_scored = F.col("n_rows") == F.col("n_test")
+    beats_guess = all_scored & (F.col("accuracy") * F.col("n_classes") >= 1)
+    # one row each
+    return sizes.crossJoin(metrics).select(
+        "n_train", "n_test", "n_classes",
+        beats_guess.alias("beats_guess") if guess else all_scored.alias("all_scored"))
+
+
+@query("train_forest", _split_sql(_customers_sql))
 def train_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Random forest of 100 trees on a stratified split: accuracy and weighted F1."""
-    return _train_classifier(spark, sf_dir, "forest")
+    """Random forest of 100 trees on a stratified split."""
+    return _trained(_customers(spark, sf_dir), "label", "c_custkey",
+                    learning.classification_stages(FEATURES, "label", "forest"))
 
 
-@query("train_boosted")
+@query("train_boosted", _split_sql(_customers_sql))
 def train_boosted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boosted trees (50 rounds, depth 4)."""
-    return _train_classifier(spark, sf_dir, "boosted")
+    return _trained(_customers(spark, sf_dir), "label", "c_custkey",
+                    learning.classification_stages(FEATURES, "label", "boosted"))
 
 
-@query("train_regression")
+@query("train_regression", """SELECT count(*) FILTER (WHERE c_custkey % 5 <> 0) AS n_train,
+  count(*) FILTER (WHERE c_custkey % 5 = 0) AS n_test, TRUE AS beats_mean FROM customer""")
 def train_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Random forest regression of the mean order price."""
-    rows = _customers(spark, sf_dir)
+    """Random forest regression of the mean order price, scored on a fifth that is held out."""
+    rows = _customers(spark, sf_dir).withColumn("is_test", F.col("c_custkey") % 5 == 0)
     features = ["c_acctbal", "n_orders", "max_price"]
-    model = learning.fit(rows, learning.regression_stages(features, "mean_price"))
-    return _metrics(spark, learning.regression_metrics(model.transform(rows), "mean_price"))
+    model = learning.fit(rows.filter("not is_test"), learning.regression_stages(features, "mean_price"))
+    metrics = learning.regression_metrics(model.transform(rows.filter("is_test")), "mean_price")
+    return rows.agg(F.count_if(~F.col("is_test")).alias("n_train"), F.count_if("is_test").alias("n_test"),
+                    F.lit(metrics["R2"] > 0).alias("beats_mean"))
 
 
-@query("feature_importance")
+@query("feature_importance", "SELECT 'max_price' AS top_feature, CAST(4 AS BIGINT) AS n, CAST(1 AS DOUBLE) AS total")
 def feature_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ranked importances of a trained forest."""
-    rows = _customers(spark, sf_dir)
-    stages = learning.classification_stages(FEATURES, "label")
-    model = learning.fit(rows, stages)
-    return learning.importance_table(model.stages[-1], FEATURES, rows)
+    """Ranked importances of a trained forest: they sum to 1, and what makes the label leads."""
+    split = learning.stratified_split(_customers(spark, sf_dir), "label", "c_custkey")
+    model = learning.fit(split.filter("not is_test"), learning.classification_stages(FEATURES, "label"))
+    return learning.importance_table(model.stages[-1], FEATURES, split).agg(
+        F.max_by("feature", "importance").alias("top_feature"), F.count(F.lit(1)).alias("n"),
+        r(F.sum("importance")).alias("total"))
 
 
-@query("train_clusters")
+@query("train_clusters", """SELECT CAST(3 AS BIGINT) AS n_clusters, count(*) AS n_rows FROM customer""")
 def train_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """K-means on standardised features: size and centre per cluster."""
+    """K-means on standardised features: every row is in a cluster."""
     rows = _customers(spark, sf_dir)
     model = learning.fit(rows, learning.clustering_stages(FEATURES, 3))
-    return learning.cluster_centres(model, FEATURES, rows)
+    return learning.cluster_centres(model, FEATURES, rows).agg(
+        F.count_distinct("prediction").alias("n_clusters"), F.sum("size").cast("long").alias("n_rows"))
 
 
-@query("trajectory_clusters")
+@query("trajectory_clusters", """SELECT CAST(3 AS BIGINT) AS n_clusters,
+  count(DISTINCT user_id) AS n_patients FROM events WHERE value IS NOT NULL""")
 def trajectory_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Patients clustered by trajectory, with labels and cluster means."""
+    """Patients clustered by trajectory: every patient is in one of three clusters."""
     clustered = learning.cluster_trajectories(
         events(spark, sf_dir), "user_id", "value", ["ts", "event_id"])
-    return learning.cluster_summary(clustered)
+    return learning.cluster_summary(clustered).agg(
+        F.count_distinct("cluster_id").alias("n_clusters"), F.sum("patient_count").alias("n_patients"))
 
 
-@query("train_kidney_risk")
+@query("train_kidney_risk", _split_sql(
+    f"WITH {_wide_sql} SELECT coalesce((cre > 25.0)::INTEGER, 0) AS label FROM w"))
 def train_kidney_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Kidney-risk model: imputation, assembly and boosted trees in one pipeline."""
     rows = learning.with_target(_wide(spark, sf_dir), threshold=25.0)
-    split = learning.stratified_split(rows, "target", "subject_id")
-    model = learning.fit(split.filter("not is_test"), learning.kidney_risk_stages())
-    return learning.classification_metrics(model.transform(split.filter("is_test")), "target")
+    return _trained(rows, "target", "subject_id", learning.kidney_risk_stages())
 
 
-@query("train_text_classifier")
+@query("train_text_classifier", _split_sql("SELECT lang AS label FROM documents"))
 def train_text_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Character n-gram TF-IDF with linear support vector machines: language of documents."""
-    docs = spread_few_files(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
-    split = learning.stratified_split(docs, "lang", "doc_id")
-    model = learning.fit(split.filter("not is_test"), learning.text_stages("text", "lang"))
-    return learning.classification_metrics(
-        model.transform(split.filter("is_test")), "label_index")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return _trained(docs, "lang", "doc_id", learning.text_stages("text", "lang"), "label_index")
 
 
-@query("train_network")
+@query("train_network", _split_sql("SELECT label FROM embeddings").replace("beats_guess", "all_scored"))
 def train_network(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two-hidden-layer network on standardised vectors."""
+    """Two-hidden-layer network on standardised vectors (their labels are mostly noise)."""
     vectors = learning.as_vector(
         table(spark, sf_dir, "embeddings").withColumn(
             "values", F.col("embedding").cast("array<double>")), "values")
-    split = learning.stratified_split(vectors, "label", "vec_id")
-    model = learning.fit(split.filter("not is_test"), learning.network_stages(64, 10))
-    return learning.classification_metrics(model.transform(split.filter("is_test")), "label")
+    return _trained(vectors, "label", "vec_id", learning.network_stages(64, 10), guess=False)

@@ -11,8 +11,7 @@ from pyspark.sql import functions as F
 
 from labspark import clinical_terms as ct
 from labspark.operators import fusion, learning, text
-from labspark.plans.registry import query, table
-from labspark.sources.readers import spread_few_files
+from labspark.plans.registry import ORACLE, query, table
 
 # Term dictionary, triggers and separators of these queries.
 TERMS = [
@@ -36,7 +35,7 @@ _BY_LENGTH = sorted(TERMS, key=lambda t: -len(t[0]))
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread_few_files(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return table(spark, sf_dir, "documents").select("doc_id", "text")
 
 
 def _status(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -165,16 +164,21 @@ def text_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("text_clauses", """
+WITH raw AS (
+  SELECT doc_id, unnest(regexp_split_to_array(text, '[.\n,;]')) AS raw,
+    generate_subscripts(regexp_split_to_array(text, '[.\n,;]'), 1) AS k FROM documents),
+p AS (SELECT doc_id, k, regexp_replace(raw, '^\\s+|\\s+$', '', 'g') AS p, length(raw) AS n,
+    sum(length(raw) + 1) OVER (PARTITION BY doc_id ORDER BY k) - length(raw) - 1 AS start FROM raw)
 SELECT doc_id, count(*) AS n_pieces, CAST(sum(length(p)) AS BIGINT) AS n_chars,
-  max(length(p)) AS longest FROM (
-  SELECT doc_id, regexp_replace(unnest(regexp_split_to_array(text, '[.\n,;]')),
-    '^\\s+|\\s+$', '', 'g') AS p FROM documents) WHERE p <> '' GROUP BY 1""")
+  max(length(p)) AS longest, CAST(sum(start) AS BIGINT) AS sum_start,
+  CAST(max(start + n) AS INTEGER) AS last_end FROM p WHERE p <> '' GROUP BY 1""")
 def text_clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Clause counts and lengths, from pieces with offsets."""
+    """Clause counts, lengths and places."""
     pieces = text.piece_offsets(_docs(spark, sf_dir), CLAUSES)
     return pieces.groupBy("doc_id").agg(
-        F.count(F.lit(1)).alias("n_pieces"),
-        F.sum(F.char_length("piece")).alias("n_chars"), F.max(F.char_length("piece")).alias("longest"))
+        F.count(F.lit(1)).alias("n_pieces"), F.sum(F.char_length("piece")).alias("n_chars"),
+        F.max(F.char_length("piece")).alias("longest"), F.sum("start").alias("sum_start"),
+        F.max("end").alias("last_end"))
 
 
 PATTERN_RELATIONS = [
@@ -206,15 +210,30 @@ def text_pattern_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("text_summary", f"""
 WITH {_status_sql},
 s AS (SELECT doc_id, count(*) AS entity_count,
-        count(*) FILTER (WHERE negation_status) AS negation_count FROM e GROUP BY 1)
+        count(*) FILTER (WHERE negation_status) AS negation_count,
+        count(*) FILTER (WHERE uncertain_status) AS uncertain_count,
+        count(*) FILTER (WHERE history_status) AS history_count FROM e GROUP BY 1),
+triples AS (SELECT doc_id, count(*) AS triple_count FROM ({ORACLE['text_triples']}) GROUP BY 1)
 SELECT doc_id, coalesce(entity_count, 0) AS entity_count,
-  coalesce(negation_count, 0) AS negation_count FROM documents LEFT JOIN s USING (doc_id)""")
+  coalesce(negation_count, 0) AS negation_count, coalesce(uncertain_count, 0) AS uncertain_count,
+  coalesce(history_count, 0) AS history_count, coalesce(triple_count, 0) AS triple_count
+FROM documents LEFT JOIN s USING (doc_id) LEFT JOIN triples USING (doc_id)""")
 def text_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Entity and negation counts of every document, zeros included."""
+    """Entity, status and triple counts of every document, zeros included."""
     docs, entities = _docs(spark, sf_dir), _status(spark, sf_dir)
     triples = text.extract_triples(entities, docs, RELATIONS, SENTENCES)
     return text.document_summary(docs, entities, triples).select(
-        "doc_id", "entity_count", "negation_count")
+        "doc_id", "entity_count", "negation_count", "uncertain_count", "history_count", "triple_count")
+
+
+@query("text_entities_ranked", f"""
+WITH d AS (SELECT doc_id, text AS s FROM documents), {_spans_sql('d', 'doc_id')}
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY start) AS place, entity, start
+FROM spans""")
+def text_entities_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entities of every document in reading order."""
+    return text.in_reading_order(text.extract_spans(_docs(spark, sf_dir), TERMS, ())).select(
+        "doc_id", "place", "entity", "start")
 
 
 @query("text_type_distribution", f"""

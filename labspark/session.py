@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -17,6 +18,8 @@ def local_session(cpus: str | int = "*", memory: str = "8g") -> SparkSession:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
+        # small test tables are one file each; smaller splits spread their row groups
+        .config("spark.sql.files.maxPartitionBytes", "4m")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
@@ -26,13 +29,17 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str | None:
-    """Use the shared checkpoint folder the session names; a temporary one only in local mode."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    existing = spark.sparkContext.getCheckpointDir()
-    if folder is None and existing is None and spark.sparkContext.master.startswith("local"):
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared checkpoint folder that the session names.
+
+    Only a session in one process may do without: it gets a temporary folder.  On a cluster a
+    missing setting is an error, because executors cannot see each other's folders.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder is None:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="labspark-checkpoint-")
-    if folder is None or existing is not None:
-        return existing
-    spark.sparkContext.setCheckpointDir(folder)
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(folder)
     return folder

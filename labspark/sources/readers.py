@@ -52,7 +52,9 @@ def read_csv_or_gzip(spark: SparkSession, path: str, required: Sequence[str],
     reader = reader.schema(schema) if schema else reader.option("inferSchema", True)
     try:
         df = reader.csv(path)
-    except AnalysisException:
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         df = reader.csv(path + ".gz")
         df = df.repartition(partitions) if partitions else df.repartition(
             spark.sparkContext.defaultParallelism)
@@ -62,16 +64,6 @@ def read_csv_or_gzip(spark: SparkSession, path: str, required: Sequence[str],
     return df
 
 
-def spread_few_files(df: DataFrame) -> DataFrame:
-    """Spread a table of very few files over the cores before heavy per-row work.
-
-    One file can be one row group and so one task.  A table of many files is left alone, so a
-    large one never pays for a shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) * 4 < cores else df
-
-
 def absent_codes(df: DataFrame, item: str, expected: DataFrame) -> DataFrame:
     """Expected item codes that do not occur."""
     return expected.join(df.select(item).distinct(), item, "left_anti")

@@ -33,8 +33,8 @@ def test_cleaning(spark):
 def test_mapping(spark, index):
     names = names_of(spark, "W.B.C 计数", "糖化血红蛋白 A1c", "血清肌肝", "glucos", "platelt count",
                      "creatinne", "()", "葡萄 (x) glu")
-    for limit in (5_000, 5):
-        got = {r["raw_name"]: r for r in dictionary.map_fields(names, index, max_inline=limit).collect()}
+    for scorer in (similarity, lambda a, b: similarity(b, a)):
+        got = {r["raw_name"]: r for r in dictionary.map_fields(names, index, scorer=scorer).collect()}
         exact = {"W.B.C 计数": "WBC", "糖化血红蛋白 A1c": "HbA1c", "葡萄 (x) glu": "GLU"}
         for raw, name in exact.items():
             assert (got[raw]["standard_name"], got[raw]["status"], got[raw]["confidence"]) == (
@@ -52,15 +52,49 @@ def test_mapping(spark, index):
     assert stats["total"] == 8 and stats["exact"] == 3
 
 
-def test_length_band_finds_every_reachable_alias(spark):
-    small = catalog.field_table(spark, [{"standard_name": "N", "alias_names": ["abcde"]}])
+def test_both_scorers_and_best_scores_of_unmapped_names(spark):
+    small = catalog.field_table(spark, [{"standard_name": "N", "alias_names": ["abcde"]},
+                                        {"standard_name": "M", "alias_names": ["abcde", "zzzz"]}])
     index = dictionary.rich_alias_index(small)
-    names = names_of(spark, "abc", "abcdexyz", "abcdx", "abxxx")
-    inline = dictionary.map_fields(names, index).collect()
-    band = dictionary.map_fields(names, index, max_inline=0).collect()
-    pick = ("raw_name", "standard_name", "status")
-    assert sorted(tuple(r[c] for c in pick) for r in inline) == sorted(
-        tuple(r[c] for c in pick) for r in band)
+    names = names_of(spark, "abcdexyz", "abxxx", "qqqqqqqqqqqqqqqqqqqqqq", "bcdex")
+    plain = {r["raw_name"]: r for r in dictionary.map_fields(names, index).collect()}
+    blocks = {r["raw_name"]: r for r in dictionary.map_fields(names, index, scorer=matching_block_ratio).collect()}
+    assert (plain["abcdexyz"]["standard_name"], plain["abcdexyz"]["confidence"]) == ("N", 0.625)
+    assert plain["qqqqqqqqqqqqqqqqqqqqqq"]["confidence"] == 0.0
+    assert blocks["bcdex"]["confidence"] == pytest.approx(0.8) and blocks["bcdex"]["standard_name"] == "N"
+    assert plain["bcdex"]["confidence"] == pytest.approx(0.6)
+
+
+def test_alias_order_of_a_large_dictionary(spark):
+    fields = spark.range(30_000).select(
+        F.concat(F.lit("f"), "id").alias("standard_name"), F.lit(None).cast("string").alias("chinese_name"),
+        F.lit(None).cast("string").alias("english_name"), F.lit(None).cast("string").alias("abbreviation"),
+        F.array(F.lit("shared")).alias("alias_names"), F.col("id").cast("int").alias("ord"))
+    index = dictionary.rich_alias_index(fields)
+    assert index.count() == 30_001
+    assert index.filter("alias = 'shared'").first()["standard_name"] == "f0"
+
+
+def test_blanks_of_every_kind_are_trimmed(spark, fields):
+    got = dictionary.match_fields(names_of(spark, "WBC\t", "　血糖"), fields).collect()
+    assert all(r["matched"] for r in got)
+
+
+def test_registration_into_the_shipped_dictionary(spark, fields):
+    ddl = ("standard_name string, chinese_name string, english_name string, abbreviation string,"
+           " alias_names array<string>, data_type string, unit string,"
+           " reference_range struct<low: double, high: double>, category string,"
+           " disease_relevance_matrix map<string, double>")
+    row = ("NEW", "新", "fresh", "N", ["nn"], "float", "u", (1.0, 2.0), "cat", {"d": 0.7})
+    rows = spark.createDataFrame([row, row, ("WBC", *row[1:])], ddl)
+    merged, rejected = dictionary.register_fields(rows, fields)
+    new = merged.filter("standard_name = 'NEW'").collect()
+    assert len(new) == 1 and new[0]["ord"] == fields.agg(F.max("ord")).first()[0] + 1
+    assert new[0]["relevance"]["d"]["weight"] == 0.7
+    assert [r["reason"] for r in rejected.collect()] == ["already registered"] * 2
+    found = dictionary.map_fields(names_of(spark, "nn"), dictionary.rich_alias_index(merged)).first()
+    assert found["standard_name"] == "NEW"
+    assert dictionary.alias_index(merged).filter("alias = 'nn'").first()["standard_name"] == "NEW"
 
 
 def test_scorers(spark):

@@ -104,8 +104,26 @@ def test_hot_series_with_timestamps(spark):
     cut = {r["id"]: r["pos"] for r in ordering.with_positions(
         rows, ["k"], ["t", "id"], max_group_rows=100).collect()}
     assert plain == cut and len(cut) == 3000
-    with pytest.raises(TypeError):
-        ordering.with_positions(rows, ["t"], ["k", "id"], max_group_rows=1)
+    # any orderable type, ties in the first order column, many groups over the limit
+    plain = {r["id"]: r["pos"] for r in ordering.with_positions(rows, ["t"], ["k", "id"]).collect()}
+    cut = {r["id"]: r["pos"] for r in ordering.with_positions(rows, ["t"], ["k", "id"], max_group_rows=1).collect()}
+    assert plain == cut
+
+
+def test_anova_does_not_depend_on_the_level(spark):
+    rows = [(f"g{g}", g * 0.001 + (i % 7) * 1e-4) for g in range(3) for i in range(1000)]
+    want = stats.anova(spark.createDataFrame(rows, "g string, v double"), "g", "v").first()
+    for level, close in ((1e6, 1e-3), (1e8, 1e-1)):
+        df = spark.createDataFrame([(g, v + level) for g, v in rows], "g string, v double")
+        got = stats.anova(df, "g", "v").first()
+        assert got["statistic"] == pytest.approx(want["statistic"], rel=close) and got["ss_between"] > 0
+
+
+def test_half_split_keeps_null_keys(spark):
+    df = spark.createDataFrame([(None, i, float(i)) for i in range(6)], "k string, t int, v double").withColumns(
+        {"reference_low": F.lit(-1.0), "reference_high": F.lit(10.0)})
+    row = trends.half_split_trend(df, ["k"], "v", ["t"]).first()
+    assert (row["k"], row["n_points"], row["trend_direction"]) == (None, 6, "increasing")
 
 
 def test_half_split(spark):
