@@ -169,7 +169,7 @@ def plan(counts: np.ndarray, capacity: int = LENGTH) -> tuple[np.ndarray, int, d
     lengths = np.flatnonzero(counts[:capacity])
     shapes = patterns(lengths[lengths > 0], capacity)
     wanted = fit(counts, shapes) if len(shapes) else np.empty(0)
-    choices = [np.floor(wanted + 0.5).astype(np.int64), np.diff(np.floor(np.cumsum(wanted) + 0.5), prepend=0).astype(np.int64)]
+    choices = [np.diff(np.floor(np.cumsum(wanted) + 0.5), prepend=0).astype(np.int64), np.floor(wanted + 0.5).astype(np.int64)]
     plans = [_placed(counts, shapes, whole, capacity) for whole in choices]
     return min(plans, key=lambda p: p[1])
 

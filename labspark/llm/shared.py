@@ -2,54 +2,24 @@
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labspark.session import ensure_checkpoint_dir
+from labspark.tables import numbered as numbered_by
+from labspark.tables import written
 
 #: Rows up to which a side of one or two longs or hashes is broadcast (some 64 MB); beyond it, shuffle.
 BROADCAST_ROWS = 1_000_000
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: the rows as a Parquet table in the shared folder, which survives lost executors.
-
-    Spark knows the size of such a table, so it chooses the join with it.
-    """
-    spark = df.sparkSession
-    folder = ensure_checkpoint_dir(spark)
-    if folder is None:
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def join_checked(left: DataFrame, right: DataFrame, on, how: str, right_rows: int) -> DataFrame:
     """Join that broadcasts ``right`` only if it has at most BROADCAST_ROWS (narrow) rows."""
     return left.join(F.broadcast(right) if right_rows <= BROADCAST_ROWS else right, on, how)
 
 
 def numbered(df: DataFrame, order: list[str], column: str = "_row") -> DataFrame:
-    """Add the global row number (from 0) in the order given, without one task seeing all rows.
-
-    Rows are range-partitioned and sorted; the sizes of the partitions give each its first number.
-    The place in the partition is the last sort key's tie-break, so only rows that agree in all of
-    ``order`` can swap numbers, and many equal rows spread over partitions.
-    """
-    spread = df.withColumn("_tie", F.monotonically_increasing_id())
-    sorted_rows = (
-        spread.repartitionByRange(*order, "_tie").sortWithinPartitions(*order, "_tie").drop("_tie")
-        .withColumn("_place", F.monotonically_increasing_id()))
-    fixed = written(sorted_rows, "numbered").withColumn("_part", F.shiftright("_place", 33))
-    sizes = fixed.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))
-    starts = sizes.select("_part", (F.sum("_size").over(Window.orderBy("_part")) - F.col("_size")).alias("_start"))
-    # one row per partition: broadcast is bounded by the number of partitions
-    return fixed.join(F.broadcast(starts), "_part").withColumn(
-        column, F.col("_start") + F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))
-    ).drop("_part", "_place", "_start", "_size")
+    """Add the global row number (from 0) in the order given, nulls first."""
+    return numbered_by(df, [F.col(c) for c in order], column)
 
 
 def components(edges: DataFrame) -> DataFrame:
