@@ -56,7 +56,11 @@ def report_lines(labs: DataFrame, cases: DataFrame, markers: DataFrame) -> DataF
 
 
 def count_marker_lines(cases: DataFrame, markers: DataFrame) -> DataFrame:
-    """Core, appendix and abnormal line counts from the ``marker_lines`` array of every case."""
+    """Core, appendix and abnormal line counts of every case.
+
+    ``marker_lines`` holds the case's core markers of any disease, ``all_lines`` and
+    ``all_abnormal`` count every line.
+    """
     sets = markers.groupBy("disease").agg(F.collect_set(
         F.when(F.col("role") == "primary", F.col("marker"))).alias("__primary"))
     known = sets.select(F.col("disease").alias("__known"))
@@ -73,8 +77,8 @@ def count_marker_lines(cases: DataFrame, markers: DataFrame) -> DataFrame:
         F.col("__primary"), m["standard_item_name"]))
     return chosen.withColumns({
         "core_lines": total(core, "lines"),
-        "appendix_lines": total(F.col("marker_lines"), "lines") - total(core, "lines"),
-        "abnormal_lines": total(F.col("marker_lines"), "abnormal"),
+        "appendix_lines": F.col("all_lines") - total(core, "lines"),
+        "abnormal_lines": F.col("all_abnormal"),
     }).drop("__known", "__set", "__primary", "disease")
 
 

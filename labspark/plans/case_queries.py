@@ -276,14 +276,19 @@ _payload_sql = f"""SELECT case_id AS patient_id, 'Diabetes_Nephropathy' AS prima
 
 
 @query("raw_labs_to_decisions", f"""
-SELECT patient_id AS case_id, target_disease, selected_model, winning_score, core_lines
+SELECT patient_id AS case_id, target_disease, selected_model, winning_score, core_lines,
+  time_series_steps, appendix_lines
 FROM (
   SELECT patient_id, primary_disease AS target_disease, model_id AS selected_model,
     score AS winning_score
   FROM ({_scores_sql(MODEL_REGISTRY, _payload_sql)})
   QUALIFY row_number() OVER (PARTITION BY patient_id ORDER BY score DESC, place) = 1)
 JOIN (SELECT case_id, count(*) FILTER (WHERE standard_item_name IN ('view', 'click'))
-        AS core_lines FROM ({_standard_sql}) GROUP BY 1) l ON l.case_id = patient_id""")
+        AS core_lines, count(*) FILTER (WHERE standard_item_name NOT IN ('view', 'click'))
+        AS appendix_lines FROM ({_standard_sql}) GROUP BY 1) l ON l.case_id = patient_id
+JOIN (SELECT case_id, CAST(max(n) AS INTEGER) AS time_series_steps FROM (
+        SELECT case_id, standard_item_name, count(raw) AS n FROM ({_standard_sql}) GROUP BY 1, 2)
+      GROUP BY 1) s ON s.case_id = patient_id""")
 def raw_labs_to_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Messy lab rows to one routing decision and report record per case."""
     lookups = _lookups(spark)
@@ -293,7 +298,8 @@ def raw_labs_to_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = decide_and_report(
         raw_labs(spark, sf_dir), lookups, "ord", ["view"], radiomics_features=radiomics)
     return records.select(
-        "case_id", "target_disease", "selected_model", "winning_score", "core_lines")
+        "case_id", "target_disease", "selected_model", "winning_score", "core_lines",
+        "time_series_steps", "appendix_lines")
 
 
 @query("label_diseases", """

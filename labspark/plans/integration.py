@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labspark import catalog
+from labspark.functions.names import strip_blanks
 from labspark.functions.values import disease_of_label, to_number
 from labspark.operators import dictionary, fusion, labs, reports, routing, trends
 
@@ -54,12 +55,15 @@ def standardise(raw: DataFrame, lookups: Lookups, **defaults) -> DataFrame:
 
 
 def summarise_cases(standard: DataFrame, order: str, slope_markers: Sequence[str],
-                    age_column: str | None = None) -> DataFrame:
+                    age_column: str | None = None,
+                    core_markers: DataFrame | None = None) -> DataFrame:
     """One row per case with everything later steps need from its lab rows.
 
     Patient id, anchor age, clinical features, longest series and line counts per marker come
     from one pass: rows are reduced to (case, marker) first and to the case after that, so lab
-    rows are shuffled once, already aggregated.  ``marker_lines`` has one entry per marker.
+    rows are shuffled once, already aggregated.  ``marker_lines`` has one entry for each of the
+    ``core_markers`` (a table with a column marker) that the case has, so its length is bounded by
+    them; all other markers only count in ``all_lines`` and ``all_abnormal``.
     """
     first = F.col(order)
     extra = [
@@ -70,12 +74,18 @@ def summarise_cases(standard: DataFrame, order: str, slope_markers: Sequence[str
         extra.append(F.min_by(F.col(age_column).cast("string"), first).alias("age"))
     per_marker = trends.marker_summaries(
         standard, "case_id", "standard_item_name", "value", "test_time", order, extra)
+    core = F.lit(False)
+    if core_markers is not None:
+        known = core_markers.select(F.col("marker").alias("__marker")).distinct().withColumn("__core", F.lit(True))
+        per_marker = per_marker.join(known, F.col("standard_item_name") == F.col("__marker"), "left")
+        core = F.coalesce("__core", F.lit(False))
     aggregates = [
         F.coalesce(F.min_by("patient", "first"), F.col("case_id"), F.lit("unknown_patient"))
         .alias("patient_id"),
         F.max("n").cast("int").alias("time_series_steps"),
         *trends.feature_aggregates("standard_item_name", slope_markers),
-        F.collect_list(F.struct("standard_item_name", "lines", "abnormal")).alias("marker_lines")]
+        F.collect_list(F.when(core, F.struct("standard_item_name", "lines", "abnormal"))).alias("marker_lines"),
+        F.sum("lines").alias("all_lines"), F.sum("abnormal").alias("all_abnormal")]
     if age_column:
         aggregates.append(F.round(to_number(F.min_by("age", "first")), 2).alias("anchor_age"))
     return per_marker.groupBy("case_id").agg(*aggregates)
@@ -84,9 +94,9 @@ def summarise_cases(standard: DataFrame, order: str, slope_markers: Sequence[str
 def case_payload(standard: DataFrame, order: str, slope_markers: Sequence[str],
                  text_features: DataFrame | None = None,
                  radiomics_features: DataFrame | None = None,
-                 age_column: str | None = None) -> DataFrame:
+                 age_column: str | None = None, core_markers: DataFrame | None = None) -> DataFrame:
     """The case summary with its sidecar features."""
-    payload = summarise_cases(standard, order, slope_markers, age_column)
+    payload = summarise_cases(standard, order, slope_markers, age_column, core_markers)
     for name, table in (("text_features", text_features),
                         ("radiomics_features", radiomics_features)):
         if table is not None:
@@ -132,11 +142,13 @@ def decide_and_report(raw: DataFrame, lookups: Lookups, order: str,
     Decisions and line counts are computed on the case summary; no step goes back to the rows.
     """
     payload = case_payload(
-        standardise(raw, lookups), order, slope_markers, text_features, radiomics_features)
+        standardise(raw, lookups), order, slope_markers, text_features, radiomics_features,
+        core_markers=lookups.markers.filter("role = 'primary'"))
     decided = routing.decide(with_profile(payload, entities), live=live).withColumn(
         "primary_disease", disease_of_label(F.col("target_disease_cn")))
     records = reports.count_marker_lines(
-        reports.report_header(decided), lookups.markers).drop("marker_lines", "models")
+        reports.report_header(decided), lookups.markers).drop(
+        "marker_lines", "all_lines", "all_abnormal", "models")
     return records if artifacts is None else reports.with_artifacts(records, artifacts)
 
 
@@ -158,7 +170,7 @@ def lab_trends(standard: DataFrame, lookups: Lookups, order: Sequence[str],
         F.coalesce("f_unit", "profile_unit").alias("item_unit"),
         F.coalesce("f_low", "profile_low").alias("reference_low"),
         F.coalesce("f_high", "profile_high").alias("reference_high"), "spread")
-    item = F.lower(F.trim(F.col(keys[-1])))
+    item = F.lower(strip_blanks(F.col(keys[-1])))
     bounded = standard.drop("reference_low", "reference_high").join(
         known, item == F.col("__item")).drop("__item")
     return trends.half_split_trend(bounded, keys, "value", order, spread="spread")

@@ -12,7 +12,7 @@ from labspark import catalog
 from labspark.functions.values import range_high, range_low, to_number
 from labspark.operators import dictionary, labs, ordering, trends
 from labspark.plans.integration import Lookups, lab_trends
-from labspark.plans.registry import query, r, rounded, table, values_sql
+from labspark.plans.registry import query, r, rounded, spread, table, values_sql
 
 KEYS = ["user_id", "event_type"]
 ORDER = ["ts", "event_id"]
@@ -426,7 +426,7 @@ FROM (
       '([一-龥A-Za-z0-9%\-]+)\s*[:：]?\s*([0-9.]+)\s*([A-Za-z/%μ^0-9·/.-]*)' AS p)))""")
 def text_lab_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """'name: number unit' patterns anywhere in the documents."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return labs.text_labs(docs)
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from labspark.operators import learning
 from labspark.plans.lab_queries import events
-from labspark.plans.registry import query, r, rounded, table
+from labspark.plans.registry import query, r, rounded, spread, table
 from labspark.sources.readers import dataset_profile
 
 FEATURES = ["c_acctbal", "n_orders", "mean_price", "max_price"]
@@ -246,7 +246,7 @@ def train_kidney_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("train_text_classifier", _split_sql("SELECT lang AS label FROM documents"))
 def train_text_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Character n-gram TF-IDF with linear support vector machines: language of documents."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
     return _trained(docs, "lang", "doc_id", learning.text_stages("text", "lang"), "label_index")
 
 

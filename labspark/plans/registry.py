@@ -26,6 +26,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal the rows of a table out before heavy per-row work if it has fewer splits than cores.
+
+    One row group is one task, however large.  Only the plan is asked, and a table of many splits
+    is left alone, so a large one never pays for a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def r(column: str | Column, digits: int = 6) -> Column:
     """Rounded for comparison; the operators themselves do not round."""
     value = F.col(column) if isinstance(column, str) else column

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from labspark import clinical_terms as ct
 from labspark.operators import fusion, learning, text
-from labspark.plans.registry import ORACLE, query, table
+from labspark.plans.registry import ORACLE, query, spread, table
 
 # Term dictionary, triggers and separators of these queries.
 TERMS = [
@@ -35,7 +35,7 @@ _BY_LENGTH = sorted(TERMS, key=lambda t: -len(t[0]))
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def _status(spark: SparkSession, sf_dir: str) -> DataFrame:

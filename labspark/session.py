@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -18,13 +20,28 @@ def local_session(cpus: str | int = "*", memory: str = "8g") -> SparkSession:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
-        # small test tables are one file each; smaller splits spread their row groups
-        .config("spark.sql.files.maxPartitionBytes", "4m")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send the package to the executors once per application, so it needs no installation there."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    home = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="labspark-package-")) / "labspark.zip"
+    with zipfile.ZipFile(archive, "w") as packed:
+        for file in sorted(home.rglob("*.py")):
+            packed.write(file, file.relative_to(home.parent))
+    context.addPyFile(str(archive))
+    _SHIPPED.add(context.applicationId)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -16,7 +17,7 @@ from pyspark.sql.streaming import StreamingQuery
 from labspark.catalog import CONFIG_KEY_OF_MODEL, SCORE_BOUNDS, local_table
 
 DEFAULT_THRESHOLD = 50
-_STATE = "batch_id long, counter long, fires long, fired boolean"
+_STATE = "batch_id long, counter long, fires long, fired boolean, announced boolean"
 
 
 def fold_counts(counts: Column, threshold: int = DEFAULT_THRESHOLD) -> Column:
@@ -53,9 +54,11 @@ def gate_batches(rows: DataFrame, source: str, batch: str,
 
 
 class SampleGate:
-    """The gate over a stream: state is a small Parquet table, one row per batch.
+    """The gate over a stream: state is one row in one of two small folders, used in turn.
 
-    A batch that was already recorded is skipped, so a replay after a failure counts once.
+    A batch is recorded before its firing is announced, and the announcement is recorded after it,
+    so a replayed batch counts once, and a firing that a crash cut off is announced again
+    (``on_fire`` is called at least once for every firing).
     """
 
     def __init__(self, spark: SparkSession, state_path: str,
@@ -64,30 +67,39 @@ class SampleGate:
         self.on_fire, self.threshold = on_fire, threshold
 
     def state(self) -> DataFrame:
-        """One row per processed batch."""
-        return self.spark.read.schema(_STATE).parquet(f"{self.state_path}/batch_key=*")
+        """The rows of the last two batches."""
+        return self.spark.read.schema(_STATE).parquet(f"{self.state_path}/slot=*")
 
     def _last(self):
         try:
             return self.state().orderBy(F.desc("batch_id")).first()
-        except Exception as error:  # no state written yet
-            if "PATH_NOT_FOUND" in str(error):
+        except AnalysisException as error:  # no state written yet
+            if error.getCondition() == "PATH_NOT_FOUND":
                 return None
             raise
 
+    def _record(self, row: tuple) -> None:
+        # the older of the two rows is replaced; the newer one stays if this write is cut off
+        local_table(self.spark, [row], _STATE).coalesce(1).write.mode("overwrite").parquet(
+            f"{self.state_path}/slot={row[0] % 2}")
+
+    def _announce(self, row: tuple) -> None:
+        self.on_fire(row[0])
+        self._record((*row[:4], True))
+
     def process(self, batch: DataFrame, batch_id: int) -> None:
         """Handler for ``foreachBatch``."""
         last = self._last()
+        if last is not None and last["fired"] and not last["announced"]:
+            self._announce(tuple(last))
         if last is not None and batch_id <= last["batch_id"]:
             return
         total = (last["counter"] if last else 0) + batch.count()
         fired = total >= self.threshold
+        row = (batch_id, 0 if fired else total, (last["fires"] if last else 0) + int(fired), fired, False)
+        self._record(row)
         if fired:
-            self.on_fire(batch_id)
-        row = (batch_id, 0 if fired else total, (last["fires"] if last else 0) + int(fired), fired)
-        # one folder per batch: a retried batch overwrites its own row
-        local_table(self.spark, [row], _STATE).coalesce(1).write.mode("overwrite").parquet(
-            f"{self.state_path}/batch_key={batch_id}")
+            self._announce(row)
 
     def start(self, stream: DataFrame, checkpoint: str) -> StreamingQuery:
         return (

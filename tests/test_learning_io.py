@@ -245,11 +245,29 @@ def test_gate_stream(spark, tmp_path):
         counter.start(stream, str(tmp_path / "ckpt")).awaitTermination()
     assert fired == [2, 3]
     states = {r["batch_id"]: (r["counter"], r["fires"]) for r in counter.state().collect()}
-    assert states == {0: (10, 0), 1: (40, 0), 2: (0, 1), 3: (0, 2)}
+    assert states == {2: (0, 1), 3: (0, 2)}
     counter.process(spark.range(500), 3)  # a replayed batch changes nothing
     assert fired == [2, 3]
 
 
+def test_gate_announces_again_after_a_crash(spark, tmp_path):
+    calls = []
+
+    def fail_once(batch_id):
+        calls.append(batch_id)
+        if len(calls) == 1:
+            raise RuntimeError("crash")
+
+    counter = gate.SampleGate(spark, str(tmp_path), fail_once, threshold=10)
+    with pytest.raises(RuntimeError):
+        counter.process(spark.range(12), 0)
+    counter.process(spark.range(12), 0)  # the replay announces, and counts nothing twice
+    counter.process(spark.range(3), 1)
+    assert calls == [0, 0]
+    last = counter.state().orderBy(F.desc("batch_id")).first()
+    assert (last["batch_id"], last["counter"], last["fires"]) == (1, 3, 1)
+
+
 def test_score_refresh(spark):
     predictions = spark.createDataFrame(
         [("Model_A_TimeSeries", 1, 1.0)] * 9 + [("Model_A_TimeSeries", 1, 0.0)]
