@@ -27,10 +27,9 @@ WORDS = 5
 SIMILARITY = 0.8
 BANDS = 24
 ROWS = 5
-#: Up to so many texts of a bucket are compared with each other; in larger ones each is compared with
-#: the leaders (see ``candidate_pairs``), in every band with others.
-PAIRWISE = 8
-LEADERS = 4
+#: Texts of a part of a bucket that are compared with each other, and those that all its parts share.
+PART_TEXTS = 256
+LEADERS = 8
 
 _A = np.uint64(0x9E3779B97F4A7C15)
 _WORD_BASE = 0xD6E8FEB86659FD93
@@ -206,33 +205,92 @@ def with_elements(texts: DataFrame) -> DataFrame:
     return texts.select("uid", "text").mapInArrow(work, "uid string, elements array<long>")
 
 
-def candidate_pairs(bands: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b) of rows (uid, bands) to verify, linear in the rows of the buckets.
+def bucket_entries(bands: DataFrame) -> DataFrame:
+    """(key, uid, n, lead) of every text in every bucket of several texts: its size and its leader.
 
-    Members of a bucket are ordered by a hash that differs from band to band. Each is compared with its
-    next PAIRWISE - 1 neighbours in that order, which covers all pairs of small buckets, and with the
-    first LEADERS of the bucket. A large bucket is cut into salted parts first, so no task sees it
-    whole; its parts share the leaders.
+    Leaders are chosen by one order of all texts, so similar buckets tend to have the same leader.
     """
-    entry = bands.select("uid", F.posexplode("bands").alias("band", "key"))
-    entry = entry.withColumn("turn", F.xxhash64("uid", "band"))
-    sizes = entry.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("turn", "uid")).alias("lead"))
-    several = written(entry.join(sizes.where("n > 1"), "key"), "buckets")
-    part_rows = 256
-    parts = F.greatest(F.lit(1), F.ceil(F.col("n") / part_rows)).cast("long")
-    salted = several.withColumn("part", F.pmod(F.xxhash64("turn"), parts))
-    grouped = salted.groupBy("key", "part").agg(
-        F.sort_array(F.collect_list(F.struct("turn", "uid"))).alias("members"), F.first("lead").alias("lead"),
-        F.first("n").alias("n"))  # some 256 members, by hash
-    near = grouped.select(F.explode(F.flatten(F.transform("members", lambda m, i: F.transform(
-        F.slice("members", i + 2, PAIRWISE - 1), lambda o: F.struct(m["uid"].alias("x"), o["uid"].alias("y")))))).alias("p"))
-    own = grouped.where(F.col("n") > PAIRWISE).select(F.explode(F.flatten(F.transform(
-        F.slice("members", 1, LEADERS), lambda lead: F.transform("members", lambda m: F.struct(
-            lead["uid"].alias("x"), m["uid"].alias("y")))))).alias("p"))
-    across = salted.where(F.col("n") > part_rows).select(
-        F.struct(F.col("lead.uid").alias("x"), F.col("uid").alias("y")).alias("p"))
-    pairs = near.union(own).union(across)
-    return pairs.select(F.least("p.x", "p.y").alias("a"), F.greatest("p.x", "p.y").alias("b")).where("a <> b").distinct()
+    entry = bands.select("uid", F.explode("bands").alias("key"))
+    sizes = entry.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.xxhash64("uid"), "uid")).alias("lead"))
+    return entry.join(sizes.where("n > 1"), "key").select("key", "uid", "n", F.col("lead.uid").alias("lead"))
+
+
+def leader_pairs(entries: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) of every text and the leaders of its buckets: at most a pair per text and band."""
+    return _ordered(entries.select(F.col("lead").alias("x"), F.col("uid").alias("y")))
+
+
+def mixed_buckets(entries: DataFrame, roots: DataFrame) -> DataFrame:
+    """(key, uid, n, root, home) of buckets of three or more texts that still hold several classes.
+
+    home is the largest class of the bucket. Of buckets with the same members only one is kept. A
+    bucket of two is its leader and one other, so it has been verified.
+    """
+    classed = entries.where("n > 2").join(roots.select(F.col("node").alias("uid"), "root"), "uid", "left").withColumn(
+        "root", F.coalesce("root", "uid"))
+    per_class = classed.groupBy("key", "root").agg(
+        F.count(F.lit(1)).alias("c"), F.bit_xor(F.xxhash64("uid")).alias("x"), F.first("n").alias("n"))
+    homes = per_class.groupBy("key").agg(
+        F.max(F.struct("c", "root")).alias("home"), F.count(F.lit(1)).alias("classes"), F.bit_xor("x").alias("x"),
+        F.first("n").alias("n")).where("classes > 1")
+    once = homes.groupBy("n", "x").agg(F.min("key").alias("key"), F.min_by("home", "key").alias("home"))
+    return classed.join(once.select("key", F.col("home.root").alias("home")), "key")
+
+
+def links_within(mixed: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Links (a, b) between different classes within ``mixed_buckets``, by exact similarity.
+
+    A bucket is cut into parts of some PART_TEXTS texts; a text comes once to each part with its
+    elements. In a part every text outside the largest class is compared with all others, and one link
+    per class that it meets is returned. Parts of one bucket share its first LEADERS texts.
+    """
+    parts = F.ceil(F.col("n") / PART_TEXTS).cast("long")
+    mixed = written(mixed.withColumn("turn", F.xxhash64("uid", "key")).withColumn("parts", parts).withColumn(
+        "part", F.pmod("turn", "parts")), "mixed")
+    leaders = mixed.where("parts > 1 and part = 0").groupBy("key", "parts").agg(F.slice(F.sort_array(
+        F.collect_list(F.struct("turn", "uid", "root", "home"))), 1, LEADERS).alias("m"))  # of one part
+    shared = leaders.select("key", F.explode("m").alias("m"), "parts").select(
+        "key", F.explode(F.sequence(F.lit(1).cast("long"), F.col("parts") - 1)).alias("part"), "m.uid", "m.root", "m.home")
+    rows = mixed.select("key", "part", "uid", "root", "home").unionByName(shared)
+    uids = written(mixed.select("uid").distinct(), "uids")
+    sets = _sets(texts, uids, uids.count())
+
+    def work(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        uid, root = table.column("uid").to_pylist(), table.column("root").to_pylist()
+        home = table.column("home")[0].as_py()
+        lists = table.column("elements").combine_chunks()
+        values, cuts = lists.values.to_numpy(), lists.offsets.to_numpy()
+        size = np.diff(cuts)
+        owner = np.repeat(np.arange(len(uid)), size)
+        held = values[cuts[0]:cuts[-1]]
+        order = np.argsort(held, kind="stable")
+        held, owner = held[order], owner[order]
+        out: list[tuple[str, str]] = []
+        for i in range(len(uid)):
+            if root[i] == home:
+                continue
+            own = values[cuts[i]:cuts[i + 1]]
+            start, end = np.searchsorted(held, own), np.searchsorted(held, own, "right")
+            n = end - start
+            at = np.repeat(start - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())
+            common = np.bincount(owner[at], minlength=len(uid))
+            near = np.flatnonzero(common >= similarity * (size[i] + size - common))
+            met = {root[j]: j for j in near if root[j] != root[i]}
+            out += [(uid[i], uid[j]) for j in met.values()]
+        return pa.table({"a": pa.array([x for x, _ in out], pa.string()), "b": pa.array([y for _, y in out], pa.string())})
+
+    return rows.join(sets, "uid").groupBy("key", "part").applyInArrow(work, "a string, b string").distinct()
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def _sets(texts: DataFrame, uids: DataFrame, n: int) -> DataFrame:
+    """(uid, elements), once per wanted uid."""
+    chosen = with_elements(join_checked(texts, uids, "uid", "left_semi", n))
+    return written(chosen.groupBy("uid").agg(F.first("elements").alias("elements")), "elements")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -241,12 +299,10 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY)
     Only texts of pairs are shingled again. A text in many pairs is copied to as many salts as its
     pairs need, so no task holds all pairs of a leader.
     """
-    pairs = written(pairs, "pairs")
     both = pairs.select(F.col("a").alias("uid")).union(pairs.select(F.col("b").alias("uid")))
     degrees = written(both.groupBy("uid").agg(F.count(F.lit(1)).alias("n")), "degrees")
     n = degrees.count()
-    chosen = join_checked(texts, degrees.select("uid"), "uid", "left_semi", n)
-    sets = written(with_elements(chosen), "elements")
+    sets = _sets(texts, degrees.select("uid"), n)
     salts = F.ceil(F.col("n") / 64).cast("long")
 
     def side(name: str, other: str) -> DataFrame:
@@ -266,7 +322,7 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY)
 
 
 def text_classes(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, uid) of all rows, and per uid of a class of several texts (uid, root, links).
+    """(doc_id, uid) of all rows, and per uid of a class of several texts (uid, root).
 
     ``docs`` has doc_id and text. uid is the MD5 of the text; rows without a text or words have none.
     """
@@ -275,18 +331,21 @@ def text_classes(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataF
     signed = with_bands(distinct.select("uid", "text"))
     # equal texts have equal bands: one of them stays
     bands = written(signed.groupBy("uid").agg(F.first("bands").alias("bands")), "bands")
-    links = written(verified(candidate_pairs(bands), distinct, similarity), "links")
-    roots = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    degree = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node"))).groupBy("node").agg(
-        F.count(F.lit(1)).alias("links"))
-    return texts.select("doc_id", "uid"), roots.join(degree, "node").select(F.col("node").alias("uid"), "root", "links")
+    entries = written(bucket_entries(bands), "entries")
+    # most groups are whole after comparing with leaders; only buckets that still hold several classes go on
+    first = written(leader_pairs(entries), "pairs")
+    near = components(verified(first, distinct, similarity).select(F.col("a").alias("u"), F.col("b").alias("v")))
+    more = links_within(mixed_buckets(entries, near), distinct, similarity).select(
+        F.col("a").alias("u"), F.col("b").alias("v"))
+    roots = components(more.union(near.select(F.col("node").alias("u"), F.col("root").alias("v"))))
+    return texts.select("doc_id", "uid"), roots.select(F.col("node").alias("uid"), "root")
 
 
 def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """One row per document: doc_id, class_id, class_size, copies, links, keep.
+    """One row per document: doc_id, class_id, class_size, copies, keep.
 
     class_id is the smallest doc_id of the class (null ids come last), class_size its rows, copies the
-    rows with the same text, links the verified pairs of the text. keep marks the rows with the class
+    rows with the same text. keep marks the rows with the class
     id; repeated rows of one id are all marked, ``one_of_each`` leaves one. A row without words or text
     is a class of its own with its own id. Other columns are left out; no rows, no result.
     """
@@ -297,14 +356,13 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies")), "texts")
     rooted = per_text.join(roots, "uid", "left").withColumn("root", F.coalesce("root", "uid"))
     whole = rooted.groupBy("root").agg(F.min("least").alias("class_id"), F.sum("copies").alias("class_size"))
-    known = rooted.join(whole, "root").select("uid", "class_id", "class_size", "copies", F.coalesce("links", F.lit(0)).cast(
-        "long").alias("links"))
+    known = rooted.join(whole, "root").select("uid", "class_id", "class_size", "copies")
     known = written(known, "known")
     # hot texts are split by adaptive execution: both sides are read from written tables
     with_class = keyed.where("uid is not null").join(known, "uid").select(
-        "doc_id", "class_id", "class_size", "copies", "links")
+        "doc_id", "class_id", "class_size", "copies")
     alone = keyed.where("uid is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias(
-        "class_size"), F.lit(1).cast("long").alias("copies"), F.lit(0).cast("long").alias("links"))
+        "class_size"), F.lit(1).cast("long").alias("copies"))
     return with_class.unionByName(alone).withColumn("keep", F.col("doc_id").eqNullSafe(F.col("class_id")))
 
 
@@ -317,7 +375,7 @@ def one_of_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     keyed = written(keyed, "keyed")
     per_text = keyed.where("uid is not null").groupBy("uid").agg(
         F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"))
-    rooted = written(per_text.join(roots.select("uid", "root"), "uid", "left").withColumn(
+    rooted = written(per_text.join(roots, "uid", "left").withColumn(
         "root", F.coalesce("root", "uid")), "rooted")
     best = rooted.groupBy("root").agg(F.min(F.struct(F.col("least").isNull().alias("none"), "least", "uid")).alias("best"),
                                       F.sum("copies").alias("size"))

@@ -324,7 +324,12 @@ def test_large_groups_need_no_pair_per_pair(spark):
     entries = neardup.bucket_entries(bands)
     assert neardup.leader_pairs(entries).count() <= 700 * neardup.BANDS
     nothing = spark.createDataFrame([], "node string, root string")
-    assert neardup.rest_pairs(entries, nothing).count() <= 700 * neardup.BANDS * (neardup.PAIRWISE + neardup.LEADERS)
+    mixed = neardup.mixed_buckets(entries, nothing)
+    assert 0 < mixed.count() <= 700 * neardup.BANDS
+    # without the first round, comparing within buckets alone must find the class too
+    links = neardup.links_within(mixed, df.limit(700).select(F.md5("text").alias("uid"), "text"))
+    roots = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    assert (roots.count(), roots.select("root").distinct().count()) == (700, 1)
 
 
 def test_components_of_chains_stars_and_cycles(spark):
