@@ -36,7 +36,31 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("int").alias("grown_shard"), "row_number")
 
 
-@query("op3_secrets")
+def _secret_sql() -> str:
+    """Spans from the texts between matches and the matches, per kind."""
+    def found(rank: int, kind: str, pattern: str, group: int, least: int) -> str:
+        p = pattern.replace("'", "''")
+        return f"""SELECT rid, '{kind}' AS kind, {rank} AS rank, place AS start, place + length(ms[k]) AS "end" FROM (
+  SELECT *, coalesce(list_sum(list_transform(ps[1:k], lambda x: length(x))), 0)
+    + coalesce(list_sum(list_transform(ms[1:k - 1], lambda x: length(x))), 0) AS place FROM (
+    SELECT *, unnest(range(1, len(ms) + 1)) AS k FROM (
+      SELECT rid, regexp_extract_all(t, '{p}') AS ms, regexp_extract_all(t, '{p}', {group}) AS gs,
+        string_split_regex(t, '{p}') AS ps FROM d WHERE regexp_matches(t, '{p}'))))
+WHERE length(gs[k]) >= {least}"""
+
+    every = " UNION ALL ".join(found(i, k, *rule) for i, (k, rule) in enumerate(secrets.RULES.items()))
+    base = ", ".join(f"'{k}'" for k in secrets.BASE_RULES)
+    joined = """coalesce(string_agg(kind || ':' || start || ':' || "end", ',' ORDER BY start, rank){}, '')"""
+    counts = ", ".join(f"count(*) FILTER (WHERE kind = '{k}') AS n_{k}" for k in secrets.BASE_RULES)
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+s AS ({every})
+SELECT any_value(doc_id) AS doc_id, {counts},
+  sha256({joined.format(f" FILTER (WHERE kind IN ({base}))")}) AS base_sha256, {joined.format("")} AS spans
+FROM d LEFT JOIN s USING (rid) GROUP BY rid"""
+
+
+@query("op3_secrets", _secret_sql())
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every document: base counts and digest, and all spans."""
     found = secrets.scan(table(spark, sf_dir, "documents"), keep=["doc_id"])
@@ -47,7 +71,57 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(secrets.as_text(base), 256).alias("base_sha256"), secrets.as_text(F.col("found")).alias("spans"))
 
 
-@query("op4_quality")
+def _quality_sql() -> str:
+    """Line rules by lists of words; repeated windows by grouping them."""
+    def texts(words: list[str]) -> str:
+        return "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + "]"
+
+    blank = r"[ \x09-\x0D]"
+    marks = "|".join(f"[{m}][{m}]+" if m != "^" else r"\^\^+" for m in "!?#*$%&|<>=_~^")
+    menu = "|".join(quality.MENU_WORDS)
+    ends = texts([e.decode() for e in quality._ENDS])
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT rid, doc_id, t, list_filter(string_split_regex(t, '{blank}+'), lambda x: x <> '') AS ws FROM d),
+windows AS (SELECT rid, i, array_to_string(ws[i:i + 7], ' ') AS win FROM (
+  SELECT rid, ws, unnest(range(1, len(ws) - 6)) AS i FROM w WHERE len(ws) >= 8)),
+covered AS (SELECT rid, count(DISTINCT i + j) AS n FROM (
+  SELECT rid, i, unnest(range(0, 8)) AS j FROM (
+    SELECT rid, i, count(*) OVER (PARTITION BY rid, win) AS c FROM windows) WHERE c > 1) GROUP BY rid),
+lines AS (SELECT rid, line, k, list_filter(string_split_regex(line, '{blank}+'), lambda x: x <> '') AS ws,
+    string_split_regex(line, '[ \t]') AS tokens FROM (
+  SELECT rid, unnest(string_split(t, chr(10))) AS line,
+    generate_subscripts(string_split(t, chr(10)), 1) AS k FROM d)),
+judged AS (SELECT *, CASE
+    WHEN len(ws) = 0 THEN NULL
+    WHEN len(list_filter({texts(quality.BOILERPLATE)}, lambda p: contains(lower(line), p))) > 0 THEN 'boilerplate'
+    WHEN seps >= {quality.LEAST_SEPARATORS} AND 3 * seps >= len(ws) - seps THEN 'navigation'
+    WHEN len(ws) <= 4 AND regexp_full_match(trim(lower(line), chr(13)), '[ \t]*({menu})[ \t]*[:.>]*[ \t]*') THEN 'navigation'
+    WHEN len(ws) >= 10 AND 2 * len(list_filter(range(2, len(ws) + 1), lambda i: ws[i] = ws[i - 1])) > len(ws) THEN 'boilerplate'
+    WHEN len(list_filter(tokens, lambda x: regexp_matches(x, '({marks})[.,;:]?$')))
+      > CAST({quality.MOST_MARKED} AS DOUBLE) * len(ws) THEN 'punctuation'
+    WHEN len(ws) >= {quality.LEAST_WORDS}
+      AND NOT list_bool_or(list_transform({ends}, lambda e: ends_with(ws[-1], e))) THEN 'punctuation'
+    END AS rule, strlen(array_to_string(ws, '')) AS held,
+    row_number() OVER (PARTITION BY rid, line ORDER BY k) > 1 AS again FROM (
+  SELECT *, len(list_filter(tokens, lambda x: x IN ('|', '>', '>>', '/', '»', '›', '·', '•'))) AS seps FROM lines)),
+per AS (SELECT rid, count(*) FILTER (WHERE again AND held > 0) AS n_dup_lines,
+    coalesce(sum(held) FILTER (WHERE rule IS NULL), 0) AS good, sum(held) AS held,
+    count(*) FILTER (WHERE rule = 'punctuation') AS n_bad_punctuation,
+    count(*) FILTER (WHERE rule = 'navigation') AS n_navigation,
+    count(*) FILTER (WHERE rule = 'boilerplate') AS n_boilerplate FROM judged GROUP BY rid),
+f AS (SELECT w.doc_id, len(ws) AS n_words, coalesce(length(array_to_string(ws, '')), 0) AS word_chars,
+    length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, n_dup_lines,
+    coalesce(covered.n, 0) AS n_repeat_words, good, held, n_bad_punctuation, n_navigation, n_boilerplate
+  FROM w JOIN per USING (rid) LEFT JOIN covered USING (rid)),
+b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+    CASE WHEN held > 0 THEN good / CAST(held AS DOUBLE) ELSE 0 END AS kept_share FROM f)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND kept_share >= CAST({quality.LEAST_KEPT} AS DOUBLE) AS kept, kept_share,
+  n_bad_punctuation, n_navigation, n_boilerplate FROM b"""
+
+
+@query("op4_quality", _quality_sql())
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base figures and verdict of every document, and the lines that failed each rule."""
     return quality.assess(table(spark, sf_dir, "documents"))
