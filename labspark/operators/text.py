@@ -208,7 +208,8 @@ def in_reading_order(spans: DataFrame) -> DataFrame:
 
 def by_confidence(triples: DataFrame) -> DataFrame:
     """Add ``place``: the rank of the triple in its document, most confident first."""
-    order = Window.partitionBy("doc_id").orderBy(F.desc("confidence"), "subject", "relation", "object")
+    order = Window.partitionBy("doc_id").orderBy(
+        F.desc("confidence"), "subject_entity", "relation", "object_entity")
     return triples.withColumn("place", F.row_number().over(order).cast("long"))
 
 

@@ -243,3 +243,14 @@ SELECT (SELECT count(DISTINCT p_brand) FROM part) AS total_fields,
 def dictionary_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     fields = _brands(spark, sf_dir).withColumn("ord", F.lit(0))
     return dictionary.dictionary_stats(fields, dictionary.alias_index(fields))
+
+
+@query("field_meta", f"""
+SELECT standard_name, array_to_string(alias_names, ',') AS alias_names FROM ({_brands_sql})
+WHERE standard_name = (SELECT min(p_brand) FROM part)""")
+def field_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The row of one field: the first brand."""
+    fields = _brands(spark, sf_dir)
+    first = fields.agg(F.min("standard_name")).first()[0]
+    return dictionary.field_meta(fields, first).select(
+        "standard_name", F.array_join("alias_names", ",").alias("alias_names"))

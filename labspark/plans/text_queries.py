@@ -10,8 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labspark import clinical_terms as ct
+from labspark import schemas
 from labspark.operators import fusion, learning, text
 from labspark.plans.registry import ORACLE, query, spread, table
+from labspark.sources import readers
 
 # Term dictionary, triggers and separators of these queries.
 TERMS = [
@@ -277,15 +279,30 @@ def clinical_notes_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.document_summary(docs, entities, triples)
 
 
-@query("dialogue_counts", """
-SELECT role, count(*) FILTER (WHERE trim(text) <> '' AND turn > 0) AS kept,
-  count(*) FILTER (WHERE NOT (trim(text) <> '' AND turn > 0)) AS skipped
-FROM conversations GROUP BY 1""")
+@query("dialogue_counts", r"""
+SELECT count(*) FILTER (WHERE kept) AS kept, count(*) FILTER (WHERE NOT kept) AS skipped FROM (
+  SELECT regexp_replace(text, '\s', '', 'g') <> '' AND turn > 0 AS kept FROM conversations)""")
 def dialogue_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Kept and skipped dialogue records."""
-    kept = (F.trim("text") != "") & (F.col("turn") > 0)
-    return table(spark, sf_dir, "conversations").groupBy("role").agg(
-        F.count_if(kept).alias("kept"), F.count_if(~kept).alias("skipped"))
+    """Kept and skipped dialogue records, parsed from keyed JSON texts."""
+    record = F.struct(F.col("text").alias("self_report"), F.when(
+        F.col("turn") > 0, F.col("role")).otherwise(" ").alias("diagnosis"))
+    key = F.concat_ws("-", "conv_id", "turn")
+    texts = table(spark, sf_dir, "conversations").select(
+        F.to_json(F.create_map(key, record)).alias("value"))
+    return readers.dialogue_counts(readers.dialogues(
+        readers.parse_keyed_json(texts, schemas.DIALOGUE, "record_id")))
+
+
+@query("text_triples_ranked", f"""
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id
+    ORDER BY confidence DESC, subject_entity, relation, object_entity) AS place,
+  subject_entity, relation, object_entity, confidence FROM ({ORACLE['text_triples']})""")
+def text_triples_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Relations of every document, the most confident first."""
+    triples = text.extract_triples(
+        _status(spark, sf_dir), _docs(spark, sf_dir), RELATIONS, SENTENCES)
+    return text.by_confidence(triples).select(
+        "doc_id", "place", "subject_entity", "relation", "object_entity", "confidence")
 
 
 @query("class_distribution", "SELECT lang, count(*) AS n FROM documents GROUP BY 1")

@@ -76,25 +76,33 @@ def read_notes(spark: SparkSession, path: str) -> DataFrame:
         F.regexp_replace(name, r"\.[^.]*$", "").alias("doc_id"), F.col("value").alias("text"))
 
 
-def read_keyed_json(spark: SparkSession, path: str, value: str | T.StructType,
-                    key: str = "case_id") -> DataFrame:
-    """Files holding ``{key: {...}}`` as one row per key.
+def parse_keyed_json(texts: DataFrame, value: str | T.StructType, key: str = "case_id",
+                     text: str = "value") -> DataFrame:
+    """JSON texts of the form ``{key: {...}}``, one row per key.
 
-    Every value is parsed on its own: one that is no object gives a row of nulls, not a lost file.
+    Every value is parsed on its own: one that is no object gives a row of nulls, not a lost text.
     """
     value = schemas.struct(value)
-    entries = F.from_json("value", T.MapType(T.StringType(), T.StringType()))
-    rows = (
-        spark.read.text(path, wholetext=True).select(F.explode(entries).alias(key, "__t"))
-        .select(key, F.from_json("__t", value).alias("__v"))
-    )
+    entries = F.from_json(text, T.MapType(T.StringType(), T.StringType()))
+    rows = texts.select(F.explode(entries).alias(key, "__t")).select(
+        key, F.from_json("__t", value).alias("__v"))
     fields = [f for f in value.names if f != key]
     return rows.select(key, *[F.col(f"__v.{f}").alias(f) for f in fields])
 
 
+def read_keyed_json(spark: SparkSession, path: str, value: str | T.StructType,
+                    key: str = "case_id") -> DataFrame:
+    """Files of the form that :func:`parse_keyed_json` takes, each read whole."""
+    return parse_keyed_json(spark.read.text(path, wholetext=True), value, key)
+
+
 def read_dialogues(spark: SparkSession, path: str) -> DataFrame:
-    """Keyed dialogue records with a ``kept`` mark: both texts present after trimming."""
-    rows = read_keyed_json(spark, path, schemas.DIALOGUE, "record_id")
+    """Files of keyed dialogue records with a ``kept`` mark."""
+    return dialogues(read_keyed_json(spark, path, schemas.DIALOGUE, "record_id"))
+
+
+def dialogues(rows: DataFrame) -> DataFrame:
+    """Dialogue records with a ``kept`` mark: both texts present after trimming."""
     trimmed = rows.withColumns({
         c: F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)^\s+|\s+$", "")
         for c in ("self_report", "diagnosis")})
