@@ -25,7 +25,37 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-@query("op2_sharding")
+def _sharding_sql() -> str:
+    """CRC-32 byte by byte, row numbers, and the Feistel rounds walked until they are in range."""
+    def crc_entry(n: int) -> int:
+        for _ in range(8):
+            n = (n >> 1) ^ (0xEDB88320 if n & 1 else 0)
+        return n
+
+    def once(source: str) -> str:
+        """The relation (x, v, a, n) after one pass of all rounds over v."""
+        text = f"SELECT x, a, n, v // a AS l, v % a AS r FROM {source}"
+        for mult, add, last in sharding.round_keys(17):
+            text = f"SELECT x, a, n, r AS l, r AS old, l AS ll, (r * {mult} + {add}) % {sharding.PRIME} AS m FROM ({text})"
+            text = (f"SELECT x, a, n, old AS l, (ll + m * ((m + {last}) % {sharding.PRIME}) % {sharding.PRIME}) % a AS r"
+                    f" FROM ({text})")
+        return f"SELECT x, l * a + r AS v, a, n FROM ({text})"
+
+    return f"""
+WITH RECURSIVE crc AS (SELECT {[crc_entry(n) for n in range(256)]}::UBIGINT[] AS entries),
+d AS (SELECT doc_id, strlen(coalesce(text, '')) + 1 AS size, xor(list_reduce(
+    [4294967295::UBIGINT] || list_transform(range(1, strlen(coalesce(text, '')) + 1),
+      lambda i: ('0x' || substr(h, 2 * i - 1, 2))::UBIGINT),
+    lambda c, b: xor(c >> 8, entries[(xor(c, b) & 255)::BIGINT + 1])), 4294967295::UBIGINT)::BIGINT AS text_crc32
+  FROM (SELECT *, hex(encode(coalesce(text, ''))) AS h FROM documents), crc),
+o AS (SELECT *, row_number() OVER (ORDER BY doc_id NULLS FIRST, text_crc32, size) - 1 AS x, count(*) OVER () AS n FROM d),
+start AS (SELECT x, x AS v, CAST(ceil(sqrt(n)) AS BIGINT) AS a, n FROM o),
+walk(x, v, a, n) AS ({once("start")} UNION ALL {once("(SELECT * FROM walk WHERE v >= n)")})
+SELECT doc_id, size, text_crc32, 'rows' AS law, (v % 16)::INTEGER AS shard, (v // 16)::BIGINT AS slot,
+  NULL::INTEGER AS grown_shard, o.x AS row_number FROM o JOIN walk ON walk.x = o.x AND walk.v < walk.n"""
+
+
+@query("op2_sharding", _sharding_sql())
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents into 16 shards whose row counts are at most one apart."""
     text = F.coalesce("text", F.lit(""))
