@@ -12,6 +12,12 @@ from pyspark.sql import types as T
 from labspark.catalog import NAMESPACE_COLUMNS, QUALITY_THRESHOLD, TEXTURE_FIELDS
 
 NAMESPACES = tuple(NAMESPACE_COLUMNS)
+# types of namespace fields that are no numbers, for columns that no fragment has
+_OTHER_TYPES = {
+    "primary_disease": "string", "negation_count": "long", "total_entities": "long",
+    "has_nodule": "boolean", "disease_list": "array<string>", "artifact_severity": "string",
+    "motion_blur_present": "boolean",
+}
 # flag names of the completeness struct, in its order
 COMPLETENESS = {
     "has_clinical_nlp": "d_group_nlp", "has_time_series_labs": "d_group_stats",
@@ -130,15 +136,16 @@ def wide_table(fragments: Mapping[str, DataFrame], key: str = "case_id",
                patients: DataFrame | None = None, timestamp: str | None = None) -> DataFrame:
     """The aligned wide table: renamed features, completeness, quality warning, connections.
 
-    ``timestamp`` is a job parameter, so that a rerun gives the same rows.
+    Every column of all six namespaces is there, null where no fragment has it, so the schema
+    does not depend on the input.  ``timestamp`` is a job parameter, so that a rerun gives the same rows.
     """
     gathered = gather_namespaces(fragments, key)
     features: dict[str, Column] = {}
     for name, mapping in NAMESPACE_COLUMNS.items():
         have = _fields(gathered, name)
         for raw, flat in mapping.items():
-            if raw in have:
-                features[flat or raw] = F.col(f"{name}.{raw}")
+            features[flat or raw] = F.col(f"{name}.{raw}") if raw in have else F.lit(None).cast(
+                _OTHER_TYPES.get(raw, "double"))
     if "group_e_radiomics" in fragments:
         features["radiomics_texture_mean"] = radiomics_mean(gathered)
     if "d_group_nlp" in fragments and "entities" in _fields(gathered, "d_group_nlp"):

@@ -23,13 +23,15 @@ def _time_order(time: str, tie: str | None) -> Column:
 
 
 def trajectory_features(df: DataFrame, keys: Sequence[str], value: str, order: Sequence[str],
-                        max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+                        max_group_rows: int = MAX_GROUP_ROWS, carry: Sequence[str] = (),
+                        extra: Sequence[Column] = ()) -> DataFrame:
     """Baseline, latest, extremes, mean, sample std, slope over position and change rate.
 
-    Series of fewer than two points are dropped.
+    Series of fewer than two points are dropped.  ``extra`` are further aggregates of the points,
+    over the ``carry`` columns.
     """
     points = with_positions(
-        df.filter(F.col(value).isNotNull()).select(*dict.fromkeys([*keys, *order, value])),
+        df.filter(F.col(value).isNotNull()).select(*dict.fromkeys([*keys, *order, value, *carry])),
         keys, order, "pos", max_group_rows)
     v = F.col(value)
     return (
@@ -39,7 +41,7 @@ def trajectory_features(df: DataFrame, keys: Sequence[str], value: str, order: S
              F.max_by(v, "pos").alias("latest_value"),
              F.max(v).alias("max_value"), F.min(v).alias("min_value"),
              F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"),
-             F.regr_slope(v, F.col("pos").cast("double")).alias("slope"))
+             F.regr_slope(v, F.col("pos").cast("double")).alias("slope"), *extra)
         .filter(F.col("n_points") >= 2)
         .withColumn("change_rate", change_rate(F.col("baseline_value"), F.col("latest_value")))
     )

@@ -75,6 +75,14 @@ _warning_sql = """coalesce(score < CAST(0.6 AS DOUBLE), FALSE)
     OR coalesce(lower(severity) IN ('severe', 'moderate'), FALSE) OR coalesce(blur, FALSE)"""
 
 
+# columns that no fragment of these queries has
+_absent_sql = ", ".join(f'NULL AS "{c}"' for c in (
+    "disease_list", "Creatinine_latest", "HbA1c_latest", "ALT_latest", "GLU_baseline", "GLU_change_rate",
+    "sim_vessel_density", "sim_tissue_elasticity", "sim_thermal_diffusivity", "image_snr_db",
+    "patho_seg_dice", "patho_cell_density", "patho_mitosis_count", "patho_ki67_pct",
+    "radiomics_glcm_contrast", "radiomics_shape_sphericity"))
+
+
 @query("case_align", f"""
 WITH {_fragments_sql}
 SELECT case_id, primary_disease, total_entities AS nlp_total_entities, negation_count,
@@ -86,7 +94,7 @@ SELECT case_id, primary_disease, total_entities AS nlp_total_entities, negation_
     AS radiomics_texture_mean,
   round(ts, 6) AS radiomics_texture_std, round(ge, 6) AS radiomics_glcm_entropy,
   {_warning_sql} AS quality_artifact_warning, present AS total_groups_connected,
-  CASE WHEN label = 9 THEN 1 ELSE 0 END AS n_warnings
+  CASE WHEN label = 9 THEN 1 ELSE 0 END AS n_warnings, {_absent_sql}
 FROM j""")
 def case_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five namespaces aligned on the case id, one shuffle of the key."""

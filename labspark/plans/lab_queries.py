@@ -96,11 +96,11 @@ GROUP BY p.user_id, p.event_type HAVING count(*) >= 2""")
 def labs_abnormal_trajectory(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reference ranges, abnormal flags and trajectory features per patient and item."""
     flagged = labs.with_flag(_ranged(spark, sf_dir))
-    counts = flagged.groupBy(*KEYS).agg(
-        F.count_if(F.col("abnormal_flag") != "normal").alias("n_abnormal"),
-        F.count_if(F.col("abnormal_flag").startswith("critical")).alias("n_critical"))
-    features = trends.trajectory_features(events(spark, sf_dir), KEYS, "value", ORDER)
-    return rounded(features.join(counts, KEYS), "mean", "std", "slope", "change_rate")
+    features = trends.trajectory_features(
+        flagged, KEYS, "value", ORDER, carry=["abnormal_flag"], extra=[
+            F.count_if(F.col("abnormal_flag") != "normal").alias("n_abnormal"),
+            F.count_if(F.col("abnormal_flag").startswith("critical")).alias("n_critical")])
+    return rounded(features, "mean", "std", "slope", "change_rate")
 
 
 @query("lab_flag_counts", f"""
