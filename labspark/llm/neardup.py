@@ -169,7 +169,7 @@ def band_keys(column: pa.Array) -> list[np.ndarray | None]:
     return [keys[i] if some[i] else None for i in range(len(column))]
 
 
-def _batches(batch: pa.RecordBatch, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+def _batches(batch: pa.RecordBatch, most: int = 1_500_000) -> Iterator[pa.RecordBatch]:
     """Slices of a batch of some ``most`` text bytes (column 1), at least a row each."""
     start, held = 0, 0
     for i, length in enumerate(pc.binary_length(batch.column(1)).to_pylist()):
