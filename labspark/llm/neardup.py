@@ -242,7 +242,8 @@ def links_within(mixed: DataFrame, texts: DataFrame, similarity: float = SIMILAR
 
     A bucket is cut into parts of some PART_TEXTS texts; a text comes once to each part with its
     elements. In a part every text outside the largest class is compared with all others, and one link
-    per class that it meets is returned. Parts of one bucket share its first LEADERS texts.
+    per class that it meets is returned. Parts of one bucket share its first LEADERS texts. Texts of
+    different parts are left to ``links_across``.
     """
     parts = F.ceil(F.col("n") / PART_TEXTS).cast("long")
     mixed = written(mixed.withColumn("turn", F.xxhash64("uid", "key")).withColumn("parts", parts).withColumn(
@@ -252,13 +253,43 @@ def links_within(mixed: DataFrame, texts: DataFrame, similarity: float = SIMILAR
     shared = leaders.select("key", F.explode("m").alias("m"), "parts").select(
         "key", F.explode(F.sequence(F.lit(1).cast("long"), F.col("parts") - 1)).alias("part"), "m.uid", "m.root", "m.home")
     rows = mixed.select("key", "part", "uid", "root", "home").unionByName(shared)
-    uids = written(mixed.select("uid").distinct(), "uids")
+    return _compared(rows.withColumn("asks", F.col("root") != F.col("home")), ["key", "part"], texts, similarity)
+
+
+def links_across(mixed: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """All links (a, b) that split buckets still lack, by exact similarity, one per text and class it meets
+    in a group.
+
+    ``mixed`` are the ``mixed_buckets`` of more than PART_TEXTS texts after ``links_within``. The texts outside
+    the largest class are cut into blocks, and each block meets each part of its bucket in a group of its own,
+    so every pair of different classes is compared, whatever the size of the bucket.
+    """
+    turn = F.xxhash64("uid", "key")
+    outside = F.col("root") != F.col("home")
+    blocks = mixed.groupBy("key").agg(
+        F.ceil(F.count(F.lit(1)) / PART_TEXTS).cast("long").alias("parts"),
+        F.ceil(F.count(F.when(outside, 1)) / PART_TEXTS).cast("long").alias("blocks"))
+    sized = written(mixed.select("key", "uid", "root", "home").join(blocks, "key"), "split")
+    every = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
+    held = sized.withColumn("part", F.pmod(turn, "parts")).withColumn("block", F.explode(every)).withColumn(
+        "asks", F.lit(False))
+    asking = sized.where(outside).withColumn("block", F.pmod(turn, "blocks")).withColumn("part", F.explode(
+        F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).withColumn("asks", F.lit(True))
+    # an asking text of the part itself comes once
+    rows = held.unionByName(asking).groupBy("key", "block", "part", "uid", "root", "home").agg(
+        F.max("asks").alias("asks"))
+    return _compared(rows, ["key", "block", "part"], texts, similarity)
+
+
+def _compared(rows: DataFrame, group: list[str], texts: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) of the rows (..., uid, root, asks) that ask with all others of their group."""
+    uids = written(rows.select("uid").distinct(), "uids")
     sets = _sets(texts, uids, uids.count())
 
     def work(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         uid, root = table.column("uid").to_pylist(), table.column("root").to_pylist()
-        home = table.column("home")[0].as_py()
+        asks = table.column("asks").to_pylist()
         lists = table.column("elements").combine_chunks()
         values, cuts = lists.values.to_numpy(), lists.offsets.to_numpy()
         size = np.diff(cuts)
@@ -268,7 +299,7 @@ def links_within(mixed: DataFrame, texts: DataFrame, similarity: float = SIMILAR
         held, owner = held[order], owner[order]
         out: list[tuple[str, str]] = []
         for i in range(len(uid)):
-            if root[i] == home:
+            if not asks[i]:
                 continue
             own = values[cuts[i]:cuts[i + 1]]
             start, end = np.searchsorted(held, own), np.searchsorted(held, own, "right")
@@ -280,7 +311,7 @@ def links_within(mixed: DataFrame, texts: DataFrame, similarity: float = SIMILAR
             out += [(uid[i], uid[j]) for j in met.values()]
         return pa.table({"a": pa.array([x for x, _ in out], pa.string()), "b": pa.array([y for _, y in out], pa.string())})
 
-    return rows.join(sets, "uid").groupBy("key", "part").applyInArrow(work, "a string, b string").distinct()
+    return rows.select(*group, "uid", "root", "asks").join(sets, "uid").groupBy(*group).applyInArrow(work, "a string, b string").distinct()
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
@@ -338,6 +369,11 @@ def text_classes(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataF
     more = links_within(mixed_buckets(entries, near), distinct, similarity).select(
         F.col("a").alias("u"), F.col("b").alias("v"))
     roots = components(more.union(near.select(F.col("node").alias("u"), F.col("root").alias("v"))))
+    # parts of a split bucket have not met; those of buckets that are still of several classes do now
+    split = written(mixed_buckets(entries.where(F.col("n") > PART_TEXTS), roots), "split")
+    if not split.isEmpty():
+        rest = links_across(split, distinct, similarity).select(F.col("a").alias("u"), F.col("b").alias("v"))
+        roots = components(rest.union(roots.select(F.col("node").alias("u"), F.col("root").alias("v"))))
     return texts.select("doc_id", "uid"), roots.select(F.col("node").alias("uid"), "root")
 
 

@@ -332,6 +332,25 @@ def test_large_groups_need_no_pair_per_pair(spark):
     assert (roots.count(), roots.select("root").distinct().count()) == (700, 1)
 
 
+def test_split_buckets_lose_no_link(spark, monkeypatch):
+    # one bucket of 1,240 texts: 300 families of near copies and 40 single texts; parts hold some 250 texts
+    rng = random.Random(12)
+    families = []
+    for size in [4] * 300 + [1] * 40:
+        words = [rng.choice(WORDS) for _ in range(24)]
+        families.append([" ".join([*words[:-1], f"end{i}"]) for i in range(size)])
+    rows = [(f, text) for f, family in enumerate(families) for text in family]
+    rows = [(i, f, text) for i, (f, text) in enumerate(rows)]
+    df = spark.createDataFrame(rows, "doc_id long, family long, text string")
+    monkeypatch.setattr(neardup, "with_bands", lambda texts: texts.select(
+        "uid", F.array(F.lit(7).cast("long")).alias("bands")))
+    found = {r["doc_id"]: r["class_id"] for r in neardup.classes(df).collect()}
+    least = {}
+    for i, f, _ in rows:
+        least.setdefault(f, i)
+    assert found == {i: least[f] for i, f, _ in rows}
+
+
 def test_components_of_chains_stars_and_cycles(spark):
     edges = [(i, i + 1) for i in range(100, 160)] + [(5, i) for i in range(200, 260)] + [(1, 2), (2, 3), (3, 1), (7, 7), (None, 4)]
     found = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
