@@ -3,10 +3,12 @@
 1. quality: rejected documents go; the others stay whole.
 2. near_duplicates: one document of each near-duplicate class stays, the one with the smallest doc_id.
 3. secrets: found secrets are replaced by a mark in the text; no document goes.
-4. mixing: the rows get the order of a stream that holds the target weights of the sources; none goes.
-5. packing: the texts become pieces of at most 2048 tokens, placed in as few sequences as possible.
+4. mixing: the rows get the order of a stream that holds the target weights of the sources; none goes. Their
+   places are the added columns mix_slot and mix_offset.
+5. packing: the texts become pieces of at most 2048 tokens. Each window of WINDOW_SLOTS slots of the stream is packed
+   in as few sequences as possible; sequences are numbered along the stream.
 
-All stages but the last return the columns of their input, extra columns included. Null doc_ids stay null,
+All stages but the last return the columns of their input, extra columns included; mixing adds its two. Null doc_ids stay null,
 repeated rows of one id and text count as copies, and an empty table passes through as an empty one.
 """
 
@@ -16,10 +18,14 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from labspark.llm import mixing, neardup, packing, quality, secrets
 from labspark.llm.shared import table, written
 
+#: Slots of the stream that are packed together: four cycles of the default weights.
+WINDOW_SLOTS = 4 * (sum(mixing.WEIGHTS.values()) + mixing.OTHER_WEIGHT)
+
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.kept_documents(docs)
@@ -34,11 +40,13 @@ def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mixed_documents(docs)
+    return mixing.mixed_documents(docs, with_places=True)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(packing.pieces(docs, public_tokenizers.path("byte_bpe_50k.json")))
+    parts = packing.pieces(docs, public_tokenizers.path("byte_bpe_50k.json"), keep=("mix_slot", "mix_offset"))
+    windows = parts.withColumn("_window", F.floor(F.col("mix_slot") / WINDOW_SLOTS))
+    return packing.pack_in_order(windows, ["mix_slot", "mix_offset"], "_window")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -93,18 +93,23 @@ def mix(df: DataFrame, order: list[str], source: str = "source", weights: dict[s
         "_cycle", "_of")
 
 
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+def mixed_documents(docs: DataFrame, with_places: bool = False, **options) -> DataFrame:
     """The documents as files in stream order: ranges of slots, sorted within each file.
 
-    Only (source, order columns) go through the numbering; the texts are shuffled once.
+    Only (source, order columns) go through the numbering; the texts are shuffled once. ``with_places`` adds
+    mix_slot and mix_offset, the place in the stream, for those that read the files again (columns of these
+    names are replaced).
     """
+    places = ["mix_slot", "mix_offset"]
     keyed = docs.withColumn("_digest", F.md5(F.coalesce("text", F.lit(""))))
     keys = mix(keyed.select("doc_id", "source", "_digest").distinct(), ["_digest", "doc_id"], **options)
-    places = written(keys.select("doc_id", "source", "_digest", "slot", "offset"), "places")
-    joined = keyed.alias("d").join(places.alias("p"), F.col("d.doc_id").eqNullSafe(F.col("p.doc_id"))
+    found = written(keys.select("doc_id", "source", "_digest", "slot", "offset"), "places")
+    joined = keyed.alias("d").join(found.alias("p"), F.col("d.doc_id").eqNullSafe(F.col("p.doc_id"))
                                    & F.col("d.source").eqNullSafe(F.col("p.source"))
                                    & (F.col("d._digest") == F.col("p._digest")))
-    columns = [F.col(f"d.{c}") for c in docs.columns]
+    columns = [F.col(f"d.{c}") for c in docs.columns if not (with_places and c in places)]
+    if with_places:
+        columns += [F.col("p.slot").alias("mix_slot"), F.col("p.offset").alias("mix_offset")]
     return joined.select(*columns, F.col("p.slot").alias("_slot"), F.col("p.offset").alias("_offset")
                          ).repartitionByRange("_slot", "_offset").sortWithinPartitions("_slot", "_offset"
                          ).drop("_slot", "_offset")

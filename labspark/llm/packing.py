@@ -19,8 +19,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from labspark.llm.shared import written
+from labspark.llm.shared import numbered, written
 
 LENGTH = 2048
 END_ID = 0
@@ -60,8 +61,9 @@ def token_ids(text: str, path: str) -> np.ndarray:
     return np.append(np.array(ids, np.uint32), np.uint32(END_ID))
 
 
-def pieces(docs: DataFrame, path: str, length: int = LENGTH, with_ids: bool = False) -> DataFrame:
-    """Per piece: doc_id, piece, start, length, ids_crc32 and, if asked for, ids.
+def pieces(docs: DataFrame, path: str, length: int = LENGTH, with_ids: bool = False,
+           keep: tuple[str, ...] = ()) -> DataFrame:
+    """Per piece: doc_id, piece, start, length, ids_crc32 and, if asked for, ids; then the columns of ``keep``.
 
     ``docs`` has doc_id and text (null: empty; others are left out). A document gives at least one piece.
     """
@@ -84,11 +86,13 @@ def pieces(docs: DataFrame, path: str, length: int = LENGTH, with_ids: bool = Fa
                       *[pa.array(c, pa.int64()) for c in columns[1:4]]]
             if with_ids:
                 arrays.append(pa.array(columns[4], pa.list_(pa.int32())))
+            arrays += [batch.column(2 + i).take(pa.array(at, pa.int64())) for i in range(len(keep))]
             yield pa.RecordBatch.from_arrays(arrays, names)
 
-    names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
+    names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids + list(keep)
     schema = f"doc_id {key}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
-    return docs.select("doc_id", "text").mapInArrow(work, schema)
+    schema += "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in keep)
+    return docs.select("doc_id", "text", *keep).mapInArrow(work, schema)
 
 
 def patterns(lengths: np.ndarray, capacity: int) -> np.ndarray:
@@ -257,6 +261,37 @@ def pack(parts: DataFrame, length: int = LENGTH) -> DataFrame:
     return placed.unionByName(full)
 
 
+def pack_in_order(parts: DataFrame, order: list[str], window: str, length: int = LENGTH) -> DataFrame:
+    """Add sequence_id and offset to pieces of a stream, so that ranges of sequences hold ranges of the stream.
+
+    Pieces of one ``window`` (a column; windows are ranges of ``order``) are planned together and share no
+    sequence with others. Sequences are numbered from 0 by the first piece of the stream that they hold.
+    A window's pieces that are not full come to one task, so windows must be bounded; full pieces are
+    sequences of their own and are only numbered. No pieces, no rows.
+    """
+    fixed = written(parts.withColumn("_row", F.monotonically_increasing_id()), "pieces")
+    schema = StructType([*fixed.schema.fields, StructField("_local", LongType()), StructField("offset", LongType())])
+
+    def place(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([(c, "ascending") for c in [*order, "_row"]])
+        lengths = rows.column("length").to_numpy().astype(np.int64)
+        table, _, _ = plan(np.bincount(lengths, minlength=length + 1), length)
+        ranks = pd.Series(lengths).groupby(lengths).cumcount().to_numpy(np.int64)
+        keys = table[:, 0] * (1 << 48) + table[:, 1]
+        found = table[np.searchsorted(keys, lengths * (1 << 48) + ranks, "right") - 1]
+        return rows.append_column("_local", pa.array(found[:, 2] + ranks - found[:, 1], pa.int64())).append_column(
+            "offset", pa.array(found[:, 3], pa.int64()))
+
+    short = fixed.where(F.col("length") < length).groupBy(window).applyInArrow(place, schema)
+    full = fixed.where(F.col("length") == length).select(
+        *fixed.columns, (-F.col("_row") - 1).alias("_local"), F.lit(0).cast("long").alias("offset"))
+    placed = written(short.unionByName(full), "placed")
+    firsts = placed.groupBy(window, "_local").agg(F.min(F.struct(*order, "_row")).alias("_first"))
+    ids = numbered(firsts, ["_first"], "sequence_id").select(window, "_local", "sequence_id")
+    return placed.join(ids, [window, "_local"]).select(
+        *[c for c in parts.columns if c != window], "sequence_id", "offset")
+
+
 def sequences(packed: DataFrame) -> DataFrame:
     """The token ids of each sequence (at most the sequence length, so a group is bounded): sequence_id, ids, doc_ids."""
     whole = packed.groupBy("sequence_id").agg(F.sort_array(F.collect_list(F.struct("offset", "doc_id", "ids"))).alias("p"))

@@ -501,6 +501,32 @@ def test_pipeline_matches_a_brute_force_version(spark, tmp_path, tokenizer_path)
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality", "near_duplicates", "secrets", "mixing", "packing"]
 
 
+def test_prefixes_of_sequences_hold_the_weights(spark, tokenizer_path, monkeypatch):
+    import corpus_pipeline
+    monkeypatch.setattr(corpus_pipeline, "WINDOW_SLOTS", 28)
+    rng = random.Random(14)
+    # a hot source whose texts are much longer than the others
+    rows = [(i, prose(rng, 900 if i % 2 else rng.randint(5, 40)), "src0" if i % 2 else "src1") for i in range(6000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    mixed = corpus_pipeline.mixing_stage(spark, docs, "").repartition(7)
+    out = corpus_pipeline.packing_stage(spark, mixed, "").collect()
+    assert {r["doc_id"] for r in out} == set(range(6000))
+    room = collections.Counter()
+    for r in out:
+        room[r["sequence_id"]] += r["length"]
+    assert sorted(room) == list(range(len(room))) and max(room.values()) <= packing.LENGTH
+    # of nine places src0 has six and src1 three, while both last
+    first = {}
+    for r in sorted(out, key=lambda r: r["sequence_id"]):
+        first.setdefault(r["doc_id"], r["sequence_id"])
+    order = [rows[i][2] for i in sorted(first, key=first.get)]
+    windows = [r["mix_slot"] // 28 for r in sorted(out, key=lambda r: r["sequence_id"])]
+    assert windows == sorted(windows)
+    n = sum(r["mix_slot"] < 56 for r in out if r["piece"] == 0)
+    share = order[:n].count("src0") / n
+    assert abs(share - 2 / 3) < 0.02, share
+
+
 def test_digest_of_no_spans_is_that_of_the_empty_text(spark, tmp_path):
     from labspark.llm import queries
     spark.createDataFrame([(1, None, "en", "s", 0)], "doc_id long, text string, lang string, source string, n_chars long"
