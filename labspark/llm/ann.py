@@ -28,6 +28,8 @@ RECALL = 0.97
 SAMPLE = 100
 #: Index rows that a part of a table should hold; larger parts are cut.
 PART_ROWS = 8192
+#: Rows of a block when queries are compared with all rows.
+BLOCK_ROWS = 1024
 WIDTHS = [0.5 * 1.12 ** i for i in range(40)]
 
 
@@ -164,7 +166,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     Both tables have vec_id and embedding (others are left out). A query's own vec_id is no candidate;
     rows with the same id and vector count once; ties go to the smaller vec_id. Vectors that are null,
     zero, hold null or non-finite components, or are not as long as the most common length, take no part.
-    Fewer than k candidates found: fewer rows. No usable rows: no result.
+    A query whose cells hold fewer than k candidates is compared with all rows, so it has fewer than k rows
+    only if fewer candidates exist. No usable rows: no result.
 
     Of equal vectors only the k + 1 smallest ids enter the index (no other can be among the first k),
     so a vector that many rows share makes no hot bucket.
@@ -246,8 +249,49 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
         rerank, f"query_id {id_kind}, vec_id {id_kind}, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     # tables give the same score to the same pair; ids are compared within a query
-    return found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).withColumn(
-        "rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    ranked = written(found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).withColumn(
+        "rank", F.row_number().over(order)).where(F.col("rank") <= k), "ranked")
+    full = ranked.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"))
+    short = written(asked.join(full, "vec_id", "left_anti"), "short")
+    if not short.isEmpty():
+        exact = _compared_with_all(short, index, k).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        ranked = ranked.join(full.withColumnRenamed("vec_id", "query_id"), "query_id", "left_semi").unionByName(exact)
+    return ranked.select("query_id", "rank", "vec_id", "score")
+
+
+def _compared_with_all(queries: DataFrame, index: DataFrame, k: int) -> DataFrame:
+    """(query_id, vec_id, score): of each query the k best rows of every block of the index, by exact cosine."""
+    def blocks(rows: DataFrame, name: str) -> DataFrame:
+        n = max(1, -(-rows.count() // BLOCK_ROWS))
+        return written(rows.groupBy(F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(n)).alias("b")).agg(
+            F.collect_list("vec_id").alias(f"{name}_ids"), F.collect_list("embedding").alias(f"{name}_rows")).drop("b"), name)
+
+    id_type = queries.schema["vec_id"].dataType.simpleString()
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):
+                who, ids = (batch.column(c)[at].values.to_numpy(zero_copy_only=False) for c in (0, 2))
+                wanted, rows = (matrix(batch.column(c)[at].values) for c in (1, 3))
+                norms = np.sqrt(np.einsum("ij,ij->i", rows, rows))
+                out: list[list] = [[], [], []]
+                for q, query in zip(who, wanted, strict=True):
+                    scores = _cosines(query, rows, norms)
+                    order = np.lexsort((ids, -scores))
+                    order = order[ids[order] != q]
+                    # an id with several vectors counts once, with its best
+                    order = order[np.sort(np.unique(ids[order], return_index=True)[1])][:k]
+                    out[0] += [q] * len(order)
+                    out[1] += ids[order].tolist()
+                    out[2] += scores[order].tolist()
+                kind = batch.column(0).type.value_type
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(out[0], kind), pa.array(out[1], kind), pa.array(out[2], pa.float64())],
+                    ["query_id", "vec_id", "score"])
+
+    pairs = blocks(queries, "asking").crossJoin(blocks(index, "held"))
+    return pairs.mapInArrow(work, f"query_id {id_type}, vec_id {id_type}, score double").groupBy("query_id", "vec_id").agg(
+        F.max("score").alias("score"))
 
 
 def _part(codes: np.ndarray, parts: int) -> np.ndarray:

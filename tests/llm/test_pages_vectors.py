@@ -161,6 +161,26 @@ def test_neighbours_against_brute_force(spark, copies):
     assert ann.nearest(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_isolated_vectors_beside_near_copies_have_k_rows(spark):
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(40, 24))
+    rows = [(i, [float(x) for x in centres[i % 40] + 1e-3 * rng.normal(size=24)]) for i in range(1200)]
+    alone = rng.normal(size=(20, 24))
+    rows += [(5000 + i, [float(x) for x in v]) for i, v in enumerate(alone)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    found = ann.nearest(df, df.where("vec_id >= 5000 or vec_id % 10 = 0")).collect()
+    asked = {i for i, _ in rows if i >= 5000 or i % 10 == 0}
+    ranks = {}
+    for r in found:
+        ranks.setdefault(r["query_id"], set()).add(r["rank"])
+    assert ranks == {i: {1, 2, 3, 4, 5} for i in asked}
+    # the comparison with all rows is exact
+    exact = ann._compared_with_all(df.where("vec_id >= 5000"), df, 5).collect()
+    for q, n, i in brute(rows, 5, lambda q: q >= 5000):
+        best = sorted((r for r in exact if r["query_id"] == q), key=lambda r: (-r["score"], r["vec_id"]))
+        assert best[n - 1]["vec_id"] == i
+
+
 def test_few_vectors_give_all_candidates(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.9, 0.1]), (2, [0.0, 1.0])], "vec_id int, embedding array<float>")
     rows = ann.nearest(df, df.where("vec_id = 0")).collect()
