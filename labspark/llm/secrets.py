@@ -26,9 +26,14 @@ BASE_RULES = {
     "access": (r"AKIA[A-Z0-9]+", 0, 20),
     "hex": (r"[0-9a-f]{24,}", 0, 24),  # the runs of [0-9a-f]+ that are long enough
 }
+_PEM = r"PRIVATE\x20KEY-----"
+#: After the first line of a key: all up to its END line; without one, headers and lines up to the last of base64.
+_PEM_BODY = (r"(?:[^-]*(?:-{1,4}[^-]+){0,200}-{5,9}END\x20[A-Z\x20]*" + _PEM
+             + r"|(?:[\x20\t]*\r?\n[\x20\t]*[A-Za-z-]+:\x20[^\n]*){0,4}[A-Za-z0-9+/=\x20\t\r\n\\]*[A-Za-z0-9+/=]{40}"
+             r"(?:[\x20\t]*\r?\n[\x20\t]*[A-Za-z0-9+/=]+[\x20\t]*(?:\r?\n|$))?)?")
 #: What the method adds.
 MORE_RULES = {
-    "private_key": (r"-----BEGIN\x20[A-Z\x20]*PRIVATE\x20KEY-----", 0, 1),
+    "private_key": (r"-----BEGIN\x20[A-Z\x20]*" + _PEM + _PEM_BODY, 0, 1),
     "github": (r"gh[pousr]_[A-Za-z0-9]{36,}", 0, 40),
     "slack": (r"xox[abprs]-[0-9A-Za-z-]{10,}", 0, 15),
 }

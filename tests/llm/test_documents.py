@@ -138,6 +138,28 @@ def test_redaction_leaves_no_secret_and_keeps_the_rest(spark, docs):
     assert sorted(secrets.redacted(docs).collect(), key=key) == sorted(docs.collect(), key=key)
 
 
+def test_redaction_leaves_no_key_material(spark):
+    rng = random.Random(15)
+    line = lambda n: "".join(rng.choice("ABCDwxyz0189+/") for _ in range(n))
+    lines = [line(64) for _ in range(400)] + [line(21) + "="]
+    headers = ["Proc-Type: 4,ENCRYPTED", "DEK-Info: AES-128-CBC,0123ABCD", ""]
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    after = "\nSome prose - with a dash - follows."
+    bodies = [lines, [*headers, *lines], ["  " + x for x in lines]]
+    texts = [sep.join(["before " + begin, *body, *last]) + after for body in bodies for last in ([end], []) for sep in ("\n", "\r\n")]
+    texts += [begin + "\\n" + "\\n".join(lines) + "\\n" + end + after, texts[0] + "\n" + texts[2], begin + after]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in secrets.redacted(docs).collect():
+        assert "PRIVATE KEY" not in r["text"] and not any(x in r["text"] for x in lines), (r["doc_id"], r["text"][:200])
+        assert r["text"].endswith(after.strip())
+    assert secrets.trigram_query(secrets.RULES["private_key"][0]) == secrets.trigram_query(
+        r"-----BEGIN\x20[A-Z\x20]*PRIVATE\x20KEY-----")
+    import duckdb
+    pattern, _, _ = secrets.RULES["private_key"]
+    for text in texts:  # the same match where the expression is used as SQL
+        assert duckdb.execute("SELECT regexp_extract(?, ?)", [text, pattern]).fetchone()[0] == re.search(pattern, text)[0]
+
+
 # quality
 
 def test_quality_figures(docs, empty):
