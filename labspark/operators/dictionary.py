@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from labspark.functions.names import (
     clean_field_name, compact_name, name_tokens, similarity, strip_blanks)
+from labspark.operators.similar import BoundedScorer, Scorer, best_matches
 
-Scorer = Callable[[Column, Column], Column]
 HIGH_CONFIDENCE, REVIEW = 0.85, 0.60
 
 # Fields every dictionary row must carry, and accepted data types
@@ -93,36 +91,19 @@ def _exact_tiers(names: DataFrame, index: DataFrame) -> DataFrame:
     return names.join(hits, "raw_name", "left")
 
 
-def _best_alias(names: DataFrame, index: DataFrame, name: str, scorer: Scorer) -> DataFrame:
-    """(raw_name, best): the most similar alias of every name, ties to the earlier registration.
-
-    Distinct names meet all aliases, as the best score of unmapped names is wanted too.  The
-    scorer sees columns, so built-in expressions and Pandas functions both do; the best is kept
-    per task before the shuffle.
-    """
-    pairs = names.select("raw_name", name).crossJoin(
-        index.select("alias", "standard_name", "alias_ord"))
-    order = F.col("alias_ord")
-    return (
-        pairs.withColumn("score", scorer(F.col(name), F.col("alias")))
-        .groupBy("raw_name").agg(F.max(F.struct(
-            "score", (-order["ord"]).alias("o"), (-order["i"]).alias("i"), (-order["k"]).alias("k"),
-            "alias", F.col("standard_name").alias("standard"))).alias("best"))
-    )
-
-
 def map_fields(names: DataFrame, index: DataFrame, name: str = "raw_name",
-               scorer: Scorer = similarity) -> DataFrame:
+               scorer: Scorer | BoundedScorer = similarity) -> DataFrame:
     """Map every distinct raw name: exact tiers first, then the most similar alias.
 
     Status bands: exact_match, high_confidence (>= 0.85), needs_manual_review (>= 0.60),
-    unmapped.  ``scorer`` takes two columns: :func:`similarity` or ``matching_block_ratio``.
+    unmapped.  ``scorer`` takes two columns: :func:`similarity` or ``matching_block_ratio``, whose bounds
+    spare most pairs, or another one, which is asked for every pair.
     """
     distinct = names.select(F.col(name).alias("raw_name")).distinct().withColumn(
         "cleaned", clean_field_name(F.col("raw_name")))
     tiers = _exact_tiers(distinct, index)
     open_names = tiers.filter(F.col("exact_name").isNull() & (F.col("cleaned") != ""))
-    best = _best_alias(open_names, index, "cleaned", scorer)
+    best = best_matches(open_names.select("raw_name", "cleaned"), index.filter(F.col("alias") != ""), scorer)
     same = F.col("l.raw_name").eqNullSafe(F.col("r.raw_name"))
     scored = tiers.alias("l").join(best.alias("r"), same, "left").select("l.*", "r.best")
     exact = F.col("exact_name").isNotNull()

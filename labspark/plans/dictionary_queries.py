@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labspark import catalog
-from labspark.functions.names import clean_field_name, compact_name
+from labspark.functions.names import clean_field_name, compact_name, matching_block_ratio
 from labspark.operators import dictionary
 from labspark.plans.registry import query, rounded, table, values_sql
+from labspark.tables import numbered
 
 # Field dictionary of these queries: item words of part names.
 FIELDS = [
@@ -110,6 +111,50 @@ def fuzzy_map(spark: SparkSession, sf_dir: str) -> DataFrame:
         _names(spark, sf_dir), dictionary.rich_alias_index(_fields(spark)))
 
 
+def _words(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """Distinct lower-case words of the texts of a table."""
+    return table(spark, sf_dir, name).select(
+        F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("word")).filter("word <> ''").distinct()
+
+
+def _words_sql(name: str) -> str:
+    return f"""SELECT DISTINCT word FROM (SELECT unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS word
+  FROM {name}) WHERE word <> ''"""
+
+
+def _vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A dictionary of one field per benchmark word, registered in the order of the alphabet."""
+    words = numbered(_words(spark, sf_dir, "benchmark"), [F.col("word")], "ord")
+    return dictionary.rich_alias_index(words.select(
+        F.col("word").alias("standard_name"), "ord",
+        *[F.lit(None).cast("string").alias(c) for c in ("chinese_name", "english_name", "abbreviation")],
+        F.lit(None).cast("array<string>").alias("alias_names")))
+
+
+@query("fuzzy_words", f"""
+WITH a AS (SELECT word AS alias, row_number() OVER (ORDER BY word) AS o FROM ({_words_sql('benchmark')})),
+n AS ({_words_sql('conversations')}),
+sim AS (SELECT word, alias, struct_pack(x := 1 - levenshtein(word, alias) / greatest(length(word), length(alias)), y := -o) AS s
+        FROM n, a),
+best AS (SELECT word, arg_max(alias, s) AS alias, max(s).x AS score FROM sim GROUP BY 1)
+SELECT word AS raw_name, CASE WHEN score >= CAST(0.6 AS DOUBLE) THEN alias END AS standard_name,
+  CASE WHEN score >= CAST(0.6 AS DOUBLE) THEN alias END AS matched_alias, round(score, 4) AS confidence,
+  CASE WHEN score = 1 THEN 'exact_match' WHEN score >= CAST(0.85 AS DOUBLE) THEN 'high_confidence'
+    WHEN score >= CAST(0.6 AS DOUBLE) THEN 'needs_manual_review' ELSE 'unmapped' END AS status
+FROM best""")
+def fuzzy_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark word most like each word of the conversations; both lists grow with the data."""
+    names = _words(spark, sf_dir, "conversations").withColumnRenamed("word", "raw_name")
+    return dictionary.map_fields(names, _vocabulary(spark, sf_dir))
+
+
+@query("fuzzy_map_blocks")
+def fuzzy_map_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mapping of typed names by matching blocks, which SQL lacks."""
+    return dictionary.map_fields(
+        _names(spark, sf_dir), dictionary.rich_alias_index(_fields(spark)), scorer=matching_block_ratio)
+
+
 _brands_sql = """SELECT p_brand AS standard_name, list_sort(list(DISTINCT p_type)) AS alias_names
   FROM part GROUP BY 1"""
 

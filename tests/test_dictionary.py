@@ -1,10 +1,13 @@
+import difflib
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from labspark import catalog
 from labspark.functions.names import (
     clean_field_name, compact_name, matching_block_ratio, similarity)
-from labspark.operators import dictionary
+from labspark.operators import dictionary, similar
 
 
 @pytest.fixture(scope="module")
@@ -161,3 +164,48 @@ def test_core_markers_stats_and_seed(spark):
     seeds = catalog.config_table(spark)
     assert dictionary.seed_if_empty(seeds.limit(0), seeds).count() == 5
     assert dictionary.seed_if_empty(seeds.limit(1), seeds).count() == 1
+
+
+@pytest.mark.parametrize("name", ["edit", "blocks", "unbounded"])
+def test_best_matches_equal_all_pairs(spark, name):
+    rng = random.Random(11)
+    parts = ["ka", "lo", "mi", "ner", "tas", "vu", "血", "糖", "qua"]
+    aliases = sorted({"".join(rng.choice(parts) for _ in range(rng.randrange(1, 5))) for _ in range(300)})
+    rng.shuffle(aliases)
+
+    def typed(word):
+        word = list(word)
+        for _ in range(rng.randrange(4)):
+            at = rng.randrange(len(word) + 1)
+            word[at:at + rng.randrange(2)] = rng.choice(["", "a", "xy"])
+        return "".join(word) or "z"
+
+    names = {typed(rng.choice(aliases)) for _ in range(250)} | {"z", "qqqqqqqqqqqqqqqqqqq", aliases[0]}
+    index = spark.createDataFrame([(a, f"s{i}", (i // 2, i % 2, 0)) for i, a in enumerate(aliases)],
+                                  "alias string, standard_name string, alias_ord struct<ord:long,i:int,k:int>")
+    asked = spark.createDataFrame([(f"raw {n}", n) for n in names], "raw_name string, cleaned string")
+    scorer = {"edit": similarity, "blocks": matching_block_ratio, "unbounded": lambda a, b: similarity(b, a)}[name]
+    found = similar.best_matches(asked, index, scorer)
+    got = {r["raw_name"]: (r["best"]["score"], r["best"]["alias"], r["best"]["standard"]) for r in found.collect()}
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    def score(a, b):
+        if name == "blocks":
+            return difflib.SequenceMatcher(None, a, b).ratio()
+        return 1 - distance(a, b) / max(len(a), len(b))
+
+    for n in names:
+        scores = [score(n, a) for a in aliases]
+        best = scores.index(max(scores))
+        assert got[f"raw {n}"] == (pytest.approx(scores[best]), aliases[best], f"s{best}")
+    plan = found._jdf.queryExecution().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+    assert similar.best_matches(asked, index.limit(0), scorer).count() == 0
+    assert similar.best_matches(asked.limit(0), index, scorer).count() == 0
