@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from labspark.catalog import CREATININE_THRESHOLD, ITEM_CREATININE, ITEM_GLUCOSE
 from labspark.functions.values import trajectory_label
-from labspark.operators.ordering import MAX_GROUP_ROWS, exact_quantiles, with_positions
+from labspark.operators.ordering import MAX_GROUP_ROWS, column_quantiles, with_positions
 from labspark.operators.trends import trajectory_features
 from labspark.session import checkpoint_folder
 
@@ -49,13 +49,16 @@ def patient_wide(patients: DataFrame, features: DataFrame, subject: str = "subje
     return patients.join(features, subject, "left")
 
 
-def impute_medians(df: DataFrame, columns: Sequence[str], slices: int | None = None) -> DataFrame:
-    """Fill nulls with the exact column median (mean of the two middle values)."""
-    long = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot(
-        [], list(columns), "column", "value")
-    medians = {r["column"]: r["q0"] for r in
-               exact_quantiles(long, ["column"], "value", [0.5], slices).collect()}
-    return df.fillna({c: m for c, m in medians.items() if m is not None})
+def impute_medians(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Fill nulls with the exact column median (mean of the two middle values).
+
+    The medians are a subquery of the result: no job runs before the result is asked for.
+    """
+    medians = column_quantiles(df, columns, [0.5]).agg(F.map_from_entries(F.collect_list(
+        F.struct("variable", "q0"))).alias("of")).scalar()  # one entry per column
+    filled = df.withColumn("__medians", medians)
+    return filled.withColumns({c: F.coalesce(F.col(c), F.col("__medians")[c].cast(df.schema[c].dataType))
+                               for c in columns}).drop("__medians")
 
 
 def with_target(df: DataFrame, column: str = "Creatinine_mean",

@@ -9,45 +9,42 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from labspark.functions.tails import f_pvalue, t_pvalue, z_pvalue
-from labspark.operators.ordering import average_ranks, exact_quantiles
+from labspark.operators.ordering import column_quantiles, cumulative_sums, summary
+from labspark.tables import written
 
 QUARTILES = (0.25, 0.5, 0.75)
 SIGNIFICANT = 0.05
 
 
-def _long(df: DataFrame, variables: Sequence[str]) -> DataFrame:
-    return df.select(*[F.col(v).cast("double").alias(v) for v in variables]).unpivot(
-        [], list(variables), "variable", "value")
-
-
-def describe(df: DataFrame, variables: Sequence[str], exact: bool = True,
-             slices: int | None = None) -> DataFrame:
+def describe(df: DataFrame, variables: Sequence[str], exact: bool = True) -> DataFrame:
     """One row per variable: n, mean, sample std, quartiles, min, max and missing rate.
 
-    Moments come from one pass without reshaping the rows.  Exact quartiles go through
-    distinct-value counts; ``exact=False`` uses the mergeable sketch instead.
+    One read gives moments and a sketch; exact quartiles take a second one, which counts the values in
+    the sketch's bands. ``exact=False`` takes the sketch's own quartiles.
     """
-    aggregates = [F.count(F.lit(1)).alias("__rows")]
-    for v in variables:
-        c = F.col(v).cast("double")
-        fields = [F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"),
-                  F.min(c).alias("min"), F.max(c).alias("max")]
-        if not exact:
+    if not exact:
+        aggregates = [F.count(F.lit(1)).alias("rows")]
+        for v in variables:
+            c = F.col(v).cast("double")
             q = F.percentile_approx(c, list(QUARTILES), 10_000)
-            fields += [q[i].alias(f"q{i}") for i in range(3)]
-        aggregates.append(F.struct(F.lit(v).alias("variable"), *fields).alias(f"__{v}"))
-    moments = df.agg(*aggregates).select(
-        "__rows", F.explode(F.array(*[F.col(f"__{v}") for v in variables])).alias("s")
-    ).select("__rows", "s.*")
-    if exact:
-        quartiles = exact_quantiles(_long(df, variables), ["variable"], "value", QUARTILES, slices)
-        moments = moments.join(F.broadcast(quartiles), "variable", "left")  # a row per variable
+            aggregates.append(F.struct(
+                F.lit(v).alias("variable"), F.count(c).alias("n"), F.avg(c).alias("mean"),
+                F.stddev_samp(c).alias("std"), F.min(c).alias("min"), F.max(c).alias("max"),
+                *[q[i].alias(f"q{i}") for i in range(3)]).alias(v))
+        found = df.agg(*aggregates).select("rows", F.explode(F.array(*[F.col(v) for v in variables])).alias("s"))
+        moments = found.select("rows", "s.*")
+    else:
+        facts = summary(df, variables, QUARTILES)
+        both = facts.select(F.struct("rows", F.create_map(*[part for v in variables for part in (
+            F.lit(v), F.col(v).dropFields("bounds"))]).alias("of"))).scalar()
+        moments = column_quantiles(df, variables, QUARTILES, facts).withColumn("s", both).select(
+            "variable", "q0", "q1", "q2", "s.rows", F.col("s.of")[F.col("variable")].alias("m")).select("*", "m.*")
     return moments.select(
         "variable", F.col("n").alias("sample_count"), "mean", "std",
         F.col("q1").alias("median"), F.col("q0").alias("quartile_1"),
         F.col("q2").alias("quartile_3"), "min", "max",
-        F.when(F.col("__rows") == 0, F.lit(1.0))
-        .otherwise(1 - F.col("n") / F.col("__rows")).alias("missing_rate"))
+        F.when(F.col("rows") == 0, F.lit(1.0))
+        .otherwise(1 - F.col("n") / F.col("rows")).alias("missing_rate"))
 
 
 def welch_t_test(df: DataFrame, group: str, value: str, a: object, b: object) -> DataFrame:
@@ -70,25 +67,21 @@ def welch_t_test(df: DataFrame, group: str, value: str, a: object, b: object) ->
     )
 
 
-def mann_whitney(df: DataFrame, group: str, value: str, a: object, b: object,
-                 slices: int | None = None) -> DataFrame:
+def mann_whitney(df: DataFrame, group: str, value: str, a: object, b: object) -> DataFrame:
     """U of group a, with the tie-corrected normal approximation and continuity correction.
 
     Rank sums come from distinct values and their counts per group; rows are never sorted.
     """
     g = F.col(group)
     rows = df.filter(g.isin([a, b]) & F.col(value).isNotNull()).select(
-        F.col(value).cast("double").alias("v"), (g == F.lit(a)).alias("is_a"))
-    everyone = rows.withColumn("one", F.lit(1))
-    ranks = average_ranks(everyone, ["one"], "v", slices).select("v", "n", "rank")
-    in_a = rows.filter("is_a").groupBy("v").agg(F.count(F.lit(1)).alias("n_in_a"))
-    sums = (
-        ranks.join(in_a, "v", "left")
-        .agg(F.sum(F.col("rank") * F.coalesce("n_in_a", F.lit(0))).alias("rank_sum"),
-             F.sum(F.coalesce("n_in_a", F.lit(0))).cast("double").alias("n1"),
-             F.sum("n").cast("double").alias("total"),
-             F.sum(F.col("n").cast("double") * F.col("n") * F.col("n") - F.col("n")).alias("ties"))
-    )
+        F.col(value).cast("double").alias("v"), (g == F.lit(a)).cast("int").alias("is_a"))
+    # one read serves the ranks and the counts of a
+    per_value = rows.groupBy("v").agg(F.count(F.lit(1)).alias("n"), F.sum("is_a").alias("n_in_a"))
+    ranks = cumulative_sums(per_value.withColumn("all", F.lit(1)), ["all"], "v", "n").withColumn("rank", F.col("before") + (F.col("n") + 1) / 2)
+    sums = ranks.agg(
+        F.sum(F.col("rank") * F.col("n_in_a")).alias("rank_sum"),
+        F.sum("n_in_a").cast("double").alias("n1"), F.sum("n").cast("double").alias("total"),
+        F.sum(F.col("n").cast("double") * F.col("n") * F.col("n") - F.col("n")).alias("ties"))
     n1, total = F.col("n1"), F.col("total")
     n2 = total - n1
     u = F.col("rank_sum") - n1 * (n1 + 1) / 2
@@ -143,24 +136,26 @@ def correlation(df: DataFrame, variables: Sequence[str]) -> DataFrame:
     return _cells(df.agg(*aggregates), names, lambda i, j: F.col(f"c{i}_{j}"))
 
 
-def spearman(df: DataFrame, variables: Sequence[str], slices: int | None = None) -> DataFrame:
+def spearman(df: DataFrame, variables: Sequence[str]) -> DataFrame:
     """Pearson matrix of the average ranks (rows with a null in any variable are left out).
 
-    The rank table of each variable has one row per distinct value.  It is joined without a
-    hint: a small one is broadcast at run time, a large one is shuffled and adaptive execution
-    splits the partitions of frequent values.
+    The rows are read once: equal combinations of values become one row with its copies. All variables together,
+    as (variable, value), are ranked in one pass, joined once and put back into one row per combination. The
+    join has no hint: a small rank table is broadcast at run time, and of a large one adaptive
+    execution splits the partitions of frequent values.
     """
-    complete = df.select(*[F.col(v).cast("double").alias(v) for v in variables]).dropna()
-    # copies of the same combination of values share one row from here on
-    distinct = complete.groupBy(*variables).agg(F.count(F.lit(1)).alias("__copies"))
-    ranked = distinct
-    for v in variables:
-        table = average_ranks(
-            complete.select(F.lit(1).alias("one"), F.col(v).alias("__v")), ["one"], "__v", slices)
-        ranked = ranked.join(
-            table.select(F.col("__v"), F.col("rank").alias(f"__rank_{v}")),
-            F.col(v) == F.col("__v")).drop("__v")
-    return weighted_correlation(ranked, list(variables), "__rank_", "__copies")
+    names = list(variables)
+    complete = df.select(*[F.col(v).cast("double").alias(v) for v in names]).dropna()
+    distinct = written(complete.groupBy(*names).agg(F.count(F.lit(1)).alias("__copies")), "combinations")
+    entries = distinct.select("*", F.explode(F.array(*[
+        F.struct(F.lit(i).alias("__variable"), F.col(v).alias("__value")) for i, v in enumerate(names)])).alias("__e")
+    ).select(*names, "__copies", "__e.*")
+    counts = entries.groupBy("__variable", "__value").agg(F.sum("__copies").alias("n"))
+    ranks = cumulative_sums(counts, ["__variable"], "__value", "n").select(
+        "__variable", "__value", (F.col("before") + (F.col("n") + 1) / 2).alias("__rank"))
+    ranked = entries.join(ranks, ["__variable", "__value"]).groupBy(*names, "__copies").agg(*[
+        F.max(F.when(F.col("__variable") == i, F.col("__rank"))).alias(f"__rank_{v}") for i, v in enumerate(names)])
+    return weighted_correlation(ranked, names, "__rank_", "__copies")
 
 
 def weighted_correlation(df: DataFrame, variables: Sequence[str], prefix: str,

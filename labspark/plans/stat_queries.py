@@ -128,3 +128,27 @@ def average_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tie-averaged rank of every distinct value, without a global sort in one task."""
     rows = table(spark, sf_dir, "events").select(F.lit(1).alias("one"), "value")
     return ordering.average_ranks(rows, ["one"], "value").select("value", "rank", "n")
+
+
+def _ranks_sql(name: str, by: str, value: str) -> str:
+    return f"""SELECT DISTINCT {by} AS k, {value} AS value, rank() OVER (PARTITION BY {by} ORDER BY {value})
+  + (count(*) OVER (PARTITION BY {by}, {value}) - 1) / 2.0 AS rank, count(*) OVER (PARTITION BY {by}, {value}) AS n
+FROM {name}"""
+
+
+def _ranks(spark: SparkSession, sf_dir: str, name: str, by: str, value: str) -> DataFrame:
+    return ordering.average_ranks(table(spark, sf_dir, name).select(
+        F.col(by).alias("k"), F.col(value).alias("value")), ["k"], "value").select("k", "value", "rank", "n")
+
+
+@query("ranks_of_dates", _ranks_sql("orders", "o_orderpriority", "o_orderdate"))
+def ranks_of_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tie-averaged ranks of order dates within each priority."""
+    return _ranks(spark, sf_dir, "orders", "o_orderpriority", "o_orderdate")
+
+
+@query("ranks_of_names", _ranks_sql("events", "user_id % 3", "props"))
+def ranks_of_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tie-averaged ranks of event properties, which are text, within thirds of the users."""
+    rows = table(spark, sf_dir, "events").select((F.col("user_id") % 3).alias("k"), F.col("props").alias("value"))
+    return ordering.average_ranks(rows, ["k"], "value").select("k", "value", "rank", "n")

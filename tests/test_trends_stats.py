@@ -1,5 +1,7 @@
 import math
 import random
+import statistics
+import tempfile
 
 import pytest
 from pyspark.sql import functions as F
@@ -161,24 +163,82 @@ def test_quantiles_ranks_and_description(spark):
         low = ordered[math.floor(at)]
         return low + (ordered[math.ceil(at)] - low) * (at - math.floor(at))
 
-    for slices in (1, 7):
-        got = by_key(stats.describe(df, ["x", "y"], slices=slices), "variable")
+    for partitions in ("1", "7"):
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        got = by_key(stats.describe(df, ["x", "y"]), "variable")
         x = got["x"]
         assert x["sample_count"] == 800 and x["missing_rate"] == pytest.approx(10 / 810)
         for field, p in (("quartile_1", 0.25), ("median", 0.5), ("quartile_3", 0.75)):
             assert x[field] == pytest.approx(quantile(p))
         assert got["y"]["median"] == pytest.approx(-quantile(0.5))
         ranks = {r["x"]: r["rank"] for r in ordering.average_ranks(
-            df.withColumn("g", F.lit(1)), ["g"], "x", slices).collect()}
+            df.withColumn("g", F.lit(1)), ["g"], "x").collect()}
         for v in set(ordered):
             first = ordered.index(v)
             assert ranks[v] == first + (ordered.count(v) + 1) / 2
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
     rough = by_key(stats.describe(df, ["x"], exact=False), "variable")["x"]
     assert rough["median"] == pytest.approx(quantile(0.5), rel=0.05)
     nothing = stats.describe(df.limit(0), ["x"]).first()
     assert nothing["sample_count"] == 0 and nothing["missing_rate"] == 1.0
 
 
+def test_ranks_of_any_type(spark):
+    rows = spark.range(2000).select(
+        F.concat(F.lit("k"), F.col("id") % 3).alias("k"), F.concat(F.lit("v"), (F.col("id") * 7) % 40).alias("text"),
+        F.timestamp_seconds((F.col("id") * 31) % 500).alias("time"),
+        F.struct((F.col("id") % 5).alias("a"), ((F.col("id") * 3) % 4).cast("string").alias("b")).alias("pair"))
+    rows = rows.unionByName(rows.limit(5).withColumns({c: F.lit(None).cast(t) for c, t in rows.dtypes}))
+    for column in ("text", "time", "pair"):
+        for partitions in ("1", "9"):
+            spark.conf.set("spark.sql.shuffle.partitions", partitions)
+            ranked = ordering.average_ranks(rows, ["k"], column)
+            assert "SinglePartition" not in ranked._jdf.queryExecution().toString()
+            got = {(r["k"], r[column]): r["rank"] for r in ranked.collect()}
+            groups = {}
+            for r in rows.collect():
+                if r[column] is not None:
+                    groups.setdefault(r["k"], []).append(r[column])
+            want = {(k, v): sum(x < v for x in g) + (g.count(v) + 1) / 2 for k, g in groups.items() for v in set(g)}
+            assert got == want
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert ordering.average_ranks(rows.limit(0), ["k"], "text").count() == 0
+
+
+def test_selected_quantiles_run_no_job_early(spark):
+    """Narrow bands on many rows, heavy tails, copies, infinities, and columns without values."""
+    rows = spark.range(60_000).select(
+        F.exp(F.randn(3) * 4).alias("tail"), (F.col("id") % 3).cast("double").alias("few"),
+        F.when(F.col("id") % 2 == 0, F.col("id")).alias("gaps"), F.lit(None).cast("double").alias("none"),
+        F.when(F.col("id") < 2, float("inf")).when(F.col("id") > 50_000, float("-inf")).otherwise(F.rand(5)).alias("ends"))
+    rows.write.mode("overwrite").parquet(path := tempfile.mkdtemp(prefix="quantiles-"))
+    rows = spark.read.parquet(path)
+    columns = rows.columns
+    tracker = spark.sparkContext.statusTracker()
+    before = len(tracker.getJobIdsForGroup(None))
+    probs = (0.0, 0.1, 0.25, 0.5, 0.999, 1.0)
+    found = ordering.column_quantiles(rows, columns, probs)
+    filled = learning.impute_medians(rows, ["gaps", "none"])
+    assert len(tracker.getJobIdsForGroup(None)) == before
+    got = {r["variable"]: r for r in found.collect()}
+    data = rows.toPandas()
+    for c in columns:
+        values = sorted(data[c].dropna().tolist())
+        for i, p in enumerate(probs):
+            if not values:
+                assert got[c][f"q{i}"] is None
+                continue
+            at = (len(values) - 1) * p
+            low, high = values[math.floor(at)], values[math.ceil(at)]
+            want = low if low == high else low + (high - low) * (at - math.floor(at))
+            assert got[c][f"q{i}"] == pytest.approx(want)
+    gaps = data["gaps"].dropna().tolist()
+    row = filled.agg(F.count("gaps"), F.count("none"), F.max(F.when(F.col("few") == 1, F.col("gaps")))).first()
+    assert row[0] == 60_000 and row[1] == 0
+    assert filled.where("tail is not null").join(rows.where("gaps is null").select("tail"), "tail").select("gaps").first()[0] == int(
+        statistics.median(gaps))
+
+
 def test_tail_probabilities():
     # textbook values
     assert tails.t_two_sided(2.228, 10) == pytest.approx(0.05, abs=1e-4)
@@ -204,7 +264,7 @@ def test_group_tests(spark):
     assert t["statistic"] == pytest.approx((mean(a) - mean(b)) / math.sqrt(ea + eb))
     assert t["df"] == pytest.approx((ea + eb) ** 2 / (ea ** 2 / 4 + eb ** 2 / 5))
     assert 0 < t["p_value"] < 1
-    u = stats.mann_whitney(df, "g", "v", "a", "b", slices=3).first()
+    u = stats.mann_whitney(df, "g", "v", "a", "b").first()
     brute = sum((x > y) + 0.5 * (x == y) for x in a for y in b)
     assert u["statistic"] == pytest.approx(brute)
     f = stats.anova(df.filter("g != 'c'"), "g", "v").first()
