@@ -76,6 +76,7 @@ class PieceModel:
         self.is_byte[list(byte_of)] = True
         self.is_control[list(control)] = True
         self._known: dict[str, bytes] = {}
+        self._old: dict[str, bytes] = {}
         self._fits: dict[tuple[str, str], bool] = {}
         self._shorter: dict[str, str] = {}  # at most one entry per piece and per character
 
@@ -117,19 +118,29 @@ class PieceModel:
             self._shorter[piece] = answer
         return answer
 
-    def longest_all_along(self, text: str) -> list[str] | None:
-        """The longest matches one after the other if they cover the text and all fit, which most often they do."""
-        chosen = [piece for _, piece in self.automaton.iter_long(text)]
-        if sum(map(len, chosen)) == len(text) and all(map(self.fits, ["", *chosen], chosen)):
-            return chosen
-        return None
+    def fitting_start(self, text: str) -> list[str]:
+        """The longest matches one after the other from the start, as long as they adjoin and fit; most often all."""
+        chosen: list[str] = []
+        known, before, place = self._fits, "", 0
+        for last, piece in self.automaton.iter_long(text):
+            place += len(piece)
+            if place != last + 1:
+                break
+            fits = known.get((before, piece))
+            if not (self.fits(before, piece) if fits is None else fits):
+                break
+            chosen.append(piece)
+            before = piece
+        return chosen
 
     def backtracked(self, text: str) -> list[str]:
         """The pieces of a text, from left to right with a bitfield of failed places."""
-        chosen: list[str] = []
+        chosen = self.fitting_start(text)
+        place = sum(map(len, chosen))
+        if place == len(text):
+            return chosen
         failed = bytearray(len(text) // 8 + 1)
-        place = 0
-        piece = self.longest_at(text, 0) if text else ""
+        piece = self.longest_at(text, place)
         while place < len(text):
             before = chosen[-1] if chosen else ""
             while piece:
@@ -150,20 +161,29 @@ class PieceModel:
 
     def packed(self, stretch: str) -> bytes:
         """The ids of a stretch as little-endian unsigned 32-bit integers."""
+        packed = self._old.get(stretch)
+        if packed is None:
+            pieces = self.backtracked(stretch)
+            ids = list(map(self.ids.get, pieces))
+            if None in ids:
+                ids = self._with_bytes(pieces)
+            packed = struct.pack(f"<{len(ids)}I", *ids)
+        if len(stretch) <= SHORT:
+            if len(self._known) >= MOST_REMEMBERED:  # what is still in use comes back from the old ones
+                self._old, self._known = self._known, {}
+            self._known[stretch] = packed
+        return packed
+
+    def _with_bytes(self, pieces: list[str]) -> list[int]:
         ids: list[int] = []
-        for piece in self.longest_all_along(stretch) or self.backtracked(stretch):
+        for piece in pieces:
             if piece in self.ids:
                 ids.append(self.ids[piece])
             elif self.byte_ids:
                 ids.extend(self.byte_ids[b] for b in piece.encode())
             elif not ids or ids[-1] != self.unknown:  # a run of unknown characters is one unknown id
                 ids.append(self.unknown)
-        packed = struct.pack(f"<{len(ids)}I", *ids)
-        if len(stretch) <= SHORT:
-            if len(self._known) >= MOST_REMEMBERED:
-                self._known.clear()
-            self._known[stretch] = packed
-        return packed
+        return ids
 
     def encode(self, text: str) -> np.ndarray:
         """The ids of a whole text with begin and end ids; the empty text has these two alone."""
