@@ -23,11 +23,12 @@ STEPS = 200
 MAIN, OTHER = "\ue001", "\ue000"
 
 BLOCK_TAGS = frozenset(
-    "address article aside blockquote body button canvas caption center dd details dialog dir div dl dt fieldset figcaption"
-    " figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup html iframe legend li main menu nav object ol"
+    "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption"
+    " figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup html iframe legend li main menu nav ol"
     " optgroup option p pre search section select summary table tbody td tfoot th thead tr ul video audio".split())
 EMPTY_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW_TAGS = frozenset("script style noscript template title textarea iframe svg math object canvas xmp noembed".split())
+#: Elements whose content is no text of the page; formulas stay, their source annotations go.
+RAW_TAGS = frozenset("script style noscript template title textarea iframe svg annotation annotation-xml noembed".split())
 #: Tags that end an open element of the listed kinds.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
           "th": {"td", "th"}, "option": {"option"}}
@@ -38,13 +39,23 @@ CUES = frozenset(
 
 REGIONS = frozenset("article main nav header footer aside form section".split())
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
+#: Open elements kept track of; deeper ones count as siblings.
+DEEPEST = 100
+
+# Quotes count only after "="; an unquoted value holds them. Nothing is tried twice, so a tag is read in one pass.
+_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+|))*+)>""")
+# For a page where a tag would run to the end: its tags end at the next ">" whatever the quotes say.
+_PLAIN_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
 _ATTRIBUTE = re.compile(r"""(?:^|[\s"'/])(class|id|role|itemprop|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I | re.S)
 _NAME = re.compile(r"[a-z]+")
 
 
 def leaf_blocks(page: str) -> list[tuple[str, tuple, int]]:
-    """(text, ancestors, characters within links) of every leaf block with text; ancestors are (tag, names)."""
+    """(text, ancestors, characters within links) of every leaf block with text; ancestors are (tag, names).
+
+    One pass from "<" to "<". A comment or declaration without an end hides the rest of the page; a "<" that begins no
+    tag is text.
+    """
     out: list[tuple[str, tuple, int]] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
     parts: list[str] = []
@@ -66,29 +77,46 @@ def leaf_blocks(page: str) -> list[tuple[str, tuple, int]]:
         if links:
             linked += len(text.strip())
 
-    n = len(page)
+    n, pattern = len(page), _TAG
+    last = page.rfind(">")
     while at < n:
-        found = _TAG.search(page, at)
-        if found is None:
+        start = page.find("<", at)
+        if start < 0 or start > last and not page.startswith(("<!", "<?"), start):
             add(page[at:])
             break
-        if found.start() > at:
-            add(page[at:found.start()])
-        at = found.end()
-        if found[2] is None:
+        if start > at:
+            add(page[at:start])
+        if page.startswith(("<!", "<?"), start):
+            end = page.find("-->", start + 4) + 2 if page.startswith("<!--", start) else page.find(">", start)
+            at = end + 1 if end > start else n
             continue
+        letter = page[start + 2:start + 3] if page.startswith("</", start) else page[start + 1:start + 2]
+        if not (letter.isascii() and letter.isalpha()):
+            add("<")
+            at = start + 1
+            continue
+        found = pattern.match(page, start)
+        if found is None:
+            pattern = _PLAIN_TAG
+            found = pattern.match(page, start)
+        if found is None:
+            add("<")
+            at = start + 1
+            continue
+        at = found.end()
         tag = found[2].lower()
         if found[1]:
             if tag == "a":
                 links = max(0, links - 1)
             elif tag in BLOCK_TAGS:
                 end_block()
-                names = [t for t, _ in stack]
-                if tag in names:
-                    del stack[len(names) - 1 - names[::-1].index(tag):]
+                for i in range(len(stack) - 1, -1, -1):
+                    if stack[i][0] == tag:
+                        del stack[i:]
+                        break
             continue
         if tag in RAW_TAGS:
-            if not found[3].rstrip().endswith("/"):
+            if tag != "svg" or not found[3].endswith("/"):
                 close = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
                 at = close.end() if close else n
             continue
@@ -113,6 +141,8 @@ def leaf_blocks(page: str) -> list[tuple[str, tuple, int]]:
             if found[3]:
                 names = tuple(w for m in _ATTRIBUTE.finditer(found[3])
                               for w in _NAME.findall((m[2] or m[3] or m[4] or "").lower()))
+            if len(stack) >= DEEPEST:
+                stack.pop()
             stack.append((tag, names))
             links = 0
     end_block()
