@@ -24,6 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,6 +38,8 @@ INNER = 12
 SPACE_FACTOR = 6
 #: Residuals and least eigenvalues are measured against the largest eigenvalue by this many roundings a root of dimension.
 ROUNDINGS = 48
+#: Tasks that add up the sums of the other tasks.
+SUMMERS = 16
 #: Rows of a task handled at once.
 ROWS = 2048
 EPS = float(np.finfo(float).eps)
@@ -95,16 +98,24 @@ class CentredProducts:
                 for at in range(0, len(x), ROWS):
                     part = block((x[at:at + ROWS] - base).astype(float) - fraction)
                     total = part if total is None else total + part
-            if total is not None:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.arange(total.size, dtype=np.int32)), pa.array(total.ravel())], ["cell", "part"])
+            if total is not None:  # one row per task
+                task = TaskContext.get().partitionId()
+                yield packed(task % SUMMERS, task, total.ravel())
+
+        def add(parts: pa.Table) -> pa.Table:
+            parts = parts.sort_by("task")  # the same order of additions whenever it runs
+            total = sum(np.frombuffer(p.as_py()) for p in parts["part"])
+            return pa.Table.from_batches([packed(parts["slot"][0].as_py(), 0, total)])
+
+        def packed(slot: int, task: int, total: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([slot], pa.int32()), pa.array([task], pa.int32()),
+                                               pa.array([total.tobytes()], pa.binary())], ["slot", "task", "part"])
 
         self.jobs += 1
-        cells = self.fit.select("x").mapInArrow(work, "cell int, part double").groupBy("cell").agg(F.sum("part").alias("total"))
-        out = np.zeros(len(cells_ := cells.collect()))  # dims * width numbers, whatever the number of rows
-        for cell, total in cells_:
-            out[cell] = total
-        return out.reshape(-1, width) / self.n
+        schema = "slot int, task int, part binary"
+        sums = self.fit.select("x").mapInArrow(work, schema).groupBy("slot").applyInArrow(add, schema)
+        parts = sorted(sums.collect())  # at most SUMMERS small matrices, whatever the number of rows
+        return sum(np.frombuffer(bytes(r["part"])) for r in parts).reshape(-1, width) / self.n
 
     def __call__(self, vectors: np.ndarray) -> np.ndarray:
         return self._summed(lambda c: c.T @ (c @ vectors), vectors.shape[1])
