@@ -21,6 +21,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each lengthened until the table has no such column: helper columns that harm nobody's."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def numbered(df: DataFrame, order: Sequence[Column], column: str = "_row") -> DataFrame:
     """Add the global row number (from 0) in the order given, without one task seeing all rows.
 
@@ -28,15 +39,15 @@ def numbered(df: DataFrame, order: Sequence[Column], column: str = "_row") -> Da
     The place in the input is the last sort key's tie-break, so only rows that agree in all of
     ``order`` can swap numbers, and many equal rows spread over partitions.
     """
-    spread = df.withColumn("_tie", F.monotonically_increasing_id())
+    tie, place, part, size, start = fresh(df, "_tie", "_place", "_part", "_size", "_start")
+    spread = df.withColumn(tie, F.monotonically_increasing_id())
     sorted_rows = (
-        spread.repartitionByRange(*order, "_tie").sortWithinPartitions(*order, "_tie").drop("_tie")
-        .withColumn("_place", F.monotonically_increasing_id()))
-    fixed = written(sorted_rows, "numbered").withColumn("_part", F.shiftright("_place", 33))
-    sizes = fixed.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))
-    starts = sizes.select("_part", (
-        F.sum("_size").over(Window.orderBy("_part")) - F.col("_size")).alias("_start"))
+        spread.repartitionByRange(*order, tie).sortWithinPartitions(*order, tie).drop(tie)
+        .withColumn(place, F.monotonically_increasing_id()))
+    fixed = written(sorted_rows, "numbered").withColumn(part, F.shiftright(place, 33))
+    sizes = fixed.groupBy(part).agg(F.count(F.lit(1)).alias(size))
+    starts = sizes.select(part, (F.sum(size).over(Window.orderBy(part)) - F.col(size)).alias(start))
     # one row per partition: broadcast is bounded by the number of partitions
-    return fixed.join(F.broadcast(starts), "_part").withColumn(
-        column, F.col("_start") + F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))
-    ).drop("_part", "_place", "_start", "_size")
+    return fixed.join(F.broadcast(starts), part).withColumn(
+        column, F.col(start) + F.col(place).bitwiseAND(F.lit((1 << 33) - 1))
+    ).select(*[c for c in df.columns if c != column], column)
