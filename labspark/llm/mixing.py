@@ -11,14 +11,19 @@ mixing orders, it neither repeats nor drops.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import heapq
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labspark.llm.shared import numbered, written
+from labspark.llm.shared import join_checked, numbered, written
+from labspark.tables import fresh
 
-#: Target weights of production sources; any other source belongs to the stratum OTHER.
+#: Target weights of production sources. Every other source that occurs is a stratum too, with the weight OTHER_WEIGHT.
 WEIGHTS = {"src0": 6, "src1": 3, "src2": 3, "src3": 2, "src4": 2, "src5": 2, "src6": 1, "src7": 1}
-OTHER, OTHER_WEIGHT = "other", 8
+OTHER_WEIGHT = 1
+#: The stratum of rows without a source.
+NO_SOURCE = "(none)"
 BLOCK_ROWS = 64
 
 
@@ -29,68 +34,66 @@ def cycle_places(weights: dict[str, int]) -> list[tuple[str, int, int, int, int]
     one: every block meets its deadline, and no place stays empty.
     """
     total = sum(weights.values())
-    done = dict.fromkeys(weights, 0)
+
+    def block(name: str, i: int) -> tuple:
+        q = weights[name]
+        return (i - 1) * total // q, -(-i * total // q), -q, name, i  # release, deadline, tie-breaks
+
+    waiting = [block(name, 1) for name in weights]
+    heapq.heapify(waiting)
+    due: list[tuple] = []
     placed = []
     for place in range(total):
-        due = []
-        for name, q in weights.items():
-            i = done[name] + 1
-            release, deadline = (i - 1) * total // q, -(-i * total // q)
-            if i <= q and release <= place:
-                due.append((deadline, -q, name, release))
-        deadline, _, name, release = min(due)
-        placed.append((name, done[name], place, release, deadline))
-        done[name] += 1
+        while waiting and waiting[0][0] <= place:
+            release, *rest = heapq.heappop(waiting)
+            heapq.heappush(due, (*rest, release))
+        deadline, _, name, i, release = heapq.heappop(due)
+        placed.append((name, i - 1, place, release, deadline))
+        if i < weights[name]:
+            heapq.heappush(waiting, block(name, i + 1))
     return placed
 
 
-def stratum(source: Column, weights: dict[str, int]) -> Column:
-    return F.when(source.isin(list(weights)), source).otherwise(OTHER)
-
-
 def mix(df: DataFrame, order: list[str], source: str = "source", weights: dict[str, int] = WEIGHTS,
         other_weight: int = OTHER_WEIGHT, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Add stratum, block (from 0 in its stratum), slot (place of the block in the stream), offset in the
-    block, release and deadline (in slots of the stream).
+    block, release and deadline (in slots of the stream); columns of these names are replaced.
 
-    ``order`` fixes the order inside a source; rows equal in all of it are interchangeable. Null and
-    unlisted sources form the stratum "other". Only the last block of a stratum can be short; slots of
-    blocks that a source no longer has stay empty. Weights are whole numbers from 1; the schedule has
-    (strata x sum of weights) rows at most, whatever the data. Empty tables stay empty.
+    Each source that occurs is a stratum of its own; unlisted ones have ``other_weight``, null sources
+    form the stratum NO_SOURCE. ``order`` fixes the order inside a source; rows equal in all of it are interchangeable. Only
+    the last block of a stratum can be short; slots of blocks that a source no longer has stay empty. Weights
+    are whole numbers from 1. The driver holds one row per source and the schedule, at most (sources x sum of weights) rows:
+    sources are named data sets, so some thousand at most. Empty tables stay empty.
     """
-    full = {**weights, OTHER: other_weight}
-    rows = numbered(df.withColumn("stratum", stratum(F.col(source), weights)), ["stratum", *order], "_row")
+    helpers = fresh(df, "_row", "_first", "_q", "_cycle", "_of", "_begin", "_end", "_base", "_total", "_place", "_r", "_d")
+    row, first, q, cycle, of, begin, end, base, total, place, released, due = helpers
+    rows = numbered(df.withColumn("stratum", F.coalesce(F.col(source), F.lit(NO_SOURCE))), ["stratum", *order], row)
     sizes = {r["stratum"]: (r["first"], r["n"]) for r in rows.groupBy("stratum").agg(
-        F.min("_row").alias("first"), F.count(F.lit(1)).alias("n")).collect()}  # a row per weight at most
+        F.min(row).alias("first"), F.count(F.lit(1)).alias("n")).collect()}  # a row per source
+    full = {name: weights.get(name, other_weight) for name in sizes}
     lasts = {name: -(-n // (block_rows * full[name])) for name, (_, n) in sizes.items()}  # cycles it stays
-    plan, begin, slots = [], 0, 0
-    for end in sorted(set(lasts.values())):
-        active = {name: full[name] for name in sorted(lasts) if lasts[name] >= end}
-        total = sum(active.values())
-        plan += [(name, begin, end, slots, total, index, place, release, deadline)
-                 for name, index, place, release, deadline in cycle_places(active)]
-        slots, begin = slots + (end - begin) * total, end
+    plan, start, slots = [], 0, 0
+    for stop in sorted(set(lasts.values())):
+        active = {name: full[name] for name in sorted(lasts) if lasts[name] >= stop}
+        whole = sum(active.values())
+        plan += [(name, index, start, stop, slots, whole, at, release, deadline)
+                 for name, index, at, release, deadline in cycle_places(active)]
+        slots, start = slots + (stop - start) * whole, stop
     spark = df.sparkSession
-    schedule = spark.createDataFrame(
-        plan, "_s string, _begin long, _end long, _base long, _total long, _index long, _place long,"
-              " _release long, _deadline long")
-    start = F.lit(0).cast("long")
-    weight = F.lit(1).cast("long")
-    for name, (first, _) in sizes.items():
-        start = F.when(F.col("stratum") == name, F.lit(first)).otherwise(start)
-        weight = F.when(F.col("stratum") == name, F.lit(full[name])).otherwise(weight)
-    rank = F.col("_row") - start
-    blocks = rows.withColumn("block", F.floor(rank / block_rows)).withColumn(
-        "offset", (rank % block_rows).cast("int")).withColumn("_q", weight).withColumn(
-        "_cycle", F.floor(F.col("block") / F.col("_q"))).withColumn("_of", F.col("block") % F.col("_q"))
-    # the schedule is bounded by the weights, so broadcasting it is safe
-    joined = blocks.join(F.broadcast(schedule), (F.col("stratum") == F.col("_s")) & (F.col("_of") == F.col("_index"))
-                         & (F.col("_cycle") >= F.col("_begin")) & (F.col("_cycle") < F.col("_end")))
-    base = F.col("_base") + (F.col("_cycle") - F.col("_begin")) * F.col("_total")
-    return joined.withColumns({"slot": base + F.col("_place"), "release": base + F.col("_release"),
-                               "deadline": base + F.col("_deadline")}).drop(
-        "_row", "_s", "_begin", "_end", "_base", "_total", "_index", "_place", "_release", "_deadline", "_q",
-        "_cycle", "_of")
+    schedule = spark.createDataFrame(plan, f"stratum string, {of} long, {begin} long, {end} long, {base} long, {total} long,"
+                                           f" {place} long, {released} long, {due} long")
+    sources = spark.createDataFrame([(name, at, full[name]) for name, (at, _) in sizes.items()],
+                                    f"stratum string, {first} long, {q} long")
+    rank = F.col(row) - F.col(first)
+    blocks = join_checked(rows, sources, "stratum", "inner", len(sizes)).withColumn(
+        "block", F.floor(rank / block_rows)).withColumn("offset", (rank % block_rows).cast("int")).withColumn(
+        cycle, F.floor(F.col("block") / F.col(q))).withColumn(of, F.col("block") % F.col(q))
+    joined = join_checked(blocks, schedule, ["stratum", of], "inner", len(plan)).where(
+        (F.col(cycle) >= F.col(begin)) & (F.col(cycle) < F.col(end)))
+    at = F.col(base) + (F.col(cycle) - F.col(begin)) * F.col(total)
+    added = {"slot": at + F.col(place), "release": at + F.col(released), "deadline": at + F.col(due)}
+    out = ["stratum", "block", "offset", *added]
+    return joined.withColumns(added).select(*[c for c in df.columns if c not in out], *out)
 
 
 def mixed_documents(docs: DataFrame, with_places: bool = False, **options) -> DataFrame:
@@ -101,15 +104,15 @@ def mixed_documents(docs: DataFrame, with_places: bool = False, **options) -> Da
     names are replaced).
     """
     places = ["mix_slot", "mix_offset"]
-    keyed = docs.withColumn("_digest", F.md5(F.coalesce("text", F.lit(""))))
-    keys = mix(keyed.select("doc_id", "source", "_digest").distinct(), ["_digest", "doc_id"], **options)
-    found = written(keys.select("doc_id", "source", "_digest", "slot", "offset"), "places")
+    digest, slot, offset = fresh(docs, "_digest", "_slot", "_offset")
+    keyed = docs.withColumn(digest, F.md5(F.coalesce("text", F.lit(""))))
+    keys = mix(keyed.select("doc_id", "source", digest).distinct(), [digest, "doc_id"], **options)
+    found = written(keys.select("doc_id", "source", digest, "slot", "offset"), "places")
     joined = keyed.alias("d").join(found.alias("p"), F.col("d.doc_id").eqNullSafe(F.col("p.doc_id"))
                                    & F.col("d.source").eqNullSafe(F.col("p.source"))
-                                   & (F.col("d._digest") == F.col("p._digest")))
+                                   & (F.col(f"d.{digest}") == F.col(f"p.{digest}")))
     columns = [F.col(f"d.{c}") for c in docs.columns if not (with_places and c in places)]
     if with_places:
         columns += [F.col("p.slot").alias("mix_slot"), F.col("p.offset").alias("mix_offset")]
-    return joined.select(*columns, F.col("p.slot").alias("_slot"), F.col("p.offset").alias("_offset")
-                         ).repartitionByRange("_slot", "_offset").sortWithinPartitions("_slot", "_offset"
-                         ).drop("_slot", "_offset")
+    return joined.select(*columns, F.col("p.slot").alias(slot), F.col("p.offset").alias(offset)).repartitionByRange(
+        slot, offset).sortWithinPartitions(slot, offset).drop(slot, offset)

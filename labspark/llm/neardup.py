@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labspark.llm.shared import components, join_checked, written
+from labspark.tables import fresh
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -407,6 +408,7 @@ def one_of_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 
     Only texts of classes with several rows are looked up; other rows pass through in place.
     """
+    own, stays, least = fresh(docs, "_uid", "_stays", "_least")
     keyed, roots = text_classes(docs, similarity)
     keyed = written(keyed, "keyed")
     per_text = keyed.where("uid is not null").groupBy("uid").agg(
@@ -416,11 +418,10 @@ def one_of_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     best = rooted.groupBy("root").agg(F.min(F.struct(F.col("least").isNull().alias("none"), "least", "uid")).alias("best"),
                                       F.sum("copies").alias("size"))
     marks = written(rooted.join(best.where("size > 1"), "root").select(
-        "uid", F.when(F.col("uid") == F.col("best.uid"), True).otherwise(False).alias("_stays"),
-        F.col("best.least").alias("_least")), "marks")
+        F.col("uid").alias(own), (F.col("uid") == F.col("best.uid")).alias(stays), F.col("best.least").alias(least)), "marks")
     uid = F.when(F.col("text").rlike(r"[^ \t\n\x0B\f\r]"), F.md5("text"))
-    marked = join_checked(docs.withColumn("_uid", uid), marks.withColumnRenamed("uid", "_uid"), "_uid", "left", marks.count())
-    others = marked.where("_stays is null").select(*docs.columns)
+    marked = join_checked(docs.withColumn(own, uid), marks, own, "left", marks.count())
+    others = marked.where(F.col(stays).isNull()).select(*docs.columns)
     # rows with the text and the id that stay are all alike up to extra columns: any one
-    chosen = marked.where(F.col("_stays") & F.col("doc_id").eqNullSafe(F.col("_least"))).dropDuplicates(["_uid"])
+    chosen = marked.where(F.col(stays) & F.col("doc_id").eqNullSafe(F.col(least))).dropDuplicates([own])
     return others.union(chosen.select(*docs.columns))

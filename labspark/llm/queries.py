@@ -70,7 +70,7 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _secret_sql() -> str:
     """Spans from the texts between matches and the matches, per kind."""
     def found(rank: int, kind: str, pattern: str, group: int, least: int) -> str:
-        p = pattern.replace("'", "''")
+        p = secrets.in_sql(pattern).replace("'", "''")
         return f"""SELECT rid, '{kind}' AS kind, {rank} AS rank, place AS start, place + length(ms[k]) AS "end" FROM (
   SELECT *, coalesce(list_sum(list_transform(ps[1:k], lambda x: length(x))), 0)
     + coalesce(list_sum(list_transform(ms[1:k - 1], lambda x: length(x))), 0) AS place FROM (
@@ -160,14 +160,13 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _mixing_sql() -> str:
     """Blocks by row numbers per stratum, placed by the cycle schedules of every set of remaining strata."""
-    names = [*mixing.WEIGHTS, mixing.OTHER]
-    weights = {**mixing.WEIGHTS, mixing.OTHER: mixing.OTHER_WEIGHT}
-    listed = ", ".join(f"'{n}'" for n in mixing.WEIGHTS)
-    values = ", ".join(f"('{n}', {weights[n]})" for n in names)
+    values = ", ".join(f"('{n}', {q})" for n, q in mixing.WEIGHTS.items())
     return f"""
-WITH RECURSIVE weights(stratum, q) AS (VALUES {values}),
+WITH RECURSIVE listed(stratum, q) AS (VALUES {values}),
+weights AS (SELECT DISTINCT coalesce(source, '{mixing.NO_SOURCE}') AS stratum, coalesce(q, {mixing.OTHER_WEIGHT}) AS q
+  FROM documents LEFT JOIN listed ON source = stratum),
 ranked AS (
-  SELECT doc_id, source, CASE WHEN source IN ({listed}) THEN source ELSE '{mixing.OTHER}' END AS stratum,
+  SELECT doc_id, source, coalesce(source, '{mixing.NO_SOURCE}') AS stratum,
          md5(coalesce(text, '')) AS digest FROM documents),
 placed AS (
   SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY digest, doc_id NULLS FIRST) - 1 AS rnk FROM ranked),

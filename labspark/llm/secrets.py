@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labspark.llm.shared import join_checked, written
+from labspark.tables import fresh
 
 with warnings.catch_warnings():
     warnings.simplefilter("ignore", DeprecationWarning)
@@ -27,9 +28,10 @@ BASE_RULES = {
     "hex": (r"[0-9a-f]{24,}", 0, 24),  # the runs of [0-9a-f]+ that are long enough
 }
 _PEM = r"PRIVATE\x20KEY-----"
-#: After the first line of a key: all up to its END line; without one, headers and lines up to the last of base64.
-_PEM_BODY = (r"(?:[^-]*(?:-{1,4}[^-]+){0,200}-{5,9}END\x20[A-Z\x20]*" + _PEM
-             + r"|(?:[\x20\t]*\r?\n[\x20\t]*[A-Za-z-]+:\x20[^\n]*){0,4}[A-Za-z0-9+/=\x20\t\r\n\\]*[A-Za-z0-9+/=]{40}"
+#: After the first line of a key: all up to its END line, if no other line of five dashes comes before; without one,
+#: headers and lines up to the last of base64. Possessive, so that long bodies need neither stack nor second tries.
+_PEM_BODY = (r"(?:[^-]*+(?:-{1,4}[^-]++)*+-{5,9}END\x20[A-Z\x20]*" + _PEM
+             + r"|(?:(?:[\x20\t]*\r?\n[\x20\t]*[A-Za-z-]+:\x20[^\n]*)++\n)?[A-Za-z0-9+/=\x20\t\r\n\\]*[A-Za-z0-9+/=]{40}"
              r"(?:[\x20\t]*\r?\n[\x20\t]*[A-Za-z0-9+/=]+[\x20\t]*(?:\r?\n|$))?)?")
 #: What the method adds.
 MORE_RULES = {
@@ -41,6 +43,11 @@ RULES = {**BASE_RULES, **MORE_RULES}
 _MAX_STRINGS = 64
 
 
+def in_sql(pattern: str) -> str:
+    """A rule's expression for engines without possessive repeats; what is possessive here has one way to match."""
+    return pattern.replace("*+", "*").replace("++", "+")
+
+
 def _with_trigrams(clauses: list[frozenset], strings: set[str]) -> list[frozenset]:
     """Each clause joined with the trigrams of each of the strings."""
     found = {frozenset(s[i:i + 3] for i in range(len(s) - 2)) for s in strings}
@@ -141,14 +148,15 @@ def scan(docs: DataFrame, rules=RULES, keep: list[str] | None = None, name: str
     wanted, full = candidates(docs, rules)
     wanted = written(wanted, "candidates")
     columns = [c for c in keep or docs.columns if c != name]
-    keyed = docs.withColumn("_text", F.coalesce("text", F.lit(""))).withColumn("_key", F.xxhash64("_text"))
-    joined = join_checked(keyed, wanted.withColumnsRenamed({"key": "_key", "kinds": "_kinds"}), "_key", "left", wanted.count())
+    whole, key, kinds = fresh(docs, "_text", "_key", "_kinds")
+    keyed = docs.withColumn(whole, F.coalesce("text", F.lit(""))).withColumn(key, F.xxhash64(whole))
+    joined = join_checked(keyed, wanted.withColumnsRenamed({"key": key, "kinds": kinds}), key, "left", wanted.count())
     empty = F.array().cast("array<struct<start:int,end:int,kind:string,long:boolean>>")
     found = []
     for kind, (pattern, group, least) in rules.items():
         # a rule without trigrams has its first test in place; the others were chosen by the index
-        chosen = F.col("_text").rlike(pattern) if kind in full else F.array_contains("_kinds", kind)
-        found.append(F.when(chosen, _spans(F.col("_text"), kind, pattern, group, least)).otherwise(empty))
+        chosen = F.col(whole).rlike(pattern) if kind in full else F.array_contains(kinds, kind)
+        found.append(F.when(chosen, _spans(F.col(whole), kind, pattern, group, least)).otherwise(empty))
     order = F.create_map(*[F.lit(x) for i, kind in enumerate(rules) for x in (kind, i)])
     ranked = F.transform(F.concat(*found), lambda s: F.struct(s["start"].alias("start"), order[s["kind"]].alias("rank"),
                                                               s["end"].alias("end"), s["kind"].alias("kind")))
@@ -166,20 +174,21 @@ def count_of(spans: Column, kind: str) -> Column:
 
 def redacted(docs: DataFrame, rules=RULES, mark: str = "[secret]") -> DataFrame:
     """The documents with every found span replaced (overlapping spans by one mark); n_chars follows."""
-    hits = scan(docs.withColumn("_whole", F.coalesce("text", F.lit(""))), rules, name="_spans")
+    whole, spans = fresh(docs, "_whole", "_spans")
+    hits = scan(docs.withColumn(whole, F.coalesce("text", F.lit(""))), rules, name=spans)
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def cut(s: Column, x: Column) -> Column:
-        fresh = x["start"] >= s["at"]
-        return F.struct(F.greatest(s["at"], x["end"]).alias("at"), F.when(fresh, F.concat(
-            s["out"], F.col("_whole").substr(s["at"] + 1, x["start"] - s["at"]), F.lit(mark))
+        first = x["start"] >= s["at"]
+        return F.struct(F.greatest(s["at"], x["end"]).alias("at"), F.when(first, F.concat(
+            s["out"], F.col(whole).substr(s["at"] + 1, x["start"] - s["at"]), F.lit(mark))
             ).otherwise(s["out"]).alias("out"))
 
-    cleaned = F.aggregate("_spans", start, cut, lambda s: F.concat(
-        s["out"], F.col("_whole").substr(s["at"] + 1, F.length("_whole"))))
-    text = F.when(F.size("_spans") > 0, cleaned).otherwise(F.col("text"))
+    cleaned = F.aggregate(spans, start, cut, lambda s: F.concat(
+        s["out"], F.col(whole).substr(s["at"] + 1, F.length(whole))))
+    text = F.when(F.size(spans) > 0, cleaned).otherwise(F.col("text"))
     changed = hits.withColumn("text", text)
     if "n_chars" in docs.columns:
         changed = changed.withColumn("n_chars", F.when(
-            F.size("_spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+            F.size(spans) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return changed.select(*docs.columns)

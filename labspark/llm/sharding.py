@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labspark.llm.shared import numbered
+from labspark.tables import fresh
 
 PRIME = 2_147_483_647
 ROUNDS = 6
@@ -53,8 +54,8 @@ def permute_one(x: int, n: int, seed: int) -> int:
 def permuted(x: Column, n: int, seed: int) -> Column:
     """Column form of ``permute_one``.
 
-    All but about 2 / sqrt(n) of the values end in range at once. Only the others walk on, for at
-    most as many steps as there are values out of range, so no row is left over.
+    All but about 2 / sqrt(n) of the values end in range at once. The others walk eight steps more; only who is still
+    out of range then, one row in sqrt(n) ** 9, gets the longest possible walk, so no row is left over.
     """
     a = side_of(n)
     keys = F.array(*[F.struct(*[F.lit(k).cast("long").alias(f) for f, k in zip("mab", key, strict=True)])
@@ -73,9 +74,12 @@ def permuted(x: Column, n: int, seed: int) -> Column:
     def walk(value: Column, _: Column) -> Column:
         return F.when(value < F.lit(n), value).otherwise(once(value))
 
-    return F.aggregate(F.array(once(x)), F.lit(0).cast("long"), lambda _, first: F.when(
-        first < F.lit(n), first).otherwise(F.aggregate(
-            F.sequence(F.lit(1), F.lit(max(1, a * a - n))), first, walk)))
+    def further(value: Column, steps: int) -> Column:
+        """The value walked on; the array of steps is made only for a row that needs it."""
+        return F.aggregate(F.array(value), F.lit(0).cast("long"), lambda _, at: F.when(at < F.lit(n), at).otherwise(
+            F.aggregate(F.sequence(F.lit(1), F.lit(steps)), at, walk)))
+
+    return further(further(once(x), 8), max(1, a * a - n))
 
 
 def into_shards(df: DataFrame, order: list[str], shards: int, seed: int = 17) -> DataFrame:
@@ -87,7 +91,8 @@ def into_shards(df: DataFrame, order: list[str], shards: int, seed: int = 17) ->
     """
     rows = numbered(df.drop("row_number", "shard", "slot"), order, "row_number")
     n = rows.count()
+    (to,) = fresh(rows, "_to")
     place = permuted(F.col("row_number"), n, seed)
-    return rows.withColumn("_to", place).select(
-        *rows.columns, (F.col("_to") % shards).cast("int").alias("shard"),
-        F.floor(F.col("_to") / shards).cast("long").alias("slot"))
+    return rows.withColumn(to, place).select(
+        *rows.columns, (F.col(to) % shards).cast("int").alias("shard"),
+        F.floor(F.col(to) / shards).cast("long").alias("slot"))

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import inspect
 import json
 import math
 import random
@@ -11,6 +12,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
+from labspark import tables
 from labspark.llm import lm, mixing, neardup, packing, quality, secrets, sharding
 from labspark.llm.shared import components, numbered
 
@@ -157,7 +159,7 @@ def test_redaction_leaves_no_key_material(spark):
     import duckdb
     pattern, _, _ = secrets.RULES["private_key"]
     for text in texts:  # the same match where the expression is used as SQL
-        assert duckdb.execute("SELECT regexp_extract(?, ?)", [text, pattern]).fetchone()[0] == re.search(pattern, text)[0]
+        assert duckdb.execute("SELECT regexp_extract(?, ?)", [text, secrets.in_sql(pattern)]).fetchone()[0] == re.search(pattern, text)[0]
 
 
 # quality
@@ -239,7 +241,7 @@ def test_mix_places_every_row_once_and_follows_the_weights(spark, docs, empty):
     done = collections.Counter()
     for slot in range(60):
         done[next(iter(slots[slot]))[0]] += 1
-        for name, q in (("src0", 3), ("src1", 2), ("other", 1)):
+        for name, q in (("src0", 3), ("src1", 2), (mixing.NO_SOURCE, 1)):
             assert abs(done[name] - (slot + 1) * q / 6) < 1
     assert mixing.mix(empty, ["text"]).count() == 0
     mixed = mixing.mixed_documents(docs)
@@ -555,3 +557,54 @@ def test_digest_of_no_spans_is_that_of_the_empty_text(spark, tmp_path):
                           ).write.parquet(str(tmp_path / "documents.parquet"))
     row = queries.op3_secrets(spark, str(tmp_path)).first()
     assert row["base_sha256"] == hashlib.sha256(b"").hexdigest() and row["spans"] == "" and row["n_hex"] == 0
+
+
+def test_every_source_is_scheduled_by_its_own_weight(spark):
+    """Twenty sources, one with a third of all rows: while a source has blocks, it is less than one off its target."""
+    rows = [(i, f"t{i % 901}", f"src{i % 20}" if i % 3 else "src13") for i in range(9000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = mixing.mix(df, ["text", "doc_id"], block_rows=10).collect()
+    assert len(out) == 9000 and {r["stratum"] for r in out} == {f"src{i}" for i in range(20)}
+    at = {r["slot"]: r["stratum"] for r in out}
+    assert all(r["release"] <= r["slot"] < r["deadline"] for r in out)
+    weights = {f"src{i}": mixing.WEIGHTS.get(f"src{i}", mixing.OTHER_WEIGHT) for i in range(20)}
+    total, done = sum(weights.values()), collections.Counter()
+    last = {name: max(slot for slot, n in at.items() if n == name) for name in weights}
+    for slot in range(min(last.values()) + 1):
+        if slot in at:
+            done[at[slot]] += 1
+        assert all(abs(done[name] - (slot + 1) * q / total) < 1 for name, q in weights.items())
+
+
+def test_key_bodies_without_counts(spark):
+    dashes = "-----BEGIN RSA PRIVATE KEY-----\n" + "AbC1-xyz--" * 300 + "\n-----END RSA PRIVATE KEY-----"
+    headers = "-----BEGIN PRIVATE KEY-----\n" + "".join(f"Header-{c}: x{c}\n" for c in "abcdefgh") + "Q" * 64 + "\n" + "R" * 12 + "\nafter"
+    long = "-----BEGIN PRIVATE KEY-----\n" + ("A-" * 200_000) + "\n-----END PRIVATE KEY-----tail"
+    two = "see -----BEGIN PRIVATE KEY----- here, plain words. " + dashes + " end"
+    many = "-----BEGIN PRIVATE KEY----- " * 3000
+    rows = spark.createDataFrame([(1, f"a {dashes} b"), (2, headers), (3, long), (4, two), (5, many)], "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in secrets.redacted(rows).collect()}
+    assert got[1] == "a [secret] b" and got[2] == "[secret]after" and got[3] == "[secret]tail"
+    assert got[4] == "see [secret] here, plain words. [secret] end" and got[5] == "[secret] " * 3000
+
+
+HELPERS = sorted({name for module in (mixing, neardup, quality, secrets, sharding, packing, tables)
+                  for name in re.findall(r'"(_\w+)"', inspect.getsource(module))})
+
+
+@pytest.mark.parametrize("stage", ["quality", "near duplicates", "secrets", "mixing", "mix", "sharding"])
+def test_helper_names_may_occur_in_the_table(spark, docs, stage):
+    run = {"quality": quality.kept_documents, "near duplicates": neardup.one_of_each, "secrets": secrets.redacted,
+           "mixing": lambda d: mixing.mixed_documents(d, with_places=True), "mix": lambda d: mixing.mix(d, ["doc_id", "text"]),
+           "sharding": lambda d: sharding.into_shards(d, ["doc_id", "text"], 4)}[stage]
+    extra = {name: F.concat(F.lit(name), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))) for name in HELPERS}
+    docs = docs.drop("_row")
+    plain, full = run(docs), run(docs.withColumns(extra))
+    assert [c for c in full.columns if c not in HELPERS] == plain.columns and set(HELPERS) <= set(full.columns)
+    got = full.collect()
+    for r in got:
+        mine = "-" if r["doc_id"] is None else str(r["doc_id"])
+        assert all(r[name] == name + mine for name in HELPERS)
+    identity = ["doc_id", "text"]  # what else stages add depends on the order of rows that agree in these
+    key = lambda rows: sorted(tuple(str(r[c]) for c in identity) for r in rows)
+    assert key(got) == key(plain.collect())
