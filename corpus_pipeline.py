@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from labspark.llm import mixing, neardup, packing, quality, secrets
 from labspark.llm.shared import table, written
 
-#: Slots of the stream that are packed together: four cycles of the default weights.
-WINDOW_SLOTS = 4 * (sum(mixing.WEIGHTS.values()) + mixing.OTHER_WEIGHT)
+#: Slots of the stream that are packed together: some four cycles of the weights of twenty sources.
+WINDOW_SLOTS = 128
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
