@@ -1,8 +1,8 @@
 """Entities, their status and their relations in a table of documents.
 
-Only span finding runs in Python (Arrow batches, one small function per text), because greedy
-non-overlap and match offsets have no built-in counterpart.  Clauses, triggers, status,
-mention pairing and triples are DataFrame operations.
+Span finding and the pairing of spans run in Python (Arrow batches, one small function per text), because greedy
+non-overlap and match offsets have no built-in counterpart.  Status, pattern relations, order and counts
+are DataFrame operations.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from bisect import bisect_left, bisect_right
 from collections.abc import Iterator, Sequence
 from operator import itemgetter
 
+import ahocorasick
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,9 +32,8 @@ class _Lexicon:
     """Terms and pattern rules as one engine that proposes and resolves entity spans.
 
     Every proposal is (rank, start, end): the place of its term or rule in the list of priorities.
-    Terms are found by one alternation inside a lookahead, which stops at every place of the text,
-    so overlapping ones are seen; it names the longest term there, and the shorter terms that are
-    its beginnings follow from a table.  Lower ranks win, then earlier places.
+    Terms are found by an Aho-Corasick automaton, which sees all occurrences in one pass whatever the
+    number of terms.  Lower ranks win, then earlier places.
     """
 
     def __init__(self, terms: Sequence[tuple[str, str, str]],
@@ -45,19 +45,17 @@ class _Lexicon:
         ranks: dict[str, int] = {}
         for rank, (term, _, _) in enumerate(self.terms):
             ranks.setdefault(term, rank)
-        self.beginnings = {
-            term: [ranks[term[:n]] for n in range(1, len(term) + 1) if term[:n] in ranks]
-            for term in ranks}
-        longest_first = sorted(ranks, key=len, reverse=True)
-        self.words = re.compile("(?=(" + "|".join(map(re.escape, longest_first)) + "))") if ranks else None
+        self.automaton = ahocorasick.Automaton()
+        for term, rank in ranks.items():
+            self.automaton.add_word(term, (rank, len(term)))
+        if ranks:
+            self.automaton.make_automaton()
+        self.any_terms = bool(ranks)
 
     def _proposals(self, text: str) -> list[tuple[int, int, int]]:
         found = []
-        if self.words is not None:
-            for m in self.words.finditer(text):
-                start = m.start()
-                found += [(rank, start, start + len(self.terms[rank][0]))
-                          for rank in self.beginnings[m[1]]]
+        if self.any_terms:
+            found = [(rank, last + 1 - size, last + 1) for last, (rank, size) in self.automaton.iter(text)]
         for i, rule in enumerate(self.rules, len(self.terms)):
             found += [(i, *m.span()) for m in rule[0].finditer(text)]
         return sorted(found)
@@ -113,6 +111,48 @@ def _piece(marks: list[int], start: int, end: int) -> int:
     return before if bisect_left(marks, end) == before else -1
 
 
+class _Reader:
+    """Cuts a text into clauses and sentences and places its spans in them."""
+
+    def __init__(self, lexicon: _Lexicon, clause_separators: str, sentence_separators: str):
+        self.lexicon = lexicon
+        self.clause_mark = re.compile("[" + re.escape(clause_separators) + "]")
+        self.sentence_mark = re.compile("[" + re.escape(sentence_separators) + "]")
+
+    def clauses(self, body: str) -> tuple[list[tuple[int, str, list[tuple]]], list[int]]:
+        """(clause number, clause, its spans with sentence number and place in the clause), and the sentence marks."""
+        overlap = self.lexicon.overlap
+        found = self.lexicon.spans(body)
+        if not found:
+            return [], []
+        marks = [m.start() for m in self.clause_mark.finditer(body)]
+        sentences = [m.start() for m in self.sentence_mark.finditer(body)]
+        out: list[tuple[int, str, list[tuple]]] = []
+        current, clause, first_at = -2, "", 0
+        for span in found:
+            entity, _, start, end, _, _ = span
+            clause_no = _piece(marks, start, end)
+            if clause_no < 0:
+                clause = body if overlap else body[max(0, start - 10):end + 6]
+                at = start if overlap else clause.find(entity)
+            elif clause_no != current:
+                left = marks[clause_no - 1] + 1 if clause_no else 0
+                right = marks[clause_no] if clause_no < len(marks) else len(body)
+                clause = body[left:right]
+                if overlap:  # places count from the first occurrence of this text
+                    first_at = body.find(clause)
+                else:
+                    clause = clause.strip()
+            if clause_no < 0 or clause_no != current:
+                out.append((clause_no, clause, []))
+                current = clause_no if clause_no >= 0 else -2
+            if clause_no >= 0:
+                at = start - first_at if overlap else clause.find(entity)
+                at = at if overlap or at >= 0 else len(clause) // 2
+            out[-1][2].append((*span, _piece(sentences, start, end), at))
+        return out, sentences
+
+
 def span_clauses(docs: DataFrame, terms: Sequence[tuple[str, str, str]] | None = None,
                  patterns: Sequence[tuple[str, str, str]] | None = None,
                  doc_id: str = "doc_id", text: str = "text", overlap: bool = False,
@@ -139,44 +179,15 @@ def span_clauses(docs: DataFrame, terms: Sequence[tuple[str, str, str]] | None =
     span_fields = list(list_type.value_type)
 
     def clauses_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon = _Lexicon(terms, rules, overlap)
-        clause_mark = re.compile("[" + re.escape(clause_separators) + "]")
-        sentence_mark = re.compile("[" + re.escape(sentence_separators) + "]")
+        reader = _Reader(_Lexicon(terms, rules, overlap), clause_separators, sentence_separators)
         for batch in batches:
             rows, spans, offsets = [], [], [0]
             for key, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if not body:
                     continue
-                found = lexicon.spans(body)
-                if not found:
-                    continue
-                clauses = [m.start() for m in clause_mark.finditer(body)]
-                sentences = [m.start() for m in sentence_mark.finditer(body)]
-                current, clause, first_at = -2, "", 0
-                for span in found:
-                    entity, _, start, end, _, _ = span
-                    clause_no = _piece(clauses, start, end)
-                    if clause_no < 0:
-                        clause = body if overlap else body[max(0, start - 10):end + 6]
-                        at = start if overlap else clause.find(entity)
-                    elif clause_no != current:
-                        left = clauses[clause_no - 1] + 1 if clause_no else 0
-                        right = clauses[clause_no] if clause_no < len(clauses) else len(body)
-                        clause = body[left:right]
-                        if overlap:  # places count from the first occurrence of this text
-                            first_at = body.find(clause)
-                        else:
-                            clause = clause.strip()
-                    if clause_no < 0 or clause_no != current:
-                        if len(spans) > offsets[-1]:
-                            offsets.append(len(spans))
-                        rows.append((key, clause_no, clause))
-                        current = clause_no if clause_no >= 0 else -2
-                    if clause_no >= 0:
-                        at = start - first_at if overlap else clause.find(entity)
-                        at = at if overlap or at >= 0 else len(clause) // 2
-                    spans.append((*span, _piece(sentences, start, end), at))
-                if len(spans) > offsets[-1]:
+                for clause_no, clause, inside in reader.clauses(body)[0]:
+                    rows.append((key, clause_no, clause))
+                    spans += inside
                     offsets.append(len(spans))
             flat = list(zip(*spans)) if spans else [[] for _ in span_fields]
             items = pa.StructArray.from_arrays(
@@ -327,85 +338,112 @@ def note_status(clauses: DataFrame, negation: Sequence[str] = tuple(ct.NOTE_NEGA
 # ---------------------------------------------------------------------------------------
 # Triples
 # ---------------------------------------------------------------------------------------
-def extract_triples(entities: DataFrame, docs: DataFrame, relations: dict | None = None,
-                    separators: str = ct.SENTENCE_SEPARATORS, located: str = ct.LOCATED,
+class _Pairing:
+    """Finds the related names of one text by a sweep over the mentions of each sentence."""
+
+    def __init__(self, relations: dict, negation: Sequence[str], located: str):
+        self.relations = [(i, name, tuple(words), types) for i, (name, (words, types)) in enumerate(relations.items())]
+        self.negation, self.located = tuple(negation), located
+        self.kinds = {k for _, _, _, types in self.relations for pair in types for k in pair}
+
+    def triples(self, body: str, reader: _Reader) -> list[tuple]:
+        """(subject, subject entity, relation, object, object entity, confidence, sentence, first place), each once."""
+        clauses, marks = reader.clauses(body)
+        sentences: dict[int, list[tuple]] = {}
+        for i, (_, _, spans) in enumerate(clauses):
+            for entity, kind, start, _, standard, _, sentence_no, at in spans:
+                if sentence_no >= 0 and kind in self.kinds:
+                    sentences.setdefault(sentence_no, []).append((kind, entity, standard, start, i, at))
+        best: dict[tuple, tuple] = {}
+        negated: dict[int, int] = {}
+        for number, mentions in sorted(sentences.items()):
+            left = marks[number - 1] + 1 if number else 0
+            right = marks[number] if number < len(marks) else len(body)
+            open_ = self._open(body[left:right].strip(), {m[0] for m in mentions})
+            if not open_:
+                continue
+            # distinct names with their first and last place: what the pairs are made of
+            names: dict[str, dict[tuple, list[int]]] = {}
+            for kind, entity, standard, start, i, at in mentions:
+                if i not in negated:
+                    places = [p for p in map(clauses[i][1].find, self.negation) if p >= 0]
+                    negated[i] = min(places, default=len(body))
+                places = names.setdefault(kind, {}).setdefault((entity, standard, negated[i] < at), [start, start])
+                places[0], places[1] = min(places[0], start), max(places[1], start)
+            for confidence, relation_no, name, types in open_:
+                for s_kind, o_kind in types:
+                    for s, (s_first, s_last) in names.get(s_kind, {}).items():
+                        for o, (o_first, o_last) in names.get(o_kind, {}).items():
+                            if (s[2] or o[2]) if name == self.located else (s[2] and o[2]):
+                                continue
+                            near, far = min(s_first, o_first), max(s_last, o_last)
+                            if s_kind == o_kind:  # the earlier mention is the subject
+                                if s_first >= o_last:
+                                    continue
+                                near, far = s_first, o_last
+                            found = ((number, near, far, relation_no), s[1], o[1], confidence)
+                            key = (s[0], name, o[0])
+                            if key not in best or found < best[key]:
+                                best[key] = found
+        return [(subject, s, name, obj, o, confidence, order[0], order[1], order[2], order[3])
+                for (s, name, o), (order, subject, obj, confidence) in best.items()]
+
+    def _open(self, sentence: str, kinds: set[str]) -> list[tuple]:
+        """(confidence, number, name, type pairs) of the relations that the sentence may hold."""
+        short = len(sentence.replace(" ", "")) <= ct.SHORT_SENTENCE
+        open_ = []
+        for number, name, words, types in self.relations:
+            types = [t for t in types if t[0] in kinds and t[1] in kinds]
+            if types:
+                if any(w in sentence for w in words):
+                    open_.append((ct.TRIGGER_CONFIDENCE, number, name, types))
+                elif short:
+                    open_.append((ct.SHORT_CONFIDENCE, number, name, types))
+        return open_
+
+
+def extract_triples(docs: DataFrame, terms: Sequence[tuple[str, str, str]] | None = None,
+                    patterns: Sequence[tuple[str, str, str]] | None = None, relations: dict | None = None,
+                    negation: Sequence[str] = tuple(ct.NEGATION_TRIGGERS), located: str = ct.LOCATED,
+                    clause_separators: str = ct.CLAUSE_SEPARATORS, sentence_separators: str = ct.SENTENCE_SEPARATORS,
                     doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Relations between entities of one sentence, each once per document.
+    """Relations between entities of one sentence, each once per document; documents are read once.
 
-    Mentions are first reduced to distinct names per sentence, so pairing works on dictionary
-    names and not on occurrences: a name repeated a thousand times is one row with its first
-    and last place, which is all the ordering rule needs.
+    The pass that finds spans also pairs them: a sentence without a trigger that is not short is left before any pair
+    is made, and mentions are first reduced to distinct names, so a name repeated a thousand times is one name
+    with its first and last place. A text gives each triple once; only those are grouped by document, for rows that
+    share a doc_id.
     """
+    if terms is None:
+        terms = ct.term_list(ct.CLINICAL_TERMS)
+    rules = _rules(ct.CLINICAL_PATTERNS if patterns is None else patterns, ())
     relations = relations or ct.RELATIONS
-    pairs = [(name, i, s, o) for i, (name, (_, types)) in enumerate(relations.items())
-             for s, o in types]
-
-    # Placed by document once; both groupings below use that placement.  A document's entities
-    # come from one text, so a document is never a large group.
-    names = (
-        entities.filter(F.col("sentence_no") >= 0)
-        .select("doc_id", "sentence_no", "entity", "entity_type", "standard_name",
-                "negation_status", "start")
-        .repartition("doc_id")
-        .groupBy("doc_id", "sentence_no", "entity", "entity_type", "standard_name",
-                 "negation_status")
-        .agg(F.min("start").alias("first_at"), F.max("start").alias("last_at"))
-    )
-    sentences = names.groupBy("doc_id", "sentence_no").agg(F.collect_list(F.struct(
-        "entity", "entity_type", "standard_name", "negation_status", "first_at", "last_at"
-    )).alias("names"))
-
-    def bound(name: str, number: int, subject_type: str, object_type: str) -> Column:
-        """Admissible (subject, object) pairs of one type pair."""
-        same = subject_type == object_type
-
-        def kept(s: Column, o: Column) -> Column:
-            either = s["negation_status"] | o["negation_status"]
-            both = s["negation_status"] & o["negation_status"]
-            # of two entities of one type the earlier mention is the subject
-            ordered = s["first_at"] < o["last_at"] if same else F.lit(True)
-            return ordered & ~(either if name == located else both)
-
-        def pair(s: Column, o: Column) -> Column:
-            near, far = (s["first_at"], o["last_at"]) if same else (
-                F.least(s["first_at"], o["first_at"]), F.greatest(s["first_at"], o["first_at"]))
-            return F.struct(
-                F.lit(name).alias("relation"), F.lit(number).alias("relation_no"),
-                near.alias("i"), far.alias("j"), s["entity"].alias("subject_entity"),
-                s["standard_name"].alias("subject"), o["entity"].alias("object_entity"),
-                o["standard_name"].alias("object"))
-
-        return F.flatten(F.transform(
-            F.filter("names", lambda n: n["entity_type"] == subject_type),
-            lambda s: F.transform(
-                F.filter("names", lambda o: (o["entity_type"] == object_type) & kept(s, o)),
-                lambda o: pair(s, o))))
-
-    kinds = sorted({k for _, _, s, o in pairs for k in (s, o)})
-    candidates = sentences.filter(F.exists("names", lambda n: n["entity_type"].isin(kinds))).select(
-        "doc_id", "sentence_no", F.inline(F.concat(*[bound(*p) for p in pairs])))
-
-    sentence = split_pieces(docs, separators, doc_id, text).select(
-        "doc_id", F.col("piece_no").alias("sentence_no"),
-        (F.char_length(F.replace("piece", F.lit(" "), F.lit(""))) <= ct.SHORT_SENTENCE)
-        .alias("__short"),
-        F.array_compact(F.array(*[
-            F.when(F.col("piece").rlike("|".join(re.escape(w) for w in words)), F.lit(name))
-            for name, (words, _) in relations.items()])).alias("__told"))
-    told = F.array_contains("__told", F.col("relation"))
-    order = F.struct("sentence_no", "i", "j", "relation_no")
+    key = docs.schema[doc_id].dataType
+    fields = [("doc_id", key), *[(n, T.StringType()) for n in (
+        "subject", "subject_entity", "relation", "object", "object_entity")], ("confidence", T.DoubleType()),
+        *[(n, T.IntegerType()) for n in ("sentence_no", "first_at", "last_at", "relation_no")]]
+    schema = T.StructType([T.StructField(n, t) for n, t in fields])
+    arrow_schema = to_arrow_schema(schema)
+
+    def triples_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = _Reader(_Lexicon(terms, rules, False), clause_separators, sentence_separators)
+        pairing = _Pairing(relations, negation, located)
+        for batch in batches:
+            rows = [(k, *triple) for k, body in zip(batch.column(0).to_pylist(), batch.column(1)) if body.is_valid
+                    for triple in pairing.triples(body.as_py(), reader)]
+            columns = list(zip(*rows)) if rows else [[] for _ in fields]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, f.type) for c, f in zip(columns, arrow_schema)], schema=arrow_schema)
+
+    order = F.struct("sentence_no", "first_at", "last_at", "relation_no")
+    found = docs.select(doc_id, text).mapInArrow(triples_of, schema)
     return (
-        candidates.join(
-            sentence.filter(F.col("__short") | (F.size("__told") > 0)), ["doc_id", "sentence_no"])
-        .withColumn("confidence", F.when(told, ct.TRIGGER_CONFIDENCE).when(
-            F.col("__short"), ct.SHORT_CONFIDENCE))
-        .filter(F.col("confidence").isNotNull())
-        .groupBy("doc_id", "subject_entity", "relation", "object_entity")
+        found.groupBy("doc_id", "subject_entity", "relation", "object_entity")
         .agg(F.min(F.struct(order.alias("o"), "subject", "object", "confidence")).alias("w"))
         .select("doc_id", F.col("w.subject").alias("subject"), "subject_entity", "relation",
                 F.col("w.object").alias("object"), "object_entity",
                 F.col("w.confidence").alias("confidence"),
-                F.col("w.o.sentence_no").alias("sentence_no"), F.col("w.o.i").alias("first_at"))
+                F.col("w.o.sentence_no").alias("sentence_no"), F.col("w.o.first_at").alias("first_at"))
     )
 
 
@@ -456,7 +494,7 @@ def pattern_triples(docs: DataFrame, terms: Sequence[tuple[str, str, str]] | Non
 def analyze_clinical(docs: DataFrame, **columns: str) -> tuple[DataFrame, DataFrame]:
     """(entities with status, triples) of every document."""
     entities = entity_status(span_clauses(docs, **columns))
-    return entities, extract_triples(entities, docs, **columns)
+    return entities, extract_triples(docs, **columns)
 
 
 def analyze_notes(docs: DataFrame, **columns: str) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -47,6 +47,12 @@ def _status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.entity_status(clauses, NEGATION, UNCERTAINTY, HISTORY)
 
 
+def _triples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text.extract_triples(
+        _docs(spark, sf_dir), TERMS, (), RELATIONS, NEGATION, clause_separators=CLAUSES,
+        sentence_separators=SENTENCES)
+
+
 # SQL side: the longest term is cut out first and masked, so shorter terms cannot overlap it.
 def _spans_sql(source: str, key: str) -> str:
     """Entity spans of column s of ``source`` by successive masking; start is 0-based."""
@@ -158,8 +164,7 @@ SELECT doc_id, subject_entity, relation, object_entity, any_value(subject) AS su
 FROM t WHERE confidence IS NOT NULL GROUP BY 1, 2, 3, 4""")
 def text_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Relations between entities of one sentence, once per document."""
-    triples = text.extract_triples(
-        _status(spark, sf_dir), _docs(spark, sf_dir), RELATIONS, SENTENCES)
+    triples = _triples(spark, sf_dir)
     return triples.select(
         "doc_id", "subject_entity", "relation", "object_entity", "subject", "object",
         "confidence", "sentence_no")
@@ -223,7 +228,7 @@ FROM documents LEFT JOIN s USING (doc_id) LEFT JOIN triples USING (doc_id)""")
 def text_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entity, status and triple counts of every document, zeros included."""
     docs, entities = _docs(spark, sf_dir), _status(spark, sf_dir)
-    triples = text.extract_triples(entities, docs, RELATIONS, SENTENCES)
+    triples = _triples(spark, sf_dir)
     return text.document_summary(docs, entities, triples).select(
         "doc_id", "entity_count", "negation_count", "uncertain_count", "history_count", "triple_count")
 
@@ -345,8 +350,7 @@ SELECT doc_id, row_number() OVER (PARTITION BY doc_id
   subject_entity, relation, object_entity, confidence FROM ({ORACLE['text_triples']})""")
 def text_triples_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Relations of every document, the most confident first."""
-    triples = text.extract_triples(
-        _status(spark, sf_dir), _docs(spark, sf_dir), RELATIONS, SENTENCES)
+    triples = _triples(spark, sf_dir)
     return text.by_confidence(triples).select(
         "doc_id", "place", "subject_entity", "relation", "object_entity", "confidence")
 

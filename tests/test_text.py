@@ -1,5 +1,7 @@
+import itertools
 import random
 import re
+import time
 
 import pytest
 
@@ -189,3 +191,84 @@ def test_summaries(spark):
     kinds = {r["entity_type"]: r["n"] for r in text.type_distribution(entities).collect()}
     assert sum(kinds.values()) == summary[0]["entity_count"]
     assert ("aspirin", "治疗") in {(r["subject"], r["relation"]) for r in triples.collect()}
+
+
+def test_large_term_lists_cost_little_more():
+    """100,000 terms against 150 on the same texts; all occurrences, also terms inside terms."""
+    rng = random.Random(4)
+    letters = "abcdefghijklmnop"
+    terms = list({"".join(rng.choice(letters) for _ in range(rng.randrange(5, 14))) for _ in range(100_000)})
+    texts = [" ".join("".join(rng.choice(letters) for _ in range(rng.randrange(2, 12))) for _ in range(400)) for _ in range(150)]
+
+    def seconds(count):
+        lexicon = text._Lexicon([(t, "k", t) for t in terms[:count]], [], False)
+        best = 9.0
+        for _ in range(3):
+            start = time.perf_counter()
+            found = [lexicon.spans(t) for t in texts]
+            best = min(best, time.perf_counter() - start)
+        return best, found
+
+    (few, _), (many, found) = seconds(150), seconds(100_000)
+    assert many < 2 * few + 0.3
+    known = set(terms)
+    for body, spans in zip(texts, found):
+        assert all(body[s[2]:s[3]] == s[0] and s[0] in known for s in spans)
+        covered = {i for s in spans for i in range(s[2], s[3])}
+        for at in range(len(body)):  # what is left has no whole term without a taken character
+            for n in range(5, 14):
+                if body[at:at + n] in known:
+                    assert covered & set(range(at, at + n))
+    assert text._Lexicon([], [], True).spans("abc") == []
+    inside = text._Lexicon([("bc", "k", "1"), ("abcd", "k", "2"), ("c", "k", "3")], [], True)
+    assert sorted(s[:1] + s[2:4] for s in inside.spans("abcd")) == [("abcd", 0, 4), ("bc", 1, 3), ("c", 2, 3)]
+
+
+def test_triples_equal_all_pairs_of_spans(spark):
+    """The sweep against every pair of entities with status, on texts with many mentions of few names."""
+    rng = random.Random(9)
+    terms = [("aa", "x", "A"), ("bb", "x", "B"), ("cc", "y", "C"), ("dd", "y", "D"), ("aab", "z", "E")]
+    relations = {"r1": (["t1"], [("x", "y"), ("x", "x")]), ct.LOCATED: (["t2 "], [("x", "y"), ("z", "x")])}
+    words = ["aa", "bb", "cc", "dd", "aab", "no", "t1", "t2", ",", ".", "q"]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(rng.randrange(40)))) for i in range(120)]
+    rows += [(0, rows[1][1]), (None, "aa t1 cc"), (500, None), (501, ""), (502, "aa t1 " * 2000 + "cc")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r["doc_id"], r["subject_entity"], r["relation"], r["object_entity"]): (
+        r["confidence"], r["sentence_no"], r["first_at"]) for r in text.extract_triples(
+        docs, terms, (), relations, ["no"], clause_separators=",.", sentence_separators=".").collect()}
+    entities = text.entity_status(text.span_clauses(
+        docs, terms, (), clause_separators=",.", sentence_separators="."), ["no"], ["zzz"], ["zzz"]).collect()
+    bodies = [(i, t) for i, t in rows if t]
+    want = {}
+    for key in {i for i, _ in bodies}:
+        for body in {t for i, t in bodies if i == key}:
+            if key == 0:
+                continue  # two texts share this id; checked for presence only
+            mine = [e for e in entities if e["doc_id"] == key]
+            for number, sentence in enumerate(body.split(".")):
+                names = {}
+                for e in mine:
+                    if e["sentence_no"] == number:
+                        names.setdefault((e["entity"], e["entity_type"], e["negation_status"]), []).append(e["start"])
+                plain = sentence.strip()
+                for no, (relation, (triggers, types)) in enumerate(relations.items()):
+                    confidence = ct.TRIGGER_CONFIDENCE if any(t in plain for t in triggers) else (
+                        ct.SHORT_CONFIDENCE if len(plain.replace(" ", "")) <= ct.SHORT_SENTENCE else None)
+                    for (s, o) in itertools.product(names, names):
+                        if confidence is None or (s[1], o[1]) not in types:
+                            continue
+                        if (s[2] or o[2]) if relation == ct.LOCATED else (s[2] and o[2]):
+                            continue
+                        same = s[1] == o[1]
+                        first, last = names[s], names[o]
+                        if same and min(first) >= max(last):
+                            continue
+                        near = min(first) if same else min(first + last)
+                        far = max(last) if same else max(first + last)
+                        place = ((number, near, far, no), confidence)
+                        triple = (key, s[0], relation, o[0])
+                        want[triple] = min(want.get(triple, place), place)
+    assert {k: (v[1], v[0][0], v[0][1]) for k, v in want.items()} == {k: v for k, v in got.items() if k[0] != 0}
+    assert any(k[0] == 0 for k in got)
+    assert text.extract_triples(docs.limit(0), terms, (), relations).count() == 0
+
