@@ -1,35 +1,60 @@
 """Line-first cleaning: rules per line, then reject documents that lose too much text.
 
-Three rules look at each line of a text (\\n-split): punctuation (it ends no sentence and is long, or
-its words carry marks), navigation (menu separators, or a menu word alone) and boilerplate (phrases of licences,
-cookie and copyright notices, or mostly the same word again and again). Failing lines are removed; a document stays if what remains is a large
-enough share of its word characters. Repetition and length (the base rule) come before that.
+Three rules look at each line of a text (\\n-split): punctuation (a line of prose that neither ends nor
+goes on in the next line, or words that carry marks), navigation (menu separators, or menu words alone) and boilerplate
+(phrases of licences, cookie and copyright notices in four languages, or mostly the same word again and again). Failing
+lines are removed; a document stays if what remains is a large enough share of its word characters. Repetition and
+length (the base rule) come before that.
+
+Headings and list items need no sentence end: lines of fewer than LEAST_WORDS words and lines that begin with a bullet
+or a number pass. So does a line whose next line begins with a small letter, as in wrapped text, and the only line of a text.
+Sentence ends are those of all scripts.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Least share of the word characters that the lines kept must hold.
 LEAST_KEPT = 0.5
-#: Phrases of boilerplate lines, in lower case.
-BOILERPLATE = ["all rights reserved", "licensed under", "is licensed under", "released under the", "terms of use",
-               "terms of service", "privacy policy", "cookie policy", "use of cookies", "we use cookies",
-               "enable javascript", "javascript is disabled", "lorem ipsum", "click here", "subscribe to our newsletter",
-               "skip to content", "skip to main content", "share this"]
-#: Lines that consist of a menu word alone.
-MENU_WORDS = ["home", "menu", "login", "log in", "sign in", "sign up", "register", "search", "next", "previous",
-              "back to top", "contact us", "about us", "read more", "sitemap"]
+#: Phrases of boilerplate lines, in lower case; where a letter with an accent follows, the phrase ends before it.
+BOILERPLATE = [
+    "all rights reserved", "licensed under", "is licensed under", "released under the", "terms of use",
+    "terms of service", "privacy policy", "cookie policy", "use of cookies", "we use cookies",
+    "enable javascript", "javascript is disabled", "lorem ipsum", "click here", "subscribe to our newsletter",
+    "skip to content", "skip to main content", "share this",
+    "alle rechte vorbehalten", "datenschutzerkl", "nutzungsbedingungen", "verwendet cookies", "verwenden cookies",
+    "cookie-richtlinie", "newsletter abonnieren", "javascript aktivieren", "zum inhalt springen", "hier klicken",
+    "lizenziert unter",
+    "tous droits r", "politique de confidentialit", "conditions d'utilisation", "utilise des cookies",
+    "utilisons des cookies", "activer javascript", "aller au contenu", "cliquez ici", "abonnez-vous", "sous licence",
+    "todos los derechos reservados", "de privacidad", "utiliza cookies", "utilizamos cookies", "usamos cookies",
+    "ir al contenido", "haga clic", "haz clic", "bajo licencia", "bajo la licencia"]
+#: Menu entries, in lower case but for letters with an accent, which stand in both cases.
+MENU_WORDS = [
+    "home", "menu", "login", "log in", "sign in", "sign up", "register", "search", "next", "previous",
+    "back to top", "contact us", "about us", "read more", "sitemap",
+    "startseite", "menü", "anmelden", "registrieren", "suche", "weiter", "zurück", "datenschutz", "impressum", "kontakt",
+    "über uns", "Über uns", "mehr lesen", "nach oben",
+    "accueil", "connexion", "rechercher", "suivant", "précédent", "contactez-nous", "à propos", "À propos",
+    "lire la suite", "plan du site", "haut de page",
+    "inicio", "menú", "iniciar sesión", "buscar", "siguiente", "anterior", "contacto", "sobre nosotros", "leer más",
+    "mapa del sitio", "volver arriba"]
+#: A line of at most this many words, half of them (two at least) menu entries of one word, is a menu.
+MENU_LINE = 8
 #: A line with at least this many separators, and at least one for every three words, is a menu or a table row.
 LEAST_SEPARATORS = 3
 #: A line of at least this many words must end a sentence or be continued; shorter ones may be headings.
-LEAST_WORDS = 400
+LEAST_WORDS = 12
 #: Share of a line's words that may carry two or more equal marks or be shouted with !!.
 MOST_MARKED = 0.3
 
@@ -37,14 +62,20 @@ _SEPARATORS = re.compile(rb"(?:^|[ \t])(?:\||>|>>|/|\xc2\xbb|\xe2\x80\xba|\xc2\x
 _MARKED = re.compile(rb"([!?#*$%&|<>=_~^])\1+[.,;:]?(?=[ \t]|$)")
 _BOILERPLATE = re.compile("|".join(re.escape(p) for p in BOILERPLATE).encode())
 _MENU = re.compile(rb"[ \t]*(?:" + "|".join(re.escape(w) for w in MENU_WORDS).encode() + rb")[ \t]*[:.>]*[ \t]*")
-_ENDS = (b".", b"!", b"?", b'"', b"'", b")", b"]", b":", b";", b",", b"\xe2\x80\xa6", b"\xe2\x80\x9d", b"\xc2\xbb",
-         b"\xe3\x80\x82")
+_MENU_TOKENS = frozenset(w.encode() for w in MENU_WORDS if " " not in w)
+_ITEM = re.compile(r"[ \t]*(?:[-*+•·‣–—]|\(?[0-9]{1,3}[.)]|\(?[A-Za-z][.)])[ \t]".encode())
+#: With what a line may end: sentence ends of all scripts, closing marks, and marks after which a sentence goes on.
+ENDS = frozenset(c for c in map(chr, range(0x20000)) if regex.match(r"\p{Sentence_Terminal}", c)) | frozenset(
+    "\"')]}…”’»›」』）】》:;,：；，、")
 _SYMBOLS = b"#*$%&|<>"
 _BLANKS = b" \t\n\x0b\x0c\r"
 
 
-def failed_rule(line: bytes) -> str | None:
-    """The rule that a line fails: punctuation, navigation or boilerplate; None for a good or blank line."""
+def failed_rule(line: bytes, following: bytes | None = b"", alone: bool = False) -> str | None:
+    """The rule that a line fails: punctuation, navigation or boilerplate; None for a good or blank line.
+
+    ``following`` is the next line (None after the last one); ``alone`` says that no other line has words.
+    """
     words = line.split()
     if not words:
         return None
@@ -55,14 +86,21 @@ def failed_rule(line: bytes) -> str | None:
         separators = len(_SEPARATORS.findall(line))
         if separators >= LEAST_SEPARATORS and 3 * separators >= len(words) - separators:
             return "navigation"
-    if len(words) <= 4 and _MENU.fullmatch(lower.strip(b"\r")):
-        return "navigation"
+    if len(words) <= MENU_LINE:
+        if len(words) <= 4 and _MENU.fullmatch(lower.strip(b"\r")):
+            return "navigation"
+        entries = sum(w.rstrip(b":.>,|") in _MENU_TOKENS for w in lower.split())
+        if entries >= 2 and 2 * entries >= len(words):
+            return "navigation"
     if len(words) >= 10 and 2 * sum(map(bytes.__eq__, words, words[1:])) > len(words):
         return "boilerplate"
     if len(_MARKED.findall(line)) > MOST_MARKED * len(words):
         return "punctuation"
-    if len(words) >= LEAST_WORDS and not line.rstrip(_BLANKS).endswith(_ENDS):
-        return "punctuation"
+    if len(words) >= LEAST_WORDS and not alone and words[-1].decode("utf-8", "surrogatepass")[-1] not in ENDS:
+        start = (following or b"").split(None, 1)[:1]
+        continued = start and unicodedata.category(start[0].decode("utf-8", "surrogatepass")[0]) == "Ll"
+        if not continued and not _ITEM.match(line):
+            return "punctuation"
     return None
 
 
@@ -109,12 +147,13 @@ def measure(text: str) -> tuple:
     duplicates, kept_bytes = 0, 0
     failures = {"punctuation": 0, "navigation": 0, "boilerplate": 0}
     kept_lines = []
-    for line in lines:
-        held = sum(map(len, line.split()))
+    sizes = [sum(map(len, line.split())) for line in lines]
+    alone = sum(size > 0 for size in sizes) == 1
+    for line, held, following in zip(lines, sizes, [*lines[1:], None], strict=True):
         if held and line in seen:
             duplicates += 1
         seen.add(line)
-        rule = failed_rule(line)
+        rule = failed_rule(line, following, alone)
         if rule:
             failures[rule] += 1
         else:
@@ -158,13 +197,26 @@ def assess(docs: DataFrame, with_text: bool = False) -> DataFrame:
 
 
 def kept_documents(docs: DataFrame) -> DataFrame:
-    """The documents that pass, whole and with all their columns, in place (no join, no shuffle)."""
+    """The documents that pass, without their failing lines, with all columns, in place (no join, no shuffle).
+
+    A document without failing lines keeps its text as it is; of another one ``n_chars``, if there is such a
+    column, follows the text.
+    """
     schema = docs.schema
     at = docs.columns.index("text")
+    counted = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array([measure(t.as_py() or "")[6] for t in batch.column(at)], pa.bool_()))
+            found = [measure(t.as_py() or "") for t in batch.column(at)]
+            kept = pa.array([f[6] for f in found], pa.bool_())
+            clean = [f[-1] if f[6] and any(f[8:11]) else None for f in found]
+            columns = list(batch.columns)
+            columns[at] = pc.coalesce(pa.array(clean, columns[at].type), columns[at])
+            if counted is not None:
+                sizes = pa.array([None if c is None else len(c) for c in clean], pa.int64())
+                columns[counted] = pc.coalesce(sizes.cast(columns[counted].type), columns[counted])
+            yield pa.RecordBatch.from_arrays(columns, batch.schema.names).filter(kept)
 
     return docs.mapInArrow(work, schema)
 

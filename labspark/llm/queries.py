@@ -110,7 +110,10 @@ def _quality_sql() -> str:
     blank = r"[ \x09-\x0D]"
     marks = "|".join(f"[{m}][{m}]+" if m != "^" else r"\^\^+" for m in "!?#*$%&|<>=_~^")
     menu = "|".join(quality.MENU_WORDS)
-    ends = texts([e.decode() for e in quality._ENDS])
+    ends = texts(sorted(quality.ENDS))
+    tokens = texts([w for w in quality.MENU_WORDS if " " not in w])
+    item = r"^[ \t]*([-*+•·‣–—]|\(?[0-9]{1,3}[.)]|\(?[A-Za-z][.)])[ \t]"
+    lower = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')".format
     return f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT rid, doc_id, t, list_filter(string_split_regex(t, '{blank}+'), lambda x: x <> '') AS ws FROM d),
@@ -125,17 +128,21 @@ lines AS (SELECT rid, line, k, list_filter(string_split_regex(line, '{blank}+'),
     generate_subscripts(string_split(t, chr(10)), 1) AS k FROM d)),
 judged AS (SELECT *, CASE
     WHEN len(ws) = 0 THEN NULL
-    WHEN len(list_filter({texts(quality.BOILERPLATE)}, lambda p: contains(lower(line), p))) > 0 THEN 'boilerplate'
+    WHEN len(list_filter({texts(quality.BOILERPLATE)}, lambda p: contains({lower('line')}, p))) > 0 THEN 'boilerplate'
     WHEN seps >= {quality.LEAST_SEPARATORS} AND 3 * seps >= len(ws) - seps THEN 'navigation'
-    WHEN len(ws) <= 4 AND regexp_full_match(trim(lower(line), chr(13)), '[ \t]*({menu})[ \t]*[:.>]*[ \t]*') THEN 'navigation'
+    WHEN len(ws) <= 4 AND regexp_full_match(trim({lower('line')}, chr(13)), '[ \t]*({menu})[ \t]*[:.>]*[ \t]*') THEN 'navigation'
+    WHEN len(ws) <= {quality.MENU_LINE} AND entries >= 2 AND 2 * entries >= len(ws) THEN 'navigation'
     WHEN len(ws) >= 10 AND 2 * len(list_filter(range(2, len(ws) + 1), lambda i: ws[i] = ws[i - 1])) > len(ws) THEN 'boilerplate'
     WHEN len(list_filter(tokens, lambda x: regexp_matches(x, '({marks})[.,;:]?$')))
       > CAST({quality.MOST_MARKED} AS DOUBLE) * len(ws) THEN 'punctuation'
-    WHEN len(ws) >= {quality.LEAST_WORDS}
-      AND NOT list_bool_or(list_transform({ends}, lambda e: ends_with(ws[-1], e))) THEN 'punctuation'
+    WHEN len(ws) >= {quality.LEAST_WORDS} AND worded > 1 AND NOT list_contains({ends}, right(ws[-1], 1))
+      AND NOT regexp_matches(coalesce(following, ''), '^{blank}*\\p{{Ll}}') AND NOT regexp_matches(line, '{item}') THEN 'punctuation'
     END AS rule, strlen(array_to_string(ws, '')) AS held,
     row_number() OVER (PARTITION BY rid, line ORDER BY k) > 1 AS again FROM (
-  SELECT *, len(list_filter(tokens, lambda x: x IN ('|', '>', '>>', '/', '»', '›', '·', '•'))) AS seps FROM lines)),
+  SELECT *, len(list_filter(tokens, lambda x: x IN ('|', '>', '>>', '/', '»', '›', '·', '•'))) AS seps,
+    len(list_filter(ws, lambda x: list_contains({tokens}, {lower("regexp_replace(x, '[:.>,|]+$', '')")}))) AS entries,
+    lead(line) OVER (PARTITION BY rid ORDER BY k) AS following,
+    count(*) FILTER (WHERE len(ws) > 0) OVER (PARTITION BY rid) AS worded FROM lines)),
 per AS (SELECT rid, count(*) FILTER (WHERE again AND held > 0) AS n_dup_lines,
     coalesce(sum(held) FILTER (WHERE rule IS NULL), 0) AS good, sum(held) AS held,
     count(*) FILTER (WHERE rule = 'punctuation') AS n_bad_punctuation,

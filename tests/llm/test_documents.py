@@ -196,6 +196,21 @@ def test_line_rules_and_verdict(spark, docs):
     assert quality.failed_rule(b"BUY!! NOW!! CHEAP!! PILLS!!") == "punctuation"
     assert quality.failed_rule(b"A plain line of prose, with a comma.") is None
     assert quality.failed_rule(b"  ") is None
+    for line in ("Alle Rechte vorbehalten 2020", "Tous droits réservés, 2020", "Todos los derechos reservados."):
+        assert quality.failed_rule(line.encode()) == "boilerplate"
+    for line in ("Datenschutz", "Startseite Produkte Kontakt Impressum Suche", "Accueil | Contact", "INICIO Buscar Contacto"):
+        assert quality.failed_rule(line.encode()) == ("navigation" if "|" not in line else None), line
+    words = "a line of ordinary prose that has a good many more words than a heading"
+    for end in ".!?…。？！؟।።։”)»:;,":
+        assert quality.failed_rule((words + end).encode()) is None, end
+    assert quality.failed_rule(words.encode(), b"Next one.") == quality.failed_rule(words.encode(), None) == "punctuation"
+    assert quality.failed_rule(words.encode(), b"goes on here.") is None  # wrapped
+    assert quality.failed_rule(words.encode(), "étend la phrase.".encode()) is None
+    assert quality.failed_rule(words.encode(), b"", alone=True) is None  # one missing mark rejects no one-line text
+    assert quality.failed_rule(("- " + words).encode()) is quality.failed_rule(("2. " + words).encode()) is None
+    assert quality.failed_rule(b"A heading without an end") is None
+    long = " ".join(f"w{i}" for i in range(400))
+    assert quality.failed_rule(long.encode(), b"X") == quality.failed_rule(long[:-5].encode(), b"X") == "punctuation"
     rng = random.Random(6)
     good = "\n".join(prose(rng, 12) + "." for _ in range(5))
     menu = "\n".join(f"home{i} | news{i} | about{i} | shop{i} | login{i}" for i in range(9))
@@ -204,6 +219,8 @@ def test_line_rules_and_verdict(spark, docs):
     out = {r["doc_id"]: r for r in quality.assess(rows, with_text=True).collect()}
     assert [out[i]["kept"] for i in (1, 2, 3, 4)] == [True, True, False, False]
     assert out[2]["clean_text"] == good
+    sized = rows.withColumn("n_chars", F.length("text").cast("int"))
+    assert sorted(tuple(r) for r in quality.kept_documents(sized).collect()) == [(1, good, len(good)), (2, good, len(good))]
     kept = quality.kept_documents(docs)
     assert kept.columns == docs.columns
     assert {r["doc_id"] for r in kept.collect()} <= {r["doc_id"] for r in docs.collect()}
@@ -506,13 +523,18 @@ def test_pipeline_matches_a_brute_force_version(spark, tmp_path, tokenizer_path)
     import corpus_pipeline
     rng = random.Random(8)
     base = ["\n".join(prose(rng, 30) + "." for _ in range(4)) for _ in range(12)]
-    texts = base + [base[0], base[1].replace("w1 ", "w2 ", 1), base[2] + " password=abcdef123456", "too short", None, "",
-                    "BUY!! NOW!! " * 30]
+    lines = [b.split("\n") for b in base]
+    menu = "\n".join(["home | news | about | shop | login", *lines[4][:2], "Alle Rechte vorbehalten", *lines[5][2:]])
+    good = base + [base[0], base[1].replace("w1 ", "w2 ", 1), base[2].replace(" ", " password=abcdef123456 ", 1),
+                   base[3] + "\nAll rights reserved.", menu]
+    texts = good + ["too short", None, "", "BUY!! NOW!! " * 30, "\n".join(x.rstrip(".").capitalize() for x in sum(lines, []))]
+    # what the quality stage leaves, by construction and not by its own code
+    cleaned = [*good[:-2], base[3], "\n".join([*lines[4][:2], *lines[5][2:]])]
     rows = [(i, t, "en", f"src{i % 3}", len(t or "")) for i, t in enumerate(texts)]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(
         str(tmp_path / "documents.parquet"))
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
-    kept = [r for r in rows if quality.measure(r[1] or "")[6]]
+    kept = [(i, text) for i, text in enumerate(cleaned)]
     dicts = [{"doc_id": r[0], "text": r[1]} for r in kept]
     single = [r for r, c in zip(kept, brute_classes(dicts), strict=True) if r[0] == c]
     expected = {}
