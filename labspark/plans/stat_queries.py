@@ -38,11 +38,26 @@ def stats_describe(spark: SparkSession, sf_dir: str) -> DataFrame:
         "mean", "std", "median", "quartile_1", "quartile_3", "missing_rate")
 
 
-@query("stats_welch", """
+def _tail_sql(start: str, density: str) -> str:
+    """Twice the integral of a density of u from ``start`` on, by the midpoint rule over u = start + v / (1 - v)."""
+    n = 100_000
+    at = f"((i + 0.5) / {n})"
+    value = density.format(u=f"({start} + {at} / (1 - {at}))")
+    return f"2 * list_sum(list_transform(range({n}), lambda i: {value} / ((1 - {at}) * (1 - {at})))) / {n}"
+
+
+_T_DENSITY = ("exp(lgamma((df + 1) / 2) - lgamma(df / 2) - ln(pi() * df) / 2"
+              " - (df + 1) / 2 * ln(1 + {u} * {u} / df))")
+
+
+@query("stats_welch", f"""
+SELECT * EXCLUDE (raw_df, raw_t, df, p), round(df, 4) AS df, round(p, 8) AS p_value, p < 0.05 AS is_significant
+FROM (SELECT *, {_tail_sql("abs(raw_t)", _T_DENSITY)} AS p FROM (SELECT *, raw_df AS df FROM (
 SELECT n_a, n_b, round(mean_a, 6) AS mean_a, round(mean_b, 6) AS mean_b,
   round((mean_a - mean_b) / sqrt(va / n_a + vb / n_b), 6) AS statistic,
-  round((va / n_a + vb / n_b) ** 2 /
-    ((va / n_a) ** 2 / (n_a - 1) + (vb / n_b) ** 2 / (n_b - 1)), 4) AS df
+  (mean_a - mean_b) / sqrt(va / n_a + vb / n_b) AS raw_t,
+  (va / n_a + vb / n_b) ** 2 /
+    ((va / n_a) ** 2 / (n_a - 1) + (vb / n_b) ** 2 / (n_b - 1)) AS raw_df
 FROM (
   SELECT count(*) FILTER (WHERE l_returnflag = 'A') AS n_a,
     count(*) FILTER (WHERE l_returnflag = 'R') AS n_b,
@@ -50,38 +65,42 @@ FROM (
     avg(l_extendedprice) FILTER (WHERE l_returnflag = 'R') AS mean_b,
     var_samp(l_extendedprice) FILTER (WHERE l_returnflag = 'A') AS va,
     var_samp(l_extendedprice) FILTER (WHERE l_returnflag = 'R') AS vb
-  FROM lineitem)""")
+  FROM lineitem))))""")
 def stats_welch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Welch t-test of prices between two return flags (p-values are checked in unit tests)."""
+    """Welch t-test of prices between two return flags."""
     got = stats.welch_t_test(
         table(spark, sf_dir, "lineitem"), "l_returnflag", "l_extendedprice", "A", "R")
-    return rounded(rounded(got, "mean_a", "mean_b", "statistic"), "df", digits=4).select(
-        "n_a", "n_b", "mean_a", "mean_b", "statistic", "df")
+    return rounded(rounded(rounded(got, "mean_a", "mean_b", "statistic"), "df", digits=4), "p_value", digits=8).select(
+        "n_a", "n_b", "mean_a", "mean_b", "statistic", "df", "p_value", "is_significant")
 
 
+# with two degrees of freedom above, the tail is a power
 @query("stats_anova", """
+SELECT * REPLACE (round(statistic, 6) AS statistic), round((1 + 2 * statistic / df_within) ** (-df_within / 2), 8) AS p_value,
+  (1 + 2 * statistic / df_within) ** (-df_within / 2) < 0.05 AS is_significant FROM (
 WITH g AS (SELECT l_returnflag, CAST(count(*) AS DOUBLE) AS n, avg(l_quantity) AS m,
              var_pop(l_quantity) AS v FROM lineitem GROUP BY 1),
   t AS (SELECT avg(l_quantity) AS grand, count(*) AS total FROM lineitem)
 SELECT round(sum(n * (m - grand) ** 2), 4) AS ss_between, round(sum(n * v), 4) AS ss_within,
   CAST(count(*) - 1 AS DOUBLE) AS df_between,
   CAST(max(total) - count(*) AS DOUBLE) AS df_within,
-  round(sum(n * (m - grand) ** 2) / (count(*) - 1) / (sum(n * v) / (max(total) - count(*))), 6)
-    AS statistic
-FROM g, t""")
+  sum(n * (m - grand) ** 2) / (count(*) - 1) / (sum(n * v) / (max(total) - count(*))) AS statistic
+FROM g, t)""")
 def stats_anova(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = stats.anova(table(spark, sf_dir, "lineitem"), "l_returnflag", "l_quantity")
-    return rounded(rounded(got, "statistic"), "ss_between", "ss_within", digits=4).select(
-        "ss_between", "ss_within", "df_between", "df_within", "statistic")
+    return rounded(rounded(rounded(got, "statistic"), "ss_between", "ss_within", digits=4), "p_value", digits=8).select(
+        "ss_between", "ss_within", "df_between", "df_within", "statistic", "p_value", "is_significant")
 
 
 _average_rank_sql = """rank() OVER (ORDER BY {0}) + (count(*) OVER (PARTITION BY {0}) - 1) / 2.0"""
 
 
 @query("stats_mann_whitney", f"""
+SELECT n_a, n_b, statistic, round(z, 6) AS z, round(least(p, 1), 8) AS p_value, least(p, 1) < 0.05 AS is_significant
+FROM (SELECT *, {_tail_sql("abs(z)", "exp(-{u} * {u} / 2) / sqrt(2 * pi())")} AS p FROM (
 SELECT n1 AS n_a, n2 AS n_b, u AS statistic,
-  round((greatest(u, n1 * n2 - u) - n1 * n2 / 2.0 - 0.5)
-    / sqrt(n1 * n2 / 12.0 * (n + 1 - ties / (n * (n - 1)))), 6) AS z
+  (greatest(u, n1 * n2 - u) - n1 * n2 / 2.0 - 0.5)
+    / sqrt(n1 * n2 / 12.0 * (n + 1 - ties / (n * (n - 1)))) AS z
 FROM (
   SELECT n1, n2, CAST(n1 + n2 AS DOUBLE) AS n, ties, rs - n1 * (n1 + 1) / 2.0 AS u
   FROM (
@@ -92,11 +111,12 @@ FROM (
     FROM (
       SELECT l_returnflag, {_average_rank_sql.format('l_quantity')} AS rk,
         count(*) OVER (PARTITION BY l_quantity) AS c
-      FROM lineitem WHERE l_returnflag IN ('A', 'R'))))""")
+      FROM lineitem WHERE l_returnflag IN ('A', 'R'))))))""")
 def stats_mann_whitney(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = stats.mann_whitney(
         table(spark, sf_dir, "lineitem"), "l_returnflag", "l_quantity", "A", "R")
-    return rounded(got, "z").select("n_a", "n_b", "statistic", "z")
+    return rounded(rounded(got, "z"), "p_value", digits=8).select(
+        "n_a", "n_b", "statistic", "z", "p_value", "is_significant")
 
 
 def _matrix_sql(source: str, names: list[str]) -> str:

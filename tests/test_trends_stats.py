@@ -248,6 +248,30 @@ def test_tail_probabilities():
     assert tails.f_upper(3.0, 1, 7) == pytest.approx(tails.t_two_sided(math.sqrt(3.0), 7))
 
 
+def test_tails_keep_ten_digits():
+    """Closed forms at 1, 2 and 4 degrees of freedom, the normal limit with its next term, far tails, huge degrees."""
+    close = {"rel": 1e-10, "abs": 0}
+    for t in (1e-3, 0.3, 1.0, 7.0, 1e6):
+        assert tails.t_two_sided(t, 1) == pytest.approx(2 * math.atan2(1, t) / math.pi, **close)
+    for t in (0.1, 1.0, 5.0):
+        assert tails.t_two_sided(t, 2) == pytest.approx(1 - t / math.sqrt(2 + t * t), **close)
+        angle = math.atan(t / 2)
+        assert tails.t_two_sided(t, 4) == pytest.approx(1 - math.sin(angle) * (1 + math.cos(angle) ** 2 / 2), **close)
+    for df in (1e9, 1e12):
+        for t in (0.5, 1.73, 3.0, 6.0):
+            limit = math.erfc(t / math.sqrt(2))
+            next_term = 2 * math.exp(-t * t / 2) / math.sqrt(2 * math.pi) * (t ** 3 + t) / (4 * df)
+            assert tails.t_two_sided(t, df) == pytest.approx(limit + next_term, **close)
+    for d2 in (3, 50, 1e6, 1e12):
+        for f in (0.1, 1.0, 7.0, 40.0):
+            assert tails.f_upper(f, 2, d2) == pytest.approx(math.exp(-d2 / 2 * math.log1p(2 * f / d2)), **close)
+            assert tails.f_upper(f, 1, d2) == pytest.approx(tails.t_two_sided(math.sqrt(f), d2), **close)
+    assert tails.f_upper(1.0, 1e6, 1e6) == pytest.approx(0.5, **close)
+    assert tails.f_upper(0.5, 4, 1e12) == pytest.approx(2 * math.exp(-1), rel=1e-9)
+    assert tails.f_upper(0.0, 3, 5) == 1.0 and tails.t_two_sided(0.0, 3) == 1.0
+    assert tails.f_upper(2.5, 3, 12) + tails.f_upper(1 / 2.5, 12, 3) == pytest.approx(1.0, **close)
+
+
 def test_group_tests(spark):
     a, b = [1.0, 2.0, 2.0, 3.0, 9.0], [2.0, 4.0, 5.0, 6.0, 6.0, 8.0]
     df = spark.createDataFrame([("a", v) for v in a] + [("b", v) for v in b] + [("c", 1.0)],
