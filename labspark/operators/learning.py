@@ -13,7 +13,7 @@ from pyspark.ml.feature import (
     IDF, CountVectorizer, Imputer, NGram, Normalizer, SQLTransformer, StandardScaler,
     StringIndexer, VectorAssembler)
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import RandomForestRegressor
+from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,9 +22,12 @@ from labspark.functions.values import trajectory_label
 from labspark.operators.ordering import MAX_GROUP_ROWS, column_quantiles, with_positions
 from labspark.operators.trends import trajectory_features
 from labspark.session import checkpoint_folder
+from labspark.tables import written
 
 SEED = 42
 MAX_CLASSES = 10_000
+#: Starts of a clustering, of which the one with the least cost stays.
+STARTS = 10
 TEST_SHARE = 0.2
 
 
@@ -148,6 +151,12 @@ def regression_stages(features: Sequence[str], label: str) -> list:
     ]
 
 
+def linear_stages(features: Sequence[str], label: str) -> list:
+    """The baseline that a regression model should reach."""
+    return [VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="skip"),
+            LinearRegression(labelCol=label)]
+
+
 def clustering_stages(features: Sequence[str], k: int = 3) -> list:
     return [
         VectorAssembler(inputCols=list(features), outputCol="raw_features", handleInvalid="skip"),
@@ -156,6 +165,21 @@ def clustering_stages(features: Sequence[str], k: int = 3) -> list:
     ]
 
 
+def fit_clusters(train: DataFrame, features: Sequence[str], k: int = 3,
+                 starts: int = STARTS) -> tuple[PipelineModel, list[float]]:
+    """The best of several k-means fits by training cost, and the costs of all of them.
+
+    The scaled vectors are written once; each start has a seed of its own and reads them.
+    """
+    *prepare, kmeans = clustering_stages(features, k)
+    scaling = fit(train, prepare)
+    scaled = written(scaling.transform(train).select("features"), "scaled")
+    models = [kmeans.copy({kmeans.seed: SEED + i}).fit(scaled) for i in range(starts)]
+    costs = [float(m.summary.trainingCost) for m in models]
+    best = models[costs.index(min(costs))]
+    return PipelineModel([*scaling.stages, best]), costs
+
+
 def kidney_risk_stages(features: Sequence[str] = (
         "anchor_age", "GLU_mean", "GLU_latest", "Creatinine_mean"),
         label: str = "target") -> list:
@@ -233,6 +257,12 @@ def class_report(predictions: DataFrame, label: str, prediction: str = "predicti
     )
 
 
+def majority_share(rows: DataFrame, label: str) -> DataFrame:
+    """One row: how many rows have the most frequent label, and their share; what a model must reach."""
+    return rows.filter(F.col(label).isNotNull()).groupBy(label).agg(F.count(F.lit(1)).alias("n")).agg(
+        F.max("n").alias("n_majority"), (F.max("n") / F.sum("n")).alias("majority_share"))
+
+
 def classification_metrics(predictions: DataFrame, label: str,
                            prediction: str = "prediction") -> DataFrame:
     """Accuracy and support-weighted F1, one row."""
@@ -283,7 +313,8 @@ TRAJECTORY_INPUTS = ("baseline_value", "latest_value", "slope", "std")
 
 
 def cluster_trajectories(df: DataFrame, patient: str, value: str, order: Sequence[str],
-                         k: int = 3, max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+                         k: int = 3, max_group_rows: int = MAX_GROUP_ROWS,
+                         starts: int = STARTS) -> DataFrame:
     """Each patient's trajectory features with its cluster and the cluster's label.
 
     Fails when there are fewer patients than clusters.
@@ -292,7 +323,7 @@ def cluster_trajectories(df: DataFrame, patient: str, value: str, order: Sequenc
     rows = features.limit(k).count()
     if rows < k:
         raise ValueError(f"{rows} patients for {k} clusters")
-    model = fit(features, clustering_stages(TRAJECTORY_INPUTS, k))
+    model, _ = fit_clusters(features, TRAJECTORY_INPUTS, k, starts)
     scaler, kmeans = model.stages[1], model.stages[2]
     spread = [s if s > 0 else 1.0 for s in scaler.std.toArray()]
     centres = [

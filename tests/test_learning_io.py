@@ -2,6 +2,8 @@ import gzip
 import json
 from datetime import datetime
 
+import random
+
 import pytest
 from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
@@ -282,3 +284,12 @@ def test_score_refresh(spark):
     assert got["new_samples_since_last_ct"]["value"] == 0.0
     assert got["ct_trigger_threshold"]["value"] == 50.0
     assert got["ct_trigger_threshold"]["updated_at"] is None
+
+
+def test_best_of_ten_starts(spark):
+    rng = random.Random(2)
+    rows = [(float(c % 4) * 5 + rng.gauss(0, 0.4), float(c // 4) * 5 + rng.gauss(0, 0.4)) for c in range(12) for _ in range(25)]
+    points = spark.createDataFrame(rows, "x double, y double")
+    model, costs = learning.fit_clusters(points, ["x", "y"], 12, starts=4)
+    assert len(costs) == 4 and model.stages[-1].summary.trainingCost == min(costs)
+    assert model.transform(points).select("prediction").distinct().count() == 12
