@@ -6,11 +6,16 @@ shorter one (method C: the escape counts as often as the context has different f
 prediction leaves out the bytes that the longer context already excluded. Below order 0 all bytes left
 are equally likely. A text ends with the byte FF, and bytes FE stand before it; UTF-8 has neither.
 
-How it runs: blocks of documents post what they ask for (five-byte grams and words, each once per
-block, with training counts) to buckets. A bucket holds all contexts with the same last two bytes, so
-it can work out orders 4 to 2 by itself; orders 1 and 0 have at most 65,536 entries and are broadcast. The
-answers go back to the blocks, which score their documents. Nothing else is broadcast: the model
-grows with the corpus and stays spread over the buckets.
+How it runs: documents are cut into blocks of bounded bytes, written once. Each block posts what it asks for (five-byte
+grams and words, each once per block, with training counts). Spark adds the counts up per gram and per word, combining
+before the shuffle, so only distinct grams go on to groups that share the last two context bytes; such a group has at
+most 256 ** 3 grams whatever the corpus, and can work out orders 4 to 2 by itself. Orders 1 and 0 have at most 65,536
+entries and are broadcast. The values meet the posts again in buckets of gram hashes, and the answers go back
+to the blocks, which score their documents. Nothing else is broadcast: the model grows with the corpus and
+stays spread.
+
+What the score can show: how usual a text's bytes are after four bytes of context. An order of four hardly notices that a
+document occurs twice in a large corpus, because its grams are frequent anyway; for that, see near-duplicates.
 """
 
 from __future__ import annotations
@@ -20,6 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,8 +36,10 @@ ORDER = 4
 START, END = 0xFE, 0xFF
 #: Added to every count of the base score.
 SMOOTH = 0.1
-#: Documents of a block: consecutive rows of a partition.
-BLOCK_BITS = 12
+#: A block holds at most 2 ** BLOCK_BITS documents and, unless it is one document, BLOCK_BYTES of text.
+BLOCK_BITS, BLOCK_BYTES = 12, 8 << 20
+#: Groups of context pairs that are worked out together, and blocks that meet in one answering task.
+GROUPS, BLOCKS_TOGETHER = 1024, 65_536
 #: Stands for the end token among word hashes.
 END_KEY = 0x454E4445
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -80,19 +88,39 @@ def _counted(keys: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return _summed(np.concatenate([known, rest]), np.concatenate([counts, np.zeros(len(rest), np.int64)]))
 
 
-def gram_bucket(codes: np.ndarray, buckets: int) -> np.ndarray:
-    """Bucket of a gram: the same for all that share the last two context bytes."""
-    return (_mix((codes >> np.uint64(8)) & np.uint64(0xFFFF)) % np.uint64(buckets)).astype(np.int64)
+def key_bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Bucket of a word or gram key, by hash: no bucket holds more than its share of distinct keys."""
+    return (_mix(keys) % np.uint64(buckets)).astype(np.int64)
 
 
 def _lists(values: np.ndarray, cuts: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(values))
 
 
+def in_blocks(docs: DataFrame) -> DataFrame:
+    """block, doc_id, held_out and text: consecutive rows of a partition, cut by bytes and rows, as a written table."""
+    key = docs.schema["doc_id"].dataType.simpleString()
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, rows, held = TaskContext.get().partitionId() << 33, 0, 0
+        for batch in batches:
+            numbers = np.empty(batch.num_rows, np.int64)
+            for i, size in enumerate(pc.binary_length(batch.column(2)).to_pylist()):
+                if rows == 1 << BLOCK_BITS or rows and held + size > BLOCK_BYTES:
+                    block, rows, held = block + 1, 0, 0
+                rows, held = rows + 1, held + size
+                numbers[i] = block
+            yield pa.RecordBatch.from_arrays([pa.array(numbers), *batch.columns], ["block", *batch.schema.names])
+
+    rows = docs.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
+    return written(rows.mapInArrow(work, f"block long, doc_id {key}, held_out boolean, text string"), "blocks")
+
+
 def posts(blocks: DataFrame, buckets: int) -> DataFrame:
     """(bucket, block, keys, counts) of every block, and its order-1 counts as bucket -1.
 
-    ``blocks`` has block, train, text. Buckets from 0 hold words, buckets from ``buckets`` on hold grams.
+    ``blocks`` has block, train, text. Buckets from 0 hold words, buckets from ``buckets`` on hold grams. A block that
+    several tasks read posts once in each.
     """
     def merge(merged: dict, part: pa.RecordBatch) -> None:
         train = part.column(2).to_numpy(zero_copy_only=False)
@@ -108,8 +136,7 @@ def posts(blocks: DataFrame, buckets: int) -> DataFrame:
     def letter(block: int, merged: dict) -> pa.RecordBatch:
         (word, word_n), (gram, gram_n) = merged[0], merged[1]
         pair, pair_n = _summed(gram & np.uint64(0xFFFF), gram_n)
-        of = np.concatenate([(word % np.uint64(buckets)).astype(np.int64), gram_bucket(gram, buckets) + buckets,
-                             np.full(len(pair), -1)])
+        of = np.concatenate([key_bucket(word, buckets), key_bucket(gram, buckets) + buckets, np.full(len(pair), -1)])
         own, n = np.concatenate([word, gram, pair]), np.concatenate([word_n, gram_n, pair_n])
         order = np.lexsort((own, of))
         of, own, n = of[order], own[order], n[order]
@@ -208,38 +235,65 @@ def ppm_log10(wanted: np.ndarray, grams: np.ndarray, counts: np.ndarray, pairs:
     return logp
 
 
-def answers(posted: DataFrame, buckets: int, pairs: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(block, kind, keys, values, tokens, words) per block and bucket: word counts or log10 probabilities.
+def values(sums: DataFrame, buckets: int, pairs: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """(bucket, keys, values) from distinct keys with their counts: word counts or log10 probabilities of grams.
 
-    tokens and words, the training tokens and different training words of the bucket, stand in one of
-    its rows and are 0 in the others.
+    ``sums`` has gram (or word), key and n.
     """
-    shared = posted.sparkSession.sparkContext.broadcast(pairs)  # at most 65,536 entries
+    shared = sums.sparkSession.sparkContext.broadcast(pairs)  # at most 65,536 entries
 
     def work(rows: pa.Table) -> pa.Table:
-        gram = rows.column("bucket")[0].as_py() >= buckets
-        keys_list, counts_list = rows.column("keys").combine_chunks(), rows.column("counts").combine_chunks()
-        keys = keys_list.flatten().to_numpy().view(np.uint64)
-        distinct, counts = _summed(keys, counts_list.flatten().to_numpy())
+        gram = rows.column("gram")[0].as_py()
+        keys = rows.column("key").to_numpy().view(np.uint64)
+        order = np.argsort(keys)
+        keys, counts = keys[order], rows.column("n").to_numpy()[order]
         if gram:
             trained = counts > 0
-            values = ppm_log10(distinct, distinct[trained], counts[trained], shared.value)
+            found = ppm_log10(keys, keys[trained], counts[trained], shared.value)
         else:
-            values = counts.astype(np.float64)
-        own = values[np.searchsorted(distinct, keys)]
-        lengths = pc.list_value_length(keys_list).to_numpy(zero_copy_only=False)
-        n = rows.num_rows
-        once = np.zeros(n, np.int64)
-        tokens, words = once.copy(), once.copy()
-        if not gram:
-            tokens[0], words[0] = counts.sum(), (counts > 0).sum()
-        cuts = np.append(0, np.cumsum(lengths))
-        return pa.table({"block": rows.column("block"), "kind": pa.array([int(gram)] * n, pa.int32()),
-                         "keys": _lists(keys.view(np.int64), cuts), "values": _lists(own, cuts),
-                         "tokens": pa.array(tokens), "words": pa.array(words)})
-
-    return posted.where("bucket >= 0").groupBy("bucket").applyInArrow(
-        work, "block long, kind int, keys array<long>, values array<double>, tokens long, words long")
+            found = counts.astype(np.float64)
+        of = key_bucket(keys, buckets) + (buckets if gram else 0)
+        order = np.argsort(of, kind="stable")
+        of, keys, found = of[order], keys[order], found[order]
+        first = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+        cuts = np.append(first, len(of))
+        return pa.table({"bucket": pa.array(of[first]), "keys": _lists(keys.view(np.int64), cuts), "values": _lists(found, cuts)})
+
+    # grams by the last two context bytes; words anyhow
+    group = F.when(F.col("gram"), F.shiftright("key", 8).bitwiseAND(0xFFFF) * 40_503).otherwise(
+        F.shiftrightunsigned("key", 20)).bitwiseAND(GROUPS - 1)
+    return sums.withColumn("group", group).groupBy("gram", "group").applyInArrow(
+        work, "bucket long, keys array<long>, values array<double>")
+
+
+def answers(posted: DataFrame, valued: DataFrame, buckets: int, salts: int) -> DataFrame:
+    """(block, kind, keys, values) for each post: the value of every key that the block asked for."""
+    def work(rows: pa.Table, known: pa.Table) -> pa.Table:
+        gram = rows.num_rows > 0 and rows.column("bucket")[0].as_py() >= buckets
+        keys_list = rows.column("keys").combine_chunks()
+        keys = keys_list.flatten().to_numpy().view(np.uint64)
+        own = known.column("keys").combine_chunks().flatten().to_numpy().view(np.uint64)
+        order = np.argsort(own)
+        found = _exactly(own[order], known.column("values").combine_chunks().flatten().to_numpy()[order], keys)
+        cuts = np.append(0, np.cumsum(pc.list_value_length(keys_list).to_numpy(zero_copy_only=False)))
+        return pa.table({"block": rows.column("block"), "kind": pa.array([int(gram)] * rows.num_rows, pa.int32()),
+                         "keys": _lists(keys.view(np.int64), cuts), "values": _lists(found, cuts)})
+
+    salted = posted.where("bucket >= 0").select(
+        "bucket", "block", "keys", F.pmod(F.xxhash64("block"), F.lit(salts)).alias("salt"))
+    copies = valued.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    return salted.groupBy("bucket", "salt").cogroup(copies.groupBy("bucket", "salt")).applyInArrow(
+        work, "block long, kind int, keys array<long>, values array<double>")
+
+
+def _exactly(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """The values of wanted keys; every one must be there."""
+    if not len(wanted):
+        return np.empty(0)
+    at = np.minimum(np.searchsorted(keys, wanted), max(0, len(keys) - 1))
+    if not len(keys) or (keys[at] != wanted).any():
+        raise LookupError("a block asks for keys that it has not posted: its input changed between two reads")
+    return values[at]
 
 
 def is_held_out(doc_id: Column) -> Column:
@@ -252,21 +306,23 @@ def score(docs: DataFrame) -> DataFrame:
 
     ``docs`` has doc_id and text (null: empty; others are left out). Training covers all documents that are
     not held out; without any, every word is unknown and all bytes are equally likely. Repeated rows
-    train and score each. Words are kept by 64-bit hashes. No rows, no result.
+    train and score each. Words are kept by 64-bit hashes. A very long text is a block of its own. No rows, no result.
     """
-    spark = docs.sparkSession
-    held = is_held_out(F.col("doc_id"))
-    rows = docs.select("doc_id", held.alias("held_out"), (~held).alias("train"), F.coalesce("text", F.lit("")).alias("text"),
-                       F.shiftright(F.monotonically_increasing_id(), BLOCK_BITS).alias("block"))
+    rows = in_blocks(docs)
+    blocks = rows.select("block").distinct().count()
     # blocks and buckets grow alike with the input, so both stay small enough for a task
-    buckets = max(64, int(docs.count()) >> BLOCK_BITS)
-    posted = written(posts(rows.select("block", "train", "text"), buckets), "posts")
-    pair_rows = posted.where("bucket = -1").select(F.explode(F.arrays_zip("keys", "counts")).alias("p")).groupBy(
-        F.col("p.keys").alias("k")).agg(F.sum("p.counts").alias("n")).where("n > 0").orderBy("k").collect()  # 65,536 at most
+    buckets, salts = max(64, blocks), -(-max(1, blocks) // BLOCKS_TOGETHER)
+    posted = written(posts(rows.select("block", (~F.col("held_out")).alias("train"), "text"), buckets), "posts")
+    entries = posted.select("bucket", F.explode(F.arrays_zip("keys", "counts")).alias("p"))
+    pair_rows = entries.where("bucket = -1").groupBy(F.col("p.keys").alias("k")).agg(
+        F.sum("p.counts").alias("n")).where("n > 0").orderBy("k").collect()  # 65,536 at most
     pairs = np.array([r["k"] for r in pair_rows], np.uint64), np.array([r["n"] for r in pair_rows], np.int64)
-    answered = written(answers(posted, buckets, pairs), "answers")
-    sums = answered.agg(F.sum("tokens").alias("n"), F.sum("words").alias("v")).first()
-    tokens, words = sums["n"] or 0, sums["v"] or 0
+    sums = written(entries.where("bucket >= 0").groupBy(
+        (F.col("bucket") >= buckets).alias("gram"), F.col("p.keys").alias("key")).agg(F.sum("p.counts").alias("n")), "sums")
+    words_ = sums.where("not gram").agg(F.sum("n").alias("n"), F.count_if(F.col("n") > 0).alias("v")).first()
+    tokens, words = words_["n"] or 0, words_["v"] or 0
+    valued = written(values(sums, buckets, pairs), "values")
+    answered = answers(posted, valued, buckets, salts)
     key = docs.schema["doc_id"].dataType.simpleString()
 
     def work(texts: pa.Table, found: pa.Table) -> pa.Table:
@@ -274,9 +330,9 @@ def score(docs: DataFrame) -> DataFrame:
         for kind in (0, 1):
             own = found.filter(pc.equal(found.column("kind"), kind))
             keys = own.column("keys").combine_chunks().flatten().to_numpy().view(np.uint64)
-            values = own.column("values").combine_chunks().flatten().to_numpy()
+            found_values = own.column("values").combine_chunks().flatten().to_numpy()
             order = np.argsort(keys)
-            known[kind] = keys[order], values[order]
+            known[kind] = keys[order], found_values[order]
         out = []
         for batch in texts.select(["doc_id", "text", "held_out"]).combine_chunks().to_batches():
             for part in _batches(batch):
@@ -284,14 +340,14 @@ def score(docs: DataFrame) -> DataFrame:
                 data, starts = batch_bytes(part.column(1))
                 word, owner = word_keys(data, starts)
                 word, owner = np.append(word, np.full(n, END_KEY, np.uint64)), np.append(owner, np.arange(n))
-                count = known[0][1][np.searchsorted(known[0][0], word)]
+                count = _exactly(*known[0], word)
                 base = np.bincount(owner, np.log10((count + SMOOTH) / (tokens + SMOOTH * (words + 1))), n)
                 # code and text number in one sortable value: each distinct code is looked up once
                 codes, text_no = gram_codes(data, starts)
                 packed = np.sort((codes << np.uint64(BLOCK_BITS)) | text_no.astype(np.uint64))
                 codes = packed >> np.uint64(BLOCK_BITS)
                 first = np.flatnonzero(np.append(True, codes[1:] != codes[:-1]))
-                value = known[1][1][np.searchsorted(known[1][0], codes[first])]
+                value = _exactly(*known[1], codes[first])
                 each = np.repeat(value, np.diff(np.append(first, len(codes))))
                 total = np.bincount((packed & np.uint64((1 << BLOCK_BITS) - 1)).astype(np.int64), each, n)
                 out.append(pa.RecordBatch.from_arrays([

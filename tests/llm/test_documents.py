@@ -9,6 +9,7 @@ import random
 import re
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -500,7 +501,11 @@ def brute_scores(rows):
                round(sum(log10(padded[i - 4:i], padded[i]) for i in range(4, len(padded))), 5))
 
 
-def test_scores_match_a_brute_force_trie(docs, empty):
+@pytest.mark.parametrize("split", [False, True])
+def test_scores_match_a_brute_force_trie(docs, empty, monkeypatch, split):
+    if split:  # many blocks, cut by bytes, and every bucket in parts
+        monkeypatch.setattr(lm, "BLOCK_BYTES", 900)
+        monkeypatch.setattr(lm, "BLOCKS_TOGETHER", 7)
     rows = [r for r in docs.collect() if len(text_of(r)) < 5000]
     small = docs.where("text is null or length(text) < 5000")
     found = [(*tuple(r)[:5], round(r["base_score"], 5), round(r["score"], 5)) for r in lm.score(small).collect()]
@@ -510,6 +515,18 @@ def test_scores_match_a_brute_force_trie(docs, empty):
     assert lm.score(empty).count() == 0
 
 
+def test_blocks_are_cut_by_bytes_and_keys_must_be_known(docs, monkeypatch):
+    monkeypatch.setattr(lm, "BLOCK_BYTES", 2000)
+    blocks = lm.in_blocks(docs).collect()
+    sizes = collections.defaultdict(list)
+    for r in blocks:
+        sizes[r["block"]].append(len(r["text"].encode()))
+    assert all(len(v) == 1 or sum(v) <= 2000 for v in sizes.values()) and len(sizes) > 5
+    assert len(blocks) == docs.count()
+    with pytest.raises(LookupError):
+        lm._exactly(np.array([1, 5], np.uint64), np.array([0.1, 0.2]), np.array([1, 4], np.uint64))
+
+
 def test_without_training_documents_all_bytes_are_alike(spark):
     held = next(i for i in range(1000) if zlib.crc32(str(i).encode()) % 10 == 0)
     row = lm.score(spark.createDataFrame([(held, "ab c")], "doc_id long, text string")).first()
