@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +14,8 @@ from labspark.operators import fusion, labs, learning, reports, routing
 from labspark.plans.integration import decide_and_report
 from labspark.plans.lab_queries import (
     RANGES, _flag_sql, _lookups, _standard_sql, events, raw_labs)
-from labspark.plans.registry import query, r, rounded, table, values_sql
+from labspark.plans.registry import ORACLE, query, r, rounded, table, values_sql
+from labspark.session import checkpoint_folder
 from labspark.streaming import gate
 
 # ------------------------------------------------------------------------------- namespaces
@@ -442,6 +445,24 @@ def sample_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gate.gate_batches(rows, "event_type", "day")
 
 
+@query("sample_gate_stream", ORACLE["sample_gate"])
+def sample_gate_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same gate over a stream of files that arrive in three parts, with a restart after each part."""
+    rows = table(spark, sf_dir, "events").select("event_type", F.to_date("ts").alias("day"))
+    folder = f"{checkpoint_folder(spark).rstrip('/')}/gate-{uuid.uuid4().hex}"
+    first, second = rows.select(F.percentile_approx(F.unix_date("day"), [0.33, 0.66])).first()[0]
+    day = F.unix_date("day")
+    # the second cut falls into a day: its rows come in two parts
+    half = F.pmod(F.xxhash64("event_type"), F.lit(2)) == 0
+    parts = [day <= first, (day > first) & ((day < second) | ((day == second) & half)),
+             (day > second) | ((day == second) & ~half)]
+    for part in parts:
+        rows.where(part).write.mode("append").parquet(f"{folder}/arrived")
+        arrived = spark.readStream.schema(rows.schema).parquet(f"{folder}/arrived")
+        gate.run_gate(arrived, "event_type", "day", folder).awaitTermination()
+    return gate.gate_states(spark, folder).withColumnRenamed("source", "event_type")
+
+
 _config_sql = values_sql([(k, v) for k, v, _ in CONFIG_SEEDS], "key, value")
 
 

@@ -7,12 +7,14 @@ counts are folded.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from labspark.catalog import CONFIG_KEY_OF_MODEL, SCORE_BOUNDS, local_table
 
@@ -109,6 +111,92 @@ class SampleGate:
         )
 
 
+class _SourceCounter(StatefulProcessor):
+    """The gate of one source: its counter and firings, and the batch that may still grow."""
+
+    def __init__(self, batch_type: str, threshold: int):
+        self.batch_type, self.threshold = batch_type, threshold
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState(
+            "gate", f"counter long, fires long, n_batches long, n_rows long, batch {self.batch_type}, held long")
+
+    def handleInputRows(self, key, rows, timer_values) -> Iterator[pd.DataFrame]:
+        counts: dict = {}
+        for part in rows:
+            for batch, n in part.groupby("batch", dropna=False)["n"].sum().items():
+                counts[batch] = counts.get(batch, 0) + int(n)
+        counter, fires, n_batches, n_rows, open_batch, held = self.state.get() or (0, 0, 0, 0, None, 0)
+        for batch in sorted(counts):
+            if n_batches and batch > open_batch:  # the open batch is complete
+                counter, fires = self._folded(counter, fires, held)
+                held = 0
+            if not n_batches or batch > open_batch:
+                open_batch, n_batches = batch, n_batches + 1
+            held, n_rows = held + counts[batch], n_rows + counts[batch]
+        self.state.update((counter, fires, n_batches, n_rows, open_batch, held))
+        counter, fires = self._folded(counter, fires, held)
+        yield pd.DataFrame({"source": [key[0]], "n_batches": [n_batches], "n_rows": [n_rows],
+                            "counter": [counter], "fires": [fires]})
+
+    def _folded(self, counter: int, fires: int, n: int) -> tuple[int, int]:
+        total = counter + n
+        return (0, fires + 1) if total >= self.threshold else (total, fires)
+
+    def close(self) -> None:
+        pass
+
+
+def gate_stream(stream: DataFrame, source: str, batch: str, threshold: int = DEFAULT_THRESHOLD) -> DataFrame:
+    """The gate of every source over a stream, as keyed state: a row per source that has new samples.
+
+    ``batch`` names the batch that a sample belongs to (a day, a number); batches of a source arrive in order, and rows
+    of its last one may still come in later micro-batches. Rows of an older batch count with the open one. The state of a
+    source is six values in the state store, so a restarted query goes on where it stopped. The session needs the RocksDB
+    state store (:data:`STATE_STORE`). Null sources are a source of their own; rows without a batch are left out.
+    """
+    kind, key = stream.schema[batch].dataType.simpleString(), stream.schema[source].dataType.simpleString()
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            sums = pa.Table.from_batches([part]).group_by(["source", "batch"]).aggregate([([], "count_all")])
+            yield from sums.rename_columns(["source", "batch", "n"]).to_batches()
+
+    # counted before the shuffle, so a source's task sees a row per batch and input chunk, not one per sample
+    rows = stream.select(F.col(source).alias("source"), F.col(batch).alias("batch")).where("batch is not null").mapInArrow(
+        counted, f"source {key}, batch {kind}, n long")
+    return rows.groupBy("source").transformWithStateInPandas(
+        _SourceCounter(kind, threshold), f"source {key}, n_batches long, n_rows long, counter long, fires long",
+        "Update", "None")
+
+
+#: The setting that keyed state needs.
+STATE_STORE = ("spark.sql.streaming.stateStore.providerClass",
+               "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+def run_gate(stream: DataFrame, source: str, batch: str, folder: str,
+             threshold: int = DEFAULT_THRESHOLD) -> StreamingQuery:
+    """Process what has arrived, from where the last run stopped; :func:`gate_states` reads the result.
+
+    ``folder`` holds the stream's checkpoint and one small table per micro-batch, replaced if the batch is replayed.
+    """
+    spark = stream.sparkSession
+    spark.conf.set(*STATE_STORE)
+
+    def keep(rows: DataFrame, number: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{folder}/states/number={number}")
+
+    return (gate_stream(stream, source, batch, threshold).writeStream.outputMode("update").foreachBatch(keep)
+            .option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start())
+
+
+def gate_states(spark: SparkSession, folder: str) -> DataFrame:
+    """The last state of every source: source, n_batches, n_rows, counter, fires."""
+    rows = spark.read.parquet(f"{folder}/states")
+    last = F.max_by(F.struct("n_batches", "n_rows", "counter", "fires"), "number")
+    return rows.groupBy("source").agg(last.alias("s")).select("source", "s.*")
+
+
 def refreshed_scores(predictions: DataFrame, model: str = "model_id", label: str = "label",
                      prediction: str = "prediction") -> DataFrame:
     """Accuracy x 100 of every model within the score bounds."""
