@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from labspark.functions.names import (
     clean_field_name, compact_name, name_tokens, similarity, strip_blanks)
 from labspark.operators.similar import BoundedScorer, Scorer, best_matches
+from labspark.tables import numbered
 
 HIGH_CONFIDENCE, REVIEW = 0.85, 0.60
 
@@ -216,10 +217,10 @@ def register_fields(rows: DataFrame, fields: DataFrame,
     if "ord" in fields.columns:
         kind = fields.schema["ord"].dataType
         last = fields.agg(F.coalesce(F.max("ord"), F.lit(-1)).alias("__last"))
-        # the new names in order: as many rows as the dictionary gains
-        place = F.row_number().over(Window.orderBy(*([order] if order else []), "standard_name"))
-        accepted = accepted.withColumn("__place", place).crossJoin(F.broadcast(last)).withColumn(
-            "ord", (F.col("__last") + F.col("__place")).cast(kind)).drop("__place", "__last")
+        # numbered over range partitions: the new names are as many as the dictionary gains
+        placed = numbered(accepted, [F.col(c) for c in ([order] if order else []) + ["standard_name"]], "__place")
+        accepted = placed.crossJoin(F.broadcast(last)).withColumn(  # one row
+            "ord", (F.col("__last") + F.col("__place") + 1).cast(kind)).drop("__place", "__last")
     merged = fields.unionByName(
         accepted.select(*[c for c in accepted.columns if c in fields.columns]),
         allowMissingColumns=True)
@@ -233,9 +234,10 @@ def register_aliases(mappings: DataFrame, fields: DataFrame,
     Returns (dictionary, skipped mappings with a reason).  Of equal new names (ignoring case)
     the first by ``order`` is added; the alias lists stay as long as the dictionary makes them.
     """
-    known = fields.select(
-        F.col("standard_name").alias("__std"),
-        F.transform("alias_names", lambda a: F.lower(strip_blanks(a))).alias("__have"))
+    known = fields.select(F.col("standard_name").alias("__std")).distinct()
+    # aliases as rows: a mapping meets its own name only, not the whole list of the field
+    aliases = fields.select("standard_name", F.explode("alias_names").alias("__alias")).select(
+        "standard_name", F.lower(strip_blanks(F.col("__alias"))).alias("__low"), F.lit(True).alias("__have")).distinct()
     cleaned = mappings.withColumns({
         "raw_name": strip_blanks(F.coalesce("raw_name", F.lit(""))),
         "standard_name": strip_blanks(F.coalesce("standard_name", F.lit("")))})
@@ -247,11 +249,12 @@ def register_aliases(mappings: DataFrame, fields: DataFrame,
         cleaned.withColumn("__low", F.lower("raw_name"))
         .join(first, ["standard_name", "__low"])
         .join(known, F.col("standard_name") == F.col("__std"), "left")
+        .join(aliases, ["standard_name", "__low"], "left")
         .withColumn(
             "reason",
             F.when((F.col("raw_name") == "") | (F.col("standard_name") == ""), "blank name")
             .when(F.col("__std").isNull(), "unknown field")
-            .when(F.array_contains("__have", F.col("__low")), "already an alias")
+            .when(F.col("__have"), "already an alias")
             .when(F.col(order) != F.col("__first"), "already an alias"))
     )
     new = (

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from labspark import schemas
 from labspark.catalog import BUILTIN_MODELS, DISEASE_MARKERS, local_table
 from labspark.operators.labs import split_by_disease
+from labspark.operators.learning import ranked_attributions
+from labspark.operators.ordering import with_positions
 
 
 def _by_disease(disease: Column, what: str, markers: Mapping | None = None) -> Column:
@@ -106,6 +108,61 @@ def report_records(labs: DataFrame, cases: DataFrame, markers: DataFrame,
     return records
 
 
+#: Sections of a report in their order.
+SECTIONS = ("header", "core", "appendix", "prediction", "importance", "artifacts")
+
+
+def _line(section: str, place: Column, name: Column, number: Column | None = None, text: Column | None = None,
+          flag: Column | None = None) -> list[Column]:
+    def or_null(value: Column | None, kind: str) -> Column:
+        return F.lit(None).cast(kind) if value is None else value.cast(kind)
+
+    return ["case_id", F.lit(SECTIONS.index(section)).alias("section_no"), F.lit(section).alias("section"),
+            place.cast("long").alias("line_no"), name.alias("name"), or_null(number, "double").alias("number"),
+            or_null(text, "string").alias("text"), or_null(flag, "string").alias("flag")]
+
+
+def _field_lines(rows: DataFrame, section: str) -> DataFrame:
+    """One line per filled column of one row per case, in the order of the columns."""
+    kinds = dict(rows.dtypes)
+    fields = [F.struct(
+        F.lit(i).alias("i"), F.lit(c).alias("name"),
+        (F.lit(None).cast("double") if kinds[c] == "string" else F.col(c).cast("double")).alias("number"),
+        (F.col(c) if kinds[c] == "string" else F.lit(None).cast("string")).alias("text"))
+        for i, c in enumerate(c for c in rows.columns if c != "case_id")]
+    lines = rows.select("case_id", F.explode(F.array(*fields)).alias("f")).where(
+        "f.number is not null or f.text is not null")
+    return lines.select(*_line(section, F.col("f.i"), F.col("f.name"), F.col("f.number"), F.col("f.text")))
+
+
+def report_body(labs: DataFrame, cases: DataFrame, markers: DataFrame, order: list[str],
+                predictions: DataFrame | None = None, attributions: DataFrame | None = None,
+                artifacts: DataFrame | None = None, top: int = 10) -> DataFrame:
+    """The whole report of every case as ordered lines: header, core and appendix labs, prediction, importance, artifacts.
+
+    ``labs`` has case_id, standard_item_name, value, abnormal_flag and the columns of ``order``, which place
+    the lines of one item; ``predictions`` and ``artifacts`` one row per case; ``attributions`` case_id and a map
+    ``contributions``, of which the ``top`` largest are ranked. Lines stay rows (case_id, section_no, section, line_no, name,
+    number, text, flag): neither a report nor its labs ever meet in one array.
+    """
+    head = report_header(cases).select("case_id", "report_title", "clinical_summary", "report_kind")
+    lines = _field_lines(head, "header")
+    split = with_positions(report_lines(labs, cases, markers), ["case_id", "section"],
+                           ["standard_item_name", *order], "__place")
+    for section in ("core", "appendix"):
+        lines = lines.unionByName(split.where(F.col("section") == section).select(*_line(
+            section, F.col("__place"), F.col("standard_item_name"), F.col("value"), flag=F.col("abnormal_flag"))))
+    if predictions is not None:
+        lines = lines.unionByName(_field_lines(predictions, "prediction"))
+    if attributions is not None:
+        ranked = ranked_attributions(attributions, "case_id", "contributions", top)
+        lines = lines.unionByName(ranked.select(*_line(
+            "importance", F.col("place") - 1, F.col("name"), F.col("contribution"))))
+    if artifacts is not None:
+        lines = lines.unionByName(_field_lines(artifacts, "artifacts"))
+    return lines
+
+
 def list_models(results: DataFrame, tasks: DataFrame, include_builtin: bool = True) -> DataFrame:
     """Stored model results with their task, then the built-in models, newest first."""
     stored = results.join(tasks.select(

@@ -391,6 +391,48 @@ def report_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("artifact_metrics.score").alias("artifact_score"))
 
 
+def _by_case_sql(what: str) -> str:
+    return (f"CASE case_id % 3 WHEN 0 THEN '{DISEASE_MARKERS['diabetes'][what]}' WHEN 1 THEN"
+            f" '{DISEASE_MARKERS['kidney_disease'][what]}' ELSE '{DISEASE_MARKERS['default'][what]}' END")
+
+
+@query("report_lines_full", f"""
+WITH c AS (SELECT DISTINCT user_id AS case_id FROM events),
+l AS (SELECT user_id AS case_id, event_type AS name, section, value, abnormal_flag, ts, event_id FROM
+  ({_lines_sql.replace("SELECT e.user_id,", "SELECT e.value, e.ts, e.event_id, e.user_id,")})),
+p AS (SELECT s_suppkey AS case_id, s_name, s_acctbal, s_nationkey FROM supplier JOIN c ON c.case_id = s_suppkey),
+a AS (SELECT case_id, unnest([{{'k': 'age', 'v': case_id % 7 - 3.0}}, {{'k': 'slope', 'v': case_id % 5 - 2.5}},
+  {{'k': 'latest', 'v': case_id % 11 / 4.0}}, {{'k': 'mean', 'v': 0.25}}]) AS e FROM c)
+SELECT case_id, 0 AS section_no, 'header' AS section, 0 AS line_no, 'report_title' AS name, NULL AS number,
+  {_by_case_sql('title')} AS text, NULL AS flag FROM c
+UNION ALL SELECT case_id, 0, 'header', 1, 'clinical_summary', NULL, {_by_case_sql('summary')}, NULL FROM c
+UNION ALL SELECT case_id, 0, 'header', 2, 'report_kind', NULL, 'disease', NULL FROM c
+UNION ALL SELECT case_id, CASE section WHEN 'core' THEN 1 ELSE 2 END, section,
+  row_number() OVER (PARTITION BY case_id, section ORDER BY name, ts, event_id) - 1, name, value, NULL, abnormal_flag FROM l
+UNION ALL SELECT case_id, 3, 'prediction', 0, 'prediction', NULL, s_name, NULL FROM p
+UNION ALL SELECT case_id, 3, 'prediction', 1, 'probability', s_acctbal, NULL, NULL FROM p
+UNION ALL SELECT case_id, 4, 'importance', row_number() OVER (PARTITION BY case_id ORDER BY abs(e.v) DESC, e.k) - 1,
+  e.k, round(e.v, 4), NULL, NULL FROM a QUALIFY row_number() OVER (PARTITION BY case_id ORDER BY abs(e.v) DESC, e.k) <= 3
+UNION ALL SELECT case_id, 5, 'artifacts', 0, 'psnr', s_nationkey, NULL, NULL FROM p""")
+def report_lines_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole reports as lines: header, core and appendix labs, prediction, ranked importance, artifact metrics."""
+    rows = events(spark, sf_dir)
+    found = labs.with_flag(labs.with_reference(rows, catalog.range_table(spark, RANGES), "event_type")).select(
+        F.col("user_id").alias("case_id"), F.col("event_type").alias("standard_item_name"), "value", "abnormal_flag",
+        "ts", "event_id")
+    cases = _cases(spark, sf_dir)
+    suppliers = cases.select("case_id").join(
+        table(spark, sf_dir, "supplier"), F.col("case_id") == F.col("s_suppkey"))
+    case = F.col("case_id")
+    weights = cases.select("case_id", F.create_map(
+        F.lit("age"), (case % 7 - 3.0).cast("double"), F.lit("slope"), (case % 5 - 2.5).cast("double"),
+        F.lit("latest"), (case % 11 / 4.0).cast("double"), F.lit("mean"), F.lit(0.25)).alias("contributions"))
+    return reports.report_body(
+        found, cases, catalog.marker_table(spark, MARKERS), ["ts", "event_id"],
+        suppliers.select("case_id", F.col("s_name").alias("prediction"), F.col("s_acctbal").alias("probability")),
+        weights, suppliers.select("case_id", F.col("s_nationkey").alias("psnr")), top=3)
+
+
 @query("report_kinds", """
 SELECT CASE WHEN o_orderpriority LIKE '1%' THEN 'data_missing' ELSE 'disease' END AS report_kind,
   count(*) AS n FROM orders GROUP BY 1""")

@@ -11,6 +11,16 @@ def write_reports(records: DataFrame, path: str, partition: str = "report_kind")
     records.write.mode("overwrite").partitionBy(partition).json(path)
 
 
+def write_report_bodies(lines: DataFrame, path: str) -> None:
+    """The lines of whole reports as JSON lines, those of a case one after the other and in order.
+
+    Files hold ranges of (case, section, line), sorted as they are written, so a report of any length streams through;
+    a very long one goes on in the next file.
+    """
+    place = ["case_id", "section_no", "line_no"]
+    lines.repartitionByRange(*place).sortWithinPartitions(*place).write.mode("overwrite").json(path)
+
+
 def append_rows(rows: DataFrame, path: str) -> None:
     """Append run records (datasets, tasks, model results)."""
     rows.write.mode("append").parquet(path)
