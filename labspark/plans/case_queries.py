@@ -547,3 +547,11 @@ def ranked_attributions(spark: SparkSession, sf_dir: str) -> DataFrame:
     maps = parts.groupBy("o_custkey").agg(
         F.map_from_entries(F.collect_list(F.struct("name", "value"))).alias("m"))
     return learning.ranked_attributions(maps, "o_custkey", "m", 3)
+
+
+@query("top_factors", f"""
+SELECT o_custkey, string_agg(name || ' ' || format('{{:,.4f}}', contribution), ', ' ORDER BY place) AS top_factors
+FROM ({ORACLE['ranked_attributions']}) GROUP BY 1""")
+def top_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One line per customer with its three strongest contributions."""
+    return learning.top_factors_line(ranked_attributions(spark, sf_dir), "o_custkey")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from labspark import catalog
 from labspark.functions.names import clean_field_name, compact_name, matching_block_ratio
 from labspark.operators import dictionary
-from labspark.plans.registry import query, rounded, table, values_sql
+from labspark.plans.registry import ORACLE, query, rounded, table, values_sql
 from labspark.tables import numbered
 
 # Field dictionary of these queries: item words of part names.
@@ -148,6 +148,14 @@ def fuzzy_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dictionary.map_fields(names, _vocabulary(spark, sf_dir))
 
 
+@query("mapping_stats", f"""
+SELECT count(*) AS total, count(standard_name) AS mapped, count(*) FILTER (WHERE status = 'exact_match') AS exact
+FROM ({ORACLE['fuzzy_map']})""")
+def mapping_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many typed names were mapped, and how many exactly."""
+    return dictionary.mapping_stats(fuzzy_map(spark, sf_dir))
+
+
 @query("fuzzy_map_blocks")
 def fuzzy_map_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mapping of typed names by matching blocks, which SQL lacks."""

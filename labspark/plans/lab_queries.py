@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labspark import catalog
-from labspark.functions.values import range_high, range_low, to_number
+from labspark.functions.values import range_high, range_low, to_number, trajectory_label
 from labspark.operators import dictionary, labs, ordering, trends
 from labspark.plans.integration import Lookups, lab_trends
 from labspark.plans.registry import query, r, rounded, spread, table, values_sql
@@ -456,3 +456,58 @@ def json_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.from_json("props", "k int")["k"]
     return table(spark, sf_dir, "events").groupBy("event_type").agg(
         F.count(k).alias("n"), F.sum(k).alias("total"))
+
+
+@query("trajectory_labels", """
+WITH p AS (SELECT user_id, event_type, value, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) - 1 AS pos
+           FROM events WHERE value IS NOT NULL),
+f AS (SELECT user_id, event_type, count(*) AS n, arg_min(value, pos) AS baseline, regr_slope(value, pos) AS slope
+      FROM p GROUP BY 1, 2 HAVING count(*) >= 2)
+SELECT user_id, event_type, round(slope, 6) AS slope, CASE WHEN baseline <= 0 THEN '数据异常'
+  WHEN slope / baseline > CAST(0.02 AS DOUBLE) THEN '快速恶化/上升亚型' WHEN slope / baseline > CAST(0.005 AS DOUBLE) THEN '缓慢进展亚型'
+  WHEN slope / baseline > CAST(-0.005 AS DOUBLE) THEN '平稳控制亚型' WHEN slope / baseline > CAST(-0.02 AS DOUBLE) THEN '缓慢改善亚型'
+  ELSE '治疗改善/下降亚型' END AS label FROM f""")
+def trajectory_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The subtype of every series, from its slope relative to its first value."""
+    features = trends.trajectory_features(events(spark, sf_dir), ["user_id", "event_type"], "value", ["ts", "event_id"])
+    return features.select("user_id", "event_type", r("slope").alias("slope"),
+                           trajectory_label(F.col("slope"), F.col("baseline_value")).alias("label"))
+
+
+@query("row_defaults", """
+SELECT o_orderkey AS ord, CAST(o_custkey AS VARCHAR) AS case_id, coalesce(nullif(o_orderstatus, 'P'), 'p0') AS patient_id, 'v001' AS visit_id,
+  CAST(NULL AS VARCHAR) AS unit, strftime(o_orderdate, '%Y-%m-%d') AS test_time
+FROM orders WHERE o_custkey % 10 < 9""")
+def row_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Optional attributes of lab rows: the row's value, else the caller's, else null."""
+    rows = table(spark, sf_dir, "orders").filter("o_custkey % 10 < 9").select(
+        F.col("o_orderkey").alias("ord"), F.col("o_custkey").alias("case_id"),
+        F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus")).alias("patient_id"),
+        F.date_format("o_orderdate", "yyyy-MM-dd").alias("test_time"))
+    return labs.with_defaults(labs.filter_case(rows, None), "p0", "v001").select(
+        "ord", "case_id", "patient_id", "visit_id", "unit", "test_time")
+
+
+@query("case_identity", """
+WITH first AS (SELECT min(o_custkey) AS c FROM orders)
+SELECT o_orderstatus AS kind, count(*) AS n_rows,
+  CAST(CASE WHEN min(o_custkey) = max(o_custkey) THEN min(o_custkey) END AS VARCHAR) AS single_case,
+  (SELECT arg_min(o_orderpriority, o_orderkey) FROM orders i WHERE i.o_custkey = first.c AND i.o_orderstatus = o.o_orderstatus) AS first_patient
+FROM orders o, first WHERE o_custkey = first.c GROUP BY o_orderstatus, first.c
+UNION ALL SELECT 'all', count(*), CAST(CASE WHEN min(o_custkey) = max(o_custkey) THEN min(o_custkey) END AS VARCHAR),
+  arg_min(o_orderpriority, o_orderkey) FILTER (WHERE o_custkey = (SELECT c FROM first)) FROM orders""")
+def case_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The case that a table is about, if it is about one, and the patient of its first row: per status and for all."""
+    rows = table(spark, sf_dir, "orders").select(
+        F.col("o_orderstatus").alias("kind"), F.col("o_custkey").cast("string").alias("case_id"),
+        F.col("o_orderpriority").alias("patient_id"), F.col("o_orderkey").alias("ord"), "o_custkey")
+    case = str(rows.agg(F.min("o_custkey")).first()[0])
+    parts = [(kind[0], labs.filter_case(rows.filter(F.col("kind") == kind[0]), case)) for kind in rows.filter(
+        F.col("case_id") == case).select("kind").distinct().collect()]  # a row per order status
+    out = None
+    for kind, part in [*parts, ("all", rows)]:
+        one = part.agg(F.lit(kind).alias("kind"), F.count(F.lit(1)).alias("n_rows")).crossJoin(
+            labs.single_case_id(part).withColumnRenamed("case_id", "single_case")).crossJoin(  # one row each
+            labs.first_patient_id(part, "ord", case_id=case).withColumnRenamed("patient_id", "first_patient"))
+        out = one if out is None else out.unionByName(one)
+    return out
