@@ -28,6 +28,8 @@ RECALL = 0.97
 SAMPLE = 100
 #: Index rows that a part of a table should hold; larger parts are cut.
 PART_ROWS = 8192
+#: Queries whose cells one task works out.
+PROBING_QUERIES = 128
 #: Rows of a block when queries are compared with all rows.
 BLOCK_ROWS = 1024
 WIDTHS = [0.5 * 1.12 ** i for i in range(40)]
@@ -167,7 +169,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     rows with the same id and vector count once; ties go to the smaller vec_id. Vectors that are null,
     zero, hold null or non-finite components, or are not as long as the most common length, take no part.
     A query whose cells hold fewer than k candidates is compared with all rows, so it has fewer than k rows
-    only if fewer candidates exist. No usable rows: no result.
+    only if fewer candidates exist. That costs one comparison with every row for each such query: the README states their
+    share. No usable rows: no result.
 
     Of equal vectors only the k + 1 smallest ids enter the index (no other can be among the first k),
     so a vector that many rows share makes no hot bucket.
@@ -213,7 +216,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     entries = written(index.mapInArrow(
         hashed, f"tab long, part long, code long, vec_id {id_kind}, embedding {kind}"), "entries")
     sizes = entries.groupBy("tab", "part").agg(F.ceil(F.count(F.lit(1)) / (2 * PART_ROWS)).cast("long").alias("cuts"))
-    probes = asked.repartition(F.col("vec_id")).mapInArrow(
+    # the count is given, so that adaptive execution does not put all probing into one task
+    probes = asked.repartition(-(-max(1, asked.count()) // PROBING_QUERIES), F.col("vec_id")).mapInArrow(
         probed, f"tab long, part long, codes array<long>, query_id {id_kind}, embedding {kind}")
     left = entries.join(sizes, ["tab", "part"]).withColumn("cut", F.pmod(F.xxhash64("vec_id"), F.col("cuts")))
     right = probes.join(sizes, ["tab", "part"]).withColumn("cut", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
