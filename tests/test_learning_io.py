@@ -307,3 +307,25 @@ def test_best_of_ten_starts(spark):
     model, costs = learning.fit_clusters(points, ["x", "y"], 12, starts=4)
     assert len(costs) == 4 and model.stages[-1].summary.trainingCost == min(costs)
     assert model.transform(points).select("prediction").distinct().count() == 12
+
+
+def test_report_bodies_are_written_in_order(spark, tmp_path):
+    cases = spark.createDataFrame([(1, "p1", "diabetes"), (2, "p2", None)], "case_id int, patient_id string, primary_disease string")
+    labs = spark.createDataFrame([(1, m, float(v), "normal", v) for v in range(40) for m in ("GLU", "ALT")] + [(2, "ALT", 1.0, "high", 0)],
+                                 "case_id int, standard_item_name string, value double, abnormal_flag string, t int")
+    predictions = spark.createDataFrame([(1, "risk", 0.7, None)], "case_id int, prediction string, probability double, model_reason string")
+    weights = spark.createDataFrame([(1, {"a": -2.0, "b": 1.0, "c": 0.5})], "case_id int, contributions map<string,double>")
+    lines = reports.report_body(labs, cases, catalog.marker_table(spark), ["t"], predictions, weights, top=2)
+    writers.write_report_bodies(lines.repartition(5), str(tmp_path / "reports"))
+    written_ = []
+    for file in sorted((tmp_path / "reports").glob("part-*.json")):
+        written_ += [json.loads(x) for x in file.read_text(encoding="utf-8").splitlines()]
+    places = [(r["case_id"], r["section_no"], r["line_no"]) for r in written_]
+    assert places == sorted(places) and len(set(places)) == len(places) == lines.count()
+    one = [r for r in written_ if r["case_id"] == 1]
+    core = [(r["name"], r["number"]) for r in one if r["section"] == "core"]
+    assert core == [("GLU", float(v)) for v in range(40)]
+    assert [(r["line_no"], r["name"], r["number"]) for r in one if r["section"] == "importance"] == [(0, "a", -2.0), (1, "b", 1.0)]
+    assert [(r["name"], r.get("text"), r.get("number")) for r in one if r["section"] == "prediction"] == [
+        ("prediction", "risk", None), ("probability", None, 0.7)]
+    assert [r["section"] for r in written_ if r["case_id"] == 2] == ["header"] * 3 + ["appendix"]
