@@ -43,10 +43,10 @@ def _offsets(counted: DataFrame, keys: Sequence[str], rows: Column) -> DataFrame
 
 
 def with_positions(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str = "pos",
-                   max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+                   max_group_rows: int = MAX_GROUP_ROWS, size: str | None = None) -> DataFrame:
     """0-based position of every row in its group, in ``order`` (nulls last; any orderable types).
 
-    The last order column should make the order total.  Groups of more than ``max_group_rows``
+    ``size`` names a column for the number of rows of the group, which costs no further shuffle. The last order column should make the order total.  Groups of more than ``max_group_rows``
     rows, however many there are, are numbered in one global order of (keys, order), spread over
     tasks by range; a row's position is its number less the first number of its group.
     """
@@ -54,7 +54,8 @@ def with_positions(df: DataFrame, keys: Sequence[str], order: Sequence[str], out
     window = Window.partitionBy(*keys).orderBy(*in_order)
 
     def in_window(rows: DataFrame) -> DataFrame:
-        return rows.withColumn(out, (F.row_number().over(window) - 1).cast("long"))
+        placed = rows.withColumn(out, (F.row_number().over(window) - 1).cast("long"))
+        return placed.withColumn(size, F.count(F.lit(1)).over(Window.partitionBy(*keys))) if size else placed
 
     hot = hot_groups(df, keys, max_group_rows)
     if hot.isEmpty():
@@ -63,9 +64,10 @@ def with_positions(df: DataFrame, keys: Sequence[str], order: Sequence[str], out
     cool = df.alias("l").join(hot.alias("r"), same, "left_anti")
     rows = numbered(df.alias("l").join(hot.alias("r"), same, "left_semi"),
                     [*[F.col(k) for k in keys], *in_order], "__number")
-    starts = rows.groupBy(*keys).agg(F.min("__number").alias("__start"))
+    starts = rows.groupBy(*keys).agg(F.min("__number").alias("__start"), F.count(F.lit(1)).alias("__size"))
     placed = rows.alias("l").join(starts.alias("r"), same).select(
-        *[f"l.{c}" for c in df.columns], (F.col("__number") - F.col("__start")).alias(out))
+        *[f"l.{c}" for c in df.columns], (F.col("__number") - F.col("__start")).alias(out),
+        *([F.col("__size").alias(size)] if size else []))
     return in_window(cool).unionByName(placed)
 
 

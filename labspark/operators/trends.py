@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
-from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -149,10 +147,10 @@ def clinical_features(df: DataFrame, case: str, marker: str, value: str, time: s
 
 def abnormal_points(df: DataFrame, keys: Sequence[str], value: str, order: Sequence[str],
                     low: str = "reference_low", high: str = "reference_high",
-                    max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
-    """Every point with its position and an out-of-range mark."""
+                    max_group_rows: int = MAX_GROUP_ROWS, size: str | None = None) -> DataFrame:
+    """Every point with its position and an out-of-range mark; ``size`` names a column for the number of points."""
     points = with_positions(
-        df.filter(F.col(value).isNotNull()), keys, order, "pos", max_group_rows)
+        df.filter(F.col(value).isNotNull()), keys, order, "pos", max_group_rows, size)
     outside = (F.col(value) < F.col(low)) | (F.col(value) > F.col(high))
     return points.withColumn("is_abnormal", F.coalesce(outside, F.lit(False)))
 
@@ -166,11 +164,7 @@ def half_split_trend(df: DataFrame, keys: Sequence[str], value: str, order: Sequ
     The threshold is a tenth of ``spread`` (a column; the series' sample std where it is null or
     not given).  Two or more abnormal points on both sides of the range make the series 'fluctuating'.
     """
-    points = abnormal_points(df, keys, value, order, low, high, max_group_rows)
-    # counted on the input, not on the positions: a scan of two columns instead of a second sort
-    sizes = df.groupBy(*keys).agg(F.count(value).alias("n_points"))
-    same = [F.col(f"p.{k}").eqNullSafe(F.col(f"s.{k}")) for k in keys]
-    halved = points.alias("p").join(sizes.alias("s"), reduce(and_, same)).select("p.*", "n_points")
+    halved = abnormal_points(df, keys, value, order, low, high, max_group_rows, "n_points")
     later = F.col("pos") >= F.floor(F.col("n_points") / 2)
     v = F.col(value)
     given = F.max(spread) if spread else F.lit(None).cast("double")

@@ -3,24 +3,43 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from labspark.session import checkpoint_folder
 
 
+_WRITTEN: list[str] = []
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: the rows as a Parquet table in the shared folder, which survives lost executors.
 
-    Spark knows the size of such a table, so it chooses the join with it.
+    Spark knows the size of such a table, so it chooses the join with it. The table stays, as results read it; see
+    :func:`temporary_tables`.
     """
     path = f"{checkpoint_folder(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def temporary_tables(spark: SparkSession) -> Iterator[None]:
+    """Delete at the end the intermediate tables that were written inside: results must be stored by then."""
+    before = len(_WRITTEN)
+    try:
+        yield
+    finally:
+        for path in _WRITTEN[before:]:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        del _WRITTEN[before:]
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """The names, each lengthened until the table has no such column: helper columns that harm nobody's."""
     taken = {c.lower() for c in df.columns}

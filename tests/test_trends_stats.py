@@ -1,4 +1,5 @@
 import math
+import os
 import random
 import statistics
 import tempfile
@@ -6,6 +7,7 @@ import tempfile
 import pytest
 from pyspark.sql import functions as F
 
+from labspark import tables
 from labspark.functions import tails
 from labspark.operators import learning, ordering, stats, trends
 
@@ -248,6 +250,22 @@ def test_tail_probabilities():
     assert tails.f_upper(3.0, 1, 7) == pytest.approx(tails.t_two_sided(math.sqrt(3.0), 7))
 
 
+def test_intermediate_tables_can_be_deleted(spark):
+    rows = spark.range(50).withColumn("k", F.col("id") % 3)
+    with tables.temporary_tables(spark):
+        ranked = ordering.average_ranks(rows, ["k"], "id")
+        assert ranked.count() == 50
+        paths = [p for p in tables._WRITTEN if os.path.isdir(p)]
+        assert paths
+        mine = paths[-1]
+    assert not os.path.exists(mine) and mine not in tables._WRITTEN
+    with pytest.raises(ZeroDivisionError), tables.temporary_tables(spark):
+        tables.written(rows, "gone")
+        mine = tables._WRITTEN[-1]
+        raise ZeroDivisionError
+    assert not os.path.exists(mine)
+
+
 def test_tails_keep_ten_digits():
     """Closed forms at 1, 2 and 4 degrees of freedom, the normal limit with its next term, far tails, huge degrees."""
     close = {"rel": 1e-10, "abs": 0}
