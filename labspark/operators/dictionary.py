@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from labspark import catalog
 from labspark.functions.names import (
     clean_field_name, compact_name, name_tokens, similarity, strip_blanks)
 from labspark.operators.similar import BoundedScorer, Scorer, best_matches
@@ -288,6 +289,8 @@ def core_markers(fields: DataFrame, disease: str | None = None,
         F.col("entry.note").alias("note"), "ord").orderBy("disease", F.desc("weight"), "ord")
 
 
-def seed_if_empty(table: DataFrame, defaults: DataFrame) -> DataFrame:
-    """The table, or the defaults when it holds nothing."""
-    return defaults if table.isEmpty() else table
+def seed_if_empty(table: DataFrame, defaults: DataFrame | None = None) -> DataFrame:
+    """The table, or the defaults (without any given: the built-in dictionary rows) when it holds nothing."""
+    if not table.isEmpty():
+        return table
+    return catalog.default_field_table(table.sparkSession) if defaults is None else defaults

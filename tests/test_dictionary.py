@@ -209,3 +209,13 @@ def test_best_matches_equal_all_pairs(spark, name):
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
     assert similar.best_matches(asked, index.limit(0), scorer).count() == 0
     assert similar.best_matches(asked.limit(0), index, scorer).count() == 0
+
+
+def test_an_empty_dictionary_starts_with_the_default_rows(spark, fields):
+    seeded = dictionary.seed_if_empty(fields.limit(0))
+    assert seeded.count() == 12 and seeded.columns == [*fields.columns, "description"]
+    got = {r["raw_name"]: r["standard_name"] for r in dictionary.match_fields(
+        names_of(spark, " 丙氨酸氨基转移酶", "GOT", "bun", "白细胞", "C反应蛋白", "unknown"), seeded).collect()}
+    assert got == {" 丙氨酸氨基转移酶": "ALT", "GOT": "AST", "bun": "Urea", "白细胞": "WBC", "C反应蛋白": "CRP", "unknown": None}
+    assert dictionary.seed_if_empty(fields).count() == fields.count()
+    assert dictionary.seed_if_empty(fields.limit(0), fields.limit(2)).count() == 2
