@@ -37,7 +37,7 @@ START, END = 0xFE, 0xFF
 #: Added to every count of the base score.
 SMOOTH = 0.1
 #: A block holds at most 2 ** BLOCK_BITS documents and, unless it is one document, BLOCK_BYTES of text.
-BLOCK_BITS, BLOCK_BYTES = 12, 8 << 20
+BLOCK_BITS, BLOCK_BYTES = 14, 32 << 20
 #: Groups of context pairs that are worked out together, and blocks that meet in one answering task.
 GROUPS, BLOCKS_TOGETHER = 1024, 65_536
 #: Stands for the end token among word hashes.
