@@ -83,7 +83,9 @@ def test_block_f1_on_pages_labelled_by_hand(tagger):
 @pytest.mark.skipif(not os.path.isdir(TABLES), reason="no test tables")
 def test_pages_of_the_table(tagger):
     """These pages hold their text in one article, cut here by expressions that know nothing of blocks."""
-    for (page,) in duckdb.sql(f"SELECT html FROM '{TABLES}/pages.parquet'").fetchall():
+    with duckdb.connect() as db:
+        pages = db.execute(f"SELECT html FROM '{TABLES}/pages.parquet'").fetchall()
+    for (page,) in pages:
         inner = re.search(r"<article>(.*)</article>", page, re.S)[1]
         plain = [re.sub(r"\s+", " ", html.entities.unescape(re.sub(r"<[^>]+>", " ", part))).strip()
                  for part in re.split(r"</?(?:p|h1|h2|li|ul)>", inner)]
