@@ -101,8 +101,9 @@ def map_fields(names: DataFrame, index: DataFrame, name: str = "raw_name",
     unmapped.  ``scorer`` takes two columns: :func:`similarity` or ``matching_block_ratio``, whose bounds
     spare most pairs, or another one, which is asked for every pair.
     """
-    distinct = names.select(F.col(name).alias("raw_name")).distinct().withColumn(
-        "cleaned", clean_field_name(F.col("raw_name")))
+    # aggregated by name once more, which needs no shuffle, so that cleaning is done once and not in every later expression
+    distinct = names.select(F.col(name).alias("raw_name")).distinct().groupBy("raw_name").agg(
+        F.first(clean_field_name(F.col("raw_name"))).alias("cleaned"))
     tiers = _exact_tiers(distinct, index)
     open_names = tiers.filter(F.col("exact_name").isNull() & (F.col("cleaned") != ""))
     best = best_matches(open_names.select("raw_name", "cleaned"), index.filter(F.col("alias") != ""), scorer)

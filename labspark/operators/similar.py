@@ -16,13 +16,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labspark.functions.names import matching_block_ratio, similarity
+from labspark.tables import numbered, written
 
 Scorer = Callable[[Column, Column], Column]
 #: Falling scores of the rounds.
-ROUNDS = (0.8, 0.6)
+ROUNDS = (0.7,)
 #: Parts of the entries of one length in the last round, so that no task holds them all.
 PARTS = 8
 _SLACK = 1e-9
+#: By how much a score that was packed into a number may lie below itself, and more.
+_NEAR = 2e-9
 
 
 @dataclass(frozen=True)
@@ -83,72 +86,73 @@ def _elements(text: Column, scorer: BoundedScorer) -> Column:
 
 def _rarest_first(rows: DataFrame, key: list[str], counts: DataFrame) -> DataFrame:
     """Replace ``elements`` by the array sorted by (number of entries that hold it, element)."""
+    # outer: no text is without elements, and no filter that computes them again is put before this
     return (
-        rows.withColumn("element", F.explode("elements")).drop("elements").join(counts, "element", "left")
+        rows.withColumn("element", F.explode_outer("elements")).drop("elements").join(counts, "element", "left")
         .groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct(
             F.coalesce("held", F.lit(0)).alias("held"), "element"))), lambda s: s["element"]).alias("elements")))
 
 
-def _best(score: Column, *entry: str) -> Column:
-    order = F.col("alias_ord")
-    return F.struct(score.alias("score"), (-order["ord"]).alias("o"), (-order["i"]).alias("i"),
-                    (-order["k"]).alias("k"), *[F.col(c) for c in entry])
+def _packed(score: Column) -> Column:
+    """Score and entry as one number that orders by score, then by the earlier entry: a plain maximum stays in a hash table.
+
+    Scores are told apart to 2 ** -31, which is exact for both scorers up to some 20,000 letters.
+    """
+    return F.shiftleft(F.floor(score * (1 << 31)).cast("long"), 31) + F.lit((1 << 31) - 1) - F.col("entry")
 
 
 def best_matches(names: DataFrame, index: DataFrame, scorer: Scorer | BoundedScorer = EDIT) -> DataFrame:
     """(raw_name, best) for names (raw_name, cleaned): the entry of the highest score, ties to the earlier one.
 
-    ``index`` has alias, standard_name and alias_ord, each alias once. ``best`` holds score, alias and standard. No
-    names or no entries: no rows. Texts and entries must not be empty.
+    ``index`` has alias, standard_name and alias_ord, each alias once, two billion at most. ``best`` holds score, alias and
+    standard. No names or no entries: no rows. Texts and entries must not be empty. Names, entries and the result of each
+    round are written; pairs carry numbers and the two texts only, and are reduced before they are shuffled.
     """
     scorer, rounds = bounded(scorer)
-    entries = index.select("alias", F.col("standard_name").alias("standard"), "alias_ord",
-                           F.char_length("alias").alias("m"), _elements(F.col("alias"), scorer).alias("elements"))
-    counts = entries.select(F.explode("elements").alias("element")).groupBy("element").agg(
+    listed = index.select("alias", F.col("standard_name").alias("standard"), "alias_ord.*", F.char_length("alias").alias("m"),
+                          _elements(F.col("alias"), scorer).alias("elements"))
+    counts = listed.select(F.explode_outer("elements").alias("element")).groupBy("element").agg(
         F.count(F.lit(1)).alias("held"))
-    texts = names.select("raw_name", "cleaned", F.char_length("cleaned").alias("n"),
+    entries = written(numbered(_rarest_first(listed, ["alias", "standard", "ord", "i", "k", "m"], counts).withColumnRenamed(
+        "elements", "theirs"), [F.col(c) for c in ("ord", "i", "k", "alias")], "entry"), "entries")
+    asked = names.select("raw_name", "cleaned", F.char_length("cleaned").alias("n"),
                          _elements(F.col("cleaned"), scorer).alias("elements"))
-    state = _rarest_first(texts, ["raw_name", "cleaned", "n"], counts)
-    sorted_entries = _rarest_first(entries, ["alias", "standard", "alias_ord", "m"], counts).withColumnRenamed(
-        "elements", "theirs")
-    entry_type = "struct<score:double,o:bigint,i:int,k:int,alias:string,standard:string>"
-    state = state.withColumn("best", F.lit(None).cast(entry_type))
+    texts = numbered(_rarest_first(asked, ["raw_name", "cleaned", "n"], counts), [F.col("raw_name")], "text")
 
+    found = names.sparkSession.createDataFrame([], "text long, best long")
+    known = F.shiftright("best", 31) / F.lit(float(1 << 31))
     for last, t in zip([1.1, *rounds], rounds, strict=False):
-        posted = sorted_entries.select("*", F.posexplode(F.slice(
-            "theirs", F.lit(1), F.greatest(F.lit(0), F.size("theirs") - scorer.shared_any(F.col("m"), t).cast("int") + 1))
-        ).alias("at", "element"))
-        # names that have reached the last t, above which all pairs were found, keep one row without an element
-        prefix = F.slice("elements", F.lit(1), F.greatest(
-            F.lit(0), F.size("elements") - scorer.shared_any(F.col("n"), t).cast("int") + 1))
-        asked = state.select("*", F.posexplode_outer(F.when(
-            F.col("best").isNull() | (F.col("best.score") < last), prefix)).alias("place", "element"))
+        open_ = texts.join(found.where(known >= last - _NEAR), "text", "left_anti")  # what has reached the last t is done
+        asked = open_.select("*", F.posexplode(F.slice("elements", F.lit(1), F.greatest(
+            F.lit(0), F.size("elements") - scorer.shared_any(F.col("n"), t).cast("int") + 1))).alias("place", "element"))
+        posted = entries.select("*", F.posexplode(F.slice("theirs", F.lit(1), F.greatest(
+            F.lit(0), F.size("theirs") - scorer.shared_any(F.col("m"), t).cast("int") + 1))).alias("at", "element"))
         left = F.least(F.size("elements") - F.col("place"), F.size("theirs") - F.col("at"))
-        met = asked.join(posted, "element", "left").withColumn("fits", (
+        met = asked.join(posted, "element").where(
             (scorer.most(F.col("n"), F.col("m")) >= t - _SLACK)
             & (left >= scorer.shared(F.col("n"), F.col("m"), t))
-            & ~F.arrays_overlap(F.slice("elements", F.lit(1), F.col("place")), F.slice("theirs", F.lit(1), F.col("at")))))
-        # a name without a partner stays as one row of its first element
-        kept = met.where("fits or place is null or place = 0")
-        state = _grouped(kept, scorer, F.col("fits"), entry_type)
-
-    lengths = entries.agg(F.array_sort(F.collect_set("m"))).scalar()
-    so_far = F.coalesce("best.score", F.lit(0.0))
-    reach = F.filter("lengths", lambda m: scorer.most(F.col("n"), m) >= so_far - _SLACK)
-    # the longest of the prefixes has seen every pair of the lowest t, so only lower scores are open
-    open_ = F.col("best").isNull() | (so_far < min(rounds, default=1.1))
-    asked = state.withColumn("lengths", lengths).withColumn("m", F.explode_outer(F.when(open_, reach))).withColumn(
-        "part", F.explode_outer(F.when(F.col("m").isNotNull(), F.sequence(F.lit(0), F.lit(PARTS - 1)))))
-    parted = entries.drop("elements").withColumn("part", F.pmod(F.xxhash64("alias"), F.lit(PARTS)).cast("int"))
-    met = asked.join(parted, ["m", "part"], "left")
-    return _grouped(met, scorer, F.col("alias").isNotNull(), entry_type).where("best is not null").select("raw_name", "best")
-
-
-def _grouped(met: DataFrame, scorer: BoundedScorer, fits: Column, entry_type: str) -> DataFrame:
-    """One row per name again: the better of its best so far and its new partners."""
-    partner = F.when(fits, F.col("alias"))
-    scored = met.withColumn("new", F.when(fits, _best(
-        scorer.score(F.col("cleaned"), F.coalesce(partner, F.lit(""))).cast("double"), "alias", "standard")).cast(entry_type))
-    return scored.groupBy("raw_name", "cleaned", "n").agg(
-        F.first("elements").alias("elements"),
-        F.max(F.greatest(F.coalesce("best", "new"), F.coalesce("new", "best"))).alias("best"))
+            # a pair counts where its first common element meets
+            & ~F.arrays_overlap(F.slice("elements", F.lit(1), F.col("place")), F.slice("theirs", F.lit(1), F.col("at"))))
+        found = _merged(found, met.select("text", "entry", "cleaned", "alias"), scorer, f"found-{t}")
+
+    lengths = entries.agg(F.array_sort(F.collect_set("m"))).scalar()  # as many numbers as lengths occur
+    so_far = F.coalesce(known, F.lit(0.0))
+    low = min(rounds, default=1.1)
+    open_ = texts.select("text", "cleaned", "n").join(found, "text", "left").where(so_far < low - _NEAR)
+    reach = F.filter("lengths", lambda m: scorer.most(F.col("n"), m) >= so_far - _NEAR)
+    # names are dealt to parts, and the entries, of one length each, go to every part
+    asked = open_.withColumn("lengths", lengths).select(
+        "text", "cleaned", F.pmod("text", F.lit(PARTS)).cast("int").alias("part"), F.explode(reach).alias("m"))
+    dealt = entries.select("entry", "alias", "m", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"))
+    best = _merged(found, asked.join(dealt, ["m", "part"]).select("text", "entry", "cleaned", "alias"), scorer, "best")
+    chosen = best.join(texts.select("text", "raw_name", "cleaned"), "text").withColumn(
+        "entry", F.lit((1 << 31) - 1) - F.col("best").bitwiseAND((1 << 31) - 1)).join(
+        entries.select("entry", "alias", "standard"), "entry")
+    return chosen.select("raw_name", F.struct(scorer.score(F.col("cleaned"), F.col("alias")).cast("double").alias("score"),
+                                              "alias", "standard").alias("best"))
+
+
+def _merged(found: DataFrame, pairs: DataFrame, scorer: BoundedScorer, name: str) -> DataFrame:
+    """(text, best) of what was found before and of the new pairs, as a written table."""
+    new = pairs.select("text", _packed(scorer.score(F.col("cleaned"), F.col("alias"))).alias("best"))
+    return written(found.unionByName(new).groupBy("text").agg(F.max("best").alias("best")), name)
