@@ -24,6 +24,10 @@ from labspark import schemas
 from labspark.catalog import local_table
 from labspark.functions.names import strip_blanks
 
+#: Spans and characters of clauses that a Python worker holds as objects before it hands them over.
+HELD_SPANS = 8_192
+HELD_CHARS = 1 << 20
+
 
 # ---------------------------------------------------------------------------------------
 # Spans
@@ -153,6 +157,41 @@ class _Reader:
         return out, sentences
 
 
+def _clause_batches(reader: _Reader, batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Rows of :func:`span_clauses` for batches of (key, text).
+
+    Texts become Python strings one at a time, and what is found leaves as soon as there are HELD_SPANS spans or HELD_CHARS
+    characters of it, so the memory of a worker does not follow the number of rows in a batch.
+    """
+    list_type = schema.field("spans").type
+    span_fields = list(list_type.value_type)
+
+    def packed(rows: list[tuple], spans: list[tuple], offsets: list[int]) -> pa.RecordBatch:
+        items = pa.StructArray.from_arrays(
+            [pa.array(c, f.type) for c, f in zip(zip(*spans), span_fields)], fields=span_fields)
+        return pa.RecordBatch.from_arrays(
+            [*[pa.array(c, f.type) for c, f in zip(zip(*rows), schema)],
+             pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), items, type=list_type)],
+            schema=schema)
+
+    rows, spans, offsets, chars = [], [], [0], 0
+    for batch in batches:
+        for key, body in zip(batch.column(0), batch.column(1)):
+            key, body = key.as_py(), body.as_py()
+            if not body:
+                continue
+            for clause_no, clause, inside in reader.clauses(body)[0]:
+                rows.append((key, clause_no, clause))
+                spans += inside
+                offsets.append(len(spans))
+                chars += len(clause)
+                if len(spans) >= HELD_SPANS or chars >= HELD_CHARS:
+                    yield packed(rows, spans, offsets)
+                    rows, spans, offsets, chars = [], [], [0], 0
+    if rows:
+        yield packed(rows, spans, offsets)
+
+
 def span_clauses(docs: DataFrame, terms: Sequence[tuple[str, str, str]] | None = None,
                  patterns: Sequence[tuple[str, str, str]] | None = None,
                  doc_id: str = "doc_id", text: str = "text", overlap: bool = False,
@@ -175,28 +214,10 @@ def span_clauses(docs: DataFrame, terms: Sequence[tuple[str, str, str]] | None =
         T.StructField("doc_id", docs.schema[doc_id].dataType),
         *schemas.struct(schemas.SPAN_CLAUSES).fields[1:]])
     arrow_schema = to_arrow_schema(schema)
-    list_type = arrow_schema.field("spans").type
-    span_fields = list(list_type.value_type)
 
     def clauses_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = _Reader(_Lexicon(terms, rules, overlap), clause_separators, sentence_separators)
-        for batch in batches:
-            rows, spans, offsets = [], [], [0]
-            for key, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if not body:
-                    continue
-                for clause_no, clause, inside in reader.clauses(body)[0]:
-                    rows.append((key, clause_no, clause))
-                    spans += inside
-                    offsets.append(len(spans))
-            flat = list(zip(*spans)) if spans else [[] for _ in span_fields]
-            items = pa.StructArray.from_arrays(
-                [pa.array(c, f.type) for c, f in zip(flat, span_fields)], fields=span_fields)
-            columns = list(zip(*rows)) if rows else [[], [], []]
-            yield pa.RecordBatch.from_arrays(
-                [*[pa.array(c, f.type) for c, f in zip(columns, arrow_schema)],
-                 pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), items, type=list_type)],
-                schema=arrow_schema)
+        return _clause_batches(reader, batches, arrow_schema)
 
     return docs.select(doc_id, text).mapInArrow(clauses_of, schema)
 
