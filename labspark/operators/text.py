@@ -303,12 +303,13 @@ def entity_status(clauses: DataFrame, negation: Sequence[str] = tuple(ct.NEGATIO
     trigger may be on either side within half the clause (at least 15 characters).  Triggers
     are searched once per clause, and nothing is shuffled.
     """
+    # a select of its own: beside an explode, columns are computed for every exploded row
     searched = clauses.select(
-        "doc_id", "clause_no", F.char_length("clause").alias("__len"),
+        "doc_id", "clause_no", "spans", F.char_length("clause").alias("__len"),
         _first_place("clause", negation).alias("__negation"),
         _first_place("clause", uncertainty).alias("__uncertainty"),
-        F.array_compact(F.array(*_places("clause", history))).alias("__history"),
-        F.explode("spans").alias("s"))
+        F.array_compact(F.array(*_places("clause", history))).alias("__history")
+    ).select("doc_id", "clause_no", "__len", "__negation", "__uncertainty", "__history", F.explode("spans").alias("s"))
     at = F.col("s.in_clause_at")
     reach = F.greatest(F.floor(F.col("__len") / 2), F.lit(15))
     return searched.select(
@@ -330,29 +331,33 @@ def note_status(clauses: DataFrame, negation: Sequence[str] = tuple(ct.NOTE_NEGA
             for w, place in zip(words, _places("clause", words))]),
             lambda p: p["at"].isNotNull())
 
-    searched = clauses.select(
-        "doc_id", "clause_no", "clause", found(negation).alias("__negation"),
-        found(history).alias("__history"), F.explode("spans").alias("s"))
-    at = F.col("s.in_clause_at")
-
     def first(places: str, limit: Column) -> Column:
         return F.get(F.filter(places, lambda p: p["at"] < limit), F.lit(0))
 
-    marked = searched.withColumns({
-        "__n": first("__negation", at),
+    # a select of its own: beside an explode, columns are computed for every exploded row
+    searched = clauses.select(
+        "doc_id", "clause_no", "clause", "spans", found(negation).alias("__negation"),
+        found(history).alias("__history"))
+    # across a whole text (span over a separator, alone in its row) a stronger separator in between cancels
+    across = F.get("spans", F.lit(0))["in_clause_at"]
+    from_ = first("__negation", across)["at"]
+    between = F.substring(F.col("clause"), from_ + 1, F.greatest(across - from_, F.lit(0)))
+    exploded = searched.select(
+        "doc_id", strip_blanks(F.col("clause")).alias("source_sentence"), "spans", "__negation", "__history",
+        F.when(F.col("clause_no") < 0, F.coalesce(between.rlike("[。；]"), F.lit(False))).otherwise(
+            F.lit(False)).alias("__cancelled")
+    ).select("doc_id", "source_sentence", "__negation", "__history", "__cancelled", F.explode("spans").alias("s"))
+    at = F.col("s.in_clause_at")
+    marked = exploded.withColumns({
+        "__n": first("__negation", at)["word"],
         "__h": first("__history", at + F.char_length("s.entity"))["word"]})
-    # across a whole text (span over a separator) a stronger separator in between cancels
-    between = F.substring(
-        F.col("clause"), F.col("__n.at") + 1, F.greatest(at - F.col("__n.at"), F.lit(0)))
-    cancelled = F.coalesce((F.col("clause_no") < 0) & between.rlike("[。；]"), F.lit(False))
     return (
-        marked.withColumn("negation_trigger", F.when(~cancelled, F.col("__n.word")))
+        marked.withColumn("negation_trigger", F.when(~F.col("__cancelled"), F.col("__n")))
         .filter(F.col("negation_trigger").isNotNull() | F.col("__h").isNotNull())
         .select("doc_id", "s.entity", "s.entity_type", "s.start", "s.end", "s.standard_name",
                 F.col("negation_trigger").isNotNull().alias("negation_status"),
                 F.col("__h").isNotNull().alias("history_status"),
-                strip_blanks(F.col("clause")).alias("source_sentence"),
-                "negation_trigger", F.col("__h").alias("history_trigger"))
+                "source_sentence", "negation_trigger", F.col("__h").alias("history_trigger"))
     )
 
 

@@ -3,9 +3,12 @@ import random
 import re
 import time
 
+import pyarrow as pa
 import pytest
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from labspark import clinical_terms as ct
+from labspark import schemas
 from labspark.operators import text
 
 NOTE = ("患者既往有高血压病史5年，规律服用阿司匹林。昨日复查CT示：右肺上叶可见一大小约12mm的肺结节，"
@@ -272,3 +275,41 @@ def test_triples_equal_all_pairs_of_spans(spark):
     assert any(k[0] == 0 for k in got)
     assert text.extract_triples(docs.limit(0), terms, (), relations).count() == 0
 
+
+def test_found_spans_leave_in_small_batches(spark, monkeypatch):
+    """What a worker holds is bounded by spans and characters, not by the rows of a batch."""
+    monkeypatch.setattr(text, "HELD_SPANS", 50)
+    monkeypatch.setattr(text, "HELD_CHARS", 500)
+    schema = to_arrow_schema(schemas.struct(schemas.SPAN_CLAUSES))
+    texts = ["ab, ab ab." * 10, None, "", "x" * 600 + "ab"] * 50
+    given = pa.RecordBatch.from_arrays([pa.array(range(200), schema.field("doc_id").type), pa.array(texts)], ["doc_id", "text"])
+    for overlap in (False, True):
+        reader = text._Reader(text._Lexicon([("ab", "t", "AB")], [], overlap), ",.", ".")
+        found = list(text._clause_batches(reader, iter([given, given]), schema))
+        sizes = [sum(map(len, batch.column("spans").to_pylist())) for batch in found]
+        assert sum(sizes) == 2 * 50 * 31 and max(sizes) < 50 + 2
+        assert max(sum(map(len, batch.column("clause").to_pylist())) for batch in found) < 500 + 603
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert text.extract_spans(docs, [("ab", "t", "AB")], (), clause_separators=",.").count() == 50 * 31
+
+
+def test_triggers_are_searched_once_per_clause(spark):
+    """No search in a clause, and no clause that is not asked for, is left above the explode of its spans."""
+    clauses = text.span_clauses(docs_of(spark, NOTE))
+    flagged = text.note_status(clauses)
+    for status in (text.entity_status(clauses).select("doc_id", "negation_status", "history_status"),
+                   flagged.select("doc_id", "entity", "negation_trigger", "history_trigger")):
+        plan = status._jdf.queryExecution().optimizedPlan().toString()
+        above, below = plan[:plan.index("Generate")], plan[plan.index("Generate"):]
+        assert "clause#" not in above and "instr(clause#" in below
+        assert "clause#" not in below[:below.index("Project")]
+
+
+def test_note_status_over_a_separator(spark):
+    """A term over a separator looks in the whole text, and a full stop between trigger and term cancels."""
+    terms = [("a，b", "t", "AB"), ("cd", "t", "CD")]
+    docs = docs_of(spark, "否认xx a，b，cd", "否认xx。 a，b", "既往a，b", "否认cd。a，b。cd")
+    found = text.note_status(text.span_clauses(docs, terms, overlap=True, clause_separators="，。"), ["否认"], ["既往"])
+    assert {(r["doc_id"], r["entity"], r["start"], r["negation_trigger"], r["history_trigger"], r["source_sentence"])
+            for r in found.collect()} == {
+        (0, "a，b", 5, "否认", None, "否认xx a，b，cd"), (2, "a，b", 2, None, "既往", "既往a，b"), (3, "cd", 2, "否认", None, "否认cd")}
