@@ -10,8 +10,7 @@ from pyspark.ml.classification import (
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import (
-    IDF, CountVectorizer, Imputer, NGram, Normalizer, SQLTransformer, StandardScaler,
-    StringIndexer, VectorAssembler)
+    IDF, Imputer, Normalizer, StandardScaler, StringIndexer, VectorAssembler)
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
@@ -19,6 +18,7 @@ from pyspark.sql import functions as F
 
 from labspark.catalog import CREATININE_THRESHOLD, ITEM_CREATININE, ITEM_GLUCOSE
 from labspark.functions.values import trajectory_label
+from labspark.operators.grams import CharGrams
 from labspark.operators.ordering import MAX_GROUP_ROWS, column_quantiles, with_positions
 from labspark.operators.trends import trajectory_features
 from labspark.session import checkpoint_folder
@@ -192,19 +192,16 @@ def kidney_risk_stages(features: Sequence[str] = (
 
 
 def text_stages(text: str, label: str, vocabulary: int = 3000) -> list:
-    """Character 1-3-gram TF-IDF and a linear support vector machine per class."""
-    chars = SQLTransformer(
-        statement=f"SELECT *, filter(split(lower({text}), ''), c -> c != '') AS chars FROM __THIS__")
-    grams = [NGram(n=n, inputCol="chars", outputCol=f"grams{n}") for n in (1, 2, 3)]
-    joined = SQLTransformer(
-        statement="SELECT *, concat(grams1, grams2, grams3) AS grams FROM __THIS__")
+    """Character 1-3-gram TF-IDF and a linear support vector machine per class.
+
+    The machines are fitted one after the other: each holds a copy of the vectors in memory, and its jobs fill all cores.
+    """
     return [
         StringIndexer(inputCol=label, outputCol="label_index", handleInvalid="skip"),
-        chars, *grams, joined,
-        CountVectorizer(inputCol="grams", outputCol="counts", vocabSize=vocabulary),
+        CharGrams(text=text, out="counts", vocabulary=vocabulary),
         IDF(inputCol="counts", outputCol="weighted"),
         Normalizer(inputCol="weighted", outputCol="features"),
-        OneVsRest(classifier=LinearSVC(maxIter=30), labelCol="label_index", parallelism=4),
+        OneVsRest(classifier=LinearSVC(maxIter=30), labelCol="label_index", parallelism=1),
     ]
 
 

@@ -1,6 +1,7 @@
 import gzip
 import json
 import random
+from collections import Counter
 from datetime import datetime
 
 import pytest
@@ -8,7 +9,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
 from labspark import catalog, schemas
-from labspark.operators import learning, reports
+from labspark.operators import grams, learning, reports
 from labspark.sources import dictionaries, readers, writers
 from labspark.streaming import gate
 
@@ -88,6 +89,46 @@ def test_regression_clustering_network_text(spark, points):
         model.transform(texts), "label_index").first()["accuracy"] == 1.0
 
 
+def test_char_grams_equal_brute_force(spark, monkeypatch):
+    """Counts of grams of whole texts, over slices, with texts shorter than a gram and characters beyond 16 bits."""
+    monkeypatch.setattr(grams, "SLICE_TEXTS", 3)
+    monkeypatch.setattr(grams, "SLICE_CHARS", 40)
+    texts = ["Abab", "", None, "x", "ab", "\U0001f600a\U0001f600", "a\x00b", "ÄÖ äö", "abc" * 30, "abab"] * 2
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, t string").repartition(3)
+
+    def counted(text):
+        text = (text or "").lower()
+        return Counter(text[i:i + n] for n in (1, 2, 3) for i in range(len(text) - n + 1))
+
+    def number(gram):
+        return sum((ord(c) + 1) << (21 * i) for i, c in enumerate(reversed(gram)))
+
+    total = sum(map(counted, texts), Counter())
+    for size in (7, 10_000):
+        wanted = sorted(total, key=lambda g: (-total[g], number(g)))[:size]
+        model = grams.CharGrams(text="t", out="counts", vocabulary=size).fit(rows)
+        assert model.getOrDefault("grams") == [number(g) for g in wanted]
+        found = {r["id"]: r["counts"] for r in model.transform(rows.withColumn("more", F.lit("m"))).collect()}
+        for i, text in enumerate(texts):
+            vector = found[i]
+            assert vector.size == len(wanted)
+            got = {wanted[k]: v for k, v in zip(vector.indices, vector.values)}
+            assert got == {g: n for g, n in counted(text).items() if g in set(wanted)}
+    with pytest.raises(ValueError):
+        grams.CharGrams(text="t", out="counts", vocabulary=5).fit(rows.filter("t = ''"))
+
+
+def test_text_stages_count_grams_once(spark, tmp_path):
+    """Stages after the counting read a table, and do not make grams of the texts again."""
+    texts = spark.createDataFrame([("ab" * (i % 3 + 1), "a") if i % 2 else ("cd", "b") for i in range(20)], "t string, k string")
+    model = learning.fit(texts, learning.text_stages("t", "k", 50))
+    plan = model.transform(texts)._jdf.queryExecution().optimizedPlan().toString()
+    assert "NGram" not in plan and "split(" not in plan and "lower(" not in plan
+    writers.save_model(model, str(tmp_path / "model"))
+    again = PipelineModel.load(str(tmp_path / "model"))
+    assert again.transform(texts).filter("prediction = label_index").count() == 20
+
+
 def test_kidney_risk(points):
     df = points.select(F.col("id").alias("anchor_age"), F.col("x").alias("GLU_mean"),
                        F.when(F.col("y") > 0, F.col("y")).alias("GLU_latest"),
