@@ -85,16 +85,19 @@ def cumulative_counts(df: DataFrame, by: Sequence[str], value: str) -> DataFrame
     return cumulative_sums(value_counts(df, by, value), by, value, "n")
 
 
-def cumulative_sums(counts: DataFrame, by: Sequence[str], value: str, weight: str) -> DataFrame:
+def cumulative_sums(counts: DataFrame, by: Sequence[str], value: str, weight: str,
+                    tasks: int | None = None) -> DataFrame:
     """Add ``before``: the sum of ``weight`` over rows of the same group with a smaller value.
 
     Values are distinct within a group and of any orderable type. Rows are range-partitioned by (``by``, value) and
     written, so each partition is one stretch of the order; sums run within a stretch of a group, and
     what the group has in earlier stretches is added. No task sees more than one stretch, whatever the group. ``by``
-    names at least one column, which may be the same everywhere.
+    names at least one column, which may be the same everywhere. ``tasks`` sets the number of stretches, else the session does.
     """
-    ranged = written(
-        counts.repartitionByRange(*by, value).withColumn(_SLICE, F.spark_partition_id()), "ranged")
+    ordered = counts.repartitionByRange(*([tasks] if tasks else []), *by, value)
+    ranged = written(ordered.withColumn(_SLICE, F.spark_partition_id()), "ranged")
+    if tasks:
+        ranged = ranged.repartition(tasks, *by, _SLICE)
     inside = Window.partitionBy(*by, _SLICE).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     # one row per group and stretch: at most as many as groups and partitions together
     offsets = _offsets(ranged, by, F.sum(weight))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from itertools import combinations
 
@@ -10,10 +11,14 @@ from pyspark.sql import functions as F
 
 from labspark.functions.tails import f_pvalue, t_pvalue, z_pvalue
 from labspark.operators.ordering import column_quantiles, cumulative_sums, summary
+from labspark.session import shuffle_partitions
 from labspark.tables import written
 
 QUARTILES = (0.25, 0.5, 0.75)
 SIGNIFICANT = 0.05
+#: Rows that a task of a rank correlation is meant to hold, and rows of one value that may go to one task.
+TASK_ROWS = 500_000
+FREQUENT = 50_000
 
 
 def describe(df: DataFrame, variables: Sequence[str], exact: bool = True) -> DataFrame:
@@ -140,20 +145,35 @@ def spearman(df: DataFrame, variables: Sequence[str]) -> DataFrame:
     """Pearson matrix of the average ranks (rows with a null in any variable are left out).
 
     The rows are read once: equal combinations of values become one row with its copies. All variables together,
-    as (variable, value), are ranked in one pass, joined once and put back into one row per combination. The
-    join has no hint: a small rank table is broadcast at run time, and of a large one adaptive
-    execution splits the partitions of frequent values.
+    as (variable, value), are ranked in one pass, joined and put back into one row per combination. Values of more than
+    FREQUENT combinations are few, and their ranks are broadcast; only the others are joined by a shuffle, so no task
+    gets a frequent value. Tables beyond what the session's number of tasks can hold get more of them, so
+    that a task's memory stays the same whatever the number of rows.
     """
     names = list(variables)
+    n_tasks = math.ceil(df.count() / TASK_ROWS)
+    many = n_tasks > shuffle_partitions(df.sparkSession)
+
+    def dealt(rows: DataFrame, *keys: str) -> DataFrame:
+        return rows.repartition(n_tasks, *keys) if many else rows
+
     complete = df.select(*[F.col(v).cast("double").alias(v) for v in names]).dropna()
-    distinct = written(complete.groupBy(*names).agg(F.count(F.lit(1)).alias("__copies")), "combinations")
-    entries = distinct.select("*", F.explode(F.array(*[
+    distinct = written(dealt(complete, *names).groupBy(*names).agg(F.count(F.lit(1)).alias("__copies")).withColumn(
+        "__id", F.monotonically_increasing_id()), "combinations")
+    entries = dealt(distinct, "__id").select("__id", "__copies", F.explode(F.array(*[
         F.struct(F.lit(i).alias("__variable"), F.col(v).alias("__value")) for i, v in enumerate(names)])).alias("__e")
-    ).select(*names, "__copies", "__e.*")
-    counts = entries.groupBy("__variable", "__value").agg(F.sum("__copies").alias("n"))
-    ranks = cumulative_sums(counts, ["__variable"], "__value", "n").select(
-        "__variable", "__value", (F.col("before") + (F.col("n") + 1) / 2).alias("__rank"))
-    ranked = entries.join(ranks, ["__variable", "__value"]).groupBy(*names, "__copies").agg(*[
+    ).select("__id", "__copies", "__e.*")
+    counts = entries.groupBy("__variable", "__value").agg(
+        F.sum("__copies").alias("n"), F.count(F.lit(1)).alias("__combinations"))
+    ranks = written(cumulative_sums(counts, ["__variable"], "__value", "n", n_tasks if many else None).select(
+        "__variable", "__value", (F.col("before") + (F.col("n") + 1) / 2).alias("__rank"), "__combinations"), "ranks")
+    key, is_frequent = ["__variable", "__value"], F.col("__combinations") > FREQUENT
+    # no more rows than variables times combinations / FREQUENT
+    frequent = F.broadcast(ranks.filter(is_frequent).drop("__combinations"))
+    others = ranks.filter(~is_frequent).drop("__combinations")
+    placed = entries.join(frequent, key).unionByName(
+        dealt(entries.join(frequent, key, "left_anti"), *key).join(dealt(others, *key), key))
+    ranked = dealt(placed, "__id").groupBy("__id", "__copies").agg(*[
         F.max(F.when(F.col("__variable") == i, F.col("__rank"))).alias(f"__rank_{v}") for i, v in enumerate(names)])
     return weighted_correlation(ranked, names, "__rank_", "__copies")
 

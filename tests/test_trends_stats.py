@@ -4,6 +4,7 @@ import random
 import statistics
 import tempfile
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -342,6 +343,35 @@ def test_correlations(spark):
                         pearson(prepare(columns[i]), prepare(columns[j])))
 
 
+def test_spearman_in_many_tasks_with_frequent_values(spark, monkeypatch):
+    """Frequent values are broadcast, others are joined in as many tasks as the rows need: the same matrix."""
+    rng = random.Random(8)
+    rows = [(float(rng.randrange(3)), rng.choice([0.0, -0.0, rng.gauss(0, 1)]), None if i % 50 == 0 else rng.gauss(0, 1))
+            for i in range(2000)]
+    df = spark.createDataFrame(rows + rows[:100], "x double, y double, z double")
+    want = {(r["row_no"], r["col_no"]): r["value"] for r in stats.spearman(df, ["x", "y", "z"]).collect()}
+    monkeypatch.setattr(stats, "TASK_ROWS", 300)
+    monkeypatch.setattr(stats, "FREQUENT", 20)
+    many = stats.spearman(df, ["x", "y", "z"])
+    plan = many._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("strategy=broadcast") == 2 and "RepartitionByExpression" in plan
+    got = {(r["row_no"], r["col_no"]): r["value"] for r in many.collect()}
+    whole = [r for r in rows + rows[:100] if r[2] is not None]
+    x, y, z = ([[r[i] for r in whole] for i in range(3)])
+
+    def ranks(p):
+        s = sorted(p)
+        first, count = {}, {}
+        for i, v in enumerate(s):
+            first.setdefault(v, i)
+            count[v] = count.get(v, 0) + 1
+        return [first[v] + (count[v] + 1) / 2 for v in p]
+
+    for i, p in enumerate((x, y, z)):
+        for j, q in enumerate((x, y, z)):
+            assert got[(i, j)] == pytest.approx(np.corrcoef(ranks(p), ranks(q))[0, 1]) == pytest.approx(want[(i, j)])
+
+
 def test_stratified_split(spark):
     df = spark.range(1000).withColumn("label", F.when(F.col("id") % 10 < 7, "a").otherwise("b"))
     first = learning.stratified_split(df, "label", "id")
