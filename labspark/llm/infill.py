@@ -28,8 +28,8 @@ PREFIX, SUFFIX, MIDDLE = "<P>", "<S>", "<M>"
 #: Percentage of texts that stay as they are, and of the others that start with the suffix.
 PLAIN_PERCENT = 10
 SPM_PERCENT = 20
-#: Text bytes handled at once in a Python worker.
-SLICE_BYTES = 4 << 20
+#: Text bytes handled at once in a Python worker; the kernels hold up to a hundred times as much.
+SLICE_BYTES = 256 << 10
 
 #: A unit, byte by byte: a run of ASCII letters, a whole UTF-8 sequence, or another byte.
 _UNIT = r"[A-Za-z]+|[\xc0-\xff][\x80-\xbf]*|[^A-Za-z]"
