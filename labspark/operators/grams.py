@@ -7,7 +7,7 @@ another turns each text into its vector, once, in a table that the later stages
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +25,8 @@ from labspark.tables import fresh, written
 #: Longest grams. A character takes 21 bits of a number, so three fit.
 LONGEST = 3
 _BITS = 21
-#: Characters and texts that a Python worker handles at once (a longer text is handled alone).
-SLICE_CHARS = 1 << 20
+#: Characters and texts that a Python worker handles at once (a longer text is handled alone); their numbers stay in a core's cache.
+SLICE_CHARS = 1 << 17
 SLICE_TEXTS = 256
 
 
@@ -71,6 +71,38 @@ def gram_counts(texts: DataFrame, text: str) -> DataFrame:
     return texts.select(text).mapInArrow(_counted, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
+def _finder(grams: list[int]) -> Callable[[np.ndarray], np.ndarray]:
+    """Maps numbers of grams to their places in the list, others to its length.
+
+    Hash tables of one entry a slot: a gram whose slot an earlier one holds is in the next table, with another hash.
+    """
+    size = len(grams)
+    known = np.array([*grams, -1], np.int64)
+    shift = np.uint64(64 - (16 * size).bit_length())
+    left, tables = np.arange(size), []
+    while len(left):
+        factor = np.uint64(0x9E3779B97F4A7C15 * (2 * len(tables) + 1) % (1 << 64))
+        slots = (known[left].view(np.uint64) * factor) >> shift
+        first = np.unique(slots, return_index=True)[1]
+        table = np.full(1 << int(64 - shift), size, np.int32)
+        table[slots[first]] = left[first]
+        tables.append((factor, table))
+        left = np.delete(left, first)
+
+    def find(codes: np.ndarray) -> np.ndarray:
+        out = np.full(len(codes), size, np.int64)
+        rest = slice(None)
+        for factor, table in tables:
+            some = codes[rest]
+            at = table[(some.view(np.uint64) * factor) >> shift]
+            hit = known[at] == some
+            out[rest] = np.where(hit, at, size)
+            missed = np.flatnonzero(~hit)
+            rest = missed if isinstance(rest, slice) else rest[missed]
+        return out
+    return find
+
+
 class _GramParams(Params, DefaultParamsReadable, DefaultParamsWritable):
     text = Param(Params._dummy(), "text", "column of the texts", TypeConverters.toString)
     out = Param(Params._dummy(), "out", "column for the vectors", TypeConverters.toString)
@@ -108,17 +140,14 @@ class CharGramsModel(_GramParams, Model):
         vector = T.StructField(out, VectorUDT())
         plain = T.StructField(out, VectorUDT.sqlType())
         as_struct = T.StructType([*dataset.schema.fields, plain])
-        known, size, struct = np.array(grams, np.int64), len(grams), to_arrow_type(plain.dataType)
-        place = np.argsort(known)
-        known = known[place]
+        find, size, struct = _finder(grams), len(grams), to_arrow_type(plain.dataType)
 
         def vectors(texts: list[str]) -> pa.Array:
-            cells = []
+            counts = np.zeros(len(texts) * size, np.int64)
             for codes, owner in _codes(texts):
-                at = np.minimum(np.searchsorted(known, codes), size - 1)
-                hit = known[at] == codes
-                cells.append(owner[hit] * size + place[at[hit]])
-            counts = np.bincount(np.concatenate(cells) if cells else np.empty(0, np.int64), minlength=len(texts) * size)
+                at = find(codes)
+                hit = at < size
+                counts += np.bincount(owner[hit] * size + at[hit], minlength=len(counts))
             found = np.flatnonzero(counts)
             ends = pa.array(np.searchsorted(found, np.arange(len(texts) + 1) * size).astype(np.int32))
             parts = {"type": np.zeros(len(texts), np.int8), "size": np.full(len(texts), size, np.int32),

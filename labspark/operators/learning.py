@@ -5,12 +5,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml import Model, Pipeline, PipelineModel
-from pyspark.ml.classification import (
-    GBTClassifier, LinearSVC, MultilayerPerceptronClassifier, OneVsRest, RandomForestClassifier)
+from pyspark.ml.classification import GBTClassifier, MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import RegressionEvaluator
-from pyspark.ml.feature import (
-    IDF, Imputer, Normalizer, StandardScaler, StringIndexer, VectorAssembler)
+from pyspark.ml.feature import Imputer, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
@@ -19,6 +17,7 @@ from pyspark.sql import functions as F
 from labspark.catalog import CREATININE_THRESHOLD, ITEM_CREATININE, ITEM_GLUCOSE
 from labspark.functions.values import trajectory_label
 from labspark.operators.grams import CharGrams
+from labspark.operators.machines import CountMachines
 from labspark.operators.ordering import MAX_GROUP_ROWS, column_quantiles, with_positions
 from labspark.operators.trends import trajectory_features
 from labspark.session import checkpoint_folder
@@ -194,14 +193,12 @@ def kidney_risk_stages(features: Sequence[str] = (
 def text_stages(text: str, label: str, vocabulary: int = 3000) -> list:
     """Character 1-3-gram TF-IDF and a linear support vector machine per class.
 
-    The machines are fitted one after the other: each holds a copy of the vectors in memory, and its jobs fill all cores.
+    The machines are fitted in step, over a table of the counts: none holds the vectors in memory.
     """
     return [
         StringIndexer(inputCol=label, outputCol="label_index", handleInvalid="skip"),
         CharGrams(text=text, out="counts", vocabulary=vocabulary),
-        IDF(inputCol="counts", outputCol="weighted"),
-        Normalizer(inputCol="weighted", outputCol="features"),
-        OneVsRest(classifier=LinearSVC(maxIter=30), labelCol="label_index", parallelism=1),
+        CountMachines(counts="counts", label="label_index", iterations=30),
     ]
 
 

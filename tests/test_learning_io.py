@@ -4,12 +4,16 @@ import random
 from collections import Counter
 from datetime import datetime
 
+import numpy as np
 import pytest
 from pyspark.ml import PipelineModel
+from pyspark.ml.classification import LinearSVC, OneVsRest
+from pyspark.ml.feature import IDF, Normalizer
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from labspark import catalog, schemas
-from labspark.operators import grams, learning, reports
+from labspark.operators import grams, learning, machines, reports
 from labspark.sources import dictionaries, readers, writers
 from labspark.streaming import gate
 
@@ -129,6 +133,57 @@ def test_text_stages_count_grams_once(spark, tmp_path):
     assert again.transform(texts).filter("prediction = label_index").count() == 20
 
 
+def test_gram_places(spark):
+    """Every gram is found at its place, also when slots are shared, and other numbers at none."""
+    rng = random.Random(5)
+    numbers = rng.sample(range(1, 1 << 63), 5000)
+    find = grams._finder(numbers[:4000])
+    assert find(np.array(numbers, np.int64)).tolist() == [*range(4000), *[4000] * 1000]
+    assert grams._finder([7])(np.array([7, 8, 7], np.int64)).tolist() == [0, 1, 0]
+
+
+def test_machines_equal_mllib(spark, monkeypatch):
+    """The machines of MLlib's one-against-rest, for rows with large counts, dense and empty vectors, and a constant column."""
+    monkeypatch.setattr(machines, "CELLS", 50)  # blocks of four rows
+    monkeypatch.setattr(machines, "IN_STEP", 2)
+    monkeypatch.setattr(machines, "FEW_SUMS", 2)
+    rng = random.Random(3)
+    rows = []
+    for i in range(300):
+        kind = rng.randrange(3)
+        counts = [float(rng.choice([0, 0, 1, 2, 3 + 4 * (j % 3 == kind), 254, 255, 70_000][:8 if i % 40 == 0 else 5])) for j in range(11)]
+        counts = [*counts, 0.0] if i else [0.0] * 12
+        full = Vectors.dense(counts)
+        rows.append((float(kind if rng.random() < 0.8 else rng.randrange(3)), full if i % 2 else Vectors.sparse(12, [
+            (j, c) for j, c in enumerate(counts) if c])))
+    df = spark.createDataFrame(rows, ["label_index", "counts"]).repartition(5)
+    model = machines.CountMachines(counts="counts", label="label_index", iterations=8).fit(df)
+    features = Normalizer(inputCol="weighted", outputCol="features").transform(
+        IDF(inputCol="counts", outputCol="weighted").fit(df).transform(df))
+    wanted = OneVsRest(classifier=LinearSVC(maxIter=8), labelCol="label_index").fit(features)
+    for got, known in zip(model.stages[-1].models, wanted.models, strict=True):
+        assert got.coefficients.toArray() == pytest.approx(known.coefficients.toArray(), rel=1e-6, abs=1e-9)
+        assert got.intercept == pytest.approx(known.intercept, rel=1e-6)
+    assert [r["prediction"] for r in model.transform(df).collect()] == [
+        r["prediction"] for r in wanted.transform(features).collect()]
+    with pytest.raises(Exception, match="whole numbers"):
+        machines.CountMachines(counts="counts", label="label_index", iterations=1).fit(
+            spark.createDataFrame([(0.0, Vectors.dense([0.5, 1.0])), (1.0, Vectors.dense([1.0, 0.0]))], ["label_index", "counts"]))
+
+
+def test_text_machines_keep_no_vectors_in_memory(spark, monkeypatch):
+    """No table is kept in the executors' memory, and classes are fitted by the same jobs: their number doesn't grow with them."""
+    monkeypatch.setattr(type(spark.range(1)), "persist", lambda *_: pytest.fail("kept in memory"))
+    jobs = []
+    for classes in (2, 8):
+        texts = spark.createDataFrame([("abcdefgh"[i % classes] * (i % 5 + 1), str(i % classes)) for i in range(80)], "t string, k string")
+        spark.sparkContext.setJobGroup(f"classes-{classes}", "")
+        learning.fit(texts, learning.text_stages("t", "k", 50))
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"classes-{classes}")))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs[1] < 2 * jobs[0]
+
+
 def test_kidney_risk(points):
     df = points.select(F.col("id").alias("anchor_age"), F.col("x").alias("GLU_mean"),
                        F.when(F.col("y") > 0, F.col("y")).alias("GLU_latest"),
